@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import exact_dedup
+from landloom.llm import byte_bpe, dac, exact_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,22 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).drop("matched_snapshot")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup,)}
+def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written in directly addressable codes in doc_id order and read back from the files."""
+    import public_tokenizers
+
+    return dac.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids and of the bytes decoded from them."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return byte_bpe.digest(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_token_codes, op10_byte_bpe)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
