@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import byte_bpe, dac, exact_dedup
+from landloom.llm import byte_bpe, dac, exact_dedup, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint of four-word shingles and its component of links of at most four bits."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, k=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's byte-level BPE ids and of the bytes decoded from them."""
     import public_tokenizers
@@ -33,7 +39,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_token_codes, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_token_codes, op8_simhash, op10_byte_bpe)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
