@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Rows and bytes of text that a task holds as Python objects at once; one text is never cut here.
 SLICE_ROWS, SLICE_BYTES = 2_000, 16 << 20
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in order, in pieces of bounded size."""
     for batch in batches:
         n = batch.num_rows
         step = SLICE_ROWS
         if n:
             mean = batch.column(batch.schema.get_field_index(column)).nbytes / n
-            step = max(1, min(SLICE_ROWS, int(SLICE_BYTES / max(1.0, mean))))
+            step = max(1, min(SLICE_ROWS, int(most / max(1.0, mean))))
         for at in range(0, n, step):
             yield batch.slice(at, step)
 
@@ -32,3 +34,18 @@ def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A record batch of the schema's types."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def split_words(batch: pa.RecordBatch, column: str = "text", lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words (runs of other than ASCII white space) of texts: where each text's begin (and the last's end), their
+    codes, and the distinct words by code. ``lower``: A-Z only. Null counts as empty."""
+    values = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(values) if lower else values)
+    coded = lists.flatten().dictionary_encode()
+    distinct, codes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
+    if b"" in distinct:  # around leading and trailing white space
+        kept = codes != distinct.index(b"")
+        ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+        codes = codes[kept]
+    return np.concatenate([[0], ends]).astype(np.int64), codes, distinct

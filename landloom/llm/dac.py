@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landloom.llm.arrow import batch_of, slices, utf8
+from landloom.llm.arrow import batch_of, slices, split_words
 from landloom.llm.staging import shared_dir, texts
 
 #: Bits between two entries of a rank directory.
@@ -30,7 +30,7 @@ RANK_BITS = 512
 #: Ids after which a segment is closed (a document is never split over two).
 SEGMENT_IDS = 1 << 20
 #: Distinct words whose codes a worker keeps at most; then it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 SEGMENTS = "part int, seg int, n_ids long, doc_ids array<bigint>, doc_ends array<bigint>, levels array<binary>, bitmaps array<binary>, ranks array<binary>"
 _ARROW = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())), ("levels", pa.list_(pa.binary())), ("bitmaps", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
@@ -80,36 +80,72 @@ def token_at(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: i
 #: Pieces the tokenizer's own splitter makes of a word of ASCII and Latin-1 letters.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7EÀ-ÿ]+")
+#: Pieces that are handed to the library at once, with a space between.
+_TOGETHER = 2_000
 
 
-class WordCodes(dict):
-    """Ids of a word (bytes without ASCII white space) by the tokenizers library, as uint16 or uint32 bytes.
+class WordCodes:
+    """Ids of words (bytes without ASCII white space) by the tokenizers library, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and splits words into pieces, so a text's ids are those of its words,
-    and a plain word's are those of its pieces; each distinct one is encoded by the library once.
+    and a plain word's are those of its pieces; the library encodes each distinct piece of a slice of texts
+    once. Words of other letters are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
-        self.special = any(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), {}, {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            out = b"".join(self.pieces[p] if p in self.pieces else self.pieces.setdefault(p, self.ids(p)) for p in _PIECES.findall(text.lower()))
-        else:
-            out = self.ids(text)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(self.pieces) >= CACHE_WORDS:
+    def learn_pieces(self, new: list[str]) -> None:
+        for at in range(0, len(new), _TOGETHER):
+            some = new[at : at + _TOGETHER]
+            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, of = np.array(coded.ids, "<u4"), np.array(coded.word_ids)
+            ends = np.searchsorted(of, np.arange(len(some)), side="right")
+            for piece, a, z in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                self.pieces[piece] = ids[a:z].tobytes()
+
+    def learn(self, new: list[bytes]) -> None:
+        if len(self.pieces) > 2 * CACHE_WORDS:
             self.pieces.clear()
-        self[word] = out
-        return out
+        split = {}
+        for word in new:
+            text = word.decode()
+            if not word.isascii() and not _PLAIN.fullmatch(text):
+                self.words[word] = self.ids(text)
+                continue
+            low = text.lower()
+            if low.isalpha():
+                split[word] = (low,)
+            elif low[:-1].isalpha() and low[-1] in ".,!|":
+                split[word] = (low[:-1], low[-1])
+            elif "<|" in low or not low.isprintable():
+                self.words[word] = self.ids(text)
+            else:
+                split[word] = _PIECES.findall(low)
+        self.learn_pieces(list({p for x in split.values() for p in x}.difference(self.pieces)))
+        for word, own in split.items():
+            self.words[word] = self.pieces[own[0]] if len(own) == 1 else b"".join(map(self.pieces.__getitem__, own))
+
+    def encode(self, texts: pa.RecordBatch) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        starts, codes, words = split_words(texts)
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        self.learn([w for w in words if w and w not in self.words])
+        own = [self.words.get(w, b"") for w in words]
+        pool = np.frombuffer(b"".join(own), "<u4")
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        first = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(first[codes] - (ends - n), n) + np.arange(int(n.sum()))]
+        at = np.concatenate([[0], ends])[starts]
+        return [ids[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @lru_cache(1)
@@ -130,23 +166,22 @@ def write(docs: DataFrame, path: str, end_id: int, to: str, doc_bytes: int = 32
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, end = word_codes(path), np.array([end_id], "<u4").tobytes()
+        codes, end = word_codes(path), np.array([end_id], "<u4")
         part, seg, held, ids, ends = None, 0, 0, [], []
 
         def close() -> pa.RecordBatch:
-            levels, bitmaps, ranks = pack(np.frombuffer(b"".join(held_ids), "<u4"))
+            levels, bitmaps, ranks = pack(np.concatenate(held_ids))
             return batch_of(_ARROW, [part], [seg], [held], [ids], [ends], [levels], [bitmaps], [ranks])
 
-        held_ids: list[bytes] = []
+        held_ids: list[np.ndarray] = []
         for b in slices(batches):
-            for p, doc, text in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), utf8(b), strict=True):
+            for p, doc, coded in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), codes.encode(b), strict=True):
                 if ids and (p != part or held >= SEGMENT_IDS):
                     yield close()
                     seg, held, ids, ends, held_ids = (seg + 1 if p == part else 0), 0, [], [], []
                 part = p
-                own = b"".join(map(codes.__getitem__, text.split())) + end
-                held += len(own) // 4
-                held_ids.append(own)
+                held += len(coded) + 1
+                held_ids += [coded, end]
                 ids.append(doc)
                 ends.append(held)
         if ids:

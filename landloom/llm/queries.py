@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import byte_bpe, dac, exact_dedup, simhash
+from landloom.llm import byte_bpe, dac, exact_dedup, lm, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by a backoff automaton and by smoothed single tokens."""
+    return lm.train_and_score(_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's byte-level BPE ids and of the bytes decoded from them."""
     import public_tokenizers
@@ -39,7 +44,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_token_codes, op8_simhash, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_token_codes, op8_simhash, op9_lm_scores, op10_byte_bpe)}
 
 ORACLES = {
     "op2_exact_dedup": r"""

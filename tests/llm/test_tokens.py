@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from landloom.llm import byte_bpe, dac
@@ -59,4 +60,6 @@ def test_empty_table(spark, odd_documents):
 @pytest.mark.parametrize("word", ["<|endoftext|>", "don't", "x'Re", "ÀÉ12..ab", "ß'", " ", "ΑΣ"])
 def test_word_codes(word):
     codes = dac.WordCodes(WORD)
-    assert codes[word.encode()] == codes.ids(word)
+    texts = [word, f" a\t{word} {word}\r\n", "", None, "\n"]
+    got = codes.encode(pa.RecordBatch.from_pydict({"text": texts}))
+    assert [x.astype("<u4").tobytes() for x in got] == [codes.ids(t or "") for t in texts]
