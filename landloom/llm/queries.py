@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import byte_bpe, dac, exact_dedup, lm, simhash
+from landloom.llm import byte_bpe, dac, exact_dedup, lm, quality_model, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).drop("matched_snapshot")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, base rules and verdict of the monotonic trees."""
+    return quality_rules.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written in directly addressable codes in doc_id order and read back from the files."""
     import public_tokenizers
@@ -25,6 +30,11 @@ def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by histogram trees; a fifth of the ids is held out."""
+    return quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint of four-word shingles and its component of links of at most four bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, k=4)
@@ -44,7 +54,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_token_codes, op8_simhash, op9_lm_scores, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_quality_rules, op5_token_codes, op6_quality_model, op8_simhash, op9_lm_scores, op10_byte_bpe)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
