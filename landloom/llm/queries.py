@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import byte_bpe, dac, exact_dedup, lm, quality_model, quality_rules, simhash
+from landloom.llm import byte_bpe, dac, exact_dedup, kd_shards, lm, mixing, quality_model, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's calibrated probability and whether it is sampled."""
+    return mixing.sample(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of equal normalised texts; half of the ids are the immutable snapshot."""
     docs = _table(spark, sf_dir, "documents")
@@ -35,6 +40,12 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 16 shards of near equal bytes."""
+    dealt = kd_shards.shard(_table(spark, sf_dir, "documents"), shards=16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint of four-word shingles and its component of links of at most four bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, k=4)
@@ -54,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_quality_rules, op5_token_codes, op6_quality_model, op8_simhash, op9_lm_scores, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_quality_rules, op5_token_codes, op6_quality_model, op7_kd_shards, op8_simhash, op9_lm_scores, op10_byte_bpe)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
