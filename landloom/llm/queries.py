@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import byte_bpe, dac, exact_dedup, kd_shards, lm, mixing, quality_model, quality_rules, simhash
+from landloom.llm import byte_bpe, dac, exact_dedup, html_crf, kd_shards, lm, mixing, quality_model, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    pages = _table(spark, sf_dir, "pages")
+    return html_crf.extract(pages, html_crf.train(pages))
+
+
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written in directly addressable codes in doc_id order and read back from the files."""
     import public_tokenizers
@@ -65,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_quality_rules, op5_token_codes, op6_quality_model, op7_kd_shards, op8_simhash, op9_lm_scores, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_quality_rules, op4_main_text, op5_token_codes, op6_quality_model, op7_kd_shards, op8_simhash, op9_lm_scores, op10_byte_bpe)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
