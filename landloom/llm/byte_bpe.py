@@ -114,17 +114,17 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     return short.unionByName(back)
 
 
-def digest(coded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 (bytes of the decoded ids)."""
+def digest(coded: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (bytes of the decoded ids), perhaps ids."""
     import hashlib
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.binary())] * with_ids)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = list(map(str, range(len(vocabulary(path, pattern)))))
         for b in slices(batches, "ids"):
             ids = utf8(b, "ids")
             joined = [",".join(map(words.__getitem__, np.frombuffer(x, "<u4").tolist())).encode() for x in ids]
-            yield batch_of(schema, b.column("doc_id"), [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in joined], [hashlib.sha256(decode(x, path, pattern)).hexdigest() for x in ids])
+            yield batch_of(schema, b.column("doc_id"), [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in joined], [hashlib.sha256(decode(x, path, pattern)).hexdigest() for x in ids], *([ids] * with_ids))
 
-    return coded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

@@ -89,12 +89,16 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return model
 
 
-def labelled(stats: DataFrame, labels: DataFrame, label: str, most: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and labels of at most about ``most`` labelled rows (column ``inputs``), chosen by a hash of the id."""
+def chosen_labels(labels: DataFrame, label: str, most: int = FIT_ROWS) -> DataFrame:
+    """doc_id and y of at most about ``most`` labelled rows, chosen by a hash of the id."""
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("double").alias("y")).dropDuplicates(["doc_id"])
     share = min(1.0, most / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = stats.select("doc_id", "inputs").join(chosen, "doc_id").orderBy("doc_id").toArrow()
+    return known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def labelled(stats: DataFrame, labels: DataFrame, label: str, most: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and labels of the chosen rows (column ``inputs``)."""
+    rows = stats.select("doc_id", "inputs").join(chosen_labels(labels, label, most), "doc_id").orderBy("doc_id").toArrow()
     y = rows.column("y").to_numpy()
     x = np.array(rows.column("inputs").combine_chunks().flatten().to_numpy()).reshape(len(y), -1) if len(y) else np.zeros((0, 1))
     return x, y

@@ -85,6 +85,15 @@ def probabilities(fitted: DataFrame, rate: float) -> DataFrame:
     return cells.withColumn("prob", F.least(F.lit(1.0), F.col("multiplier") * hi))
 
 
+def keep(docs: DataFrame, rate: float = 0.8, power: float = 0.7, targets: dict[str, DataFrame] | None = None, seed: int = 5) -> DataFrame:
+    """The sampled rows of ``docs``, with their columns; texts aren't shuffled while the cells are few."""
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("source"), F.col("lang"), topic(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens"))
+    cells = stage(cells_of(keyed.drop("row")), "cells")
+    fitted = _fitted(cells, rate, power, targets)
+    joined = keyed.join(sized_broadcast(fitted, fitted.count(), BROADCAST_CELLS), _same())
+    return joined.where(_draw(seed) < F.col("prob")).select("row.*")
+
+
 def sample(docs: DataFrame, rate: float = 0.8, power: float = 0.7, targets: dict[str, DataFrame] | None = None, seed: int = 5) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, multiplier, prob and sampled of every row.
 
@@ -93,9 +102,19 @@ def sample(docs: DataFrame, rate: float = 0.8, power: float = 0.7, targets: dict
     """
     rows = stage(docs.select("doc_id", "source", "lang", topic(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens")), "rows")
     cells = stage(cells_of(rows), "cells")
+    fitted = _fitted(cells, rate, power, targets)
+    joined = rows.join(sized_broadcast(fitted, fitted.count(), BROADCAST_CELLS), _same())
+    return joined.select("doc_id", *DIMS, "n_tokens", "multiplier", "prob", (_draw(seed) < F.col("prob")).alias("sampled"))
+
+
+def _fitted(cells: DataFrame, rate: float, power: float, targets: dict[str, DataFrame] | None) -> DataFrame:
     fitted = probabilities(rake(cells, targets or {d: tempered(cells, d, power) for d in DIMS}), rate)
-    fitted = stage(fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "multiplier", "prob"), "prob")
-    same = reduce(lambda a, b: a & b, (F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMS))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    joined = rows.join(sized_broadcast(fitted, fitted.count(), BROADCAST_CELLS), same)
-    return joined.select("doc_id", *DIMS, "n_tokens", "multiplier", "prob", (draw < F.col("prob")).alias("sampled"))
+    return stage(fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "multiplier", "prob"), "prob")
+
+
+def _same() -> Column:
+    return reduce(lambda a, b: a & b, (F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMS))
+
+
+def _draw(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
