@@ -42,7 +42,7 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.12, bins: int = 64, l2: float = 1.0, least: float = 4.0, directions: dict[int, int] | None = None) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.12, bins: int = 64, l2: float = 1.0, least: float = 1.0, directions: dict[int, int] | None = None) -> Trees:
     """Fit to rows ``x`` and labels ``y`` (0 or 1). ``directions``: +1 or -1 by input. No rows, or one label alone, give a constant."""
     inner, n_inputs = (1 << depth) - 1, x.shape[1]
     share = (y.sum() + 1) / (len(y) + 2)

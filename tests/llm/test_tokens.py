@@ -8,6 +8,7 @@ import pytest
 from landloom.llm import byte_bpe, dac
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+PAIR = (BYTE, public_tokenizers.PATTERN)
 
 
 def test_byte_bpe_is_that_of_whole_texts(spark, odd_documents):
