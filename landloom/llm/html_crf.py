@@ -263,8 +263,10 @@ def by_markup(page: str) -> list[Block]:
 
 def train(pages: DataFrame, most: int = FIT_PAGES) -> Field:
     """A field of the given layouts and of at most ``most`` pages, chosen by a hash of their id."""
-    chosen = pages.where(F.char_length("html") <= FIT_CHARS).select("html", F.xxhash64("page_id").alias("h")).orderBy("h").limit(most)
-    return fit(layouts() + [by_markup(r.html) for r in chosen.collect()])
+    short = pages.where(F.char_length("html") <= FIT_CHARS).select("html", F.xxhash64("page_id").alias("h"))
+    ranks = short.select("h").orderBy("h").limit(most).collect()  # hashes alone; then the pages up to the last of them
+    chosen = short.where(F.col("h") <= ranks[-1].h).limit(most).collect() if ranks else []
+    return fit(layouts() + [by_markup(r.html) for r in sorted(chosen, key=lambda r: r.h)])
 
 
 def main_text(page: str, field: Field) -> str:
