@@ -164,6 +164,11 @@ def visible_columns(catalogue: DataFrame) -> DataFrame:
     return catalogue.where(~F.col("is_empty"))
 
 
+def _free(pattern: str):
+    """A test of a key: it fits the pattern and no earlier role has claimed it."""
+    return lambda k: F.regexp_like(k, F.lit(pattern)) & ~F.array_contains("claimed", k)
+
+
 def bind_columns(catalogue: DataFrame) -> DataFrame:
     """book, sheet, role, key: measure roles in order, each column claimed once, then state and district.
 
@@ -172,8 +177,7 @@ def bind_columns(catalogue: DataFrame) -> DataFrame:
     measures = catalogue.where("effective_role = 'measure'").groupBy(*SHEET).agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "key"))), lambda x: x["key"]).alias("keys"))
     bound = measures.withColumn("claimed", F.array().cast("array<string>"))
     for role, pattern in ROLE_PATTERNS:
-        free = lambda k, p=pattern: F.regexp_like(k, F.lit(p)) & ~F.array_contains("claimed", k)
-        bound = bound.withColumn(role, F.get(F.filter("keys", free), F.lit(0)))
+        bound = bound.withColumn(role, F.get(F.filter("keys", _free(pattern)), F.lit(0)))
         bound = bound.withColumn("claimed", F.when(F.col(f"`{role}`").isNotNull(), F.array_append("claimed", F.col(f"`{role}`"))).otherwise(F.col("claimed")))
     roles = bound.select(*SHEET, F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"`{r}`").alias("key")) for r, _ in ROLE_PATTERNS))).alias("x")).select(*SHEET, "x.role", "x.key").where("key is not null")
     others = catalogue.where("effective_role <> 'measure'")

@@ -18,7 +18,7 @@ def in_bounds(lat: Column, lng: Column, bounds: tuple = BOUNDS) -> Column:
 
 
 def swap_positions(vertices: DataFrame) -> DataFrame:
-    return vertices.withColumnsRenamed({"lng": "lat", "lat": "lng"})
+    return vertices.withColumns({"lng": F.col("lat"), "lat": F.col("lng")})
 
 
 def filter_raw_boundaries(features: DataFrame, vintage: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from landloom.functions import text, values
 from landloom.operators import attachments, catalogue, classes, drift, facets, geometry, places, quality, rollup, sites
 from landloom.operators import measures as measure_ops
-from landloom.plans import extract, testbed as tb
+from landloom.plans import extract, ingest
+from landloom.plans import testbed as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,16 +141,12 @@ def header_row(spark, sf):
 
 @query(BOOKS + " SELECT DISTINCT book, t.* FROM b, (VALUES ('data', 0, 'state', 'dimension', 'state'), ('data', 1, 'district', 'measure', NULL), ('data', 2, 'area', 'measure', NULL)) t(sheet, col_idx, key, role, bound_as)")
 def column_catalogue(spark, sf):
-    """From cells to keys, profile, roles and bindings of every data sheet."""
-    cells = _cells(spark, sf).where("sheet = 'data'")
-    heads = catalogue.detect_header(cells)
-    keys = catalogue.assign_keys(cells, heads)
-    body = cells.join(heads.select("book", "sheet", "header_row"), ["book", "sheet"]).where("row_idx > header_row")
-    rows = body.groupBy("book", "sheet").agg(F.count_distinct("row_idx").alias("n_rows"))
-    prof = catalogue.profile_columns(body, rows, ["book", "sheet"]).join(keys.select("book", "sheet", "col_idx", "key"), ["book", "sheet", "col_idx"])
-    cat = catalogue.describe_columns(keys, catalogue.infer_role(prof))
-    bound = catalogue.bind_columns(cat).withColumnRenamed("role", "bound_as")
-    return cat.join(bound, ["book", "sheet", "key"], "left").select("book", "sheet", "col_idx", "key", "role", "bound_as")
+    """From cells to keys, profile, roles and bindings of every book's chosen sheet."""
+    cells = _cells(spark, sf)
+    ordinals = cells.select("book", "sheet").distinct().withColumn("ordinal", (F.col("sheet") == "data").cast("int"))
+    done = ingest.ingest(cells, ordinals)
+    bound = done.bindings.withColumnRenamed("role", "bound_as")
+    return done.catalogue.join(bound, ["book", "sheet", "key"], "left").select("book", "sheet", "col_idx", "key", "role", "bound_as")
 
 
 def _checks():
