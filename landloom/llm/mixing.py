@@ -15,13 +15,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landloom.llm.staging import sized_broadcast, stage
 
 DIMS = ("source", "lang", "topic")
-#: Cells that are broadcast to the documents at most; more go by a shuffle join.
+#: Cells that are collected or broadcast to the documents at most; more go by joins.
 BROADCAST_CELLS = 100_000
 _KINDS = 64
 
@@ -50,8 +52,13 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.crossJoin(F.broadcast(sums.agg(F.sum("p").alias("all")))).select("value", (F.col("p") / F.greatest("all", F.lit(1e-300))).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 60, error: float = 1e-6) -> DataFrame:
-    """``cells`` with ``weight``: token weights that sum to all tokens and fit every target's shares."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 60, error: float = 1e-6, collected: int = BROADCAST_CELLS) -> DataFrame:
+    """``cells`` with ``weight``: token weights that sum to all tokens and fit every target's shares.
+
+    Up to ``collected`` cells (and target values) are fitted in arrays on the driver, more by joins: the same sweeps.
+    """
+    if max(df.limit(collected + 1).count() for df in (cells, *targets.values())) <= collected:
+        return _rake_arrays(cells, targets, sweeps, error)
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0.0)).alias("t")).first()["t"]
     targets = {d: stage(t, f"target_{d}") for d, t in targets.items()}
     fitted = stage(cells.withColumn("weight", F.col("tokens")), "fitted")
@@ -72,6 +79,28 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 60, erro
     return fitted
 
 
+def _rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, error: float) -> DataFrame:
+    table = cells.toArrow()
+    weight = table.column("tokens").to_numpy().astype(float)
+    total, dims = weight.sum(), []
+    for dim, target in targets.items():
+        wanted, known = {r.value: r.share for r in target.collect()}, {}
+        codes = np.array([known.setdefault(v, len(known)) for v in table.column(dim).to_pylist()], np.int64)
+        dims.append((codes, np.array([wanted.get(v) or 0.0 for v in known])))
+    for _ in range(sweeps if len(weight) else 0):
+        worst = 0.0
+        for codes, share in dims:
+            now = np.bincount(codes, weight, len(share))
+            goal = np.where(now > 0, share, 0.0)
+            by = np.divide(goal * total / max(goal.sum(), 1e-300), now, out=np.zeros(len(share)), where=(now > 0) & (goal > 0))
+            weight = weight * by[codes]
+            worst = max(worst, np.abs(np.log(by[by > 0])).max(initial=0))
+        if worst <= error:
+            break
+    fitted = table.append_column("weight", pa.array(weight))
+    return cells.sparkSession.createDataFrame(fitted, schema=cells.schema.add("weight", "double")) if len(weight) else cells.withColumn("weight", F.col("tokens"))
+
+
 def probabilities(fitted: DataFrame, rate: float) -> DataFrame:
     """``fitted`` with ``multiplier`` and ``prob``; the expected tokens are ``rate`` of all, as far as probabilities of at most 1 allow."""
     cells = stage(fitted.withColumn("multiplier", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))), "multipliers")

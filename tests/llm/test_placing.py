@@ -60,10 +60,11 @@ def test_rake_against_brute_force_and_marginals(spark):
     df = spark.createDataFrame([(*k, v, 1) for k, v in cells.items()], "source string, lang string, topic string, tokens double, docs long")
     shares = [{"a": 0.5, "b": 0.3, None: 0.2}, {"en": 0.6, "de": 0.4}, {"x": 0.2, "y": 0.3, "z": 0.4, "absent": 0.1}]
     targets = {d: spark.createDataFrame(list(s.items()), "value string, share double") for d, s in zip(mixing.DIMS, shares, strict=True)}
+    joined = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(df, targets, collected=0).collect()}
     fitted = mixing.rake(df, targets)
     got = {(r.source, r.lang, r.topic): r.weight for r in fitted.collect()}
     want = brute_rake(cells, shares)
-    assert got == pytest.approx(want, rel=1e-4)
+    assert got == pytest.approx(want, rel=1e-4) and joined == pytest.approx(want, rel=1e-4)
     assert sum(v for k, v in got.items() if k[0] == "a") == pytest.approx(0.5 * sum(cells.values()), rel=1e-5)
     prob = mixing.probabilities(fitted, 0.4).collect()
     assert sum(r.tokens * r.prob for r in prob) == pytest.approx(0.4 * sum(cells.values()), rel=1e-4)
