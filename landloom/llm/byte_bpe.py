@@ -27,6 +27,8 @@ from landloom.llm.arrow import batch_of, slices, utf8
 from landloom.llm.staging import stage, texts
 
 CHUNK, OVERLAP = 32_768, 2_048
+#: Text, or ids, that a task holds as Python objects at once.
+SLICE = 2 << 20
 
 
 @lru_cache(2)
@@ -81,7 +83,7 @@ def segments(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
     schema = pa.schema([("doc", pa.string()), ("k", pa.int32()), ("cut", pa.int64())])
 
     def cuts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             found = [resync(t, chunk, pattern) if len(t) > chunk else -1 for t in b.column("text").to_pylist()]
             yield batch_of(schema, b.column("doc"), b.column("k"), [k * chunk + x if x > 0 else -1 for k, x in zip(b.column("k").to_pylist(), found, strict=True)])
 
@@ -94,7 +96,7 @@ def segments(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
 def _encoder(path: str, pattern: str, keys: list[str]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             ids = [np.array(enc.encode_ordinary(t or ""), "<u4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(ids, pa.binary())], names=[*keys, "ids"])
 
@@ -122,9 +124,9 @@ def digest(coded: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = list(map(str, range(len(vocabulary(path, pattern)))))
-        for b in slices(batches, "ids"):
+        for b in slices(batches, "ids", SLICE):
             ids = utf8(b, "ids")
-            joined = [",".join(map(words.__getitem__, np.frombuffer(x, "<u4").tolist())).encode() for x in ids]
-            yield batch_of(schema, b.column("doc_id"), [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in joined], [hashlib.sha256(decode(x, path, pattern)).hexdigest() for x in ids], *([ids] * with_ids))
+            joined = [hashlib.sha256(",".join(map(words.__getitem__, np.frombuffer(x, "<u4").tolist())).encode()).hexdigest() for x in ids]
+            yield batch_of(schema, b.column("doc_id"), [len(x) // 4 for x in ids], joined, [hashlib.sha256(decode(x, path, pattern)).hexdigest() for x in ids], *([ids] * with_ids))
 
     return coded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

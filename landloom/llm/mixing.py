@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landloom.llm.staging import sized_broadcast, stage
 
@@ -98,7 +99,7 @@ def _rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, e
         if worst <= error:
             break
     fitted = table.append_column("weight", pa.array(weight))
-    return cells.sparkSession.createDataFrame(fitted, schema=cells.schema.add("weight", "double")) if len(weight) else cells.withColumn("weight", F.col("tokens"))
+    return cells.sparkSession.createDataFrame(fitted, schema=T.StructType([*cells.schema.fields, T.StructField("weight", T.DoubleType())])) if len(weight) else cells.withColumn("weight", F.col("tokens"))
 
 
 def probabilities(fitted: DataFrame, rate: float) -> DataFrame:
