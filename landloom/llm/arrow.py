@@ -7,9 +7,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Rows and bytes of text that a task holds as Python objects at once; one text is never cut here.
-SLICE_ROWS, SLICE_BYTES = 2_000, 16 << 20
+SLICE_ROWS, SLICE_BYTES = 2_000, 8 << 20
+#: Rows of a batch between the JVM and Python, where the session has not set its own number.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch from Spark's default: whole texts are long, and two batches are held at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -107,26 +107,39 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     """doc_id and ids (binary, little-endian unsigned 32-bit) of every row's whole text."""
     rows = texts(docs)
     short = rows.where(F.char_length("text") <= chunk).mapInArrow(_encoder(path, pattern, ["doc_id"]), "doc_id long, ids binary")
+    return short.unionByName(_encode_long(rows, path, pattern, chunk, overlap))
+
+
+def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """Texts over a chunk, by independent segments that any executor encodes."""
     long = rows.where(F.char_length("text") > chunk).withColumn("doc", F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.col("text").cast("binary"), 256)))
     long = stage(long.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "long")
     coded = segments(long.select("doc", "text"), pattern, chunk, overlap).repartition("doc", "seg").mapInArrow(_encoder(path, pattern, ["doc", "seg"]), "doc string, seg int, ids binary")
     whole = coded.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("seg", "ids"))).alias("parts"))
     whole = whole.select("doc", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
-    back = long.select("doc", "doc_id", "copies").join(whole, "doc").select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("doc_id", "ids")
-    return short.unionByName(back)
+    return long.select("doc", "doc_id", "copies").join(whole, "doc").select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("doc_id", "ids")
 
 
-def digest(coded: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (bytes of the decoded ids), perhaps ids."""
+def _digester(path: str, pattern: str, with_ids: bool, encode_text: bool) -> Callable:
+    """Over rows of doc_id and text (to be encoded first) or ids."""
     import hashlib
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.binary())] * with_ids)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path, pattern)
         words = list(map(str, range(len(vocabulary(path, pattern)))))
-        for b in slices(batches, "ids", SLICE):
-            ids = utf8(b, "ids")
+        for b in slices(batches, "text" if encode_text else "ids", SLICE):
+            ids = [np.array(enc.encode_ordinary(t or ""), "<u4").tobytes() for t in b.column("text").to_pylist()] if encode_text else utf8(b, "ids")
             joined = [hashlib.sha256(",".join(map(words.__getitem__, np.frombuffer(x, "<u4").tolist())).encode()).hexdigest() for x in ids]
             yield batch_of(schema, b.column("doc_id"), [len(x) // 4 for x in ids], joined, [hashlib.sha256(decode(x, path, pattern)).hexdigest() for x in ids], *([ids] * with_ids))
 
-    return coded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    return run
+
+
+def encode_digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (bytes of the decoded ids), perhaps ids, of every row's whole text."""
+    columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    rows = texts(docs)
+    short = rows.where(F.char_length("text") <= chunk).mapInArrow(_digester(path, pattern, with_ids, True), columns)
+    return short.unionByName(_encode_long(rows, path, pattern, chunk, overlap).mapInArrow(_digester(path, pattern, with_ids, False), columns))

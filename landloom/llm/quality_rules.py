@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landloom.llm import doc_stats, gbt
-from landloom.llm.arrow import slices, utf8
+from landloom.llm.arrow import slices, small_batches, utf8
 from landloom.llm.staging import crc_bucket, stage
 
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -43,6 +43,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, depth
             good = [c[0] >= LEAST_WORDS and 100 * c[4] <= MOST_REPEATED * c[0] for c, _ in found]
             yield b.filter(pa.array(np.array(good, bool) & (score >= threshold)))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landloom.llm.arrow import small_batches
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a new temporary one only on a local master without the setting."""
@@ -35,6 +37,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` (null counts as empty) alone: other columns can't clash with computed ones."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

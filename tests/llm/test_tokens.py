@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -20,6 +21,10 @@ def test_byte_bpe_is_that_of_whole_texts(spark, odd_documents):
         got = sorted((r.doc_id, bytes(r.ids)) for r in byte_bpe.encode(odd_documents, BYTE, public_tokenizers.PATTERN, chunk, overlap).collect())
         want = sorted((r.doc_id, np.array(whole.encode_ordinary(r.text or ""), "<u4").tobytes()) for r in odd_documents.collect())
         assert got == want
+        digests = sorted(tuple(r)[:4] for r in byte_bpe.encode_digests(odd_documents, BYTE, public_tokenizers.PATTERN, True, chunk, overlap).collect())
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        ids = [(r.doc_id, whole.encode_ordinary(r.text or ""), r.text or "") for r in odd_documents.collect()]
+        assert digests == sorted((d, len(x), sha(",".join(map(str, x)).encode()), sha(t.encode())) for d, x, t in ids)
         for r in odd_documents.where("doc_id = 8").collect():
             assert byte_bpe.decode(dict(got)[8], BYTE, public_tokenizers.PATTERN) == r.text.encode()
 
