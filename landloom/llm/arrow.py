@@ -34,6 +34,19 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(at, step)
 
 
+def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about a slice each, however small they come."""
+    held, rows, size = [], 0, 0
+    for b in batches:
+        held.append(b)
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows >= SLICE_ROWS or size >= SLICE_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """A text column as UTF-8 bytes; null counts as empty."""
     values = batch.column(batch.schema.get_field_index(column))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landloom.llm.arrow import batch_of, slices, split_words
+from landloom.llm.arrow import batch_of, gathered, slices, split_words
 from landloom.llm.staging import shared_dir, texts
 
 #: Bits between two entries of a rank directory.
@@ -174,7 +174,7 @@ def write(docs: DataFrame, path: str, end_id: int, to: str, doc_bytes: int = 32
             return batch_of(_ARROW, [part], [seg], [held], [ids], [ends], [levels], [bitmaps], [ranks])
 
         held_ids: list[np.ndarray] = []
-        for b in slices(batches):
+        for b in slices(gathered(batches)):
             for p, doc, coded in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), codes.encode(b), strict=True):
                 if ids and (p != part or held >= SEGMENT_IDS):
                     yield close()
