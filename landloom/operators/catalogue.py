@@ -116,8 +116,10 @@ def profile_columns(long: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     five distinct values in row order. Values are grouped first, so nothing unbounded is collected.
     """
     col = [*keys, "col_idx"]
-    typed = long.where(clean_cell("value").isNotNull()).select(*col, "row_idx", clean_cell("value").alias("value")).withColumn("type", cell_type("value")).withColumn("dkey", distinct_key("value")).withColumn("num", parse_measure("value"))
-    values = typed.groupBy(*col, "dkey").agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row"), F.min("value").alias("value"), F.min("type").alias("type"), F.min("num").alias("num"))
+    # types are read once a distinct text and not once a cell
+    texts = long.groupBy(*col, clean_cell("value").alias("value")).agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row")).where("value is not null")
+    typed = texts.withColumn("type", cell_type("value")).withColumn("dkey", distinct_key("value")).withColumn("num", parse_measure("value"))
+    values = typed.groupBy(*col, "dkey").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"), F.min("value").alias("value"), F.min("type").alias("type"), F.min("num").alias("num"))
     whole = (F.col("type") == "number") & (F.col("num") == F.floor("num")) & (F.col("num") >= 0)
     stats = values.groupBy(*col).agg(
         F.sum("n").alias("populated"), F.count("*").alias("distinct_count"), F.sum(F.when(F.col("num").isNotNull(), F.col("n")).otherwise(0)).alias("numeric"),

@@ -14,10 +14,12 @@ TIERS = {1: "filename", 2: "filename-contains", 3: "sheet-column"}
 
 def site_index(records: DataFrame) -> DataFrame:
     """site_key, label (of the first record), record_ids, source_rows, records; records without a site are left out."""
-    keyed = records.withColumn("site_key", site_key("state", "district", "site")).where("site_key is not null")
+    # names as they stand are grouped first, so that keys are made once a name and not once a record
+    raw = records.groupBy("state", "district", "site").agg(F.min("source_row_number").alias("first"), F.collect_list("record_id").alias("ids"), F.collect_list("source_row_number").alias("rows"), F.count("*").alias("n"))
+    keyed = raw.withColumn("site_key", site_key("state", "district", "site")).where("site_key is not null")
     return keyed.groupBy("site_key").agg(
-        F.min_by(site_label("site", "source_row_number"), "source_row_number").alias("label"), F.array_sort(F.collect_list("record_id")).alias("record_ids"),
-        F.array_sort(F.collect_list("source_row_number")).alias("source_rows"), F.count("*").alias("records"),
+        F.min_by(site_label("site", "first"), "first").alias("label"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("record_ids"),
+        F.array_sort(F.flatten(F.collect_list("rows"))).alias("source_rows"), F.sum("n").alias("records"),
     )
 
 
