@@ -26,12 +26,25 @@ def filter_raw_boundaries(features: DataFrame, vintage: str) -> DataFrame:
     return features.where(F.trim("district") != "").withColumn("district", F.trim("district")).withColumn("state", F.trim("state")).withColumn("vintage", F.lit(vintage))
 
 
-def dissolve_parts(features: DataFrame) -> DataFrame:
-    """Districts as one feature a (state, district), then states as one a state: parts are gathered, shared borders kept. features: ..., polygons."""
-    merged = features.groupBy("state", "district").agg(F.flatten(F.collect_list("polygons")).alias("polygons"), F.min("vintage").alias("vintage"))
-    districts = merged.select(F.lit("district").alias("level"), "state", F.col("district").alias("name"), "polygons", "vintage")
-    states = merged.groupBy("state").agg(F.flatten(F.collect_list("polygons")).alias("polygons"), F.min("vintage").alias("vintage"))
-    return districts.unionByName(states.select(F.lit("state").alias("level"), F.lit(None).cast("string").alias("state"), F.col("state").alias("name"), "polygons", "vintage"))
+def dissolve_parts(features: DataFrame, with_polygons: bool = False) -> DataFrame:
+    """Districts as one feature a (state, district), then states as one a state: level, state, name, parts, vintage. features: ..., polygons.
+
+    Shared borders are kept. ``with_polygons`` adds polygons, an array of a whole region; ``dissolved_polygons`` has them as rows.
+    """
+    gathered = [F.flatten(F.collect_list("polygons")).alias("polygons")] * with_polygons
+    kept = ["parts", "vintage", *["polygons"] * with_polygons]
+    sized = features.withColumn("parts", F.greatest(F.coalesce(F.size("polygons"), F.lit(0)), F.lit(0)))
+    merged = sized.groupBy("state", "district").agg(F.sum("parts").alias("parts"), F.min("vintage").alias("vintage"), *gathered)
+    districts = merged.select(F.lit("district").alias("level"), "state", F.col("district").alias("name"), *kept)
+    states = merged.groupBy("state").agg(F.sum("parts").alias("parts"), F.min("vintage").alias("vintage"), *gathered)
+    return districts.unionByName(states.select(F.lit("state").alias("level"), F.lit(None).cast("string").alias("state"), F.col("state").alias("name"), *kept))
+
+
+def dissolved_polygons(features: DataFrame) -> DataFrame:
+    """level, state, name, polygon: every polygon of each district and again of each state."""
+    rows = features.select("state", "district", F.explode("polygons").alias("polygon"))
+    districts = rows.select(F.lit("district").alias("level"), "state", F.col("district").alias("name"), "polygon")
+    return districts.unionByName(rows.select(F.lit("state").alias("level"), F.lit(None).cast("string").alias("state"), F.col("state").alias("name"), "polygon"))
 
 
 def feature_bbox(vertices: DataFrame, keys: tuple[str, ...] = ("file", "feature")) -> DataFrame:

@@ -12,15 +12,22 @@ from landloom.functions.text import contains_phrase, filename_stem, match_key, s
 TIERS = {1: "filename", 2: "filename-contains", 3: "sheet-column"}
 
 
-def site_index(records: DataFrame) -> DataFrame:
-    """site_key, label (of the first record), record_ids, source_rows, records; records without a site are left out."""
+def site_index(records: DataFrame, with_members: bool = False) -> DataFrame:
+    """site_key, label (of the first record), first_row, records; records without a site are left out.
+
+    ``with_members`` adds record_ids and source_rows, arrays of a whole site; ``site_members`` has them as rows.
+    """
     # names as they stand are grouped first, so that keys are made once a name and not once a record
-    raw = records.groupBy("state", "district", "site").agg(F.min("source_row_number").alias("first"), F.collect_list("record_id").alias("ids"), F.collect_list("source_row_number").alias("rows"), F.count("*").alias("n"))
+    lists = {"record_ids": "record_id", "source_rows": "source_row_number"} if with_members else {}
+    raw = records.groupBy("state", "district", "site").agg(F.min("source_row_number").alias("first"), F.count("*").alias("n"), *(F.collect_list(c).alias(to) for to, c in lists.items()))
     keyed = raw.withColumn("site_key", site_key("state", "district", "site")).where("site_key is not null")
-    return keyed.groupBy("site_key").agg(
-        F.min_by(site_label("site", "first"), "first").alias("label"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("record_ids"),
-        F.array_sort(F.flatten(F.collect_list("rows"))).alias("source_rows"), F.sum("n").alias("records"),
-    )
+    gathered = [F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in lists]
+    return keyed.groupBy("site_key").agg(F.min_by(site_label("site", "first"), "first").alias("label"), F.min("first").alias("first_row"), F.sum("n").alias("records"), *gathered)
+
+
+def site_members(records: DataFrame) -> DataFrame:
+    """site_key, record_id, source_row_number of every record with a site."""
+    return records.select(site_key("state", "district", "site").alias("site_key"), "record_id", "source_row_number").where("site_key is not null")
 
 
 def unsited(records: DataFrame) -> DataFrame:

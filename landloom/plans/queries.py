@@ -345,7 +345,7 @@ SITES = f"""WITH {REC}, si AS (SELECT lower(state) || '|' || lower(district) ||
 
 @query(SITES + " SELECT site_key, label, records, first_row FROM si")
 def site_index(spark, sf):
-    return sites.site_index(tb.records(spark, sf)).select("site_key", "label", "records", F.array_min("source_rows").alias("first_row"))
+    return sites.site_index(tb.records(spark, sf)).select("site_key", "label", "records", "first_row")
 
 
 @query(SITES + " SELECT site_key, records FROM si WHERE records > 1")
@@ -462,7 +462,7 @@ def coordinate_quality(spark, sf):
 def dissolved(spark, sf):
     f = tb.table(spark, sf, "part").select(F.concat(F.lit(" "), "p_name").alias("district"), F.col("p_type").alias("state"), F.array(F.concat(F.lit("poly"), "p_partkey")).alias("polygons"))
     f = f.union(f.where("length(district) > 9").withColumn("district", F.lit(" ")))
-    return geometry.dissolve_parts(geometry.filter_raw_boundaries(f, "2024")).select("state", F.col("name").alias("district"), F.size("polygons").cast("long").alias("parts"))
+    return geometry.dissolve_parts(geometry.filter_raw_boundaries(f, "2024")).select("state", F.col("name").alias("district"), "parts")
 
 
 @query(f"WITH {PLACED}, f AS (SELECT * FROM placed WHERE business = 'MACHINERY') SELECT CAST(i - 1 AS INTEGER) AS ordinal, label, value FROM (SELECT unnest(range(1, 16)) AS i, unnest(['Source', 'business', 'state', 'area', 'Measure', 'Formula', 'Aggregation', 'Rows before filters', 'Rows in extract', 'Unmapped rows', 'Dropped rows', 'Violations', 'Fuzzy names', 'Unresolved names', 'Vintage']) AS label, unnest(['orders', 'MACHINERY', '(all)', '0 to 1000000', 'area', 'area', 'sum', (SELECT CAST(count(*) AS VARCHAR) FROM placed), (SELECT CAST(count(*) AS VARCHAR) FROM f), (SELECT CAST(count(*) AS VARCHAR) FROM f WHERE district_match IS NULL), '0', '0', '0', '0', '2024']) AS value)")

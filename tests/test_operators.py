@@ -199,6 +199,22 @@ def test_files_to_sites(spark):
     assert not sites.hint_column_report(rec, None).first().present
 
 
+def test_sites_and_regions_without_arrays(spark):
+    rec = spark.createDataFrame([("r3", 3, "Goa", "North", "Plot  1"), ("r2", 2, "Goa", "North", "plot 1"), ("r4", 4, "Goa", "North", None)], "record_id string, source_row_number int, state string, district string, site string")
+    index = sites.site_index(rec)
+    assert not [c for c, t in index.dtypes if t.startswith("array")]
+    assert [tuple(r) for r in index.collect()] == [("goa|north|plot 1", "plot 1", 2, 2)]
+    assert sorted(tuple(r) for r in sites.site_members(rec).collect()) == [("goa|north|plot 1", "r2", 2), ("goa|north|plot 1", "r3", 3)]
+    assert sites.site_index(rec, with_members=True).select("record_ids", "source_rows").first()[:] == (["r2", "r3"], [2, 3])
+    f = spark.createDataFrame([("Goa", "North", ["a", "b"], "2024"), ("Goa", "North", ["c"], "2023"), ("Goa", "South", ["d"], "2024"), ("Goa", "East", None, "2024")], "state string, district string, polygons array<string>, vintage string")
+    parts = geometry.dissolve_parts(f)
+    assert not [c for c, t in parts.dtypes if t.startswith("array")]
+    want = {("district", "Goa", "North"): ("2023", list("abc")), ("district", "Goa", "South"): ("2024", ["d"]), ("district", "Goa", "East"): ("2024", []), ("state", None, "Goa"): ("2023", list("abcd"))}
+    assert {(r.level, r.state, r.name): (r.parts, r.vintage) for r in parts.collect()} == {k: (len(p), v) for k, (v, p) in want.items()}
+    assert {(r.level, r.state, r.name): (r.vintage, sorted(r.polygons)) for r in geometry.dissolve_parts(f, with_polygons=True).collect()} == want
+    assert sorted((r.level, r.name, r.polygon) for r in geometry.dissolved_polygons(f).collect()) == sorted((k[0], k[2], x) for k, (_, p) in want.items() for x in p)
+
+
 def test_store(spark):
     st = spark.createDataFrame([("a", "f1", b"1", 1, 5), ("b", "f2", b"22", 2, 6)], "site_key string, filename string, content binary, size_bytes long, t long").select("*", F.timestamp_seconds("t").alias("uploaded_at"), F.col("t").alias("seq"), F.sha2("content", 256).alias("sha256"), F.lit("parsed").alias("parse_status")).drop("t")
     new = st.where("site_key = 'a'").withColumns({"filename": F.lit("f3"), "parse_status": F.lit(None).cast("string")})
