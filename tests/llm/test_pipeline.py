@@ -51,3 +51,19 @@ def test_stages_against_brute_force(spark, sf):
 def test_queries_are_registered():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "simhash_near_dedup", "mixing", "byte_bpe"]
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    """An id on two texts loses only the copy, and rows without an id lose theirs."""
+    rng = np.random.default_rng(5)
+    a, b, c, d, e = (" ".join(rng.choice([f"v{i}" for i in range(2000)], 200)) for _ in range(5))
+    rows = [(1, a), (1, b), (2, c), (3, c), (3, d), (None, e), (None, e), (None, a), (4, d + " "), (5, b), (5, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.collect()))
+    once = corpus_pipeline.exact(spark, docs, "")
+    assert key(once) == sorted([(1, a), (1, b), (2, c), (0, e), (4, d + " ")])
+    assert key(corpus_pipeline.exact(spark, docs.where("text = '" + e + "'"), "")) == [(0, e)]
+    kept = [(7, a), (7, b), (6, a + " more"), (None, c), (None, c + " more"), (8, d), (None, d + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in kept], docs.schema)
+    got = key(corpus_pipeline.near(spark, docs, ""))
+    assert len(got) == 4 and {(7, b), (6, a + " more"), (8, d)} <= set(got) and sum(i == 0 for i, _ in got) == 1
