@@ -33,9 +33,10 @@ BLOCKS = set("address article aside blockquote body button caption center dd det
 VOID = {"hr", "br", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"'/]+|\"[^\"]*\"|'[^']*'|/(?!>))*+/>"  # empty, with no end tag
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|canvas|xmp)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']+|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -118,7 +119,7 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()
                 if tag in ("li", "option", "dt", "dd", "td", "th", "tr") and stack and stack[-1][0] == tag:
                     stack.pop()
-                attrs = m["attrs"] or ""
+                attrs = m["attrs"] or m["attrs2"] or ""
                 if tag not in VOID:
                     stack.append((tag, frozenset(_kinds(attrs)), LABEL in attrs))
             in_link = 0 if tag not in ("p", "div", "h1", "h2", "h3", "h4") else in_link

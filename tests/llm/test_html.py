@@ -39,3 +39,12 @@ def test_extract(spark):
     assert len(got) == 6 and all(r.text == want for r in got if r.page_id == 1) and all(r.n_chars == len(r.text) for r in got)
     assert {r.text for r in got if r.page_id in (2, 3)} == {""}
     assert H.extract(pages.where("page_id < 0"), H.fit([])).count() == 0
+
+
+def test_empty_svg_and_long_attributes():
+    page = "<p>one</p><svg class='i' d=\"a/b>c\" /><math/><p>two</p><svg><p>drawn</p></svg><p>three</p>"
+    assert [b.text for b in H.blocks(page)] == ["one", "two", "three"]
+    long = f'<div data-x="{"y>" * 4000}" class="advert">buy</div><p>text</p>'
+    buy, text = H.blocks(long)
+    assert (buy.text, text.text) == ("buy", "text") and H.FEATURES["name:ad"] in buy.features
+    assert H.FEATURES["name:ad"] in H.blocks('<div class="advert" title="open>buy')[0].features
