@@ -14,50 +14,62 @@ AREA_EPSILON, RELATIVE_EPSILON = 0.005, 1e-9
 PER_ACRE = {"hectare": 0.40468564224, "square_metre": 4046.8564224, "square_foot": 43560.0, "square_yard": 4840.0, "guntha": 40.0, "cent": 100.0, "square_kilometre": 1 / 247.10538146716533}
 REGIONAL_UNITS = ("bigha", "katha", "biswa")
 
-_SHAPE = "^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"
+_PLAIN = "[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?"
+_SHAPE = f"^{_PLAIN}$"
+_DATE = "^\\d{4}-\\d{2}-\\d{2}([T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d+)?)?(Z|[+-]\\d{2}:?\\d{2})?)?$"
+#: Stands at the begin of a figure that was in brackets; taken out of the text before.
+_MARK = "\x01"
 
 
 def _words() -> str:
     return "|".join(w.replace(".", "\\.") for w in sorted(UNIT_WORDS, key=len, reverse=True))
 
 
+def _cleaned(s: Column | str, cleaned: bool) -> Column:
+    return _c(s) if cleaned else clean_string(s)
+
+
 def shaped_number(s: Column) -> Column:
     """A double if the text has the plain shape of a finite number."""
-    n = F.when(F.regexp_like(s, F.lit(_SHAPE)), s.try_cast("double"))
+    n = F.regexp_extract(s, f"^({_PLAIN})$", 1).try_cast("double")
     return F.when(F.abs(n) < float("inf"), n)
 
 
-def parse_measure(s: Column | str) -> Column:
-    """A figure from text: brackets negate; currency, grouping commas, one per cent sign and one unit word an end are dropped."""
-    c = clean_string(s)
-    c = F.lower(F.when(~is_null_token(c), c))
-    negative = F.regexp_like(c, F.lit("^\\(.*\\)$"))
-    c = F.when(negative, F.trim(F.regexp_replace(c, "^\\((.*)\\)$", "$1"))).otherwise(c)
-    c = F.regexp_replace(F.regexp_replace(c, f"[{CURRENCIES}]", ""), "(?<=\\d),(?=\\d)", "")
-    c = F.when(c.endswith("%"), F.trim(F.regexp_replace(c, "%$", ""))).otherwise(c)
-    c = F.trim(F.regexp_replace(c, f"^({_words()})", ""))
-    c = F.trim(F.regexp_replace(c, f"({_words()})$", ""))
-    n = shaped_number(c)
-    return F.when(negative, -n).otherwise(n)
+def parse_measure(s: Column | str, cleaned: bool = False) -> Column:
+    """A figure from text: brackets negate; currency, grouping commas, one per cent sign and one unit word an end are dropped.
+
+    ``cleaned``: the text has been through ``clean_string``. Each step reads the one before it once, so the expression stays small.
+    """
+    c = _cleaned(s, cleaned)
+    c = F.translate(F.lower(F.when(~is_null_token(c), c)), _MARK, "?")
+    x = F.regexp_replace(c, "^\\( *(.*?) *\\)$", _MARK + "$1")
+    x = F.regexp_replace(F.regexp_replace(x, f"[{CURRENCIES}]", ""), "(?<=\\d),(?=\\d)", "")
+    x = F.regexp_replace(x, f"^({_MARK}?) *(.*?) *%$", "$1$2")
+    x = F.regexp_replace(x, f"^({_MARK}?)(?:{_words()})?", "$1")
+    x = F.regexp_replace(x, f"^({_MARK}?) *(.*?) *$", "$1$2")
+    x = F.regexp_replace(x, f" *(?:{_words()}) *$", "")
+    n = F.regexp_extract(x, f"^{_MARK}?({_PLAIN})$", 1).try_cast("double")
+    n = n * F.when(F.regexp_like(c, F.lit("^\\(.*\\)$")), -1.0).otherwise(1.0)
+    return F.when(F.abs(n) < float("inf"), n)
 
 
-def cell_type(s: Column | str) -> Column:
+def cell_type(s: Column | str, cleaned: bool = False) -> Column:
     """Type of a text cell: number, boolean, date (ISO) or string; null for none."""
-    c = clean_string(s)
+    c = _cleaned(s, cleaned)
     return (
         F.when(c.isNull(), F.lit(None).cast("string"))
         .when(F.regexp_like(c, F.lit(_SHAPE)), "number")
         .when(F.lower(c).isin("true", "false"), "boolean")
-        .when(F.regexp_like(c, F.lit("^\\d{4}-\\d{2}-\\d{2}([T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d+)?)?(Z|[+-]\\d{2}:?\\d{2})?)?$")), "date")
+        .when(F.regexp_like(c, F.lit(_DATE)), "date")
         .otherwise("string")
     )
 
 
-def distinct_key(s: Column | str) -> Column:
-    """A cell tagged by its type, so that the number 1 and the text 1 differ."""
-    c, t = clean_string(s), cell_type(s)
-    number = F.concat(F.lit("n:"), shaped_number(c).cast("string"))
-    return F.when(t == "number", number).when(t == "boolean", F.concat(F.lit("b:"), F.lower(c))).when(t == "date", F.concat(F.lit("d:"), c)).when(t.isNotNull(), F.concat(F.lit("s:"), c))
+def distinct_key(s: Column | str, cleaned: bool = False, kind: Column | str | None = None) -> Column:
+    """A cell tagged by its type (``kind``, if that is known), so that the number 1 and the text 1 differ."""
+    c = _cleaned(s, cleaned)
+    t = cell_type(c, cleaned=True) if kind is None else _c(kind)
+    return F.when(t == "number", F.concat(F.lit("n:"), shaped_number(c).cast("string"))).when(t == "boolean", F.concat(F.lit("b:"), F.lower(c))).when(t == "date", F.concat(F.lit("d:"), c)).when(t.isNotNull(), F.concat(F.lit("s:"), c))
 
 
 def area_equals(a: Column | str, b: Column | str) -> Column:

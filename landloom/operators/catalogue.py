@@ -5,6 +5,8 @@ All of it is keyed by book and sheet, so one job handles any number of books.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,9 +70,9 @@ def score_sheets(cells: DataFrame, ordinals: DataFrame, overrides: DataFrame | N
 
 def detect_header(cells: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """book, sheet, header_row, used_fallback: the first dense text row whose next row shows several types."""
-    text = clean_string("value")
-    width = cells.groupBy(*SHEET).agg((F.max("col_idx") + 1).alias("width"), F.min(F.when(text.isNotNull(), F.col("row_idx"))).alias("first_row"))
-    rows = cells.where(F.col("row_idx") <= HEADER_ROWS).groupBy(*SHEET, "row_idx").agg(F.count_if(cell_type("value") == "string").alias("strings"), F.count_distinct(cell_type("value")).alias("types"))
+    width = cells.groupBy(*SHEET).agg((F.max("col_idx") + 1).alias("width"), F.min(F.when(clean_string("value").isNotNull(), F.col("row_idx"))).alias("first_row"))
+    typed = cells.where(F.col("row_idx") <= HEADER_ROWS).select(*SHEET, "row_idx", clean_string("value").alias("value")).select(*SHEET, "row_idx", cell_type("value", cleaned=True).alias("type"))
+    rows = typed.groupBy(*SHEET, "row_idx").agg(F.count_if(F.col("type") == "string").alias("strings"), F.count_distinct("type").alias("types"))
     after = W.partitionBy(*SHEET).orderBy("row_idx")
     rows = rows.withColumn("next_row", F.lead("row_idx").over(after)).withColumn("next_types", F.lead("types").over(after)).join(width, SHEET)
     good = (F.col("row_idx") < HEADER_ROWS) & (F.col("strings") / F.col("width") > HEADER_DENSITY) & (F.col("next_row") == F.col("row_idx") + 1) & (F.col("next_types") >= HEADER_TYPES)
@@ -118,7 +120,7 @@ def profile_columns(long: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     col = [*keys, "col_idx"]
     # types are read once a distinct text and not once a cell
     texts = long.groupBy(*col, clean_cell("value").alias("value")).agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row")).where("value is not null")
-    typed = texts.withColumn("type", cell_type("value")).withColumn("dkey", distinct_key("value")).withColumn("num", parse_measure("value"))
+    typed = texts.withColumn("type", cell_type("value", cleaned=True)).withColumn("num", parse_measure("value", cleaned=True)).withColumn("dkey", distinct_key("value", cleaned=True, kind="type"))
     values = typed.groupBy(*col, "dkey").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"), F.min("value").alias("value"), F.min("type").alias("type"), F.min("num").alias("num"))
     whole = (F.col("type") == "number") & (F.col("num") == F.floor("num")) & (F.col("num") >= 0)
     stats = values.groupBy(*col).agg(
@@ -201,40 +203,56 @@ def coordinate_columns(catalogue: DataFrame) -> DataFrame:
     return catalogue.withColumn("kind", kind).where("kind is not null").select(*SHEET, "key", "label", "kind", F.coalesce("populated", F.lit(0)).alias("populated"))
 
 
-def ingest_stats(records: DataFrame, dropped: DataFrame, catalogue: DataFrame) -> DataFrame:
+def debris_columns(cells: DataFrame, keys: DataFrame) -> DataFrame:
+    """book, sheet, col_idx of the columns that have neither a header nor data and were left out."""
+    return cells.select(*SHEET, "col_idx").distinct().join(keys.select(*SHEET).distinct(), SHEET, "left_semi").join(keys.select(*SHEET, "col_idx"), [*SHEET, "col_idx"], "left_anti")
+
+
+def ingest_stats(records: DataFrame, dropped: DataFrame, catalogue: DataFrame, violated: DataFrame | None = None) -> DataFrame:
+    """Rows, kept, dropped, with violations (violated: book, sheet, record_id, ...), and columns by role, of each sheet."""
     kept = records.groupBy(*SHEET).agg(F.count_distinct("record_id").alias("kept"))
     lost = dropped.groupBy(*SHEET).agg(F.count("*").alias("dropped"))
-    cols = catalogue.groupBy(*SHEET).agg(*(F.count_if(F.col("effective_role") == r).alias(f"{r}s") for r in ("dimension", "measure", "meta")), F.count_if("is_empty").alias("empty_columns"), F.count_if("from_name_only").alias("from_name_only"))
-    out = cols.join(kept, SHEET, "left").join(lost, SHEET, "left").fillna(0, ["kept", "dropped"])
-    return out.withColumn("rows", F.col("kept") + F.col("dropped"))
-
-
-def ingest_warnings(sheets: DataFrame, headers: DataFrame, catalogue: DataFrame, bindings: DataFrame, dropped: DataFrame) -> DataFrame:
-    """book, sheet, code, n, columns: one row a warning that applies."""
-    def coded(df: DataFrame, code: str, n: Column, columns: Column | None = None) -> DataFrame:
-        return df.groupBy(*SHEET).agg(n.cast("long").alias("n"), (F.array_sort(F.collect_list(columns)) if columns is not None else F.array().cast("array<string>")).alias("columns")).where("n > 0").select(*SHEET, F.lit(code).alias("code"), "n", "columns")
-
-    several = sheets.where("populated > 0").groupBy("book").agg((F.count("*") - 1).alias("others")).where("others > 0")
-    several = sheets.where("chosen").join(several, "book").select(*SHEET, F.lit("several-sheets").alias("code"), F.col("others").alias("n"), F.array().cast("array<string>").alias("columns"))
-    chosen = catalogue.select(*SHEET).distinct()
-    missing = lambda role: chosen.join(bindings.where(F.col("role") == role).select(*SHEET), SHEET, "left_anti")
-    no_measure = chosen.join(catalogue.where("effective_role = 'measure'").select(*SHEET).distinct(), SHEET, "left_anti")
-    parts = [
-        several,
-        coded(headers.where("used_fallback"), "header-fallback", F.count("*")),
-        coded(catalogue.where("occurrence > 1"), "duplicate-headers", F.count("*"), F.col("key")),
-        coded(catalogue.where("name is null or trim(name) = ''"), "unnamed-columns", F.count("*"), F.col("key")),
-        coded(catalogue.where("is_empty"), "empty-columns", F.count("*"), F.col("key")),
-        coded(catalogue.where("from_name_only"), "roles-from-names", F.count("*"), F.col("key")),
-        coded(dropped, "rows-dropped", F.count("*")),
-        coded(missing("state"), "no-state-column", F.count("*")),
-        coded(missing("district"), "no-district-column", F.count("*")),
-        coded(no_measure, "no-measure", F.count("*")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cols = catalogue.groupBy(*SHEET).agg(F.count("*").alias("columns"), *(F.count_if(F.col("effective_role") == r).alias(f"{r}s") for r in ("dimension", "measure", "meta")), F.count_if("is_empty").alias("empty_columns"), F.count_if("from_name_only").alias("from_name_only"))
+    out = cols.join(kept, SHEET, "left").join(lost, SHEET, "left")
+    if violated is not None:
+        out = out.join(violated.groupBy(*SHEET).agg(F.count_distinct("record_id").alias("rows_with_violations")), SHEET, "left")
+    else:
+        out = out.withColumn("rows_with_violations", F.lit(0).cast("long"))
+    return out.fillna(0, ["kept", "dropped", "rows_with_violations"]).withColumn("rows", F.col("kept") + F.col("dropped"))
+
+
+def ingest_warnings(sheets: DataFrame, headers: DataFrame, catalogue: DataFrame, bindings: DataFrame, dropped: DataFrame, debris: DataFrame | None = None, violated: DataFrame | None = None, unbound: DataFrame | None = None) -> DataFrame:
+    """book, sheet, code, n, columns: one row a warning that applies.
+
+    Column warnings come from one pass over the catalogue. debris: book, sheet, col_idx. violated: book, sheet, record_id,
+    invariant. unbound: book, sheet, invariant.
+    """
+    keys = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("key"))))
+    none = F.array().cast("array<string>")
+    unnamed = F.coalesce(F.trim("name"), F.lit("")) == ""
+    by_column = {"duplicate-headers": F.col("occurrence") > 1, "unnamed-columns": unnamed, "empty-columns": F.col("is_empty"), "roles-from-names": F.col("from_name_only")}
+    places = bindings.where("role in ('state', 'district')").groupBy(*SHEET).agg(F.collect_set("role").alias("placed"))
+    cols = catalogue.groupBy(*SHEET).agg(*(keys(test).alias(code) for code, test in by_column.items()), F.count_if(F.col("effective_role") == "measure").alias("measures")).join(places, SHEET, "left")
+    lacks = lambda test: F.when(test, F.lit(1).cast("long"))
+    placed = F.coalesce("placed", none)
+    parts = [(code, F.nullif(F.size(F.col(f"`{code}`")).cast("long"), F.lit(0)), F.col(f"`{code}`")) for code in by_column]
+    parts += [(f"no-{r}-column", lacks(~F.array_contains(placed, r)), none) for r in ("state", "district")] + [("no-measure", lacks(F.col("measures") == 0), none)]
+    out = cols.select(*SHEET, F.explode(F.array(*(F.struct(F.lit(code).alias("code"), n.alias("n"), c.alias("columns")) for code, n, c in parts))).alias("x")).select(*SHEET, "x.*").where("n is not null")
+
+    def counted(df: DataFrame, code: str, n: Column) -> DataFrame:
+        return df.groupBy(*SHEET).agg(n.cast("long").alias("n")).where("n > 0").select(*SHEET, F.lit(code).alias("code"), "n", none.alias("columns"))
+
+    several = sheets.where("populated > 0").groupBy("book").agg((F.count("*") - 1).alias("n")).where("n > 0")
+    several = sheets.where("chosen").join(several, "book").select(*SHEET, F.lit("several-sheets").alias("code"), "n", none.alias("columns"))
+    more = [several, counted(headers.where("used_fallback"), "header-fallback", F.count("*")), counted(dropped, "rows-dropped", F.count("*"))]
+    if debris is not None:
+        more.append(counted(debris, "discarded-empty-columns", F.count("*")))
+    if violated is not None:
+        more.append(counted(violated, "invariant-violations", F.count_distinct("record_id")))
+    if unbound is not None:
+        own = unbound.groupBy(*SHEET).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("invariant")).alias("columns"))
+        more.append(own.select(*SHEET, F.lit("unbound-invariant").alias("code"), "n", "columns"))
+    return reduce(DataFrame.unionByName, more, out)
 
 
 def cautions(warnings: DataFrame) -> DataFrame:

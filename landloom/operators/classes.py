@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from landloom.functions.values import bin_index
 
-#: Distinct values of a group that natural breaks take at most: their cost grows with its square.
-MOST_VALUES = 5_000
 CLASS_COUNTS = (3, 4, 5)
 
 
@@ -25,28 +23,37 @@ def quantile_breaks(value: str, k: int) -> Column:
     return F.percentile(value, F.array(*(F.lit(i / k) for i in range(1, k))))
 
 
-def equal_breaks(lo: Column, hi: Column, k: int) -> Column:
-    return F.array(*(lo + (hi - lo) / k * i for i in range(1, k)))
+def equal_breaks(lo: Column, hi: Column, k: Column) -> Column:
+    """Interior breaks of k classes of one width."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), lambda i: lo + (hi - lo) / k * i)
 
 
 def jenks(values: np.ndarray, k: int) -> list[float]:
-    """First value of each later class of the partition of distinct sorted values with the least inner variance."""
+    """First value of each later class of the partition of distinct sorted values with the least inner variance.
+
+    The best last cut moves right as values are added, so each layer is solved by halves: n log n steps a class.
+    """
     v = np.unique(values.astype(float))
     n = len(v)
     if n <= k:
         return v[1:].tolist()
-    s, q = np.concatenate([[0], np.cumsum(v)]), np.concatenate([[0], np.cumsum(v * v)])
-    ends = np.arange(n + 1)
-    cost = q - s * s / np.maximum(ends, 1)  # of one class over the first i values
+    x = v - v.mean()
+    s, q = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
+    cost = q - s * s / np.maximum(np.arange(n + 1), 1)  # of one class over the first i values
     froms = np.zeros((k + 1, n + 1), int)
     for c in range(2, k + 1):
         new = np.full(n + 1, np.inf)
-        for i in range(c, n + 1):
-            j = np.arange(c - 1, i)
-            m = i - j
-            total = cost[j] + (q[i] - q[j]) - (s[i] - s[j]) ** 2 / m
+        open_ = [(c, n, c - 1, n - 1)]  # ends from and to, and where their last class may start
+        while open_:
+            lo, hi, left, right = open_.pop()
+            if lo > hi:
+                continue
+            i = (lo + hi) // 2
+            j = np.arange(left, min(right, i - 1) + 1)
+            total = cost[j] + (q[i] - q[j]) - (s[i] - s[j]) ** 2 / (i - j)
             best = int(total.argmin())
             new[i], froms[c, i] = total[best], j[best]
+            open_ += [(lo, i - 1, left, int(j[best])), (i + 1, hi, int(j[best]), right)]
         cost = new
     out, i = [], n
     for c in range(k, 1, -1):
@@ -56,12 +63,10 @@ def jenks(values: np.ndarray, k: int) -> list[float]:
 
 
 def jenks_breaks(values: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """keys..., breaks of each group's distinct values (column ``value``); groups run in parallel."""
+    """keys..., breaks of each group's distinct values (column ``value``); groups run in parallel, a group's region values in one task."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in values.schema if f.name in keys) + ", breaks array<double>"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_VALUES:
-            raise ValueError(f"natural breaks over {len(pdf)} distinct values; at most {MOST_VALUES}")
         return pd.DataFrame([[*key, jenks(pdf["value"].to_numpy(), k)]], columns=[*keys, "breaks"])
 
     return values.select(*keys, "value").where("value is not null").distinct().groupBy(*keys).applyInPandas(run, schema)
@@ -78,8 +83,7 @@ def class_scale(values: DataFrame, keys: list[str], method: str, k: int) -> Data
     elif method == "quantile":
         ends = ends.withColumn("b", F.element_at("q", F.greatest(F.least(F.lit(k), F.col("n")).cast("int") - 1, F.lit(1))))
     else:
-        kk = F.least(F.lit(k), F.col("n"))
-        ends = ends.withColumn("b", F.transform(F.sequence(F.lit(1), F.greatest(kk - 1, F.lit(1))), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) / kk * i))
+        ends = ends.withColumn("b", equal_breaks(F.col("lo"), F.col("hi"), F.least(F.lit(k), F.col("n"))))
     inner = F.array_sort(F.array_distinct(F.filter("b", lambda x: (x > F.col("lo")) & (x < F.col("hi")))))
     edges = F.concat(F.array("lo"), F.when(F.col("n") > 1, inner).otherwise(F.array().cast("array<double>")), F.array("hi"))
     return ends.select(*keys, edges.alias("edges"), "lo", "hi", F.when(F.size(edges) - 1 < k, F.lit(k)).alias("reduced_from"))

@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landloom.operators.places import small
+from landloom.sources.tables import written
+
 DIMENSIONS = ("business", "state", "district", "site")
 
 
@@ -33,42 +36,63 @@ def rows_matching(rows: DataFrame, selections: dict[str, list[str]], ranges: dic
     return rows.where(test & in_ranges(ranges or {}))
 
 
+def _range_sets(ranges: DataFrame, measures: list[str]) -> DataFrame:
+    """view_id and its ranges as one sorted array; views without ranges have no row."""
+    return ranges.where(F.col("measure").isin(*measures)).groupBy("view_id").agg(F.array_sort(F.collect_list(F.struct("measure", "lo", "hi"))).alias("range_set"))
+
+
+def _holds(measures: list[str]) -> Column:
+    """Whether a row's measures lie in every range of ``range_set``; null never does."""
+    value = lambda x: F.coalesce(*(F.when(x["measure"] == m, F.col(m)) for m in measures), F.lit(None))
+    return F.forall("range_set", lambda x: F.coalesce(value(x).between(x["lo"], x["hi"]), F.lit(False))) if measures else F.lit(True)
+
+
+_NO_RANGES = "array<struct<measure:string,lo:double,hi:double>>"
+
+
 def viewed(rows: DataFrame, views: DataFrame, ranges: DataFrame, measures: list[str]) -> DataFrame:
-    """Rows by view with ``ranged``: whether every range of the view holds. views: view_id; few, and written by people."""
-    limits = ranges.groupBy("view_id").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("lo", "hi")))).alias("limits"))
-    v = F.broadcast(views.select("view_id").distinct().join(limits, "view_id", "left"))
-    keep = F.lit(True)
-    for m in measures:
-        lim = F.try_element_at("limits", F.lit(m))
-        keep = keep & (lim.isNull() | F.coalesce(F.col(m).between(lim["lo"], lim["hi"]), F.lit(False)))
-    return rows.crossJoin(v).withColumn("ranged", keep).drop("limits")
+    """view_id, the four dimensions, rows and ranged_rows (those within the view's ranges): one row a view and combination of values.
+
+    The rows are read once and combined before the shuffle; they meet the distinct sets of ranges, not the views, and all that follows
+    reads this table, which is written and grows with the combinations alone.
+    """
+    own = views.select("view_id").distinct().join(_range_sets(ranges, measures), "view_id", "left").withColumn("range_set", F.coalesce("range_set", F.array().cast(_NO_RANGES)))
+    own = written(own, "views")
+    sets = own.select("range_set").distinct()
+    combined = rows.select(*DIMENSIONS, *measures).crossJoin(small(sets)).groupBy(*DIMENSIONS, "range_set").agg(F.count("*").alias("rows"), F.count_if(_holds(measures)).alias("ranged_rows"))
+    return written(combined.join(small(own), "range_set").select("view_id", *DIMENSIONS, "rows", "ranged_rows"), "combinations")
 
 
-def _flags(by_view: DataFrame, active: DataFrame) -> DataFrame:
+def _flags(by_view: DataFrame, active: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """Adds in_<dimension>: no active value in the view, or the row's value is active."""
-    sets = active.groupBy("view_id").pivot("dimension", list(DIMENSIONS)).agg(F.collect_set("value"))
-    out = by_view.join(F.broadcast(sets.withColumnsRenamed({d: f"_{d}" for d in DIMENSIONS})), "view_id", "left")
-    for d in DIMENSIONS:
-        chosen = F.col(f"_{d}")
-        out = out.withColumn(f"in_{d}", chosen.isNull() | (F.size(chosen) == 0) | F.coalesce(F.array_contains(chosen, F.col(d)), F.lit(False)))
+    held = active.groupBy("view_id").pivot("dimension", list(DIMENSIONS)).agg(F.count("value"))
+    out = by_view.join(small(held.withColumnsRenamed({d: f"_{d}" for d in DIMENSIONS})), "view_id", "left")
+    for d in dimensions:
+        own = active.where(F.col("dimension") == d).select("view_id", F.col("value").alias(d), F.lit(True).alias("_hit"))
+        out = out.join(small(own), ["view_id", d], "left").withColumn(f"in_{d}", F.col(f"_{d}").isNull() | F.coalesce("_hit", F.lit(False))).drop("_hit")
     return out.drop(*(f"_{d}" for d in DIMENSIONS))
 
 
+def _all(dimensions) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(f"in_{d}") for d in dimensions), F.lit(True))
+
+
 def _available(by_view: DataFrame, active: DataFrame, dimension: str) -> DataFrame:
     """view_id, value: distinct values under the active ones of all dimensions above and the ranges; the first ignores all."""
     above = DIMENSIONS[: DIMENSIONS.index(dimension)]
     rows = by_view.where(F.col(dimension).isNotNull())
     if above:
-        rows = _flags(rows, active).where(reduce(lambda a, b: a & b, (F.col(f"in_{d}") for d in above), F.col("ranged")))
+        rows = _flags(rows.where("ranged_rows > 0"), active, above).where(_all(above))
     return rows.select("view_id", F.col(dimension).alias("value")).distinct()
 
 
 def compute_active(by_view: DataFrame, selections: DataFrame) -> DataFrame:
-    """view_id, dimension, value: selected values that are available under the active ones above."""
+    """view_id, dimension, value: selected values that are available under the active ones above; written a level."""
     active = selections.where(F.lit(False)).select("view_id", "dimension", "value")
     for d in DIMENSIONS:
         own = selections.where(F.col("dimension") == d).select("view_id", "dimension", "value").distinct()
-        active = active.unionByName(own.join(_available(by_view, active, d), ["view_id", "value"], "left_semi").select("view_id", "dimension", "value"))
+        own = own.join(_available(by_view, active, d), ["view_id", "value"], "left_semi").select("view_id", "dimension", "value")
+        active = written(active.unionByName(own), "active")
     return active
 
 
@@ -77,10 +101,13 @@ def available_values(by_view: DataFrame, active: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def apply_filters(by_view: DataFrame, active: DataFrame) -> DataFrame:
-    """view_id and rows of the full result under active values and ranges."""
-    test = reduce(lambda a, b: a & b, (F.col(f"in_{d}") for d in DIMENSIONS), F.col("ranged"))
-    return _flags(by_view, active).where(test).drop("ranged", *(f"in_{d}" for d in DIMENSIONS))
+def apply_filters(rows: DataFrame, by_view: DataFrame, active: DataFrame, views: DataFrame, ranges: DataFrame, measures: list[str]) -> DataFrame:
+    """view_id and rows of the full result under active values and ranges: rows meet the combinations that pass, then their view's ranges."""
+    passing = _flags(by_view.where("ranged_rows > 0"), active).where(_all(DIMENSIONS)).select("view_id", *(F.col(d).alias(f"_{d}") for d in DIMENSIONS))
+    same = reduce(lambda a, b: a & b, (F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMENSIONS))
+    met = rows.join(small(passing), same).drop(*(f"_{d}" for d in DIMENSIONS))
+    met = met.join(small(_range_sets(ranges, measures)), "view_id", "left").withColumn("range_set", F.coalesce("range_set", F.array().cast(_NO_RANGES)))
+    return met.where(_holds(measures)).select("view_id", *rows.columns)
 
 
 def orphaned(selections: DataFrame, active: DataFrame) -> DataFrame:
@@ -88,20 +115,23 @@ def orphaned(selections: DataFrame, active: DataFrame) -> DataFrame:
 
 
 def facet_counts(by_view: DataFrame, active: DataFrame) -> DataFrame:
-    """view_id, dimension, value, n: rows under every other dimension's active values and the ranges; one pass over the rows."""
-    rows = _flags(by_view, active).where("ranged")
-    others = lambda d: reduce(lambda a, b: a & b, (F.col(f"in_{e}") for e in DIMENSIONS if e != d))
-    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), others(d).alias("ok")) for d in DIMENSIONS)))
-    return rows.select("view_id", each.alias("x")).where("x.value is not null").groupBy("view_id", F.col("x.dimension").alias("dimension"), F.col("x.value").alias("value")).agg(F.count_if("x.ok").alias("n"))
+    """view_id, dimension, value, n: rows under every other dimension's active values and the ranges."""
+    rows = _flags(by_view.where("ranged_rows > 0"), active)
+    others = lambda d: _all(e for e in DIMENSIONS if e != d)
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.when(others(d), F.col("ranged_rows")).otherwise(F.lit(0)).alias("n")) for d in DIMENSIONS)))
+    return rows.select("view_id", each.alias("x")).where("x.value is not null").groupBy("view_id", F.col("x.dimension").alias("dimension"), F.col("x.value").alias("value")).agg(F.sum("x.n").alias("n"))
 
 
 def facet_view(by_view: DataFrame, selections: DataFrame, active: DataFrame) -> DataFrame:
-    """Options with count, selected flag and state (available or orphaned); counts of zero are kept."""
+    """Options with count, selected flag and state (available or orphaned), and their dimension's active_count and available_count; counts of zero are kept."""
     key = ["view_id", "dimension", "value"]
     chosen = selections.select(*key).distinct().withColumn("selected", F.lit(True))
     options = available_values(by_view, active).withColumn("available", F.lit(True)).unionByName(orphaned(selections, active).withColumn("available", F.lit(False)))
-    out = options.join(facet_counts(by_view, active), key, "left").join(chosen, key, "left")
-    return out.select(*key, "available", F.when(F.col("available"), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n"), F.coalesce("selected", F.lit(False)).alias("selected"))
+    options = written(options, "options")
+    totals = options.groupBy("view_id", "dimension").agg(F.count_if("available").alias("available_count")).join(active.groupBy("view_id", "dimension").agg(F.count("*").alias("active_count")), ["view_id", "dimension"], "left")
+    out = options.join(facet_counts(by_view, active), key, "left").join(chosen, key, "left").join(small(totals), ["view_id", "dimension"], "left")
+    n = F.when(F.col("available"), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n")
+    return out.select(*key, "available", n, F.coalesce("selected", F.lit(False)).alias("selected"), F.coalesce("active_count", F.lit(0)).alias("active_count"), "available_count")
 
 
 def option_order(view: DataFrame) -> DataFrame:
@@ -110,22 +140,27 @@ def option_order(view: DataFrame) -> DataFrame:
 
 
 def restore_plan(by_view: DataFrame, selections: DataFrame, active: DataFrame) -> DataFrame:
-    """For each orphan and each dimension above that blocks it, the values to add; without any, the reason.
+    """For each orphan and each dimension above that blocks it, the values to add, from all data; without any, the reason.
 
-    view_id, dimension, value, blocked_by, add (sorted array), reason (range or no-records).
+    view_id, dimension, value, blocked_by, add (sorted array), reason (range: no row lies in the view's ranges; else no-records).
     """
-    orphans = orphaned(selections, active)
-    long = by_view.select("view_id", "ranged", *DIMENSIONS, F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS))).alias("x")).select("view_id", "ranged", *DIMENSIONS, "x.dimension", "x.value")
     key = ["view_id", "dimension", "value"]
-    own = orphans.join(long, key, "left")
-    seen = own.groupBy(*key).agg(F.count_if(F.col("ranged").isNotNull()).alias("rows"), F.count_if("ranged").alias("ranged_rows"), *(F.array_sort(F.collect_set(F.when(F.col("ranged"), F.col(d)))).alias(f"has_{d}") for d in DIMENSIONS))
-    sets = active.groupBy("view_id").pivot("dimension", list(DIMENSIONS)).agg(F.collect_set("value"))
-    seen = seen.join(F.broadcast(sets.withColumnsRenamed({d: f"act_{d}" for d in DIMENSIONS})), "view_id", "left")
-    rank = F.array_position(F.array(*map(F.lit, DIMENSIONS)), F.col("dimension"))
-    blocks = [F.when((rank > i + 1) & (F.size(f"act_{d}") > 0) & ~F.arrays_overlap(f"act_{d}", f"has_{d}"), F.struct(F.lit(d).alias("blocked_by"), F.col(f"has_{d}").alias("add"))) for i, d in enumerate(DIMENSIONS)]
-    seen = seen.withColumn("reason", F.when(F.col("rows") == 0, "no-records").when(F.col("ranged_rows") == 0, "range"))
-    out = seen.withColumn("b", F.explode_outer(F.when(F.col("reason").isNull(), F.array_compact(F.array(*blocks)))))
-    return out.select(*key, "b.blocked_by", "b.add", "reason")
+    orphans = written(orphaned(selections, active), "orphans")
+    rank = {d: i for i, d in enumerate(DIMENSIONS)}
+    above = lambda d: F.array(*(F.struct(F.lit(u).alias("blocked_by"), F.col(u).alias("add")) for u in DIMENSIONS[: rank[d]]))
+    none = F.array().cast("array<struct<blocked_by:string,add:string>>")
+    long = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), (above(d) if rank[d] else none).alias("above")) for d in DIMENSIONS)))
+    own = by_view.select("view_id", "ranged_rows", long.alias("x")).select("view_id", "ranged_rows", "x.*").join(small(orphans), key)
+    own = written(own, "supporting")
+    seen = own.groupBy(*key).agg(F.sum("ranged_rows").alias("ranged"))
+    values = own.select(*key, F.explode("above").alias("u")).select(*key, "u.*").where("add is not null").distinct()
+    hits = active.select("view_id", F.col("dimension").alias("blocked_by"), F.col("value").alias("add"), F.lit(True).alias("hit"))
+    limited = active.select("view_id", F.col("dimension").alias("blocked_by")).distinct()
+    judged = values.join(small(limited), ["view_id", "blocked_by"], "left_semi").join(small(hits), ["view_id", "blocked_by", "add"], "left")
+    blocks = judged.groupBy(*key, "blocked_by").agg(F.count("hit").alias("hits"), F.array_sort(F.collect_list("add")).alias("add")).where("hits = 0").drop("hits")
+    out = orphans.join(seen, key, "left").join(blocks, key, "left")
+    reason = F.when(F.col("blocked_by").isNotNull(), F.lit(None).cast("string")).when(F.col("ranged") == 0, "range").otherwise("no-records")
+    return out.select(*key, "blocked_by", "add", reason.alias("reason"))
 
 
 def widen(selections: DataFrame, plan: DataFrame) -> DataFrame:

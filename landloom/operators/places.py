@@ -11,10 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landloom.functions.text import is_place_name, place_key
+from landloom.sources.tables import written
 
 THRESHOLD, CANDIDATES = 0.88, 5
 #: Rows of a dimension that are broadcast at most; larger ones go by a shuffle join.
 BROADCAST_ROWS = 200_000
+#: Parts that records are dealt in where they meet more pairs of names than are broadcast.
+SALTS = 16
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -40,17 +43,20 @@ def _refused(stage: Column) -> Column:
 
 
 def _fuzzy(names: DataFrame, pool: DataFrame, on: list[str], threshold: float) -> DataFrame:
-    """For each (on..., key): the number of candidates at the threshold, the best name, the best five."""
-    condition = [F.col(f"n.{c}") == F.col(f"p.{c}") for c in on]
-    pairs = names.alias("n").join(pool.alias("p"), condition) if on else names.alias("n").crossJoin(pool.alias("p"))
-    scored = pairs.select(*(F.col(f"n.{c}") for c in on), F.col("n.key"), F.col("p.name"), similarity(F.col("n.key"), F.col("p.key")).alias("score"))
-    ranked = scored.withColumn("_r", F.row_number().over(W.partitionBy(*on, "key").orderBy(F.desc("score"), "name")))
-    return ranked.groupBy(*on, "key").agg(
-        F.count_if(F.col("score") >= threshold).alias("clear"),
-        F.max(F.when(F.col("_r") == 1, F.col("name"))).alias("best"),
-        F.max(F.when(F.col("_r") == 1, F.col("score"))).alias("best_score"),
-        F.array_sort(F.collect_list(F.when(F.col("_r") <= CANDIDATES, F.struct((-F.round("score", 3)).alias("minus"), "name")))).alias("top"),
-    ).withColumn("candidates", F.transform("top", lambda x: F.struct(x["name"].alias("name"), (-x["minus"]).alias("score")))).drop("top")
+    """For each (on..., key): the number of candidates at the threshold, the best name, the best five.
+
+    A block's names (a state's districts, or all states) come to a name as one array, which files of bounded size fill, and are scored and
+    ranked within the row: no pairs are written, shuffled or sorted.
+    """
+    pools = pool.groupBy(*on).agg(F.collect_list(F.struct("key", "name")).alias("pool"))
+    with_pool = names.join(small(pools), on) if on else names.crossJoin(F.broadcast(pools))  # one row
+    scored = F.transform("pool", lambda p: F.struct((-similarity(F.col("key"), p["key"])).alias("minus"), p["name"].alias("name")))
+    ranked = with_pool.select(*on, "key", F.array_sort(scored).alias("ranked")).where(F.size("ranked") > 0)
+    top = F.transform(F.slice("ranked", 1, CANDIDATES), lambda x: F.struct((-F.round(-x["minus"], 3)).alias("minus"), x["name"].alias("name")))
+    return ranked.select(
+        *on, "key", F.size(F.filter("ranked", lambda x: -x["minus"] >= threshold)).alias("clear"), F.col("ranked")[0]["name"].alias("best"), (-F.col("ranked")[0]["minus"]).alias("best_score"),
+        F.transform(F.array_sort(top), lambda x: F.struct(x["name"].alias("name"), (-x["minus"]).alias("score"))).alias("candidates"),
+    )
 
 
 def _detail(label: Column, reason: Column) -> Column:
@@ -82,11 +88,11 @@ OUT = ["stage", "match", "confidence", "reason", "detail", "candidates"]
 
 
 def resolve_states(names: DataFrame, dim: DataFrame, aliases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct names (column ``state``) with their resolution. aliases: from_key, to."""
+    """Distinct names (column ``state``) with their resolution. aliases: from_key, to, ordinal; of equal keys the last wins (without an ordinal the greatest target)."""
     states = small(dim.where("level = 'state'").select("key", "name"))
     keyed = names.select("state").distinct().withColumn("key", place_key("state")).withColumn("usable", is_place_name("state")).withColumn("parent_ok", F.lit(True))
     keyed = keyed.join(states.withColumnRenamed("name", "exact"), "key", "left")
-    to = aliases.groupBy(F.col("from_key").alias("key")).agg(F.first("to").alias("alias_to"))
+    to = aliases.groupBy(F.col("from_key").alias("key")).agg((F.max_by("to", "ordinal") if "ordinal" in aliases.columns else F.max("to")).alias("alias_to"))
     keyed = keyed.join(small(to), "key", "left").withColumn("alias_key", place_key("alias_to"))
     keyed = keyed.join(states.select(F.col("key").alias("alias_key"), F.col("name").alias("alias_hit")), "alias_key", "left")
     left = keyed.where("usable and exact is null and alias_to is null").select("key").distinct()
@@ -113,24 +119,38 @@ def resolve_districts(names: DataFrame, dim: DataFrame, aliases: DataFrame, thre
     return _settle(settled, "district").select("in_state", "district", "key", *OUT)
 
 
+def _by_pair(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Records joined with their (state, district) pair's row (_s, _d), nulls equal: broadcast if the pairs are few, else salted, as one pair may hold much of all records."""
+    few = small(pairs)
+    on = records.state.eqNullSafe(F.col("_s")) & records.district.eqNullSafe(F.col("_d"))
+    if few is not pairs:
+        return records.join(few, on).drop("_s", "_d")
+    dealt = records.withColumn("_salt", F.pmod(F.xxhash64(*records.columns), F.lit(SALTS)))
+    copies = pairs.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, on & (F.col("_salt") == F.col("_copy"))).drop("_s", "_d", "_salt", "_copy")
+
+
 def resolve_records(records: DataFrame, dim: DataFrame, state_aliases: DataFrame, district_aliases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Records (state, district) with state_match, state_stage, district_match, district_stage, stage and reason."""
+    """Records (state, district) with state_match, state_stage, district_match, district_stage, stage and reason. The distinct pairs are resolved once and written."""
     pairs = records.select("state", "district").distinct()
     s = resolve_states(pairs, dim, state_aliases, threshold).select("state", F.col("match").alias("state_match"), F.col("stage").alias("state_stage"), F.col("reason").alias("state_reason"))
-    pairs = pairs.join(s, pairs.state.eqNullSafe(s.state), "left").drop(s.state)
+    pairs = written(pairs.join(s, pairs.state.eqNullSafe(s.state), "left").drop(s.state), "pairs")
     d = resolve_districts(pairs.withColumnRenamed("state_match", "in_state"), dim, district_aliases, threshold)
     d = d.select(F.col("in_state").alias("_in"), F.col("district").alias("_d"), F.col("match").alias("district_match"), F.col("stage").alias("district_stage"), F.col("reason").alias("district_reason"))
     pairs = pairs.join(d, pairs.state_match.eqNullSafe(F.col("_in")) & (pairs.district == F.col("_d")), "left").drop("_in", "_d")
-    pairs = pairs.withColumn("stage", F.greatest("state_stage", "district_stage")).withColumn("reason", F.coalesce(F.when(F.col("state_stage") == 4, F.when(F.col("state_reason") == "no_name", "no_state").otherwise(F.when(F.col("state_reason") == "below_threshold", "state_unmatched").otherwise(F.col("state_reason")))), F.when(F.col("district_stage") == 4, F.when(F.col("district_reason").isin("ambiguous", "broken_alias"), F.col("district_reason")).otherwise("district_unmatched"))))
-    pairs = pairs.withColumnsRenamed({"state": "_s", "district": "_d"})
-    return records.join(pairs, records.state.eqNullSafe(F.col("_s")) & records.district.eqNullSafe(F.col("_d"))).drop("_s", "_d")
+    no_state = F.when(F.col("state_reason") == "no_name", "no_state").when(F.col("state_reason") == "below_threshold", "state_unmatched").otherwise(F.col("state_reason"))
+    no_district = F.when(F.col("district_reason").isin("ambiguous", "broken_alias"), F.col("district_reason")).otherwise("district_unmatched")
+    reason = F.coalesce(F.when(F.col("state_stage") == 4, no_state), F.when(F.col("district_stage") == 4, no_district))
+    pairs = pairs.withColumn("stage", F.greatest("state_stage", "district_stage")).withColumn("reason", reason).withColumnsRenamed({"state": "_s", "district": "_d"})
+    return _by_pair(records, written(pairs, "resolved_pairs"))
 
 
 def resolution_report(records: DataFrame, dim: DataFrame, state_aliases: DataFrame, district_aliases: DataFrame) -> DataFrame:
     """One row per distinct (level, parent state, normalised name): resolution, records, needs_review; unordered."""
     counts = records.groupBy("state", "district").agg(F.count("*").alias("records"))
+    counts = written(counts, "pairs")
     s = resolve_states(counts, dim, state_aliases)
-    rows = counts.join(s.withColumnRenamed("state", "_s"), counts.state.eqNullSafe(F.col("_s")), "left")
+    rows = written(counts.join(s.withColumnRenamed("state", "_s"), counts.state.eqNullSafe(F.col("_s")), "left").drop("_s"), "states")
     level = lambda df, lev, parent, label: df.select(F.lit(lev).alias("level"), parent.alias("parent_state"), F.coalesce(F.nullif("key", F.lit("")), label, F.lit("")).alias("norm"), label.alias("input"), "stage", "match", "confidence", "detail", "candidates", "records")
     states = level(rows, "state", F.lit(None).cast("string"), F.col("state"))
     d = resolve_districts(rows.withColumnRenamed("match", "in_state"), dim, district_aliases).withColumnsRenamed({"in_state": "_in", "district": "_dd"})

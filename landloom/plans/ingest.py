@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landloom.functions.values import parse_measure
 from landloom.operators import catalogue as c
+from landloom.operators import quality
 from landloom.sources.tables import written
 
 
@@ -24,12 +26,39 @@ class Ingested:
     dropped: DataFrame
     catalogue: DataFrame
     bindings: DataFrame
+    debris: DataFrame
+
+    def roles(self) -> DataFrame:
+        return role_records(self.records, self.catalogue, self.bindings)
+
+    def checks(self) -> DataFrame:
+        return quality.sheet_checks(self.roles())
 
     def stats(self) -> DataFrame:
-        return c.ingest_stats(self.records, self.dropped, self.catalogue)
+        return c.ingest_stats(self.records, self.dropped, self.catalogue, self.checks().where("status = 'violated'"))
 
     def warnings(self) -> DataFrame:
-        return c.ingest_warnings(self.sheets, self.headers, self.catalogue, self.bindings, self.dropped)
+        unbound = quality.sheet_unbound(self.bindings, self.catalogue)
+        return c.ingest_warnings(self.sheets, self.headers, self.catalogue, self.bindings, self.dropped, self.debris, self.checks().where("status = 'violated'"), unbound)
+
+
+#: Roles of the one table that all books' records are turned into: texts, then figures.
+TEXT_ROLES, NUMBER_ROLES = ("business", "state", "district", "site"), ("total", "private-sale", "private-lease", "govt-revenue", "forest", "used", "unused")
+
+
+def role_records(records: DataFrame, catalogue: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Long records of any number of books as one table: book, sheet, record_id, source_row_number, a column a fixed role, and the roles that are bound.
+
+    Invariants, resolution and roll-ups read these columns, whatever the books call them.
+    """
+    words = [c.pick_word(catalogue, w).select(*c.SHEET, F.lit(w).alias("role"), "key") for w in ("business", "site")]
+    bound = bindings.select(*c.SHEET, "role", "key").unionByName(words[0]).unionByName(words[1])
+    held = bound.groupBy(*c.SHEET).agg(F.array_sort(F.collect_set("role")).alias("bound"))  # a fixed list of roles at most
+    long = records.join(bound, [*c.SHEET, "key"], "left")
+    own = lambda r: F.max(F.when(F.col("role") == r, F.col("value")))
+    wide = long.groupBy(*c.SHEET, "record_id", "source_row_number").agg(*(own(r).alias(r) for r in TEXT_ROLES), *(own(r).alias(f"_{r}") for r in NUMBER_ROLES))
+    wide = wide.select(*c.SHEET, "record_id", "source_row_number", *TEXT_ROLES, *(parse_measure(F.col(f"`_{r}`"), cleaned=True).alias(r) for r in NUMBER_ROLES))
+    return wide.join(held, c.SHEET, "left").withColumn("bound", F.coalesce("bound", F.array().cast("array<string>")))
 
 
 def two_pass_profile(records: DataFrame, keys: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -59,4 +88,4 @@ def ingest(cells: DataFrame, ordinals: DataFrame, sheet_overrides: DataFrame | N
     keys = written(c.assign_keys(own, headers), "keys")
     records = written(c.records_of(own, headers, keys), "records")
     kept, dropped, catalogue, bindings = two_pass_profile(records, keys, role_overrides)
-    return Ingested(sheets, headers, keys, kept, dropped, catalogue, bindings)
+    return Ingested(sheets, headers, keys, kept, dropped, catalogue, bindings, c.debris_columns(own, keys))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,36 +14,50 @@ from pyspark.sql import functions as F
 
 ENTRIES = "filename string, content binary, from_archive string, skip_reason string"
 PLACEMARKS = "file string, feature int, name string, geometry_type string, polygon int, ring int, seq int, lng double, lat double, code string, message string"
-MOST_DEPTH = 20
 
 
-def landed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+NAMES = ("kmz", "kml", "zip")
 
 
-def _flatten(name: str, content: bytes, archive: str | None, depth: int = 0) -> Iterator[tuple]:
-    base = name.rsplit("/", 1)[-1]
-    low = base.lower()
-    if low.endswith((".kmz", ".kml")):
-        yield base, content, archive, None
-    elif low.endswith(".zip") and depth < MOST_DEPTH:
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for entry in z.infolist():
-                    if not entry.is_dir():
-                        yield from _flatten(entry.filename, z.read(entry), base, depth + 1)
-        except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
-            yield base, None, archive, "unreadable archive"
-    else:
-        yield base, None, archive, "not a boundary file"
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of landed files; content is read of archives and boundary files alone."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    ours = F.lower(F.regexp_extract("path", "\\.([^./]*)$", 1)).isin(*NAMES)
+    return listed.where(ours).select("path", "content").unionByName(listed.where(~ours).select("path", F.lit(None).cast("binary").alias("content")))
+
+
+
+
+def _flatten(name: str, content: bytes | None) -> Iterator[tuple]:
+    """A file, or all files of an archive at any depth, one at a time."""
+    open_ = [(name, content, None)]
+    while open_:
+        name, content, archive = open_.pop()
+        base = name.rsplit("/", 1)[-1]
+        low = base.lower()
+        if low.endswith((".kmz", ".kml")):
+            yield base, content, archive, None
+        elif low.endswith(".zip") and content is not None:
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    inner = [(e.filename, z.read(e), base) for e in z.infolist() if not e.is_dir()]
+            except (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, EOFError):
+                yield base, None, archive, "unreadable archive"
+            else:
+                open_ += reversed(inner)
+        else:
+            yield base, None, archive, "not a boundary file"
 
 
 def expand_archives(files: DataFrame) -> DataFrame:
-    """filename, content, from_archive, skip_reason of every file of a drop (path, content), archives opened at any depth."""
+    """filename, content, from_archive, skip_reason of every file of a drop (path, content), archives opened at any depth.
+
+    A batch between Spark and Python is bounded by ``spark.sql.execution.arrow.maxBytesPerBatch`` and one archive is opened at a time.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(list(_flatten(path, bytes(content), None)), columns=["filename", "content", "from_archive", "skip_reason"])
+                yield pd.DataFrame(list(_flatten(path, None if content is None else bytes(content))), columns=["filename", "content", "from_archive", "skip_reason"])
 
     return files.select("path", "content").mapInPandas(run, ENTRIES)
 

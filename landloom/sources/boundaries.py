@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +24,22 @@ def scan_boundaries(spark: SparkSession, path: str) -> DataFrame:
 ALIASES = "states map<string, string>, districts array<struct<`from`: string, `to`: string, state: string, note: string>>"
 
 
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether anything can be read at a path, wherever it lies."""
+    try:
+        spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def scan_aliases(spark: SparkSession, path: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """State aliases (from_key, to), district aliases (ordinal, from_key, to, state, note) and problems (level, ordinal, problem); no file, no rows."""
-    raw = spark.read.schema(ALIASES).option("multiLine", True).json(path) if path else spark.createDataFrame([], ALIASES)
+    """State aliases (from_key, to, ordinal), district aliases (ordinal, from_key, to, state, note) and problems (level, ordinal, problem); no path or no such file, no rows."""
+    raw = spark.read.schema(ALIASES).option("multiLine", True).json(path) if path and present(spark, path) else spark.createDataFrame([], ALIASES)
     s = raw.select(F.posexplode(F.map_entries("states")).alias("ordinal", "x")).select("ordinal", place_key("x.key").alias("from_key"), F.trim("x.value").alias("to"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("note"))
     d = raw.select(F.posexplode("districts").alias("ordinal", "x")).select("ordinal", place_key("x.from").alias("from_key"), F.trim("x.to").alias("to"), clean_string("x.state").alias("state"), "x.note")
     good = (F.coalesce("from_key", F.lit("")) != "") & (F.coalesce("to", F.lit("")) != "")
     lost = lambda df, level: df.where(~good).select(F.lit(level).alias("level"), "ordinal", F.when(F.coalesce("from_key", F.lit("")) == "", "no-from").otherwise("no-to").alias("problem"))
-    return s.where(good).select("from_key", "to"), d.where(good).select("ordinal", "from_key", "to", "state", "note"), lost(s, "state").unionByName(lost(d, "district"))
+    return s.where(good).select("from_key", "to", "ordinal"), d.where(good).select("ordinal", "from_key", "to", "state", "note"), lost(s, "state").unionByName(lost(d, "district"))

@@ -11,20 +11,32 @@ from landloom.functions.text import clean_string
 MOST_BYTES = 60 * 1024 * 1024
 
 
-def scan_grids(spark: SparkSession, paths: str | list[str], width: int, most_columns: int = 1000) -> DataFrame:
+#: A cell of a line and what ends it, to count the cells of a record.
+_CELL = '(?:"(?:[^"]|"")*"|[^,"]*)(?:,|$)'
+
+
+def grid_width(spark: SparkSession, paths: str | list[str]) -> int:
+    """As many columns as any line can have: its commas, and one."""
+    return spark.read.text(paths).agg(F.coalesce(F.max(F.regexp_count("value", F.lit(","))), F.lit(0))).first()[0] + 1
+
+
+def scan_grids(spark: SparkSession, paths: str | list[str], width: int | None = None) -> DataFrame:
     """Cells (book, sheet, row_idx, col_idx, value) of CSV exports; blank rows are kept, so rows are numbered as in the file.
 
-    ``width``: columns of the widest sheet. A file is read whole by its lines' offsets, so rows keep their order.
+    ``width``: columns of the widest sheet, else counted. A row of more cells fails the read; none is dropped. A cell may hold line
+    breaks, so a file (of 60 MiB at most, see ``triage_files``) is read by one task. Book is the folder's name and sheet the file's.
     """
-    if width > most_columns:
-        raise ValueError("too wide for one grid")
-    schema = ", ".join(f"_c{i} string" for i in range(width))
-    raw = spark.read.csv(paths, header=False, schema=schema, multiLine=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
-    at = raw.select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_id"))
+    width = width or grid_width(spark, paths)
+    schema = ", ".join(f"_c{i} string" for i in range(width)) + ", _row string"
+    raw = spark.read.csv(paths, header=False, schema=schema, multiLine=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, columnNameOfCorruptRecord="_row")
+    too_wide = F.regexp_count(F.regexp_replace("_row", "[\\r\\n]+$", ""), F.lit(_CELL)) - 1 > width  # the pattern also fits the empty end
+    first = F.when(F.coalesce(too_wide, F.lit(False)), F.raise_error(F.concat(F.lit(f"more than {width} cells in a row: "), F.substring("_row", 1, 200)))).otherwise(F.col("_c0"))
+    at = raw.select(F.array(first, *(f"_c{i}" for i in range(1, width))).alias("v"), F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_id"))
     numbered = at.withColumn("row_idx", F.row_number().over(W.partitionBy("_f").orderBy("_id")) - 1)
-    cells = numbered.select("_f", "row_idx", F.posexplode(F.array(*(f"_c{i}" for i in range(width)))).alias("col_idx", "value"))
-    name = F.element_at(F.split("_f", "/"), -1)
-    return cells.select(F.element_at(F.split("_f", "/"), -2).alias("book"), F.regexp_replace(name, "\\.csv$", "").alias("sheet"), "row_idx", "col_idx", "value")
+    cells = numbered.select("_f", "row_idx", F.posexplode("v").alias("col_idx", "value"))
+    parts = F.split("_f", "/")
+    book = F.url_decode(F.regexp_replace(F.element_at(parts, -2), "^[A-Za-z_]+=", ""))  # a partition's folder is named key=value
+    return cells.select(book.alias("book"), F.regexp_replace(F.element_at(parts, -1), "\\.(csv|txt)$", "").alias("sheet"), "row_idx", "col_idx", "value")
 
 
 def triage_files(spark: SparkSession, path: str, extension: str = ".xlsx") -> DataFrame:

@@ -147,7 +147,7 @@ def test_catalogue_from_cells(spark):
     stats = done.stats().first()
     assert (stats.rows, stats.kept, stats.dropped) == (6, 5, 1)
     codes = {r.code: r.n for r in done.warnings().collect()}
-    assert codes == {"several-sheets": 1, "unnamed-columns": 1, "empty-columns": 2, "roles-from-names": 2, "rows-dropped": 1, "no-district-column": 1, "duplicate-headers": 1}
+    assert codes == {"several-sheets": 1, "unnamed-columns": 1, "empty-columns": 2, "roles-from-names": 2, "rows-dropped": 1, "no-district-column": 1, "duplicate-headers": 1, "discarded-empty-columns": 1, "unbound-invariant": 1}
     assert {r.code for r in catalogue.cautions(done.warnings()).collect()} == {"several-sheets"}
     assert catalogue.pick_word(done.catalogue, "site").first().key == "site" and catalogue.coordinate_columns(done.catalogue).count() == 0
     assert catalogue.visible_columns(done.catalogue).count() == len(roles) - 2
@@ -171,13 +171,14 @@ def test_facets(spark):
     act = facets.compute_active(bv, sel).cache()
     assert {tuple(r) for r in act.collect()} == {("v", "business", "A"), ("v", "district", "D2"), ("w", "district", "D1")}
     assert {tuple(r) for r in facets.orphaned(sel, act).collect()} == {("v", "state", "S2")}
-    got = facets.apply_filters(bv, act).select("view_id", "record_id").collect()
+    got = facets.apply_filters(df, bv, act, sel, rng, ["area"]).select("view_id", "record_id").collect()
     assert {tuple(r) for r in got} == {("v", "2"), ("w", "1")}
     plan = facets.restore_plan(bv, sel, act)
     assert [(r.value, r.blocked_by, r["add"], r.reason) for r in plan.collect()] == [("S2", "business", ["B"], None)]
     more = facets.widen(sel, plan)
     assert ("v", "business", "B") in {tuple(r) for r in more.collect()}
     view = {(r.view_id, r.dimension, r.value): (r.available, r.n, r.selected) for r in facets.facet_view(bv, sel, act).collect()}
+    assert {(r.view_id, r.active_count, r.available_count) for r in facets.facet_view(bv, sel, act).where("dimension = 'business'").collect()} == {("v", 1, 2), ("w", 0, 2)}
     assert view["v", "business", "B"] == (True, 0, False) and view["v", "state", "S2"] == (False, 0, True) and view["v", "business", "A"] == (True, 1, True)
     assert [r.record_id for r in facets.rows_matching(df, {"business": ["B"], "state": []}, {"area": (0, 40)}).orderBy("record_id").collect()] == ["3", "5"]
     bounds = facets.measure_bounds(df, ["area"])

@@ -33,6 +33,12 @@ def test_archives_and_placemarks(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     out = archives.expand_archives(archives.landed(spark, str(tmp_path))).cache()
     got = {(r.filename, r.from_archive): r.skip_reason for r in out.collect()}
+    deep = files["square.kml"]
+    for i in range(40):
+        deep = zipped(**{(f"{i}_dot_zip" if i else "deep_dot_kml"): deep})
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "deep.zip").write_bytes(deep)
+    assert [(r.filename, r.skip_reason) for r in archives.expand_archives(archives.landed(spark, str(tmp_path / "deep"))).collect()] == [("deep.kml", None)]
     assert got["square.kml", "inner.zip"] is None and got["notes.txt", "inner.zip"] == got["readme.txt", "batch.zip"] == "not a boundary file" and got["broken.zip", None] == "unreadable archive"
     vertices, read = archives.scan_placemarks(out.where("from_archive is null"))
     codes = {r.file: [w.code for w in r.warnings] for r in read.collect()}
@@ -52,9 +58,9 @@ def test_boundaries_and_aliases(spark, tmp_path):
         boundaries.scan_boundaries(spark, str(tmp_path / "bad.json")).collect()
     (tmp_path / "a.json").write_text(json.dumps({"states": {"Orissa & ": " Odisha ", "--": "x"}, "districts": [{"from": "Raigarh", "to": "Raigad", "state": "Maharashtra"}, {"from": "x", "to": ""}]}))
     s, d, bad = boundaries.scan_aliases(spark, str(tmp_path / "a.json"))
-    assert [tuple(r) for r in s.collect()] == [("orissa and", "Odisha")] and [tuple(r)[:4] for r in d.collect()] == [(0, "raigarh", "Raigad", "Maharashtra")]
+    assert [tuple(r) for r in s.collect()] == [("orissa and", "Odisha", 0)] and [tuple(r)[:4] for r in d.collect()] == [(0, "raigarh", "Raigad", "Maharashtra")]
     assert {tuple(r) for r in bad.collect()} == {("state", 1, "no-from"), ("district", 1, "no-to")}
-    assert all(x.count() == 0 for x in boundaries.scan_aliases(spark, None))
+    assert all(x.count() == 0 for p in (None, str(tmp_path / "absent.json")) for x in boundaries.scan_aliases(spark, p))
 
 
 def test_grids(spark, tmp_path):
@@ -64,6 +70,7 @@ def test_grids(spark, tmp_path):
     got = {(r.row_idx, r.col_idx): r.value for r in cells.where("book = 'book1' and sheet = 'data'").collect()}
     assert got[0, 0] == "Report" and got[3, 2] == "500" and got[2, 0] == "State" and got[1, 0] is None
     assert catalogue.detect_header(cells).first().header_row == 2
+    assert grids.scan_grids(spark, str(tmp_path / "book1")).where("value is not null").count() == 7
     for name, content in {"a.xlsx": b"PK\x03\x04rest", "b.xlsx": b"nope", "c.txt": b"PK\x03\x04"}.items():
         (tmp_path / name).write_bytes(content)
     codes = {r.path.rsplit("/", 1)[1]: r.error_code for r in grids.triage_files(spark, str(tmp_path)).collect()}
@@ -73,6 +80,11 @@ def test_grids(spark, tmp_path):
     sheets = catalogue.score_sheets(cells, cells.select("book", "sheet").distinct().withColumn("ordinal", F.lit(0)))
     out = {r.book: r.error_code for r in grids.intake_status(books, sheets, cells, none).collect()}
     assert out == {"book1": "no-rows", "book2": "no-populated-sheet"}
+    (tmp_path / "wide").mkdir()
+    (tmp_path / "wide" / "w.csv").write_text('a,"b,\nc",,\n1,2,3,,5\n')
+    assert {(r.row_idx, r.col_idx, r.value) for r in grids.scan_grids(spark, str(tmp_path / "wide"), 5).where("value is not null").collect()} == {(0, 0, "a"), (0, 1, "b,\nc"), (1, 0, "1"), (1, 1, "2"), (1, 2, "3"), (1, 4, "5")}
+    with pytest.raises(Exception, match="more than 4 cells"):
+        grids.scan_grids(spark, str(tmp_path / "wide"), 4).collect()
 
 
 def test_extract(spark, tmp_path):
