@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +42,23 @@ def export_bundle(store: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return files, manifest, head
 
 
+def write_bundle(store: DataFrame, path: str) -> None:
+    """The bundle below a folder: files and manifest as Parquet (contents are bytes), the head as JSON."""
+    files, manifest, head = export_bundle(store)
+    files.write.mode("overwrite").parquet(f"{path}/files")
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    head.write.mode("overwrite").json(f"{path}/head")
+
+
+def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, manifest and head of a written bundle; an unknown format version is refused."""
+    head = spark.read.schema("format_version int, entries long, total_bytes long, confidential boolean").json(f"{path}/head")
+    version = head.first()["format_version"]
+    if version != FORMAT_VERSION:
+        raise ValueError(f"unknown bundle format {version}")
+    return spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/manifest"), head
+
+
 def import_bundle(manifest: DataFrame, files: DataFrame, store: DataFrame, policy: str = "keep-existing", version: int = FORMAT_VERSION) -> DataFrame:
     """Each entry with its outcome: missing-file, checksum-mismatch, skipped (conflict), imported or replaced."""
     if version != FORMAT_VERSION:

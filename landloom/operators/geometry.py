@@ -116,3 +116,7 @@ def file_parse_status(files: DataFrame, vertices: DataFrame, swap: bool = False,
 def boundary_manifest(dim: DataFrame, settings: dict[str, str]) -> DataFrame:
     out = dim.groupBy("level").agg(F.count("*").alias("features"), F.array_sort(F.collect_set("vintage")).alias("vintages"))
     return out.withColumns({k: F.lit(v) for k, v in settings.items()})
+
+
+def write_manifest(dim: DataFrame, settings: dict[str, str], path: str) -> None:
+    boundary_manifest(dim, settings).write.mode("overwrite").json(path)

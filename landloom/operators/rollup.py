@@ -118,3 +118,19 @@ def page(ordered: DataFrame, number: int, size: int = 50) -> DataFrame:
     """A page of ordered rows; the number is clamped to the pages there are."""
     last = max(0, (ordered.count() - 1) // size)
     return ordered.offset(min(max(0, number), last) * size).limit(size)
+
+
+def page_after(records: DataFrame, column: str, last: tuple | None, size: int = 50, descending: bool = False) -> DataFrame:
+    """The page behind a row (its value of ``column`` and record_id; none for the first), in the order of ``sort_records``.
+
+    It costs one filtered top-``size`` pass however deep the page is, and no row is counted or skipped.
+    """
+    if last is not None:
+        value, at = last
+        c, later = F.col(column), F.col("record_id") > F.lit(at)
+        if value is None:
+            records = records.where(c.isNull() & later)
+        else:
+            v = F.lit(value)
+            records = records.where(c.isNull() | ((c < v) if descending else (c > v)) | ((c == v) & later))
+    return sort_records(records, column, descending).limit(size)

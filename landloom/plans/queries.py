@@ -98,15 +98,22 @@ def _profile(spark, sf):
     return catalogue.profile_columns(long, rows, []).withColumn("key", named)
 
 
-PROFILE = "SELECT '{c}' AS key, count(*) AS n_rows, count({c}) AS populated, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, count(try_cast({c} AS DOUBLE)) / count({c}) AS numeric_ratio, {serial} AS is_serial FROM customer"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+PROFILED = f"""WITH c AS (SELECT c_custkey AS row, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment']) AS key, unnest([CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), c_mktsegment]) AS v FROM customer),
+ t AS (SELECT *, CASE WHEN regexp_matches(v, '{NUMBER}') THEN 'number' WHEN lower(v) IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(v, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'date' WHEN v IS NOT NULL THEN 'string' END AS type, CASE WHEN regexp_matches(v, '{NUMBER}') THEN CAST(v AS DOUBLE) END AS num FROM c),
+ s AS (SELECT key, string_agg(v, ',' ORDER BY first_row) AS samples FROM (SELECT key, v, min(row) AS first_row, row_number() OVER (PARTITION BY key ORDER BY min(row)) AS r FROM c WHERE v IS NOT NULL GROUP BY key, v) WHERE r <= 5 GROUP BY key),
+ p AS (SELECT key, count(*) AS n_rows, count(v) AS populated, count(*) - count(v) AS null_count, count(DISTINCT coalesce(CAST(num AS VARCHAR), v)) AS distinct_count, count(num) / count(v) AS numeric_ratio, string_agg(DISTINCT type, ',' ORDER BY type) AS types,
+  count(v) = count(*) AND count(DISTINCT v) = count(v) AND count(num) = count(v) AND coalesce(bool_and(num = floor(num) AND num >= 0), false) AND max(num) - min(num) = count(v) - 1 AS is_serial FROM t GROUP BY key)"""
 
 
-@query(" UNION ALL ".join(PROFILE.format(c=c, serial=f"count(DISTINCT {c}) = count(*) AND max({c}) - min({c}) = count(*) - 1" if c.endswith("key") else "false") for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+@query(PROFILED + " SELECT key, n_rows, populated, null_count, distinct_count, numeric_ratio, types, coalesce(is_serial, false) AS is_serial, samples FROM p JOIN s USING (key)")
 def column_profile(spark, sf):
-    return _profile(spark, sf).select("key", "n_rows", "populated", "null_count", "distinct_count", "numeric_ratio", "is_serial")
+    out = _profile(spark, sf)
+    return out.select("key", "n_rows", "populated", "null_count", "distinct_count", "numeric_ratio", F.array_join("types", ",").alias("types"), "is_serial", F.array_join("samples", ",").alias("samples"))
 
 
-@query("SELECT * FROM (VALUES ('c_custkey', 'meta', false), ('c_name', 'dimension', true), ('c_nationkey', 'measure', false)) t(key, role, high_cardinality) UNION ALL SELECT 'c_mktsegment', CASE WHEN count(DISTINCT c_mktsegment) <= 2 THEN 'meta' ELSE 'dimension' END, false FROM customer")
+@query(PROFILED + """, r AS (SELECT *, CASE WHEN is_serial THEN 'meta' WHEN numeric_ratio > 0.8 THEN 'measure' WHEN types LIKE '%date%' THEN 'meta' WHEN types LIKE '%boolean%' AND types NOT LIKE '%string%' THEN 'meta' WHEN types LIKE '%string%' AND distinct_count > 2 THEN 'dimension' ELSE 'meta' END AS role FROM p)
+ SELECT key, role, role = 'dimension' AND distinct_count / populated >= 0.4 AS high_cardinality FROM r""")
 def column_roles(spark, sf):
     return catalogue.infer_role(_profile(spark, sf)).select("key", "role", "high_cardinality")
 
@@ -124,22 +131,30 @@ def _cells(spark, sf):
     return data.unionByName(side)
 
 
-BOOKS = "WITH b AS (SELECT 'book-' || (c_custkey // 25) AS book, c_custkey % 25 AS i FROM customer)"
+BOOKS = f"""WITH k AS (SELECT 'book-' || (c_custkey // 25) AS book, c_custkey % 25 AS i, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer),
+ cells AS (SELECT book, 'data' AS sheet, i + 2 AS row_idx, unnest([0, 1, 2]) AS col_idx, unnest([c_name, CAST(c_nationkey AS VARCHAR), CAST(c_acctbal AS VARCHAR)]) AS v FROM k UNION ALL SELECT book, 'data', unnest([0, 0, 0, 1, 1, 1]), unnest([0, 1, 2, 0, 1, 2]), unnest(['Land report', NULL, NULL, 'State ', 'District', 'Area']) FROM k WHERE i = 0
+  UNION ALL SELECT book, 'summary', i, 0, c_mktsegment FROM k WHERE i < 5),
+ typed AS (SELECT *, CASE WHEN regexp_matches(trim(v), '{NUMBER}') THEN 'number' WHEN v IS NOT NULL THEN 'string' END AS type FROM cells)"""
 
 
-@query(BOOKS + " SELECT book, 'data' AS sheet, 3 * count(*) + 4 AS populated, count(*) + 2 AS rows, true AS chosen FROM b GROUP BY book UNION ALL SELECT book, 'summary', count(*), count(*), false FROM b WHERE i < 5 GROUP BY book")
+@query(BOOKS + """, s AS (SELECT book, sheet, count(v) AS populated, count(DISTINCT row_idx) FILTER (WHERE v IS NOT NULL) AS rows FROM cells GROUP BY ALL)
+ SELECT book, sheet, populated, rows, row_number() OVER (PARTITION BY book ORDER BY populated DESC, sheet DESC) = 1 AS chosen FROM s""")
 def sheet_choice(spark, sf):
     cells = _cells(spark, sf)
     ordinals = cells.select("book", "sheet").distinct().withColumn("ordinal", (F.col("sheet") == "data").cast("int"))
     return catalogue.score_sheets(cells, ordinals).select("book", "sheet", "populated", "rows", "chosen")
 
 
-@query(BOOKS + " SELECT DISTINCT book, 'data' AS sheet, CAST(1 AS BIGINT) AS header_row, false AS used_fallback FROM b UNION ALL SELECT DISTINCT book, 'summary', 0, true FROM b")
+@query(BOOKS + """, w AS (SELECT book, sheet, max(col_idx) + 1 AS width, min(row_idx) FILTER (WHERE v IS NOT NULL) AS first_row FROM cells GROUP BY ALL), r AS (SELECT book, sheet, row_idx, count(*) FILTER (WHERE type = 'string') AS strings, count(DISTINCT type) AS types FROM typed WHERE row_idx <= 25 GROUP BY ALL),
+ n AS (SELECT *, lead(row_idx) OVER o AS next_row, lead(types) OVER o AS next_types FROM r WINDOW o AS (PARTITION BY book, sheet ORDER BY row_idx)), f AS (SELECT n.book, n.sheet, min(row_idx) FILTER (WHERE row_idx < 25 AND strings / width > 0.7 AND next_row = row_idx + 1 AND next_types >= 2) AS found FROM n JOIN w USING (book, sheet) GROUP BY ALL)
+ SELECT book, sheet, coalesce(found, first_row) AS header_row, found IS NULL AS used_fallback FROM w JOIN f USING (book, sheet)""")
 def header_row(spark, sf):
     return catalogue.detect_header(_cells(spark, sf))
 
 
-@query(BOOKS + " SELECT DISTINCT book, t.* FROM b, (VALUES ('data', 0, 'state', 'dimension', 'state'), ('data', 1, 'district', 'measure', NULL), ('data', 2, 'area', 'measure', NULL)) t(sheet, col_idx, key, role, bound_as)")
+@query(BOOKS + """, d AS (SELECT book, col_idx, v, CASE WHEN type = 'number' THEN CAST(v AS DOUBLE) END AS num FROM typed WHERE sheet = 'data' AND row_idx > 1), p AS (SELECT book, col_idx, count(*) AS n, count(DISTINCT v) AS d, count(num) / count(*) AS ratio, bool_and(num = floor(num) AND num >= 0) AND max(num) - min(num) = count(*) - 1 AND count(DISTINCT num) = count(*) AS serial FROM d GROUP BY ALL),
+ r AS (SELECT book, col_idx, (['state', 'district', 'area'])[col_idx + 1] AS key, CASE WHEN coalesce(serial, false) THEN 'meta' WHEN ratio > 0.8 THEN 'measure' WHEN d > 2 THEN 'dimension' ELSE 'meta' END AS role FROM p)
+ SELECT book, 'data' AS sheet, col_idx, key, role, CASE WHEN role <> 'measure' AND key IN ('state', 'district') THEN key END AS bound_as FROM r""")
 def column_catalogue(spark, sf):
     """From cells to keys, profile, roles and bindings of every book's chosen sheet."""
     cells = _cells(spark, sf)
@@ -276,7 +291,15 @@ def equal_classes(spark, sf):
     return _bins(spark, sf, "equal")
 
 
-@query()
+JENKS = """WITH """ + VAL + """, o AS (SELECT scope, value, row_number() OVER (PARTITION BY scope ORDER BY value) AS i FROM (SELECT DISTINCT scope, value FROM v)), z AS (SELECT scope, i, value, avg(value) OVER (PARTITION BY scope) AS m FROM o),
+ s AS (SELECT scope, i, value, sum(value - m) OVER w AS s, sum((value - m) ** 2) OVER w AS q, count(*) OVER (PARTITION BY scope) AS n FROM z WINDOW w AS (PARTITION BY scope ORDER BY i)), c1 AS (SELECT scope, i, n, q - s * s / i AS cost, CAST([] AS DOUBLE[]) AS b FROM s),
+ w AS (SELECT a.scope, a.i AS j, b.i, d.value AS start, (b.q - a.q) - (b.s - a.s) ** 2 / (b.i - a.i) AS cost FROM s a JOIN s b ON a.scope = b.scope AND a.i < b.i JOIN s d ON d.scope = a.scope AND d.i = a.i + 1),
+""" + ",\n".join(f" c{k} AS (SELECT w.scope, w.i, any_value(c.n) AS n, min(c.cost + w.cost) AS cost, arg_min(list_append(c.b, w.start), c.cost + w.cost) AS b FROM c{k - 1} c JOIN w ON w.scope = c.scope AND w.j = c.i WHERE c.i >= {k - 1} GROUP BY w.scope, w.i)" for k in range(2, 6)) + """,
+ g AS (SELECT scope, b FROM c5 WHERE i = n UNION ALL SELECT scope, list(value ORDER BY value) FILTER (WHERE i > 1) FROM s WHERE n <= 5 GROUP BY scope HAVING count(*) < 5)
+"""
+
+
+@query(JENKS + BINS.format(b="any_value(g.b)").replace("FROM v GROUP BY scope)", "FROM v JOIN g USING (scope) GROUP BY scope)", 1))
 def jenks_classes(spark, sf):
     return _bins(spark, sf, "jenks")
 
@@ -289,7 +312,8 @@ SEL = "sel(view_id, dimension, value) AS (VALUES " + ", ".join(map(str, SELECTIO
 def _views(spark, sf):
     sel = spark.createDataFrame(SELECTIONS, "view_id string, dimension string, value string")
     rng = spark.createDataFrame(RANGES, "view_id string, measure string, lo double, hi double")
-    by_view = facets.viewed(tb.records(spark, sf).select("record_id", *facets.DIMENSIONS, "area"), sel.select("view_id").distinct(), rng, ["area"])
+    rows = tb.records(spark, sf).select("record_id", *facets.DIMENSIONS, "area")
+    by_view = facets.viewed(rows, sel.select("view_id").distinct(), rng, ["area"])
     return by_view, sel, facets.compute_active(by_view, sel)
 
 
@@ -324,14 +348,22 @@ def facet_counts(spark, sf):
 
 @query(CASCADE + " SELECT view_id, record_id FROM b4 WHERE ranged AND i1 AND i2 AND i3 AND i4")
 def facet_filtered(spark, sf):
-    by_view, _, active = _views(spark, sf)
-    return facets.apply_filters(by_view, active).select("view_id", "record_id")
+    by_view, sel, active = _views(spark, sf)
+    rows = tb.records(spark, sf).select("record_id", *facets.DIMENSIONS, "area")
+    rng = spark.createDataFrame(RANGES, "view_id string, measure string, lo double, hi double")
+    return facets.apply_filters(rows, by_view, active, sel, rng, ["area"]).select("view_id", "record_id")
+
+
+RESTORE = CASCADE + """, orph AS (SELECT DISTINCT view_id, dimension, value FROM sel EXCEPT SELECT view_id, dimension, value FROM act),
+ long AS (SELECT view_id, ranged, business, state, district, site, unnest(['business', 'state', 'district', 'site']) AS dimension, unnest([business, state, district, site]) AS value FROM bv), sup AS (SELECT o.*, l.ranged, l.business, l.state, l.district FROM orph o JOIN long l USING (view_id, dimension, value)),
+ up AS (SELECT DISTINCT view_id, dimension, value, u, a FROM (SELECT view_id, dimension, value, unnest(['business', 'state', 'district']) AS u, unnest([business, state, district]) AS a FROM sup) WHERE list_position(['business', 'state', 'district', 'site'], u) < list_position(['business', 'state', 'district', 'site'], dimension)),
+ blk AS (SELECT up.view_id, up.dimension, up.value, u AS blocked_by, string_agg(a, '|' ORDER BY a) AS add FROM up WHERE EXISTS (SELECT 1 FROM act WHERE act.view_id = up.view_id AND act.dimension = u) GROUP BY ALL HAVING count(*) FILTER (WHERE EXISTS (SELECT 1 FROM act WHERE act.view_id = up.view_id AND act.dimension = u AND act.value = a)) = 0)"""
 
 
-@query()
+@query(RESTORE + """ SELECT o.view_id, o.dimension, o.value, blk.blocked_by, blk.add, CASE WHEN blk.blocked_by IS NULL THEN CASE WHEN s.n > 0 AND s.r = 0 THEN 'range' ELSE 'no-records' END END AS reason FROM orph o LEFT JOIN (SELECT view_id, dimension, value, count(*) AS n, count(*) FILTER (WHERE ranged) AS r FROM sup GROUP BY ALL) s USING (view_id, dimension, value) LEFT JOIN blk USING (view_id, dimension, value)""")
 def facet_restore(spark, sf):
     by_view, sel, active = _views(spark, sf)
-    return facets.restore_plan(by_view, sel, active)
+    return facets.restore_plan(by_view, sel, active).withColumn("add", F.array_join("add", "|"))
 
 
 @query("SELECT 'o_totalprice' AS measure, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders UNION ALL SELECT 'o_custkey', min(o_custkey), max(o_custkey) FROM orders")
@@ -363,12 +395,17 @@ def _suppliers(spark, sf):
 SUP = """sup AS (SELECT s_suppkey AS k, 'st' AS state, n_name AS district, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
-@query()
+@query("""WITH s AS (SELECT s_suppkey AS k, 'st|' || lower(n_name) AS place, CASE WHEN s_suppkey % 10 = 9 THEN 'Shared Plot' ELSE 'Plot ' || replace(s_name, '#', ' ') END AS site FROM supplier JOIN nation ON s_nationkey = n_nationkey), i AS (SELECT place || '|' || lower(replace(site, '#', ' ')) AS site_key, lower(replace(site, '#', ' ')) AS lkey, min(k) AS k FROM s GROUP BY ALL),
+ f AS (SELECT DISTINCT CASE WHEN k % 10 = 5 THEN 'drop/Survey ' || k || '.KMZ' WHEN k % 2 = 0 THEN replace(site, '#', ' ') || '.kmz' WHEN k % 3 = 0 THEN 'Village - ' || replace(site, '#', ' ') || ' final.kml' ELSE 'noise' || k || '.kmz' END AS filename FROM s), g AS (SELECT filename, lower(regexp_replace(regexp_replace(filename, '^.*/', ''), '(?i)\\.(kmz|kml)$', '')) AS stem FROM f),
+ h AS (SELECT filename, 1 AS tier, site_key FROM g JOIN i ON stem = lkey UNION SELECT filename, 2, site_key FROM g JOIN i ON contains(' ' || stem || ' ', ' ' || lkey || ' ') UNION SELECT filename, 3, i.site_key FROM g JOIN s ON s.k % 10 = 5 AND (stem = 'survey ' || s.k OR stem = 'other') JOIN i ON i.site_key = place || '|' || lower(replace(site, '#', ' '))),
+ m AS (SELECT filename, min(tier) AS tier FROM h GROUP BY ALL), n AS (SELECT h.filename, h.tier, count(DISTINCT site_key) AS n, min(site_key) AS one FROM h JOIN m USING (filename, tier) GROUP BY ALL)
+ SELECT filename, CASE WHEN n = 1 THEN one END AS site_key, CASE WHEN n = 1 THEN (['filename', 'filename-contains', 'sheet-column'])[tier] END AS strategy, coalesce(n, 0) AS candidates, coalesce(n > 1, false) AS ambiguous FROM g LEFT JOIN n USING (filename)""")
 def match_files(spark, sf):
-    rec = _suppliers(spark, sf)
+    name = F.concat(F.lit("Plot "), F.replace("s_name", F.lit("#"), F.lit(" ")))
+    rec = _suppliers(spark, sf).drop("site").join(tb.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source_row_number"), F.when(F.col("s_suppkey") % 10 == 9, "Shared Plot").otherwise(name).alias("site")), "source_row_number")
     k, plot = F.col("source_row_number"), F.col("site")
     name = F.when(k % 10 == 5, F.concat(F.lit("drop/Survey "), k.cast("string"), F.lit(".KMZ"))).when(k % 2 == 0, F.concat(plot, F.lit(".kmz"))).when(k % 3 == 0, F.concat(F.lit("Village - "), plot, F.lit(" final.kml"))).otherwise(F.concat(F.lit("noise"), k.cast("string"), F.lit(".kmz")))
-    return sites.match_files(rec.select(name.alias("filename")), sites.site_index(rec), rec, "kmz_files")
+    return sites.match_files(rec.select(name.alias("filename")), sites.site_index(rec), rec, "kmz_files").drop("label")
 
 
 @query(f"""WITH {SUP}, f AS (SELECT k, 'a' || k || '.kmz' AS filename FROM sup WHERE k % 4 <> 1) SELECT f.filename, 'st|' || lower(district) || '|a' || sup.k AS site_key, 'filename' AS strategy FROM f JOIN sup USING (k) UNION ALL SELECT 'zz' || k || '.kmz', NULL, NULL FROM sup WHERE k % 4 = 1""")

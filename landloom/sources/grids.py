@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,13 +11,14 @@ from landloom.functions.text import clean_string
 MOST_BYTES = 60 * 1024 * 1024
 
 
-#: A cell of a line and what ends it, to count the cells of a record.
-_CELL = '(?:"(?:[^"]|"")*"|[^,"]*)(?:,|$)'
+def _cells_in(record: str) -> Column:
+    """Cells of a record: commas outside of quotes, and one."""
+    return F.regexp_count(F.regexp_replace(record, '"(?:[^"]|"")*"', ""), F.lit(",")) + 1
 
 
 def grid_width(spark: SparkSession, paths: str | list[str]) -> int:
-    """As many columns as any line can have: its commas, and one."""
-    return spark.read.text(paths).agg(F.coalesce(F.max(F.regexp_count("value", F.lit(","))), F.lit(0))).first()[0] + 1
+    """Columns of the widest line. (Where a quoted cell goes over lines its row may be wider; ``scan_grids`` then fails and is given the width.)"""
+    return spark.read.text(paths).agg(F.coalesce(F.max(_cells_in("value")), F.lit(1))).first()[0]
 
 
 def scan_grids(spark: SparkSession, paths: str | list[str], width: int | None = None) -> DataFrame:
@@ -28,8 +29,8 @@ def scan_grids(spark: SparkSession, paths: str | list[str], width: int | None =
     """
     width = width or grid_width(spark, paths)
     schema = ", ".join(f"_c{i} string" for i in range(width)) + ", _row string"
-    raw = spark.read.csv(paths, header=False, schema=schema, multiLine=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, columnNameOfCorruptRecord="_row")
-    too_wide = F.regexp_count(F.regexp_replace("_row", "[\\r\\n]+$", ""), F.lit(_CELL)) - 1 > width  # the pattern also fits the empty end
+    raw = spark.read.csv(paths, header=False, schema=schema, multiLine=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, escape='"', columnNameOfCorruptRecord="_row")
+    too_wide = _cells_in("_row") > width
     first = F.when(F.coalesce(too_wide, F.lit(False)), F.raise_error(F.concat(F.lit(f"more than {width} cells in a row: "), F.substring("_row", 1, 200)))).otherwise(F.col("_c0"))
     at = raw.select(F.array(first, *(f"_c{i}" for i in range(1, width))).alias("v"), F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_id"))
     numbered = at.withColumn("row_idx", F.row_number().over(W.partitionBy("_f").orderBy("_id")) - 1)

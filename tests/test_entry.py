@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from landloom.plans.queries import ORACLES, QUERIES
+from landloom.plans.registered import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events pages".split()
