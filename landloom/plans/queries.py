@@ -253,12 +253,12 @@ def conservation(spark, sf):
 
 
 def _some_regions(spark, sf):
-    rec = tb.placed(spark, sf).where("source_row_number % 3 = 0 and district <> 'NATION_7'")
+    rec = tb.placed(spark, sf).where("district <> 'NATION_7'")
     rec = rec.withColumn("area", F.when(F.col("district") == "NATION_8", 0.0).when(F.col("district") != "NATION_9", F.col("area")))
     return rollup.rollup(rec, "district", F.sum("area").alias("value"))
 
 
-@query(f"""WITH {PLACED}, f AS (SELECT state, district_match AS name, CASE district_match WHEN 'NATION_8' THEN 0.0 WHEN 'NATION_9' THEN NULL ELSE area END AS a FROM placed WHERE k % 3 = 0 AND district_match IS NOT NULL AND district_match <> 'NATION_7'), g AS (SELECT state, name, sum(a) AS value FROM f GROUP BY ALL)
+@query(f"""WITH {PLACED}, f AS (SELECT state, district_match AS name, CASE district_match WHEN 'NATION_8' THEN 0.0 WHEN 'NATION_9' THEN NULL ELSE area END AS a FROM placed WHERE district_match IS NOT NULL AND district_match <> 'NATION_7'), g AS (SELECT state, name, sum(a) AS value FROM f GROUP BY ALL)
  SELECT 'district' AS level, r_name AS state, n_name AS name, round(value, 2) AS value, CASE WHEN value IS NULL THEN 'no data' WHEN value = 0 THEN 'zero' ELSE 'class' END AS fill, CASE WHEN g.name IS NULL THEN 'no records' WHEN value IS NULL THEN 'no value' END AS reason FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN g ON g.state = r_name AND g.name = n_name""")
 def region_fill(spark, sf):
     dim = tb.nation_dim(spark, sf).where("level = 'district'")
