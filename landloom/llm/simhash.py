@@ -10,6 +10,11 @@ and not all pairs. A link is written only under the first choice that the pair s
 choice joins two fingerprints that earlier choices have already connected. Keys with more than ``RUN``
 fingerprints are dealt anew in pairs of chunks, which keeps every comparison and bounds a task's memory.
 
+``similar_links`` finds texts whose shingles are alike beyond what few bits of one fingerprint tell. Each text has several
+fingerprints of its set of words, which a changed word moves little; texts that meet in blocks of any of them are
+candidates, a longer fingerprint of the shingles ranks them (within a key its least spanning tree is kept, which holds
+what is connected at any threshold), and the tree's links are verified by the sets of shingles themselves.
+
 Null and empty texts and texts of white space alone have the fingerprint zero and link like any other.
 Repeated rows share a fingerprint. Null ids never name a component unless it has no other. An empty table
 gives no rows.
@@ -29,10 +34,12 @@ from pyspark.sql import functions as F
 
 from landloom.llm.arrow import batch_of, slices, utf8
 from landloom.llm.components import components
-from landloom.llm.staging import stage, texts
+from landloom.llm.staging import sized_broadcast, split_join, stage, texts
 
 #: Distinct fingerprints of one key that a task compares at once.
 RUN = 4096
+#: Ids of texts in links (8 bytes each) that are broadcast at most, and links after which a text is dealt in a further part.
+NODES, HUB = 2_000_000, 2_000
 SEED = 42
 #: Shingles whose bits are counted at once.
 _COUNTED = 1 << 16
@@ -176,13 +183,178 @@ def links(distinct: DataFrame, n: int, k: int = 4, blocks: int | None = None, ru
     return short.union(paired.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links(keep, k, None), schema).select("a", "b"))
 
 
+#: Words of 64 bits of the long fingerprint, fingerprints of the set of words, and bits in which blocks of these may differ.
+WIDE, TABLES, TABLE_BITS = 4, 4, 3
+
+
+def _bits(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of ``words`` times 64 bits over 64-bit hashes, each mixed anew for every word of bits."""
+    out = np.zeros(words, np.uint64)
+    for i in range(words):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), _COUNTED):
+            h = hashes[at : at + _COUNTED] * np.uint64(2 * 0x9E3779B97F4A7C15 * (i + 1) + 1 & 0xFFFFFFFFFFFFFFFF)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            ones += np.unpackbits((h ^ (h >> np.uint64(32))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[i] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _shingles(text: bytes, words: int) -> tuple[np.ndarray, list[bytes]]:
+    """Distinct hashes of a text's shingles (of all of it, if it is shorter), and its words."""
+    w = text.lower().split()
+    some = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(SEED)), np.uint64)), w
+
+
+def similarity(a: bytes, b: bytes, words: int) -> float:
+    """Jaccard similarity of two texts' sets of shingles."""
+    x, y = _shingles(a, words)[0], _shingles(b, words)[0]
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, tables (fingerprints of the set of words) and wide (the long fingerprint of the shingles) of every whole text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tables", pa.list_(pa.int64())), ("wide", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            tables, wide = [], []
+            for t in utf8(b):
+                hashes, w = _shingles(t, words)
+                kinds = np.fromiter(map(xxhash.xxh64_intdigest, set(w) or [b""], repeat(SEED)), np.uint64)
+                tables.append(_bits(kinds, TABLES).view(np.int64).tolist())
+                wide.append(_bits(hashes, WIDE).tobytes())
+            yield batch_of(schema, b.column("doc_id"), tables, wide)
+
+    return texts(docs).mapInArrow(run, "doc_id long, tables array<bigint>, wide binary")
+
+
+def tree(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a least spanning forest over long fingerprints (rows) that are at most ``most`` bits apart, by nearest node first."""
+    n = len(wide)
+    left, right = [], []
+    best, near = np.full(n, 1 << 30), np.zeros(n, np.int64)
+    open_ = np.arange(1, n)
+    at = 0
+    while len(open_):
+        far = np.bitwise_count(wide[open_] ^ wide[at]).sum(1, dtype=np.int64)
+        closer = far < best[open_]
+        best[open_[closer]], near[open_[closer]] = far[closer], at
+        pick = int(best[open_].argmin())
+        at = int(open_[pick])
+        if best[at] <= most:
+            left.append(near[at])
+            right.append(at)
+        open_ = np.delete(open_, pick)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("choice", pa.int32()), ("key", pa.int64()), ("wide", pa.binary())])
+
+
+def _trees(most: int, run: int | None):
+    """Over rows sorted by (choice, key): links of each key's tree; rows of keys over ``run`` come back with their choice and key."""
+
+    def settle(c: int, k: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate([h.column("doc_id").to_numpy() for h in held])
+        wide = np.frombuffer(b"".join(w for h in held for w in h.column("wide").to_pylist()), "<u8").reshape(-1, WIDE)
+        a, b = tree(wide, most)
+        if len(a):
+            yield batch_of(_PAIRS, pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), [-1] * len(a), [0] * len(a), pa.nulls(len(a), pa.binary()))
+
+    def passed(c: int, k: int, own: pa.RecordBatch) -> pa.RecordBatch:
+        return batch_of(_PAIRS, own.column("doc_id"), [0] * own.num_rows, [c] * own.num_rows, [k] * own.num_rows, own.column("wide"))
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n = None, [], 0
+        for b in batches:
+            c, k = b.column("choice").to_numpy(), b.column("key").to_numpy()
+            cuts = np.flatnonzero((np.diff(c) != 0) | (np.diff(k) != 0)) + 1
+            starts = np.append(0, cuts) if len(c) else cuts
+            ends = np.append(cuts, len(c)) if len(c) else cuts
+            alone = ends - starts == 1  # keys of one row, but for those that touch a batch's ends
+            for i in np.flatnonzero(~alone | (starts == 0) | (ends == len(c))).tolist():
+                own, key = b.slice(int(starts[i]), int(ends[i] - starts[i])), (int(c[starts[i]]), int(k[starts[i]]))
+                if key != now:
+                    if held and n > 1:
+                        yield from settle(*now, held)
+                    now, held, n = key, [], 0
+                n += own.num_rows
+                if run is not None and n > run:
+                    for h in held:
+                        yield passed(*now, h)
+                    held = []
+                    yield passed(*now, own)
+                else:
+                    held.append(own)
+        if held and n > 1:
+            yield from settle(*now, held)
+
+    return over
+
+
+def similar_links(docs: DataFrame, words: int = 5, least: float = 0.8, run: int = RUN) -> DataFrame:
+    """Verified links (a, b) between ids (distinct, not null) of texts whose shingles' similarity is ``least`` or more.
+
+    They connect what is connected among all candidates, but for pairs whose long fingerprints rank otherwise than their
+    shingles do; recall is measured in the README.
+    """
+    every = stage(sketches(docs, words).withColumn("same", F.xxhash64("tables", "wide")), "sketches")
+    # texts with the same fingerprints throughout are one row here, and linked to its least id
+    rows = stage(every.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("tables").alias("tables"), F.any_value("wide").alias("wide")), "distinct")
+    total = rows.count()
+    first = rows.where("n > 1").select("same", "n", F.col("doc_id").alias("a"))
+    stars = split_join(every.select("same", F.col("doc_id").alias("b")), stage(first, "first"), "same", "n", total).where("a < b").select("a", "b")
+    keep = masks(blocks_for(total, TABLE_BITS), TABLE_BITS)
+    signed = [m - (1 << 64) if m >> 63 else m for m in keep]
+    keyed = rows.select("doc_id", "wide", F.explode(F.arrays_zip(F.array(*(F.lit(t * len(keep) + i) for t in range(TABLES) for i in range(len(keep)))).alias("choice"), F.flatten(F.transform("tables", lambda t: F.array(*(t.bitwiseAND(F.lit(m).cast("long")) for m in signed)))).alias("key"))).alias("c"))
+    keyed = keyed.select(F.col("c.choice").cast("int").alias("choice"), F.col("c.key").alias("key"), "doc_id", "wide")
+    turn = float(np.arccos(2 * least / (1 + least)) / np.pi)  # of the long fingerprint's bits, on average, at the least similarity
+    most = round(64 * WIDE * turn + 2 * (64 * WIDE * turn * (1 - turn)) ** 0.5)
+    schema = "a long, b long, choice int, key long, wide binary"
+    found = stage(keyed.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_trees(most, run), schema), "trees")
+    short, long = found.where("choice < 0").select("a", "b"), found.where("choice >= 0").select("choice", F.col("key").alias("block"), F.col("a").alias("doc_id"), "wide")
+    # keys over the bound: chunks of their rows meet in pairs, each pair under a key of its own
+    sizes = long.groupBy("choice", "block").agg(F.ceil(F.count("*") / run).alias("chunks"))
+    own = long.join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, ["choice", "block"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), "chunks"))
+    paired = own.select("choice", "block", "doc_id", "wide", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    paired = paired.select("choice", F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "doc_id", "wide")
+    more = paired.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_trees(most, None), schema).select("a", "b")
+    return verified(docs, stage(short.unionByName(more).unionByName(stars).distinct(), "candidates"), words, least)
+
+
+def verified(docs: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
+    """The links (a, b) whose whole texts' sets of shingles are that similar. Only texts that stand in a link move."""
+    nodes = stage(links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("n")), "nodes")
+    known = stage(texts(docs).join(sized_broadcast(nodes, nodes.count(), NODES), "doc_id"), "texts")
+    right = links.join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    # a family's first text may stand in much of all links: it is broadcast in pieces of its own, others are shuffled
+    parts = known.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / HUB))).alias("part"), F.floor(F.col("n") / HUB).alias("last"))
+    hubs = nodes.select(F.col("doc_id").alias("a"), F.floor(F.col("n") / HUB).alias("parts")).where("parts > 0")  # at most one in HUB links
+    right = right.join(sized_broadcast(hubs, hubs.count(), NODES), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(0)) + 1))
+    pairs = right.join(parts.drop("last"), ["a", "part"]).select("a", "b", "ta", "tb")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices([batch], "tb"):
+                good = [similarity(x, y, words) >= least for x, y in zip(utf8(b, "ta"), utf8(b, "tb"), strict=True)]
+                yield b.select(["a", "b"]).cast(schema).filter(pa.array(good, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, k: int = 4) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links of at most ``k`` bits) of every row."""
     rows = stage(fingerprints(docs, words), "fingerprints")
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(distinct.select("fp"), distinct.count(), k))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
+    n = distinct.count()
+    roots = components(links(distinct.select("fp"), n, k))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
     named = stage(named, "roots")
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = stage(named.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    # a component may hold much of all fingerprints, and a fingerprint much of all rows
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
+    named = stage(split_join(named, stage(least, "least"), "root", "members", n).select("fp", "n", "component_id"), "named")
+    return split_join(rows, named, "fp", "n", n).select("doc_id", "fp", "component_id")

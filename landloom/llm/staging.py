@@ -49,3 +49,14 @@ def crc_bucket(doc_id: str = "doc_id", n: int = 5) -> Column:
 def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within the limit, else as it is (a shuffle join)."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def split_join(left: DataFrame, right: DataFrame, on: str, size: str, total: int, how: str = "inner", least: int = 2_000, most: int = 50_000) -> DataFrame:
+    """``left`` joined with the rows of ``right`` (one a key, which holds in column ``size`` how many rows of ``left`` have it), whatever one key holds.
+
+    Keys of a large part of all rows are at most ``most``: they are broadcast and their rows stay where they are. The others are shuffled.
+    """
+    hot = right.where(F.col(size) > max(least, total // most))
+    keys = F.broadcast(hot.select(on))
+    cold = left.join(keys, on, "left_anti").join(right.where(F.col(size) <= max(least, total // most)), on, how)
+    return cold.unionByName(left.join(F.broadcast(hot), on))

@@ -5,7 +5,7 @@ import corpus_pipeline
 from landloom.llm import byte_bpe, queries
 from tests.llm.test_exact_dedup import brute as brute_exact
 from tests.llm.test_quality import brute as brute_counts
-from tests.llm.test_simhash import brute_fp, brute_roots
+from tests.llm.test_simhash import brute_similar, components_of
 
 
 @pytest.fixture(scope="module")
@@ -39,9 +39,9 @@ def test_stages_against_brute_force(spark, sf):
     (raw, good), (_, once), (_, apart), (_, mixed), (_, coded) = after
     assert {r.doc_id for r in good} == {r.doc_id for r in raw if brute_counts(r.text)[0] >= 20 and r.doc_id % 6 or 200 <= r.doc_id < 400}
     assert sorted(r.doc_id for r in once) == sorted({d for d, keep, *_ in brute_exact(good) if d == keep})
-    fps = {r.doc_id: brute_fp(r.text) for r in once}
-    roots = brute_roots(list(fps.values()), 4)
-    assert {r.doc_id for r in apart} == {min(e for e in fps if roots[fps[e]] == roots[f]) for f in fps.values()}
+    once = sorted(once, key=lambda r: r.doc_id)
+    root = components_of(len(once), brute_similar([r.text for r in once], 5, 0.8))
+    assert {r.doc_id for r in apart} == {once[i].doc_id for i in root}
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in apart} and len(mixed) > 0.6 * len(apart)
     enc = byte_bpe.encoding(*__import__("tests.llm.test_tokens", fromlist=["BYTE"]).__dict__["PAIR"])
     text = {r.doc_id: r.text for r in mixed}

@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from landloom.llm import simhash
 from landloom.llm.components import components
@@ -73,3 +75,58 @@ def test_documents(spark, odd_documents):
     assert got == want and {1, 2, 3} <= {d for d, c in got if c == 1} and (5, 4) in got
     assert simhash.near_duplicates(odd_documents).count() == len(rows)
     assert simhash.near_duplicates(odd_documents.where("doc_id < 0")).count() == 0
+
+
+def brute_similar(texts, words, least):
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in ((t or "").encode().lower().split() for t in texts)]
+    return {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+
+
+def components_of(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("run", [4096, 5])
+def test_similar_links_against_brute_force(spark, run):
+    """Families of copies with a few changed words each: what brute force over all pairs connects is connected, and no more."""
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}" for i in range(1500)]
+    texts = []
+    for family in range(30):
+        base = list(rng.choice(vocab, 120))
+        texts.append(" ".join(base))
+        for _ in range(family % 5):
+            copy = list(base)
+            for at in rng.choice(120, 1 + family % 3, replace=False):
+                copy[at] = str(rng.choice(vocab))
+            texts.append(" ".join(copy))
+    texts += [None, "", " ", "one two", "One  two", texts[0], texts[0].upper(), "a b c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.a, r.b) for r in simhash.similar_links(docs, run=run).collect()}
+    want = brute_similar(texts, 5, 0.8)
+    assert got <= want
+    assert components_of(len(texts), got) == components_of(len(texts), want)
+    assert simhash.similar_links(docs.where("doc_id < 0")).count() == 0
+
+
+def test_tree_spans_by_nearest():
+    rng = np.random.default_rng(2)
+    wide = rng.integers(0, 1 << 62, (40, simhash.WIDE)).astype(np.uint64)
+    wide[20:] = wide[:20] ^ np.uint64(5)
+    a, b = simhash.tree(wide, 20)
+    assert sorted(map(sorted, zip(a.tolist(), b.tolist(), strict=True))) == [[i, i + 20] for i in range(20)]
+
+
+def test_one_group_of_half_of_all_rows(spark):
+    """A fingerprint and a component that hold much of all rows stay where they are: no task reads most of them."""
+    from landloom.llm.staging import split_join
+
+    left = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    out = split_join(left, right, "k", "n", 20_000)
+    assert out.count() == 20_000 and out.where("k = 0 and least <> 0").count() == 0
+    assert out.where("k = 0").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2_000
