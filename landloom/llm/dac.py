@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landloom.llm.arrow import batch_of, gathered, slices, split_words
-from landloom.llm.staging import shared_dir, texts
+from landloom.llm.staging import shared_dir, stage, texts
 
 #: Bits between two entries of a rank directory.
 RANK_BITS = 512
@@ -62,18 +62,23 @@ def unpack(levels: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
     return low if low is not None else np.zeros(0, np.uint32)
 
 
-def token_at(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: int) -> int:
-    """The id at position ``i`` of a segment: one byte, one bit and one rank a level."""
-    out, shift = 0, 0
+def tokens_at(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], at: np.ndarray) -> np.ndarray:
+    """The ids at some positions of a segment: one byte, one bit and one rank a level and id; nothing else is decoded."""
+    out, who, shift = np.zeros(len(at), np.uint32), np.arange(len(at)), 0
+    i = np.asarray(at, np.int64)
     for level, bitmap, rank in zip(levels, bitmaps, ranks, strict=True):
-        out |= level[i] << shift
-        if not bitmap[i >> 3] >> (i & 7) & 1:
-            return out
-        block = i // RANK_BITS
-        first = block * RANK_BITS // 8
-        before = int.from_bytes(bitmap[first : i >> 3], "little").bit_count() + (bitmap[i >> 3] & (1 << (i & 7)) - 1).bit_count()
-        i = int.from_bytes(rank[4 * block : 4 * block + 4], "little") + before
-        shift += 8
+        out[who] |= np.frombuffer(level, np.uint8)[i].astype(np.uint32) << np.uint32(shift)
+        bits = np.frombuffer(bitmap, np.uint8)
+        more = (bits[i >> 3] >> (i & 7).astype(np.uint8) & 1).astype(bool)
+        if not more.any():
+            break
+        i, who, shift = i[more], who[more], shift + 8
+        # ones before the position: the directory's count, and those of its block's bytes up to it
+        first = i // RANK_BITS * (RANK_BITS // 8)
+        places = first[:, None] + np.arange(RANK_BITS // 8)
+        own = bits[np.minimum(places, len(bits) - 1)]
+        own = np.where(places < (i >> 3)[:, None], own, np.where(places == (i >> 3)[:, None], own & ((1 << (i & 7)) - 1).astype(np.uint8)[:, None], 0))
+        i = np.frombuffer(rank, "<u4")[i // RANK_BITS].astype(np.int64) + np.bitwise_count(own).sum(1, dtype=np.int64)
     return out
 
 
@@ -96,6 +101,9 @@ class WordCodes:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), {}, {}
+        # words are cut apart here as this kind of tokenizer does; another kind must not be read so
+        if _PIECES.pattern not in str(self.tokenizer.pre_tokenizer) or "Lowercase()" not in str(self.tokenizer.normalizer):
+            raise ValueError("the tokenizer's file has another splitter than words are cut by")
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -205,14 +213,46 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
                 ids, ends = unpack(row["levels"], row["bitmaps"]).astype("<u4"), row["doc_ends"]
+                # each document's first and last id once more, by random access
+                some = np.unique(np.concatenate([np.array([0, *ends[:-1]]), np.array(ends) - 1]))
+                for at in range(0, len(some), _TOGETHER):
+                    to = some[at : at + _TOGETHER]
+                    if not np.array_equal(tokens_at(row["levels"], row["bitmaps"], row["ranks"], to), ids[to]):
+                        raise ValueError(f"segment {row['part']}, {row['seg']}: the rank directory and the levels differ")
                 spans = list(zip([0, *ends[:-1]], ends, strict=True))
                 n = len(ends)
                 yield batch_of(schema, row["doc_ids"], [row["part"]] * n, [row["seg"]] * n, [a for a, _ in spans], [z - a for a, z in spans], [zlib.crc32(ids[a:z].tobytes()) for a, z in spans])
 
-    read = files.select("part", "seg", "doc_ids", "doc_ends", "levels", "bitmaps").mapInArrow(run, "doc_id long, part int, seg int, at long, n_tokens long, ids_crc32 long")
+    read = files.select("part", "seg", "doc_ids", "doc_ends", "levels", "bitmaps", "ranks").mapInArrow(run, "doc_id long, part int, seg int, at long, n_tokens long, ids_crc32 long")
     return read.join(starts, ["part", "seg"]).select("doc_id", (F.col("seg_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup(wanted: DataFrame, path: str) -> DataFrame:
+    """doc_id, position and id of wanted tokens (doc_id, position: counted from 0 in a document), read from the segments by random access.
+
+    Positions outside of a document, and documents that aren't there, have a null id. Where an id stands on several
+    documents, each answers. Segments are read whole by those tasks alone that hold a wanted token of theirs.
+    """
+    files = wanted.sparkSession.read.schema(SEGMENTS).parquet(path)
+    ends = F.col("doc_ends")
+    spans = files.select("part", "seg", F.posexplode("doc_ids").alias("i", "doc_id"), ends)
+    spans = spans.select("part", "seg", "doc_id", F.when(F.col("i") > 0, F.get("doc_ends", F.col("i") - 1)).otherwise(F.lit(0)).alias("a"), F.get("doc_ends", "i").alias("z"))
+    asked = wanted.select("doc_id", F.col("position").cast("long").alias("position")).join(spans, "doc_id", "left")
+    inside = F.col("position").between(0, F.col("z") - F.col("a") - 1)
+    asked = stage(asked.select("doc_id", "position", "part", "seg", F.when(inside, F.col("a") + F.col("position")).alias("at")), "asked")
+    schema = "doc_id long, position long, id long"
+
+    def run(key: tuple, rows: pa.Table, segment: pa.Table) -> pa.Table:
+        held = segment.to_pylist()[0]
+        ids = tokens_at(held["levels"], held["bitmaps"], held["ranks"], rows.column("at").to_numpy())
+        return pa.table({"doc_id": rows.column("doc_id"), "position": rows.column("position"), "id": pa.array(ids.astype(np.int64))})
+
+    hits = asked.where("at is not null")
+    needed = files.join(hits.select("part", "seg").distinct(), ["part", "seg"], "left_semi").select("part", "seg", "levels", "bitmaps", "ranks")
+    found = hits.groupBy("part", "seg").cogroup(needed.groupBy("part", "seg")).applyInArrow(run, schema)
+    return found.unionByName(asked.where("at is null").select("doc_id", "position", F.lit(None).cast("long").alias("id")))
+
+
 def write_and_read(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Write the segments to a new folder of the shared directory and read the documents back from it."""
     import uuid

@@ -41,7 +41,8 @@ def test_codes_round_trip_and_address_every_token():
     for ids in (np.zeros(0, np.uint32), np.array([0]), np.array([2**32 - 1, 5, 255, 256]), rng.integers(0, 49408, 5000), rng.integers(0, 2**20, 3000)):
         levels, bitmaps, ranks = dac.pack(ids)
         assert dac.unpack(levels, bitmaps).tolist() == ids.tolist()
-        assert [dac.token_at(levels, bitmaps, ranks, i) for i in range(0, len(ids), 7)] == ids[::7].tolist()
+        assert dac.tokens_at(levels, bitmaps, ranks, np.arange(0, len(ids), 7)).tolist() == ids[::7].tolist()
+        assert dac.tokens_at(levels, bitmaps, ranks, np.arange(len(ids))[::-1]).tolist() == ids[::-1].tolist()
 
 
 def test_files_hold_the_library_s_ids(spark, odd_documents, monkeypatch):
@@ -69,3 +70,24 @@ def test_word_codes(word):
     texts = [word, f" a\t{word} {word}\r\n", "", None, "\n"]
     got = codes.encode(pa.RecordBatch.from_pydict({"text": texts}))
     assert [x.astype("<u4").tobytes() for x in got] == [codes.ids(t or "") for t in texts]
+
+
+def test_lookup_by_random_access(spark, odd_documents, tmp_path):
+    docs = odd_documents.where("doc_id is not null").dropDuplicates(["doc_id"])
+    path = str(tmp_path / "tokens")
+    dac.write(docs, WORD, 2, path, doc_bytes=60_000)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD)
+    ids = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
+    wanted = [(d, p) for d, x in ids.items() for p in {0, len(x) - 1, len(x), -1, len(x) // 2}] + [(77, 0)]
+    got = {(r.doc_id, r.position): r.id for r in dac.lookup(spark.createDataFrame(wanted, "doc_id long, position long"), path).collect()}
+    assert got == {(d, p): ids[d][p] if d in ids and 0 <= p < len(ids[d]) else None for d, p in wanted}
+
+
+def test_another_splitter_is_refused(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    Tokenizer(models.BPE()).save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError, match="splitter"):
+        dac.WordCodes(str(tmp_path / "t.json"))
