@@ -13,16 +13,18 @@ null ids last.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm.staging import sized_broadcast, stage
+from landloom.llm.staging import shared_dir, sized_broadcast, split_join, stage
 
 #: Distinct digests a filter is built over, on average; memory of a task is about 60 bytes a digest.
 BUCKET_KEYS = 50_000
-#: Rows of (doc_id, digest) that are broadcast at most: some 60 MB. More go by a shuffle join.
+#: Digests of groups (64 bytes each) that are broadcast at most: some 60 MB. More go by a shuffle join.
 BROADCAST_ROWS = 500_000
 
 
@@ -132,33 +134,63 @@ def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_screen, keyed.schema).drop("bucket")
 
 
-def dedup(docs: DataFrame, in_snapshot: Column) -> DataFrame:
+def write_snapshot(sides: DataFrame, path: str) -> None:
+    """An immutable snapshot below a folder: its distinct digests (sha, norm_bytes, fp, n, best) and their static filters, built once."""
+    buckets = max(1, -(-sides.count() // BUCKET_KEYS))
+    sides.write.parquet(f"{path}/digests")
+    build_filters(sides, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """Digests, filters and the number of buckets of a written snapshot."""
+    filters = spark.read.schema(FILTERS + ", buckets int").parquet(f"{path}/filters")
+    row = filters.select("buckets").first()
+    return spark.read.parquet(f"{path}/digests"), filters.drop("buckets"), row["buckets"] if row else 1
+
+
+def distinct_digests(rows: DataFrame) -> DataFrame:
+    """sha, norm_bytes, fp, n and best (most code points, then least id, null last) of each digest of ``rows`` (see ``digests``)."""
+    best = F.max(F.struct("chars", F.bitwise_not("doc_id").alias("minus_id"))).alias("best")
+    return rows.groupBy("sha", "norm_bytes", "fp").agg(F.count("*").alias("n"), best)
+
+
+def dedup(docs: DataFrame, in_snapshot: Column, path: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 and matched_snapshot.
 
-    ``in_snapshot`` (over doc_id) tells the rows of the immutable snapshot from those of the new batch. The
-    row that stays has the most code points, then the smallest doc_id.
+    ``in_snapshot`` (over doc_id) tells the rows of the immutable snapshot, which is written to ``path`` (else to a new
+    shared folder) and loaded from there, from those of the new batch. The row that stays has the most code points, then the smallest doc_id.
     """
+    spark = docs.sparkSession
     rows = stage(digests(docs).withColumn("old", F.coalesce(in_snapshot, F.lit(False))), "digests")
-    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("minus_id"))).alias("best")
-    sides = stage(rows.groupBy("sha", "norm_bytes", "fp", "old").agg(F.count("*").alias("n"), best), "sides")
-    old, new = sides.where("old"), sides.where(~F.col("old"))
-    buckets = max(1, -(-sides.count() // BUCKET_KEYS))
-    positives = screen(new, build_filters(old, buckets), buckets)
+    path = path or f"{shared_dir(spark)}/landloom/{uuid.uuid4().hex}/snapshot"
+    write_snapshot(distinct_digests(rows.where("old")), path)
+    old, filters, buckets = read_snapshot(spark, path)
+    new = stage(distinct_digests(rows.where(~F.col("old"))), "batch")
+    positives = screen(new, filters, buckets)
     met = positives.select("sha", "norm_bytes").join(old.select("sha", "norm_bytes"), ["sha", "norm_bytes"], "left_semi").withColumn("met", F.lit(True))
+    sides = old.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
     groups = sides.join(met, ["sha", "norm_bytes"], "left").groupBy("sha", "norm_bytes", F.when(F.col("met"), F.lit(None)).otherwise(F.col("old")).alias("side"))
     groups = stage(groups.agg(F.sum("n").alias("group_size"), F.max("best").alias("best"), F.first("met").alias("met")), "groups")
-    several = groups.where("group_size > 1").select("sha", "norm_bytes", F.col("group_size").alias("members"), F.col("best").alias("top"), "side", F.coalesce("met", F.lit(False)).alias("met"))
-    members = stage(rows.join(several, (rows.sha == several.sha) & (rows.norm_bytes == several.norm_bytes) & (several.side.isNull() | (several.side == rows.old)), "left").select(rows.doc_id, rows.chars, rows.sha, "members", "top", "met"), "members")
-    check_bytes(docs, members)
-    stays = F.coalesce(F.when(F.col("members").isNotNull(), -F.col("top.minus_id")), F.col("doc_id"))
-    return members.select("doc_id", stays.alias("keep_id"), F.coalesce("members", F.lit(1)).cast("long").alias("group_size"), stays.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"), F.coalesce("met", F.lit(False)).alias("matched_snapshot"))
-
-
-def check_bytes(docs: DataFrame, members: DataFrame) -> None:
-    """Compare the whole normalised texts within every group of two or more rows; raise if a digest lied."""
-    ids = members.where("members is not null").select("doc_id", "sha")
-    ids = sized_broadcast(ids, ids.count(), BROADCAST_ROWS)
-    texts = docs.select("doc_id", "text").join(ids, "doc_id").select("sha", normalised(F.col("text")).alias("norm")).where(F.sha2(F.col("norm").cast("binary"), 256) == F.col("sha"))  # an id may stand in rows of several groups
+    several = groups.where("group_size > 1")
+    check_bytes(docs, several.select("sha").distinct())
+    # a text that stands once needs no look-up; a group of much of all rows is met where its rows are
+    both = several.withColumn("side", F.explode(F.when(F.col("side").isNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array("side"))))
+    unit = lambda: F.concat_ws("/", "sha", F.col("norm_bytes").cast("string"), F.col("side").cast("string"))
+    found = both.select(unit().alias("unit"), F.col("group_size").alias("members"), F.col("best").alias("top"), F.coalesce("met", F.lit(False)).alias("met"))
+    keyed = rows.select("doc_id", F.concat_ws("/", "sha", F.col("norm_bytes").cast("string"), F.col("old").cast("string")).alias("unit"))
+    members = split_join(keyed, stage(found, "several"), "unit", "members", rows.count(), how="left")
+    stays = F.when(F.col("members").isNotNull(), F.bitwise_not("top.minus_id")).otherwise(F.col("doc_id"))
+    return members.select("doc_id", stays.alias("keep_id"), F.coalesce("members", F.lit(1)).cast("long").alias("group_size"), stays.eqNullSafe(F.col("doc_id")).alias("kept"), F.substring("unit", 1, 64).alias("text_sha256"), F.coalesce("met", F.lit(False)).alias("matched_snapshot"))
+
+
+def check_bytes(docs: DataFrame, shas: DataFrame) -> None:
+    """Compare the whole normalised texts within every group of two or more rows; raise if a digest lied.
+
+    Texts are met with the groups' digests, so rows without an id are compared, too, and only texts of groups move.
+    """
+    shas = stage(shas, "several_shas")
+    norm = docs.select(normalised(F.col("text")).alias("norm")).select("norm", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
+    texts = norm.join(sized_broadcast(shas, shas.count(), BROADCAST_ROWS), "sha", "left_semi")
     wrong = texts.groupBy("sha").agg(F.min("norm").alias("a"), F.max("norm").alias("z")).where("a <> z").limit(1).count()
     if wrong:
         raise ValueError("texts of one digest differ")
