@@ -15,19 +15,22 @@ rows are rows like others. An empty table gives no rows. With fewer groups than
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landloom.llm.staging import stage
+from landloom.llm.staging import shared_dir, split_join, stage
 
 BINS, TOLERANCE = 1024, 5e-4
 #: A group of equal texts stays whole if the cut beside it is off by this share of the node's bytes at most.
 GROUP_TOLERANCE = 4e-3
-#: Leaves that one tree is cut into at most; the tree is part of the plan. Shards can be cut again.
-MOST_SHARDS = 1024
+#: Leaves that one tree is cut into at most (a level's nodes are a broadcast table of that many rows, and their histograms reach
+#: the driver); for more shards each leaf stands for several and is cut by a tree of its own.
+MOST_LEAVES = 512
 #: Rows of a shard that are numbered by one task, about.
 SLOT_ROWS = 20_000
 DIMS = ("k_size", "k_lang", "k_source", "k_id")
@@ -51,53 +54,51 @@ def _meta(docs: DataFrame) -> DataFrame:
 def _units(rows: DataFrame) -> DataFrame:
     """Rows with the coordinates of their group of equal texts."""
     first = F.min(F.struct("doc_id", "lang", "source")).alias("first")
-    groups = rows.groupBy("h", "size").agg(first)
+    groups = rows.groupBy("h").agg(first, F.count("*").alias("n"))
     ends = rows.agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("a"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("z")).first()
     width = max(1, ends["z"] - ends["a"])
     hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(_UNIT))
-    groups = groups.select("h", "size", hashed("first.lang").alias("k_lang"), hashed("first.source").alias("k_source"), F.coalesce(F.floor((F.col("first.doc_id") - ends["a"]) / float(width) * (_UNIT - 1)), F.lit(0)).cast("long").alias("k_id"))
+    groups = groups.select("h", "n", hashed("first.lang").alias("k_lang"), hashed("first.source").alias("k_source"), F.coalesce(F.floor((F.col("first.doc_id") - ends["a"]) / float(width) * (_UNIT - 1)), F.lit(0)).cast("long").alias("k_id"))
     groups = stage(groups, "groups")
-    joined = rows.join(groups, ["h", "size"])
+    joined = split_join(rows.drop("lang", "source"), groups, "h", "n", rows.count())
     return joined.select("doc_id", "size", "text_crc32", F.coalesce("doc_id", F.lit(_LEAST)).alias("own_id"), F.pmod("h", F.lit(_UNIT)).alias("g"), F.least("size", F.lit(_UNIT - 1)).alias("k_size"), "k_lang", "k_source", "k_id")
 
 
-def _key(dim: int) -> Column:
-    return F.col(DIMS[dim]) * F.lit(_UNIT) + F.col("g")
+_OWN = len(DIMS)  # stands for the id where a group of equal texts is cut
 
 
-def _next(cuts: dict[int, Cut], nodes: list[int]) -> Column:
-    """The child that a row of one of ``nodes`` goes to (children of i are 2 i and 2 i + 1); other rows stay."""
-    out = F.col("node")
-    for i in nodes:
-        c, key = cuts[i], _key(cuts[i].dim)
-        left = (key < F.lit(c.key)) | ((key == F.lit(c.key)) & (F.col("own_id") <= F.lit(c.last_id)))
-        out = F.when(F.col("node") == i, F.when(left, F.lit(2 * i)).otherwise(F.lit(2 * i + 1))).otherwise(out)
+def _key() -> Column:
+    """A row's place along its node's dimension ``dim``: coordinate, then group of equal texts."""
+    g = lambda c: F.col(c) * F.lit(_UNIT) + F.col("g")
+    out = F.when(F.col("dim") == _OWN, F.col("own_id"))
+    for i, c in enumerate(DIMS):
+        out = out.when(F.col("dim") == i, g(c))
     return out
 
 
-def _pick(of: dict[int, Column], node: Column) -> Column:
-    out = F.lit(None)
-    for i, c in of.items():
-        out = F.when(node == i, c).otherwise(out)
-    return out.cast("long")
+def _table(rows: DataFrame, values: list[tuple], schema: str) -> DataFrame:
+    """A broadcast table of a row a node, MOST_LEAVES at most, from a literal."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    literal = F.lit(json.dumps([dict(zip(names, v, strict=True)) for v in values]))
+    return F.broadcast(rows.sparkSession.range(1).select(F.explode(F.from_json(literal, f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))).alias("x")).select("x.*"))
 
 
-def _search(rows: DataFrame, keys: dict[int, Column], span: dict[int, tuple[int, int]], aim: dict[int, float], total: dict[int, int]) -> dict[int, tuple[int, int, int, int]]:
+def _search(rows: DataFrame, dims: dict[int, int], span: dict[int, tuple[int, int]], aim: dict[int, float], total: dict[int, int]) -> dict[int, tuple[int, int, int, int]]:
     """For each node the key up to which the bytes are nearest to the aim: (key, bytes up to it, bytes below the key, 1 if good).
 
     ``rows`` has a column ``node``. Histograms zoom in; each round's hold BINS rows a node at most.
     """
     found, below = {}, dict.fromkeys(aim, 0)
     while len(found) < len(aim):
-        open_ = {i: k for i, k in keys.items() if i in aim and i not in found}
-        step = {i: max(1, -(-(span[i][1] - span[i][0] + 1) // BINS)) for i in open_}
-        key = _pick(open_, F.col("node"))
-        lo, hi, width = (_pick({i: F.lit(f(i)) for i in open_}, F.col("node")) for f in (lambda i: span[i][0], lambda i: span[i][1], lambda i: step[i]))
-        part = rows.where(F.col("node").isin(list(open_))).select("node", "size", key.alias("key"), lo.alias("lo"), hi.alias("hi"), width.alias("width")).where("key >= lo and key <= hi")
-        seen = part.groupBy("node", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("size").alias("w"), F.min("key").alias("a"), F.max("key").alias("z")).collect()
+        open_ = [i for i in dims if i in aim and i not in found]
+        asked = _table(rows, [(i, dims[i], *span[i], max(1, -(-(span[i][1] - span[i][0] + 1) // BINS))) for i in open_], "node long, dim int, lo long, hi long, width long")
+        part = rows.join(asked, "node").select("node", "size", _key().alias("key"), "lo", "hi", "width").where("key >= lo and key <= hi")
+        seen: dict[int, list] = {i: [] for i in open_}
+        for r in part.groupBy("node", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("size").alias("w"), F.min("key").alias("a"), F.max("key").alias("z")).collect():
+            seen[r.node].append(r)
         for i in open_:
             done, last = below[i], None
-            for r in sorted((r for r in seen if r.node == i), key=lambda r: r.bin):
+            for r in sorted(seen[i], key=lambda r: r.bin):
                 over, under = done + r.w - aim[i], aim[i] - done
                 if over < 0:
                     done, last = done + r.w, r.z
@@ -116,19 +117,18 @@ def _search(rows: DataFrame, keys: dict[int, Column], span: dict[int, tuple[int,
     return found
 
 
-def tree(units: DataFrame, shards: int) -> tuple[DataFrame, dict[int, int]]:
-    """``units`` with the leaf of each row as ``node`` (written anew a level), and the shard of each leaf."""
-    if shards > MOST_SHARDS:
-        raise ValueError(f"at most {MOST_SHARDS} shards; cut shards again for more")
-    cuts, leaves, nodes = {}, {}, {1: (0, shards)}
-    units = units.withColumn("node", F.lit(1))
+def tree(units: DataFrame, first: int, shards: int, most: int = MOST_LEAVES) -> DataFrame:
+    """``units`` with the shard of each row, from ``first`` on (written anew a level)."""
+    per_leaf = -(-shards // most)  # shards that a leaf of this tree stands for at most
+    leaves, nodes = {}, {1: (first, shards)}
+    units = units.withColumn("node", F.lit(1).cast("long"))
     whole = units.agg(*(F.coalesce(f(d), F.lit(0)).alias(f"{n}{i}") for i, d in enumerate(DIMS) for n, f in (("a", F.min), ("z", F.max)))).first()
     while nodes:
-        leaves |= {i: first for i, (first, m) in nodes.items() if m == 1}
-        nodes = {i: x for i, x in nodes.items() if x[1] > 1}
+        leaves |= {i: x for i, x in nodes.items() if x[1] <= per_leaf}
+        nodes = {i: x for i, x in nodes.items() if x[1] > per_leaf}
         if not nodes:
             break
-        rows = units.where(F.col("node").isin(list(nodes)))
+        rows = units.join(_table(units, [(i,) for i in nodes], "node long"), "node")
         facts = {r.node: r for r in rows.groupBy("node").agg(F.sum("size").alias("w"), *(f(d).alias(f"{n}{i}") for i, d in enumerate(DIMS) for n, f in (("a", F.min), ("z", F.max)))).collect()}
         dim, span, aim = {}, {}, {}
         for i, r in facts.items():
@@ -136,9 +136,8 @@ def tree(units: DataFrame, shards: int) -> tuple[DataFrame, dict[int, int]]:
             span[i] = (r[f"a{dim[i]}"] * _UNIT, r[f"z{dim[i]}"] * _UNIT + _UNIT - 1)
             aim[i] = r.w * (nodes[i][1] // 2) / nodes[i][1]
         total = {i: r.w for i, r in facts.items()}
-        found = _search(rows, {i: _key(d) for i, d in dim.items()}, span, dict(aim), total)
-        again = {}
-        for i, (key, upto, under, good) in found.items():
+        cuts, again = {i: Cut(0, 0, 0) for i in nodes}, {}  # nodes without rows keep an empty cut
+        for i, (key, upto, under, good) in _search(rows, dim, span, dict(aim), total).items():
             cuts[i] = Cut(dim[i], key, (1 << 63) - 1)
             near = min(upto - aim[i], aim[i] - under)
             if not good and near > GROUP_TOLERANCE * total[i]:
@@ -146,27 +145,35 @@ def tree(units: DataFrame, shards: int) -> tuple[DataFrame, dict[int, int]]:
             elif not good and aim[i] - under < upto - aim[i]:
                 cuts[i].key = key - 1
         if again:
-            hot = F.lit(False)
-            for i in again:
-                hot = hot | ((F.col("node") == i) & (_key(dim[i]) == cuts[i].key))
-            inner = rows.where(hot)
+            inner = rows.join(_table(rows, [(i, dim[i], cuts[i].key) for i in again], "node long, dim int, hot long"), "node").where(_key() == F.col("hot")).drop("dim", "hot")
             ends = {r.node: (r.a, r.z) for r in inner.groupBy("node").agg(F.min("own_id").alias("a"), F.max("own_id").alias("z")).collect()}
-            for i, (last, *_) in _search(inner, {i: F.col("own_id") for i in again}, ends, again, total).items():
+            for i, (last, *_) in _search(inner, dict.fromkeys(again, _OWN), ends, again, total).items():
                 cuts[i].last_id = last
-        for i, (first, m) in list(nodes.items()):
-            cuts.setdefault(i, Cut(0, 0, 0))  # an empty node
-        units = stage(units.withColumn("node", _next(cuts, list(nodes))), "level")
-        nodes = {c: x for i, (first, m) in nodes.items() for c, x in ((2 * i, (first, m // 2)), (2 * i + 1, (first + m // 2, m - m // 2)))}
-    return units, leaves
-
-
-def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
+        # the children of i are 2 i and 2 i + 1
+        cut = _table(units, [(i, c.dim, c.key, c.last_id) for i, c in cuts.items()], "node long, dim int, cut long, last_id long")
+        left = (_key() < F.col("cut")) | ((_key() == F.col("cut")) & (F.col("own_id") <= F.col("last_id")))
+        child = F.when(F.col("cut").isNull(), F.col("node")).when(left, 2 * F.col("node")).otherwise(2 * F.col("node") + 1)
+        units = stage(units.join(cut, "node", "left").withColumn("node", child).select(units.columns), "level")
+        nodes = {c: x for i, (f, m) in nodes.items() for c, x in ((2 * i, (f, m // 2)), (2 * i + 1, (f + m // 2, m - m // 2)))}
+    named = _table(units, [(i, f) for i, (f, _) in leaves.items()], "node long, shard int")
+    if per_leaf == 1:
+        return units.join(named, "node").drop("node")
+    path = f"{shared_dir(units.sparkSession)}/landloom/{uuid.uuid4().hex}/leaves"
+    units.write.partitionBy("node").parquet(path)  # a folder a leaf, so that each is read alone
+    parts = units.sparkSession.read.schema(units.schema).parquet(path)
+    to = f"{shared_dir(units.sparkSession)}/landloom/{uuid.uuid4().hex}/sharded"
+    for i, (f, m) in leaves.items():
+        tree(parts.where(F.col("node") == i).drop("node"), f, m, most).write.mode("append").parquet(to)
+    schema = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in units.schema if c.name != "node") + ", shard int"
+    return units.sparkSession.read.schema(schema).parquet(to)
+
+
+def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, leaves: int = MOST_LEAVES) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row: ``shards`` leaves, or as many as bring them to ``target_bytes``."""
     units = stage(_units(stage(_meta(docs), "meta")), "units")
     facts = units.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("w"), F.count("*").alias("n")).first()
     shards = shards or max(1, -(-facts["w"] // (target_bytes or 256 << 20)))
-    units, leaves = tree(units, shards)
-    dealt = stage(units.select("doc_id", "size", "text_crc32", _pick({i: F.lit(s) for i, s in leaves.items()}, F.col("node")).cast("int").alias("shard"), "own_id"), "dealt")
+    dealt = stage(tree(units, 0, shards, leaves).select("doc_id", "size", "text_crc32", "shard", "own_id"), "dealt")
     # slots: each shard is numbered in blocks by a hash, so that no task holds a whole shard
     blocks = max(64, -(-facts["n"] // (shards * SLOT_ROWS)))
     keyed = dealt.withColumn("block", F.pmod(F.xxhash64("own_id", "text_crc32"), F.lit(blocks)))

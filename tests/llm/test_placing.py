@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from landloom.llm import kd_shards, mixing
 
@@ -37,8 +38,18 @@ def test_odd_documents_and_none(spark, odd_documents):
     got = kd_shards.shard(odd_documents, 4).collect()
     assert len(got) == odd_documents.count() and {r.size for r in got if r.doc_id in (1, 2)} == {1}
     assert kd_shards.shard(odd_documents.where("doc_id < 0"), 4).count() == 0
-    with pytest.raises(ValueError):
-        kd_shards.shard(odd_documents, 5000)
+
+
+def test_more_shards_than_a_tree_has_leaves(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 50 + 100).cast("int")).alias("t"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"))
+    docs = rows.select("doc_id", F.concat("t", F.col("doc_id").cast("string")).alias("text"), "lang", "source")
+    got = kd_shards.shard(docs, shards=50, leaves=6).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    mean = sum(sizes.values()) / 50
+    assert sorted(r.doc_id for r in got) == list(range(3000)) and set(sizes) == set(range(50))
+    assert max(abs(x - mean) for x in sizes.values()) < 0.08 * mean
 
 
 def brute_rake(cells, targets, sweeps=500):
