@@ -3,44 +3,140 @@
 Tokens are summed by cells of (source, language, topic). Each sweep scales the cells to the target shares of
 one dimension after the other, until all marginals fit; a cell's multiplier is its fitted weight over its
 tokens. Documents are then sampled with probability min(1, k times the multiplier) by a hash of their id; k
-is found so that the expected tokens reach a share of all.
+is found so that the expected tokens reach a share of all. Targets that contradict each other can't all fit: the
+``misfit`` (the largest logarithm of a factor that the last sweep still applied) tells how far off the marginals are.
+
+Topics are clusters of texts: each text's words are hashed into ``DIM`` places, counted, and the counts' square roots
+scaled to length one; spherical k-means over all texts, less their mean, finds ``TOPICS`` centres. Sums of a round are
+made by tasks; TOPICS times DIM numbers reach the driver.
 
 Null values of a dimension are a value of their own. Values without a target, or with target zero, get weight
 zero; targets of values that no document has are left out and the others scaled up. Null and empty texts have
-no tokens and are sampled with their cell's probability. Repeated rows share one fate. An empty table gives
-no rows.
+no tokens, are of the topic "empty" and are sampled with their cell's probability. Repeated rows share one fate. An empty
+table gives no rows. Ties between centres go to the first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from landloom.llm.arrow import batch_of, slices, split_words
 from landloom.llm.staging import sized_broadcast, stage
 
 DIMS = ("source", "lang", "topic")
 #: Cells that are collected or broadcast to the documents at most; more go by joins.
 BROADCAST_CELLS = 100_000
+#: Places that words are hashed into, clusters, rounds, and texts that the first centres are picked from.
+DIM, TOPICS, ROUNDS, SEEDS = 128, 8, 6, 256
 _KINDS = 64
 
 
-def n_tokens(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words and hashed vector (length one, or zero) of each text."""
+    starts, codes, distinct = split_words(batch, lower=True)
+    place = np.fromiter((xxhash.xxh32_intdigest(w) % DIM for w in distinct), np.int64, len(distinct))
+    n = len(starts) - 1
+    text = np.repeat(np.arange(n), np.diff(starts))
+    x = np.sqrt(np.bincount(text * DIM + place[codes], minlength=n * DIM).reshape(n, DIM))
+    return np.diff(starts), (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
+
+
+def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("n_tokens", pa.int64()), ("vector", pa.binary())])
+    for b in slices(batches):
+        if b.num_rows:
+            n, x = vectors(b)
+            yield batch_of(schema, b.column("doc_id"), b.column("source"), b.column("lang"), pa.array(n), [v.tobytes() for v in x.astype(np.float16)])
+
+
+class Topics:
+    """The mean of all vectors and the clusters' centres."""
+
+    def __init__(self, mean: np.ndarray, centres: np.ndarray):
+        self.mean, self.centres = mean, centres
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) @ self.centres.T).argmax(1)
+
+
+def _vectors_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)
+
+
+def _sums(rows: DataFrame, topics: Topics | None) -> np.ndarray:
+    """Sums of the vectors (less the mean, scaled to one) of each cluster; of all as they are without topics."""
+    sent = rows.sparkSession.sparkContext.broadcast(topics)
+    schema = pa.schema([("cluster", pa.int64()), ("place", pa.int64()), ("value", pa.float64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, out = sent.value, np.zeros((TOPICS, DIM + 1))
+        for b in batches:
+            if b.num_rows:
+                x = _vectors_of(b.column("vector"))
+                own = np.zeros(len(x), np.int64)
+                if t is not None:
+                    own = t.nearest(x)
+                    x = x - t.mean
+                    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+                x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+                for c in range(TOPICS):
+                    out[c] += x[own == c].sum(0, dtype=np.float64)
+        at = np.flatnonzero(out)
+        yield batch_of(schema, pa.array(at // (DIM + 1)), pa.array(at % (DIM + 1)), pa.array(out.ravel()[at]))
+
+    found = rows.where("n_tokens > 0").select("vector").mapInArrow(run, "cluster long, place long, value double").groupBy("cluster", "place").agg(F.sum("value").alias("v")).toArrow()
+    out = np.zeros((TOPICS, DIM + 1))
+    out[found.column("cluster").to_numpy(), found.column("place").to_numpy()] = found.column("v").to_numpy()
+    return out
+
+
+def fit_topics(rows: DataFrame, rounds: int = ROUNDS) -> Topics:
+    """k-means over all vectors; the first centres are the farthest from each other among ``SEEDS`` texts picked by a hash."""
+    whole = _sums(rows, None)[0]
+    mean = (whole[:-1] / max(whole[-1], 1)).astype(np.float32)
+    seeds = rows.where("n_tokens > 0").select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(SEEDS).toArrow()
+    x = _vectors_of(seeds.column("vector").combine_chunks()) - mean if seeds.num_rows else np.zeros((1, DIM), np.float32)
+    x = np.unique(x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12), axis=0)
+    picked = [0]
+    while len(picked) < min(TOPICS, len(x)):
+        picked.append(int((x @ x[picked].T).max(1).argmin()))
+    topics = Topics(mean, x[picked])
+    for _ in range(rounds if whole[-1] else 0):
+        sums = _sums(rows, topics)
+        centres = sums[: len(topics.centres), :-1]
+        norm = np.sqrt((centres * centres).sum(1, keepdims=True))
+        topics = Topics(mean, np.where(norm > 1e-9, centres / np.maximum(norm, 1e-12), topics.centres).astype(np.float32))
+    return topics
+
+
+def _named(topics: Topics, n: np.ndarray, x: np.ndarray) -> list[str]:
+    return [f"t{c}" if m else "empty" for c, m in zip(topics.nearest(x).tolist(), n.tolist(), strict=True)]
+
 
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, n_tokens and vector of every row, written."""
+    return stage(docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(_featured, "doc_id long, source string, lang string, n_tokens long, vector binary"), "features")
 
-def topic(text: Column) -> Column:
-    """A text's register, by what stands in it: tables, marked-up words, shouting, figures, or prose by length."""
-    text = F.coalesce(text, F.lit(""))
-    size = F.char_length(text)
-    without = lambda chars: size - F.char_length(F.translate(text, chars, ""))
-    return (
-        F.when(size == 0, "empty").when(without("|") * 40 > size, "table").when(without("#*$%&<>") * 20 > size, "marked").when(without("!") * 20 > size, "shouted").when(without("0123456789") * 25 > size, "figures").when(size < 1000, "short prose").otherwise("prose")
-    )
+
+def with_topics(rows: DataFrame, topics: Topics) -> DataFrame:
+    """Featured rows with ``topic`` instead of the vector."""
+    sent = rows.sparkSession.sparkContext.broadcast(topics)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                named = _named(sent.value, b.column("n_tokens").to_numpy(), _vectors_of(b.column("vector")))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "source", "lang", "n_tokens")), pa.array(named)], names=["doc_id", "source", "lang", "n_tokens", "topic"])
+
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long, topic string")
 
 
 def cells_of(rows: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
@@ -77,16 +173,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 60, erro
         fitted = fitted.drop(*misfits)
         if worst is None or worst <= error:
             break
-    return fitted
+    return fitted.withColumn("misfit", F.lit(float(worst or 0.0)))
 
 
-def _rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, error: float) -> DataFrame:
-    table = cells.toArrow()
-    weight = table.column("tokens").to_numpy().astype(float)
-    total, dims = weight.sum(), []
-    for dim, target in targets.items():
-        wanted, known = {r.value: r.share for r in target.collect()}, {}
-        codes = np.array([known.setdefault(v, len(known)) for v in table.column(dim).to_pylist()], np.int64)
+def _shares(target: DataFrame) -> dict:
+    return {r.value: r.share for r in target.collect()}
+
+
+def fit_weights(tokens: np.ndarray, values: list[list], shares: list[dict], sweeps: int = 60, error: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Fitted weights of cells, and the misfit: ``values`` of each dimension by cell, and each dimension's target shares."""
+    weight = tokens.astype(float)
+    total, dims, worst = weight.sum(), [], 0.0
+    for own, wanted in zip(values, shares, strict=True):
+        known: dict = {}
+        codes = np.array([known.setdefault(v, len(known)) for v in own], np.int64)
         dims.append((codes, np.array([wanted.get(v) or 0.0 for v in known])))
     for _ in range(sweeps if len(weight) else 0):
         worst = 0.0
@@ -98,8 +198,22 @@ def _rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, e
             worst = max(worst, np.abs(np.log(by[by > 0])).max(initial=0))
         if worst <= error:
             break
-    fitted = table.append_column("weight", pa.array(weight))
-    return cells.sparkSession.createDataFrame(fitted, schema=T.StructType([*cells.schema.fields, T.StructField("weight", T.DoubleType())])) if len(weight) else cells.withColumn("weight", F.col("tokens"))
+    return weight, float(worst)
+
+
+def _rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, error: float) -> DataFrame:
+    table = cells.toArrow()
+    weight, worst = fit_weights(table.column("tokens").to_numpy(), [table.column(d).to_pylist() for d in targets], [_shares(t) for t in targets.values()], sweeps, error)
+    return _frame(cells, table, {"weight": weight, "misfit": np.full(len(weight), worst)})
+
+
+def _frame(cells: DataFrame, table: pa.Table, more: dict[str, np.ndarray]) -> DataFrame:
+    """Collected cells with further columns of doubles."""
+    if not table.num_rows:
+        return cells.withColumns({c: F.lit(0.0) for c in more})
+    for c, v in more.items():
+        table = table.append_column(c, pa.array(v))
+    return cells.sparkSession.createDataFrame(table, schema=T.StructType([*cells.schema.fields, *(T.StructField(c, T.DoubleType()) for c in more)]))
 
 
 def probabilities(fitted: DataFrame, rate: float) -> DataFrame:
@@ -117,29 +231,66 @@ def probabilities(fitted: DataFrame, rate: float) -> DataFrame:
 
 def keep(docs: DataFrame, rate: float = 0.8, power: float = 0.7, targets: dict[str, DataFrame] | None = None, seed: int = 5) -> DataFrame:
     """The sampled rows of ``docs``, with their columns; texts aren't shuffled while the cells are few."""
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("source"), F.col("lang"), topic(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens"))
-    cells = stage(cells_of(keyed.drop("row")), "cells")
-    fitted = _fitted(cells, rate, power, targets)
-    joined = keyed.join(sized_broadcast(fitted, fitted.count(), BROADCAST_CELLS), _same())
-    return joined.where(_draw(seed) < F.col("prob")).select("row.*")
+    features = featured(docs)
+    topics = fit_topics(features)
+    fitted = _fitted(stage(cells_of(with_topics(features, topics)), "cells"), rate, power, targets)
+    sent = docs.sparkSession.sparkContext.broadcast(topics)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_named(sent.value, *_rounded(b)))], names=[*b.schema.names, "_own_topic"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_own_topic", T.StringType())])
+    keyed = docs.mapInArrow(run, schema).withColumnRenamed("_own_topic", "_t")
+    same = F.col("source").cast("string").eqNullSafe(F.col("_source")) & F.col("lang").cast("string").eqNullSafe(F.col("_lang")) & (F.col("_t") == F.col("_topic"))
+    joined = keyed.join(sized_broadcast(fitted, fitted.count(), BROADCAST_CELLS), same, "left")
+    return joined.where(_draw(seed) < F.coalesce("prob", F.lit(1.0))).select(*docs.columns)
+
+
+def _rounded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """As ``vectors``, rounded as the written ones are."""
+    n, x = vectors(batch)
+    return n, x.astype(np.float16).astype(np.float32)
 
 
 def sample(docs: DataFrame, rate: float = 0.8, power: float = 0.7, targets: dict[str, DataFrame] | None = None, seed: int = 5) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, multiplier, prob and sampled of every row.
+    """doc_id, source, lang, topic, n_tokens, multiplier, prob, sampled and misfit of every row.
 
     Without ``targets`` the shares are the present ones to the given power, which lifts small sources,
     languages and topics.
     """
-    rows = stage(docs.select("doc_id", "source", "lang", topic(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens")), "rows")
-    cells = stage(cells_of(rows), "cells")
-    fitted = _fitted(cells, rate, power, targets)
+    features = featured(docs)
+    rows = stage(with_topics(features, fit_topics(features)), "rows")
+    fitted = _fitted(stage(cells_of(rows), "cells"), rate, power, targets)
     joined = rows.join(sized_broadcast(fitted, fitted.count(), BROADCAST_CELLS), _same())
-    return joined.select("doc_id", *DIMS, "n_tokens", "multiplier", "prob", (_draw(seed) < F.col("prob")).alias("sampled"))
+    return joined.select("doc_id", *DIMS, "n_tokens", "multiplier", "prob", (_draw(seed) < F.col("prob")).alias("sampled"), "misfit")
 
 
 def _fitted(cells: DataFrame, rate: float, power: float, targets: dict[str, DataFrame] | None) -> DataFrame:
-    fitted = probabilities(rake(cells, targets or {d: tempered(cells, d, power) for d in DIMS}), rate)
-    return stage(fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "multiplier", "prob"), "prob")
+    """_source, _lang, _topic, multiplier, prob and misfit of each cell: in arrays, if the cells are few, else by joins."""
+    if cells.limit(BROADCAST_CELLS + 1).count() > BROADCAST_CELLS or targets and max(t.limit(BROADCAST_CELLS + 1).count() for t in targets.values()) > BROADCAST_CELLS:
+        fitted = probabilities(rake(cells, targets or {d: tempered(cells, d, power) for d in DIMS}), rate)
+    else:
+        table = cells.toArrow()
+        tokens, values = table.column("tokens").to_numpy().astype(float), {d: table.column(d).to_pylist() for d in DIMS}
+        shares = {d: _shares(t) for d, t in targets.items()} if targets else {d: _tempered(tokens, values[d], power) for d in DIMS}
+        weight, worst = fit_weights(tokens, [values[d] for d in shares], list(shares.values()))
+        multiplier = np.divide(weight, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
+        lo, hi = 0.0, 1 / multiplier[multiplier > 0].min(initial=1.0) if len(tokens) else 1.0
+        for _ in range(60):  # halves the span of factors that reach the rate
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (tokens * np.minimum(1, multiplier * mid)).sum() <= rate * tokens.sum() else (lo, mid)
+        fitted = _frame(cells, table, {"multiplier": multiplier, "prob": np.minimum(1, multiplier * hi), "misfit": np.full(len(tokens), worst)})
+    return stage(fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "multiplier", "prob", "misfit"), "prob")
+
+
+def _tempered(tokens: np.ndarray, values: list, power: float) -> dict:
+    sums: dict = {}
+    for v, t in zip(values, tokens.tolist(), strict=True):
+        sums[v] = sums.get(v, 0.0) + t
+    powers = {v: t**power for v, t in sums.items()}
+    return {v: p / max(sum(powers.values()), 1e-300) for v, p in powers.items()}
 
 
 def _same() -> Column:

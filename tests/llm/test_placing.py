@@ -90,3 +90,29 @@ def test_sampling(spark, odd_documents):
     assert mixing.sample(odd_documents.where("doc_id < 0")).count() == 0
     words = {r.doc_id: r.n_tokens for r in got}
     assert words[4] == 6 and words[1] == words[2] == words[3] == 0
+
+
+def test_topics_part_vocabularies_and_follow_the_rows(spark):
+    rng = np.random.default_rng(3)
+    vocab = [[f"{t}{i}" for i in range(60)] for t in ("tax", "sea", "oak")]
+    rows = [(i, " ".join(rng.choice(vocab[i % 3], 80)), "en", f"s{i % 2}") for i in range(240)] + [(300, None, "en", "s0"), (301, " ", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in mixing.sample(docs, rate=0.5).collect()}
+    seen = [{got[i].topic for i in range(t, 240, 3)} for t in range(3)]
+    assert not seen[0] & seen[1] and not seen[0] & seen[2] and not seen[1] & seen[2] and {got[300].topic, got[301].topic} == {"empty"}
+    assert {i: got[i].n_tokens for i in (0, 300, 301)} == {0: 80, 300: 0, 301: 0}
+    tokens = sum(r.n_tokens for r in got.values())
+    assert sum(r.n_tokens * r.prob for r in got.values()) == pytest.approx(0.5 * tokens, rel=1e-3)
+    again = {r.doc_id: r.topic for r in mixing.sample(docs.repartition(7), rate=0.5).collect()}
+    assert again == {i: r.topic for i, r in got.items()}
+
+
+def test_targets_that_contradict_each_other_show_a_misfit(spark):
+    rows = [(i, "a b c", "en" if i % 2 else "de", "x" if i % 2 else "y") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    to = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    fits = {"source": to({"x": 0.3, "y": 0.7}), "lang": to({"en": 0.3, "de": 0.7})}
+    not_ = {"source": to({"x": 0.3, "y": 0.7}), "lang": to({"en": 0.7, "de": 0.3})}
+    assert mixing.sample(docs, targets=fits).first().misfit < 1e-5 and mixing.sample(docs, targets=not_).first().misfit > 0.1
+    one = {r.source: r.multiplier for r in mixing.sample(docs, targets=fits).collect()}
+    assert one == pytest.approx({"x": 0.6, "y": 1.4})
