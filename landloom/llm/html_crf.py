@@ -90,7 +90,7 @@ def blocks(page: str) -> list[Block]:
 
     def close() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        text = " ".join("".join(parts).split()) if parts else ""
         if text:
             out.append(Block(text, _features(text, linked, stack), int(any(x[2] for x in stack))))
         parts.clear()
@@ -99,7 +99,7 @@ def blocks(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             own = page[at : m.start()]
-            parts.append(own)
+            parts.append(html.unescape(own))  # a reference ends where a tag begins
             linked += len(own) * bool(in_link)
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
@@ -124,7 +124,7 @@ def blocks(page: str) -> list[Block]:
                     stack.append((tag, frozenset(_kinds(attrs)), LABEL in attrs))
             in_link = 0 if tag not in ("p", "div", "h1", "h2", "h3", "h4") else in_link
     if at < len(page):
-        parts.append(page[at:])
+        parts.append(html.unescape(page[at:]))
     close()
     if out:
         out[0].features.append(FEATURES["first"])
@@ -263,11 +263,15 @@ def by_markup(page: str) -> list[Block]:
 
 
 def train(pages: DataFrame, most: int = FIT_PAGES) -> Field:
-    """A field of the given layouts and of at most ``most`` pages, chosen by a hash of their id."""
-    short = pages.where(F.char_length("html") <= FIT_CHARS).select("html", F.xxhash64("page_id").alias("h"))
-    ranks = short.select("h").orderBy("h").limit(most).collect()  # hashes alone; then the pages up to the last of them
-    chosen = short.where(F.col("h") <= ranks[-1].h).limit(most).collect() if ranks else []
-    return fit(layouts() + [by_markup(r.html) for r in sorted(chosen, key=lambda r: r.h)])
+    """A field of the given layouts and of at most ``most`` different pages, chosen by hashes of their id and html."""
+    short = pages.where(F.char_length("html") <= FIT_CHARS).select("html", F.xxhash64("page_id").alias("h"), F.xxhash64("html").alias("of"))
+    ranks = short.select("h", "of").distinct().orderBy("h", "of").limit(most).collect()  # hashes alone; then the pages up to the last of them
+    chosen = []
+    if ranks:
+        last = ranks[-1]
+        upto = (F.col("h") < last.h) | ((F.col("h") == last.h) & (F.col("of") <= last.of))
+        chosen = short.where(upto).groupBy("h", "of").agg(F.min("html").alias("html")).orderBy("h", "of").collect()  # ``most`` rows
+    return fit(layouts() + [by_markup(r.html) for r in chosen])
 
 
 def main_text(page: str, field: Field) -> str:
