@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landloom.llm.arrow import batch_of, slices, utf8
@@ -78,19 +79,27 @@ def resync(left: str, right_from: int, pattern: str) -> int:
 
 
 def segments(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """doc (key), seg and text of the independent segments of long texts (columns doc, text)."""
-    chunks = long.select("doc", F.posexplode(F.transform(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(chunk)), lambda s: F.substring("text", s + 1, F.lit(chunk + overlap)))).alias("k", "text"))
-    schema = pa.schema([("doc", pa.string()), ("k", pa.int32()), ("cut", pa.int64())])
+    """doc (key), seg and text of the independent segments of long texts (columns doc, text).
+
+    A text is cut into chunks in one pass; each meets the next one's begin, and what lies before and behind the places where
+    they resynchronise is put together by segment. The work is linear in a text's length.
+    """
+    bases = stage(long.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{chunk}}})"), F.lit(1))).alias("k", "base")), "chunks")
+    order = W.partitionBy("doc").orderBy("k")
+    pairs = bases.withColumn("next", F.substring(F.lead("base").over(order), 1, overlap)).where("next is not null").select("doc", "k", F.concat("base", "next").alias("text"))
+    schema = pa.schema([("doc", pa.string()), ("k", pa.int32()), ("cut", pa.int32())])
 
     def cuts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=SLICE):
-            found = [resync(t, chunk, pattern) if len(t) > chunk else -1 for t in b.column("text").to_pylist()]
-            yield batch_of(schema, b.column("doc"), b.column("k"), [k * chunk + x if x > 0 else -1 for k, x in zip(b.column("k").to_pylist(), found, strict=True)])
+            found = [resync(t, chunk, pattern) for t in b.column("text").to_pylist()]
+            yield batch_of(schema, b.column("doc"), [k + 1 for k in b.column("k").to_pylist()], [x - chunk for x in found])
 
-    at = chunks.repartition("doc", "k").mapInArrow(cuts, "doc string, k int, cut long").where("cut > 0").groupBy("doc").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
-    whole = long.join(at, "doc", "left").select("doc", "text", F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", F.array().cast("array<bigint>")), F.array(F.char_length("text").cast("long"))).alias("cuts"))
-    parts = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda i: F.substring("text", (F.element_at("cuts", i) + 1).cast("int"), (F.element_at("cuts", i + 1) - F.element_at("cuts", i)).cast("int")))
-    return whole.select("doc", F.posexplode(parts).alias("seg", "text"))
+    at = pairs.repartition("doc", "k").mapInArrow(cuts, "doc string, k int, cut int").where("cut > 0")
+    cut = F.col("cut")
+    placed = bases.join(at, ["doc", "k"], "left").withColumn("seg", F.count("cut").over(order))
+    head, tail = F.struct((F.col("seg") - 1).alias("seg"), (2 * F.col("k")).alias("n"), F.substring("base", F.lit(1), cut).alias("text")), F.struct(F.col("seg"), (2 * F.col("k") + 1).alias("n"), F.substring("base", cut + 1, F.lit(chunk)).alias("text"))
+    pieces = placed.select("doc", F.explode(F.when(cut.isNull(), F.array(F.struct("seg", (2 * F.col("k")).alias("n"), F.col("base").alias("text")))).otherwise(F.array(head, tail))).alias("p")).select("doc", "p.*")
+    return pieces.groupBy("doc", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
 def _encoder(path: str, pattern: str, keys: list[str]) -> Callable:
@@ -114,9 +123,9 @@ def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap:
     """Texts over a chunk, by independent segments that any executor encodes."""
     long = rows.where(F.char_length("text") > chunk).withColumn("doc", F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.col("text").cast("binary"), 256)))
     long = stage(long.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "long")
-    coded = segments(long.select("doc", "text"), pattern, chunk, overlap).repartition("doc", "seg").mapInArrow(_encoder(path, pattern, ["doc", "seg"]), "doc string, seg int, ids binary")
+    coded = segments(long.select("doc", "text"), pattern, chunk, overlap).repartition("doc", "seg").mapInArrow(_encoder(path, pattern, ["doc", "seg"]), "doc string, seg long, ids binary")
     whole = coded.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("seg", "ids"))).alias("parts"))
-    whole = whole.select("doc", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    whole = whole.select("doc", F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), "")).alias("ids"))
     return long.select("doc", "doc_id", "copies").join(whole, "doc").select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("doc_id", "ids")
 
 
