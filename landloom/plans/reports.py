@@ -223,7 +223,7 @@ def facet_filter_count(spark, sf):
 OUTCOMES = "o AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, CASE WHEN page_id % 7 = 0 THEN 'missing-file' WHEN page_id % 7 = 1 THEN 'checksum-mismatch' WHEN page_id % 3 = 0 THEN 'skipped' ELSE 'imported' END AS outcome FROM pages)"
 
 
-@query(f"""WITH {OUTCOMES} SELECT unnest(['attachments', 'bytes', 'listed', 'imported', 'replaced', 'skipped', 'rejected', 'orphaned']) AS figure, unnest([(SELECT count(*) FROM o), (SELECT coalesce(sum(bytes), 0) FROM o), (SELECT count(*) FROM o WHERE page_id % 3 = 0), (SELECT count(*) FROM o WHERE outcome = 'imported'), 0, (SELECT count(*) FROM o WHERE outcome = 'skipped'), (SELECT count(*) FROM o WHERE outcome IN ('missing-file', 'checksum-mismatch')), (SELECT count(*) FROM o WHERE outcome = 'imported' AND page_id % 2 = 1)]) AS n""")
+@query(f"""WITH {OUTCOMES} SELECT unnest(['attachments', 'bytes', 'listed', 'imported', 'replaced', 'skipped', 'rejected', 'orphaned']) AS figure, unnest([(SELECT count(*) FROM o), (SELECT coalesce(sum(bytes), 0) FROM o), (SELECT count(*) FROM o WHERE page_id % 3 = 0), (SELECT count(*) FROM o WHERE outcome = 'imported'), 0, (SELECT count(*) FROM o WHERE outcome = 'skipped'), (SELECT count(*) FROM o WHERE outcome IN ('missing-file', 'checksum-mismatch')), (SELECT count(*) FROM o WHERE outcome = 'imported' AND page_id % 2 = 1)]::BIGINT[]) AS n""")
 def store_report(spark, sf):
     """The store's size, a listing without contents, and what an import brought, with the sites that no record has."""
     st = q._store(spark, sf)
@@ -238,7 +238,7 @@ def store_report(spark, sf):
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("figure"), F.col(c).cast("long").alias("n")) for c in one.columns))).alias("x")).select("x.*")
 
 
-@query("SELECT 'site-' || page_id AS site_key, sha256(coalesce(html, '')) AS sha256, 'imported' AS outcome, 2 AS format_version, (SELECT count(*) FROM pages) AS entries, (SELECT sum(octet_length(encode(coalesce(html, '')))) FROM pages) AS total_bytes FROM pages")
+@query("SELECT 'site-' || page_id AS site_key, sha256(coalesce(html, '')) AS sha256, 'imported' AS outcome, 2 AS format_version, (SELECT count(*) FROM pages) AS entries, CAST((SELECT sum(octet_length(encode(coalesce(html, '')))) FROM pages) AS BIGINT) AS total_bytes FROM pages")
 def bundle_roundtrip(spark, sf):
     """A bundle written to the shared folder, read back and imported into an empty store."""
     st = q._store(spark, sf)
