@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landloom.functions import text, values
 from landloom.operators import attachments, catalogue, drift, facets, geometry, measures, places, quality, rollup, sites
-from landloom.plans import ingest
+from landloom.plans import extract, ingest
 from landloom.plans import queries as q
 from landloom.plans import testbed as tb
 from landloom.plans.queries import query
@@ -335,6 +335,21 @@ def site_report(spark, sf):
     return missing.unionByName(shown).unionByName(hint)
 
 
+@query("SELECT 'Site [name]|Column 2|Loaded|Area|Area (more)' AS headers, o_orderkey AS k, c_name AS site, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS loaded, round(o_totalprice, 2) AS area, CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice, 2) END AS more FROM orders JOIN customer ON o_custkey = c_custkey")
+def extract_written(spark, sf):
+    """An extract under its original headers, written as CSV and read back."""
+    o, c = tb.table(spark, sf, "orders"), tb.table(spark, sf, "customer")
+    k = F.col("o_orderkey")
+    rec = o.join(c, o.o_custkey == c.c_custkey).select(k.alias("k"), F.col("c_name").alias("site"), F.col("o_orderstatus").alias("__col_1"), F.col("o_orderdate").alias("loaded"), F.round("o_totalprice", 2).alias("area"), F.when(k % 5 != 0, F.round("o_totalprice", 2)).alias("more"))
+    heads = [("k", "k", "k"), ("site", "Site [name]", "x"), ("__col_1", " ", "Column 2"), ("loaded", "Loaded", "x"), ("area", "Area", "x"), ("more", "Area", "x")]
+    path = _folder(spark, "extract")
+    extract.write_extract(rec, heads, path)
+    back = spark.read.csv(path, header=True)
+    headers = F.lit("|".join(back.columns[1:]))
+    named = back.toDF("k", "site", "status", "loaded", "area", "more")
+    return named.select(headers.alias("headers"), F.col("k").cast("long").alias("k"), "site", "status", "loaded", F.col("area").cast("double").alias("area"), F.col("more").cast("double").alias("more"))
+
+
 def _boundary_files(spark: SparkSession, sf: str) -> tuple[str, str]:
     """The parts' types and names as a feature collection, and an alias file, below the shared folder."""
     p = tb.table(spark, sf, "part")
