@@ -90,8 +90,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 
 def chosen_labels(labels: DataFrame, label: str, most: int = FIT_ROWS) -> DataFrame:
-    """doc_id and y of at most about ``most`` labelled rows, chosen by a hash of the id."""
-    known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("double").alias("y")).dropDuplicates(["doc_id"])
+    """doc_id and y of at most about ``most`` labelled rows, chosen by a hash of the id. Ids whose labels contradict each other are left out."""
+    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z and doc_id is not null").select("doc_id", F.col("y").cast("double").alias("y"))
     share = min(1.0, most / max(1, known.count()))
     return known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
 

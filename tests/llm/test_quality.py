@@ -80,3 +80,8 @@ def test_rules_and_model_on_held_out_rows(spark, odd_documents):
     assert quality_rules.keep(odd_documents, labels.where("doc_id < 0")).count() == 0
     assert quality_model.classify(docs.where("doc_id < 0"), labels).count() == 0
     assert {r.score for r in quality_model.classify(docs, labels.where("doc_id < 0")).collect()} == {0.5}
+
+
+def test_labels_that_contradict_each_other_are_left_out(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, None), (None, 1), (4, 0)], "doc_id long, quality int")
+    assert sorted(map(tuple, gbt.chosen_labels(labels, "quality").collect())) == [(2, 1.0), (4, 0.0)]
