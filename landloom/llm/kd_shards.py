@@ -58,7 +58,7 @@ def _units(rows: DataFrame) -> DataFrame:
     ends = rows.agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("a"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("z")).first()
     width = max(1, ends["z"] - ends["a"])
     hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(_UNIT))
-    groups = groups.select("h", "n", hashed("first.lang").alias("k_lang"), hashed("first.source").alias("k_source"), F.coalesce(F.floor((F.col("first.doc_id") - ends["a"]) / float(width) * (_UNIT - 1)), F.lit(0)).cast("long").alias("k_id"))
+    groups = groups.select("h", "n", hashed("first.lang").alias("k_lang"), hashed("first.source").alias("k_source"), F.coalesce(F.floor((F.col("first.doc_id").cast("double") - float(ends["a"])) / float(width) * (_UNIT - 1)), F.lit(0)).cast("long").alias("k_id"))
     groups = stage(groups, "groups")
     joined = split_join(rows.drop("lang", "source"), groups, "h", "n", rows.count())
     return joined.select("doc_id", "size", "text_crc32", F.coalesce("doc_id", F.lit(_LEAST)).alias("own_id"), F.pmod("h", F.lit(_UNIT)).alias("g"), F.least("size", F.lit(_UNIT - 1)).alias("k_size"), "k_lang", "k_source", "k_id")
@@ -89,12 +89,13 @@ def _search(rows: DataFrame, dims: dict[int, int], span: dict[int, tuple[int, in
     ``rows`` has a column ``node``. Histograms zoom in; each round's hold BINS rows a node at most.
     """
     found, below = {}, dict.fromkeys(aim, 0)
+    far = "cast(key as decimal(20, 0)) - lo" if _OWN in dims.values() else "key - lo"  # ids may lie further apart than a long holds
     while len(found) < len(aim):
         open_ = [i for i in dims if i in aim and i not in found]
         asked = _table(rows, [(i, dims[i], *span[i], max(1, -(-(span[i][1] - span[i][0] + 1) // BINS))) for i in open_], "node long, dim int, lo long, hi long, width long")
         part = rows.join(asked, "node").select("node", "size", _key().alias("key"), "lo", "hi", "width").where("key >= lo and key <= hi")
         seen: dict[int, list] = {i: [] for i in open_}
-        for r in part.groupBy("node", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("size").alias("w"), F.min("key").alias("a"), F.max("key").alias("z")).collect():
+        for r in part.groupBy("node", F.expr(f"({far}) div width").alias("bin")).agg(F.sum("size").alias("w"), F.min("key").alias("a"), F.max("key").alias("z")).collect():
             seen[r.node].append(r)
         for i in open_:
             done, last = below[i], None

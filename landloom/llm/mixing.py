@@ -12,8 +12,8 @@ made by tasks; TOPICS times DIM numbers reach the driver.
 
 Null values of a dimension are a value of their own. Values without a target, or with target zero, get weight
 zero; targets of values that no document has are left out and the others scaled up. Null and empty texts have
-no tokens, are of the topic "empty" and are sampled with their cell's probability. Repeated rows share one fate. An empty
-table gives no rows. Ties between centres go to the first.
+no tokens, are of the topic "empty" and are sampled with their cell's probability. Repeated rows share one fate, and so do
+rows without an id. An empty table gives no rows. Ties between centres go to the first.
 """
 
 from __future__ import annotations

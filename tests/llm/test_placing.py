@@ -38,6 +38,8 @@ def test_odd_documents_and_none(spark, odd_documents):
     got = kd_shards.shard(odd_documents, 4).collect()
     assert len(got) == odd_documents.count() and {r.size for r in got if r.doc_id in (1, 2)} == {1}
     assert kd_shards.shard(odd_documents.where("doc_id < 0"), 4).count() == 0
+    far = spark.createDataFrame([(i, "t" * 9, "en", "s") for i in (-(1 << 63), -1, 0, 5, (1 << 63) - 1, None)], "doc_id long, text string, lang string, source string")
+    assert kd_shards.shard(far, 3).count() == 6
 
 
 def test_more_shards_than_a_tree_has_leaves(spark):
