@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating star rounds over written tables.
 
 Each round makes every node point to the least node it knows, first from above (large star), then from
-below (small star); it ends when a round changes nothing. Only counts and one checksum reach the driver.
+below (small star); it ends when a round changes nothing. A hub's links stay where they are: its least node is sent to them.
+Only counts and one checksum reach the driver.
 """
 
 from __future__ import annotations
@@ -9,29 +10,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landloom.llm.staging import stage
+from landloom.llm.staging import split_join, stage
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, total: int) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "large")
+    return split_join(both.where("v > u"), least, "u", "n", total).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, total: int) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = stage(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small")
+    moved = split_join(down, least, "u", "n", total).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root (the least node of its component) of every node in ``links`` (a, b: long)."""
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
+    seen, total = None, max(1, edges.count())
     for _ in range(rounds):
-        edges = stage(_small(_large(edges)), "round")
+        edges = stage(_small(stage(_large(edges, total), "half"), total), "round")
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0))).first())
+        total = max(1, now[0])
         if now == seen:
             break
         seen = now

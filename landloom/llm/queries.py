@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import alignment, byte_bpe, dac, divergence, exact_dedup, html_crf, kd_shards, lm, mixing, quality_model, quality_rules, simhash
+from landloom.llm import alignment, byte_bpe, dac, divergence, exact_dedup, html_crf, jaccard, kd_shards, lm, mixing, quality_model, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +84,12 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_quality_rules, op4_main_text, op5_token_codes, op6_quality_model, op7_kd_shards, op8_simhash, op9_lm_scores, op10_byte_bpe, op11_divergence, op12_alignment)}
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links of five-word shingles' similarity of 0.8 or more."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_quality_rules, op4_main_text, op5_token_codes, op6_quality_model, op7_kd_shards, op8_simhash, op9_lm_scores, op10_byte_bpe, op11_divergence, op12_alignment, op13_jaccard)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
