@@ -51,6 +51,15 @@ def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
+
+
 def split_join(left: DataFrame, right: DataFrame, on: str, size: str, total: int, how: str = "inner", least: int = 2_000, most: int = 50_000) -> DataFrame:
     """``left`` joined with the rows of ``right`` (one a key, which holds in column ``size`` how many rows of ``left`` have it), whatever one key holds.
 

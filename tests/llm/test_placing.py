@@ -79,11 +79,62 @@ def test_rake_against_brute_force_and_marginals(spark):
     want = brute_rake(cells, shares)
     assert got == pytest.approx(want, rel=1e-4) and joined == pytest.approx(want, rel=1e-4)
     assert sum(v for k, v in got.items() if k[0] == "a") == pytest.approx(0.5 * sum(cells.values()), rel=1e-5)
-    prob = mixing.probabilities(fitted, 0.4).collect()
+    prob = mixing.calibrated(df, targets, 0.4, 0.1).collect()
     assert sum(r.tokens * r.prob for r in prob) == pytest.approx(0.4 * sum(cells.values()), rel=1e-4)
     assert all(0 <= r.prob <= 1 for r in prob)
 
 
+def expected_off(rows, targets):
+    """By dimension and value, the share of the expected sample less the target among values with tokens."""
+    out = {}
+    for d, target in targets.items():
+        got, held = Counter(), Counter()
+        for r in rows:
+            got[getattr(r, d)] += r.n_tokens * r.prob
+            held[getattr(r, d)] += r.n_tokens
+        of, all_ = sum(target.get(v, 0) for v in held if held[v]), sum(got.values())
+        out |= {(d, v): got[v] / all_ - target.get(v, 0) / of for v in held if held[v]}
+    return out
+
+
+@pytest.mark.parametrize("sf,rate", [("0.01", 0.8), ("0.01", 0.95), ("0.001", 0.5)])
+def test_the_expected_sample_has_the_target_shares(spark, sf, rate):
+    rows = mixing.sample(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"), rate=rate).collect()
+    targets = {}
+    for d in mixing.DIMS:
+        sums = Counter()
+        for r in rows:
+            sums[getattr(r, d)] += r.n_tokens
+        powers = {v: n**0.7 for v, n in sums.items()}
+        targets[d] = {v: p / sum(powers.values()) for v, p in powers.items()}
+    off = expected_off(rows, targets)
+    assert max(map(abs, off.values())) < 1e-3 and rows[0].misfit == pytest.approx(max(map(abs, off.values())), abs=1e-6) and {r.unmet for r in rows} == {""}
+    for d in mixing.DIMS:  # the draw itself lies within five deviations
+        drawn, want, spread = Counter(), Counter(), Counter()
+        for r in rows:
+            drawn[getattr(r, d)] += r.n_tokens * r.sampled
+            want[getattr(r, d)] += r.n_tokens * r.prob
+            spread[getattr(r, d)] += r.n_tokens**2 * r.prob * (1 - r.prob)
+        assert all(abs(drawn[v] - n) <= 5 * spread[v] ** 0.5 + 1e-6 for v, n in want.items())
+
+
+@pytest.mark.parametrize("least", [0.8, 0.05])
+def test_rare_values_are_taken_whole_or_lower_the_rate(spark, least):
+    """b has 2 % of the tokens and a target of 10 %: at 0.8 all of it is taken, and a and c share the rest as their targets do."""
+    cells = spark.createDataFrame([("a", "x", "t", 600.0, 1), ("a", "y", "t", 80.0, 1), ("b", "x", "t", 20.0, 1), ("c", "y", "t", 300.0, 1)], "source string, lang string, topic string, tokens double, docs long")
+    to = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    targets = {"source": to({"a": 0.6, "b": 0.1, "c": 0.3}), "lang": to({"x": 0.62, "y": 0.38})}
+    for collected in (mixing.BROADCAST_CELLS, 0):
+        rows = {(r.source, r.lang): r for r in mixing.calibrated(cells, targets, 0.8, least, collected).collect()}
+        got = {s: sum(r.tokens * r.prob for (v, _), r in rows.items() if v == s) for s in "abc"}
+        total = sum(got.values())
+        if least == 0.8:
+            assert got["b"] == pytest.approx(20, rel=1e-3) and got["a"] / got["c"] == pytest.approx(2, rel=1e-3) and total == pytest.approx(800, rel=1e-3)
+            assert rows["b", "x"].unmet == "source" and rows["b", "x"].misfit == pytest.approx(0.075, abs=1e-3)
+        else:
+            assert {s: n / total for s, n in got.items()} == pytest.approx({"a": 0.6, "b": 0.1, "c": 0.3}, abs=1e-3) and total == pytest.approx(200, rel=0.01) and rows["b", "x"].unmet == ""
+
+
 def test_sampling(spark, odd_documents):
     got = mixing.sample(odd_documents).collect()
     assert len(got) == 10 and len({r.sampled for r in got if r.doc_id == 5}) == 1
@@ -104,7 +155,7 @@ def test_topics_part_vocabularies_and_follow_the_rows(spark):
     assert not seen[0] & seen[1] and not seen[0] & seen[2] and not seen[1] & seen[2] and {got[300].topic, got[301].topic} == {"empty"}
     assert {i: got[i].n_tokens for i in (0, 300, 301)} == {0: 80, 300: 0, 301: 0}
     tokens = sum(r.n_tokens for r in got.values())
-    assert sum(r.n_tokens * r.prob for r in got.values()) == pytest.approx(0.5 * tokens, rel=1e-3)
+    assert 0.45 * tokens < sum(r.n_tokens * r.prob for r in got.values()) <= 0.5 * tokens + 1e-6  # a topic's tokens may lower the rate
     again = {r.doc_id: r.topic for r in mixing.sample(docs.repartition(7), rate=0.5).collect()}
     assert again == {i: r.topic for i, r in got.items()}
 
