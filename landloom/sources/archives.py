@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landloom.sources.grids import any_case
+
 ENTRIES = "filename string, content binary, from_archive string, skip_reason string"
 PLACEMARKS = "file string, feature int, name string, geometry_type string, polygon int, ring int, seq int, lng double, lat double, code string, message string"
 
@@ -20,12 +22,11 @@ NAMES = ("kmz", "kml", "zip")
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of landed files; content is read of archives and boundary files alone."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    ours = F.lower(F.regexp_extract("path", "\\.([^./]*)$", 1)).isin(*NAMES)
-    return listed.where(ours).select("path", "content").unionByName(listed.where(~ours).select("path", F.lit(None).cast("binary").alias("content")))
-
-
+    """path and content of landed files. Only archives and boundary files are opened (their names reach the reader as a glob); others are listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listed = files.load(path).where(~F.lower(F.regexp_extract("path", "\\.([^./]*)$", 1)).isin(*NAMES)).select("path", F.lit(None).cast("binary").alias("content"))
+    ours = files.option("pathGlobFilter", "{" + ",".join(any_case(f".{n}") for n in NAMES) + "}").load(path)
+    return ours.select("path", "content").unionByName(listed)
 
 
 def _flatten(name: str, content: bytes | None) -> Iterator[tuple]:

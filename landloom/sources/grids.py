@@ -11,42 +11,89 @@ from landloom.functions.text import clean_string
 MOST_BYTES = 60 * 1024 * 1024
 
 
-def _cells_in(record: str) -> Column:
-    """Cells of a record: commas outside of quotes, and one."""
-    return F.regexp_count(F.regexp_replace(record, '"(?:[^"]|"")*"', ""), F.lit(",")) + 1
+# Text of a record: a quoted cell (a quote inside is doubled) with whatever stands behind it, or a cell that begins with another character.
+_QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
+_CELL = f'(?:{_QUOTED}[^,]*+|[^",][^,]*+|)'
 
 
-def grid_width(spark: SparkSession, paths: str | list[str]) -> int:
-    """Columns of the widest line. (Where a quoted cell goes over lines its row may be wider; ``scan_grids`` then fails and is given the width.)"""
-    return spark.read.text(paths).agg(F.coalesce(F.max(_cells_in("value")), F.lit(1))).first()[0]
+def _opens(line: Column) -> Column:
+    """Whether a line that begins outside of quotes ends inside."""
+    return F.regexp_replace(line, f"\\G{_CELL}(?:,|$)", "") != ""
 
 
-def scan_grids(spark: SparkSession, paths: str | list[str], width: int | None = None) -> DataFrame:
-    """Cells (book, sheet, row_idx, col_idx, value) of CSV exports; blank rows are kept, so rows are numbered as in the file.
+def _through(df: DataFrame, part: list[str], order: str) -> DataFrame:
+    """``df`` with ``before`` and ``after``: whether quotes are open before and after each row, for a partition that begins outside (a) and inside (b).
 
-    ``width``: columns of the widest sheet, else counted. A row of more cells fails the read; none is dropped. A cell may hold line
-    breaks, so a file (of 60 MiB at most, see ``triage_files``) is read by one task. Book is the folder's name and sheet the file's.
+    Columns a and b say so of each row alone. A row keeps the state, turns it, or sets it, whatever it was; so the state is what the last row that
+    set it left, turned as often as rows have turned it since: two running sums, and no row needs to know another's state.
     """
-    width = width or grid_width(spark, paths)
-    schema = ", ".join(f"_c{i} string" for i in range(width)) + ", _row string"
-    raw = spark.read.csv(paths, header=False, schema=schema, multiLine=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, escape='"', columnNameOfCorruptRecord="_row")
-    too_wide = _cells_in("_row") > width
-    first = F.when(F.coalesce(too_wide, F.lit(False)), F.raise_error(F.concat(F.lit(f"more than {width} cells in a row: "), F.substring("_row", 1, 200)))).otherwise(F.col("_c0"))
-    at = raw.select(F.array(first, *(f"_c{i}" for i in range(1, width))).alias("v"), F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_id"))
-    numbered = at.withColumn("row_idx", F.row_number().over(W.partitionBy("_f").orderBy("_id")) - 1)
-    cells = numbered.select("_f", "row_idx", F.posexplode("v").alias("col_idx", "value"))
-    parts = F.split("_f", "/")
+    own, sets = W.partitionBy(*part).orderBy(order), F.col("a") == F.col("b")
+    turned = df.withColumn("turns", F.sum((F.col("a") & ~F.col("b")).cast("int")).over(own))
+    turned = turned.withColumn("anchor", F.last(F.when(sets, F.struct("a", "turns")), ignorenulls=True).over(own))
+    odd = (F.col("turns") - F.coalesce("anchor.turns", F.lit(0))) % 2 == 1
+    state = lambda start: F.coalesce("anchor.a", F.lit(start)) != odd
+    out = turned.withColumn("after", F.struct(state(False).alias("a"), state(True).alias("b"))).drop("turns", "anchor")
+    return out.withColumn("before", F.coalesce(F.lag("after").over(own), F.struct(F.lit(False).alias("a"), F.lit(True).alias("b"))))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """file, row_idx and value of every record of lines (file, block, id: ascending within a block, value). A record goes on where a cell is open.
+
+    Two levels: lines within their block, which is one split of a file, then blocks within their file. Blocks are read by any tasks; a block's summary
+    is its state for both beginnings and the number of records for each.
+    """
+    closing = f'^[^"]*+(?:""[^"]*+)*+"[^,]*+(?:,|$)'
+    inside = F.when(F.regexp_like("value", F.lit(closing)), _opens(F.regexp_replace("value", closing, ""))).otherwise(True)
+    block = ["file", "block"]
+    own = _through(lines.withColumns({"a": _opens(F.col("value")), "b": inside}), block, "id")
+    running = W.partitionBy(*block).orderBy("id")
+    own = own.withColumns({f"n_{x}": F.sum((~F.col(f"before.{x}")).cast("long")).over(running) for x in "ab"})
+    sums = own.groupBy(*block).agg(F.max_by("after", "id").alias("all"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    starts = _through(sums.select(*block, F.col("all.a").alias("a"), F.col("all.b").alias("b"), "n_a", "n_b"), ["file"], "block").withColumn("open", F.col("before.a"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = starts.select(*block, "open", F.coalesce(F.sum(F.when(F.col("open"), F.col("n_b")).otherwise(F.col("n_a"))).over(earlier), F.lit(0)).alias("rows"))
+    own = own.join(starts, block)
+    pick = lambda name: F.when(F.col("open"), F.col(f"{name}.b")).otherwise(F.col(f"{name}.a"))
+    own = own.select(*block, "id", "value", (F.col("rows") + F.when(F.col("open"), F.col("n_b")).otherwise(F.col("n_a")) - 1).alias("row_idx"), (~pick("before") & ~pick("after")).alias("whole"))
+    parts = own.where(~F.col("whole")).groupBy("file", "row_idx").agg(F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("v"))
+    return own.where("whole").select("file", "row_idx", "value").unionByName(parts.select("file", "row_idx", F.array_join(F.transform("v", lambda x: x["value"]), "\n").alias("value")))
+
+
+def scan_grids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Cells (book, sheet, row_idx, col_idx, value) of CSV exports: each record's own cells, so a book is read as if alone.
+
+    Blank rows are kept (one empty cell), so rows are numbered as in the file. Cells may hold line breaks (read as \\n). Files are split as
+    Spark splits text, and quotes are followed across the splits; a quote inside an unquoted cell is an ordinary character. Empty cells are null. Book is
+    the folder's name and sheet the file's.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    records = _records(lines).withColumn("value", F.when(F.col("row_idx") == 0, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value")))
+    # a comma behind the last cell, so that every cell ends with one; a cell that is never closed takes the rest
+    found = F.regexp_extract_all(F.concat("value", F.lit(",")), F.lit(f'\\G(?:{_CELL},|"[^"]*+(?:""[^"]*+)*+\\z)'), F.lit(0))
+    cells = records.select("file", "row_idx", F.posexplode(found).alias("col_idx", "c")).withColumn("c", F.expr("left(c, length(c) - 1)"))
+    quoted = F.regexp_extract("c", '(?s)^"(.*?)"?$', 1)
+    value = F.when(F.regexp_like("c", F.lit(f"^{_QUOTED}$")) | ~F.regexp_like("c", F.lit(f"^{_QUOTED}")) & F.col("c").startswith('"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(F.nullif("c", F.lit("")))
+    parts = F.split("file", "/")
     book = F.url_decode(F.regexp_replace(F.element_at(parts, -2), "^[A-Za-z_]+=", ""))  # a partition's folder is named key=value
-    return cells.select(book.alias("book"), F.regexp_replace(F.element_at(parts, -1), "\\.(csv|txt)$", "").alias("sheet"), "row_idx", "col_idx", "value")
+    return cells.select(book.alias("book"), F.regexp_replace(F.element_at(parts, -1), "\\.(csv|txt)$", "").alias("sheet"), "row_idx", "col_idx", value.alias("value"))
+
+
+def any_case(extension: str) -> str:
+    """A glob of the names that end so in any case, for ``pathGlobFilter``: Spark then opens no other file."""
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
 
 def triage_files(spark: SparkSession, path: str, extension: str = ".xlsx") -> DataFrame:
-    """path, length, error_code of landed files: extension, size, then the archive's signature; content is read only of those that pass."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    good = F.lower("path").endswith(extension) & (F.col("length") <= MOST_BYTES)
-    signed = listed.where(good).select("path", (F.hex(F.substring("content", 1, 4)) == "504B0304").alias("signed"))
+    """path, length, error_code of landed files: extension, size, then the archive's signature; content is read only of those that pass.
+
+    Names pass by the glob and sizes by a filter that the reader takes, so a file of another kind, however large, is listed and not opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listed = files.load(path).select("path", "length")
+    good = files.option("pathGlobFilter", any_case(extension)).load(path).where(F.col("length") <= MOST_BYTES)
+    signed = good.select("path", (F.hex(F.substring("content", 1, 4)) == "504B0304").alias("signed"))
     code = F.when(~F.lower("path").endswith(extension), "wrong-extension").when(F.col("length") > MOST_BYTES, "too-large").when(~F.col("signed"), "not-an-archive")
-    return listed.select("path", "length").join(signed, "path", "left").select("path", "length", code.alias("error_code"))
+    return listed.join(signed, "path", "left").select("path", "length", code.alias("error_code"))
 
 
 def intake_status(books: DataFrame, sheets: DataFrame, catalogue: DataFrame, kept: DataFrame) -> DataFrame:

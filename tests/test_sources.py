@@ -66,7 +66,7 @@ def test_boundaries_and_aliases(spark, tmp_path):
 def test_grids(spark, tmp_path):
     (tmp_path / "book1").mkdir()
     (tmp_path / "book1" / "data.csv").write_text("Report\n,,\nState,District,Area\nPunjab,Ludhiana,500\n")
-    cells = grids.scan_grids(spark, str(tmp_path / "book1"), 3)
+    cells = grids.scan_grids(spark, str(tmp_path / "book1"))
     got = {(r.row_idx, r.col_idx): r.value for r in cells.where("book = 'book1' and sheet = 'data'").collect()}
     assert got[0, 0] == "Report" and got[3, 2] == "500" and got[2, 0] == "State" and got[1, 0] is None
     assert catalogue.detect_header(cells).first().header_row == 2
@@ -82,9 +82,109 @@ def test_grids(spark, tmp_path):
     assert out == {"book1": "no-rows", "book2": "no-populated-sheet"}
     (tmp_path / "wide").mkdir()
     (tmp_path / "wide" / "w.csv").write_text('a,"b,\nc",,\n1,2,3,,5\n')
-    assert {(r.row_idx, r.col_idx, r.value) for r in grids.scan_grids(spark, str(tmp_path / "wide"), 5).where("value is not null").collect()} == {(0, 0, "a"), (0, 1, "b,\nc"), (1, 0, "1"), (1, 1, "2"), (1, 2, "3"), (1, 4, "5")}
-    with pytest.raises(Exception, match="more than 4 cells"):
-        grids.scan_grids(spark, str(tmp_path / "wide"), 4).collect()
+    assert {(r.row_idx, r.col_idx, r.value) for r in grids.scan_grids(spark, str(tmp_path / "wide")).where("value is not null").collect()} == {(0, 0, "a"), (0, 1, "b,\nc"), (1, 0, "1"), (1, 1, "2"), (1, 2, "3"), (1, 4, "5")}
+
+
+GRIDS = {
+    "narrow": "Report of land\nState,District,Area\nX,Y,10\nX,Z,20\n",
+    "wide": "t,,,,,,,,,,,\n\nState,District,Site,Total Area,e,f,g,h,i,j,k,l\nX,Y,s1,5,1,2,3,4,5,6,7,8\nX,Z,s2,6,1,2,3,4,5,6,7,9\n",
+    "breaks": 'State,District,Note,Area\nX,"a ""b""\n\nc,\nd",5" pipe,7\nY,"",,8\n"Z","q"tail,"open, and\nnever closed\n',
+    "plain": "\ufeffa,b\r\n1,\r\n\r\n,2\r\n",
+}
+
+
+def by_hand(text):
+    """Records of a grid, a character at a time."""
+    rows, cells, cell, open_, quoted, k = [], [], "", False, False, 0
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").removesuffix("\n")
+    while k < len(text):
+        c = text[k]
+        if open_:
+            if c == '"' and text[k + 1 : k + 2] == '"':
+                cell, k = cell + '"', k + 1
+            elif c == '"':
+                open_ = False
+                if text[k + 1 : k + 2] not in ("", ",", "\n"):  # text behind the quote: the cell stands as it is
+                    cell, quoted = '"' + cell + '"', False
+            else:
+                cell += c
+        elif c == '"' and not cell:
+            open_ = quoted = True
+        elif c in ",\n":
+            cells.append(cell if cell or quoted else None)
+            cell, quoted = "", False
+            if c == "\n":
+                rows.append(cells)
+                cells = []
+        else:
+            cell += c
+        k += 1
+    return rows + [cells + [cell if cell or quoted else None]]
+
+
+@pytest.mark.parametrize("split", ["128m", "16", "7", "1"])
+def test_books_of_unequal_width_split_anywhere(spark, tmp_path, split):
+    for name, content in GRIDS.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "s.csv").write_bytes(content.encode())
+    keys = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        cells = grids.scan_grids(spark, [str(tmp_path / n) for n in GRIDS])
+        if split == "7":
+            assert spark.read.text(str(tmp_path / "wide")).rdd.getNumPartitions() > 10
+        got = {}
+        for r in cells.collect():
+            got.setdefault(r.book, {})[r.row_idx, r.col_idx] = r.value
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {n: {(i, j): v for i, row in enumerate(by_hand(t)) for j, v in enumerate(row)} for n, t in GRIDS.items()}
+    assert got == want
+    assert want["breaks"][1, 1] == 'a "b"\n\nc,\nd' and want["breaks"][1, 2] == '5" pipe' and want["breaks"][3, 2] == "open, and\nnever closed"
+
+
+def test_a_book_is_read_as_if_alone(spark, tmp_path):
+    from landloom.plans import ingest
+
+    def told(names):
+        cells = grids.scan_grids(spark, [str(tmp_path / n) for n in names])
+        done = ingest.ingest(cells, cells.select("book", "sheet").distinct().withColumn("ordinal", F.lit(0)))
+        heads = {r.book: (r.header_row, r.used_fallback) for r in done.headers.collect()}
+        keys = {}
+        for r in done.keys.orderBy("col_idx").collect():
+            keys.setdefault(r.book, []).append(r.key)
+        said = {}
+        for r in done.warnings().collect():
+            said.setdefault(r.book, set()).add((r.code, r.n))
+        return {n: (heads[n], keys[n], said[n]) for n in names}
+
+    for name in ("narrow", "wide"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "s.csv").write_text(GRIDS[name])
+    both = told(["narrow", "wide"])
+    assert both == {**told(["narrow"]), **told(["wide"])}
+    assert both["narrow"][:2] == ((1, False), ["state", "district", "area"]) and both["wide"][0] == (2, False)
+    assert "discarded-empty-columns" not in {c for c, _ in both["narrow"][2]}
+
+
+def test_only_files_that_pass_are_opened(spark, tmp_path):
+    """A file of another kind that is longer than Spark may read."""
+    (tmp_path / "a.XLSX").write_bytes(b"PK\x03\x04")
+    (tmp_path / "m.kml").write_bytes(KML.format(SQUARE).encode())
+    (tmp_path / "long.bin").write_bytes(b"x" * 5000)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        codes = {r.path.rsplit("/", 1)[1]: r.error_code for r in grids.triage_files(spark, str(tmp_path)).collect()}
+        files = {r.filename: r.skip_reason for r in archives.expand_archives(archives.landed(spark, str(tmp_path))).collect()}
+    finally:
+        spark.conf.set(key, old)
+    assert codes == {"a.XLSX": None, "m.kml": "wrong-extension", "long.bin": "wrong-extension"}
+    assert files == {"m.kml": None, "a.XLSX": "not a boundary file", "long.bin": "not a boundary file"}
 
 
 def test_extract(spark, tmp_path):
