@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from landloom.functions.text import content_hash
+from landloom.sources.tables import written
 
 FORMAT_VERSION = 2
 
@@ -37,7 +42,8 @@ def export_bundle(store: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Files (path, content), the manifest (an entry an attachment), and its head (version, totals, confidentiality)."""
     named = store.withColumn("path", F.concat(F.lit("files/"), "sha256", F.lit(".kmz")))
     files = named.groupBy("path").agg(F.any_value("content").alias("content"))
-    manifest = named.select("site_key", "path", "filename", "size_bytes", "sha256", "uploaded_at")
+    carried = [c for c in ("parse_status", "parse_warnings", "point", "geometry", "seq") if c in store.columns]
+    manifest = named.select("site_key", "path", "filename", "size_bytes", "sha256", "uploaded_at", *carried)
     head = store.agg(F.count("*").alias("entries"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes")).select(F.lit(FORMAT_VERSION).alias("format_version"), "entries", "total_bytes", F.lit(True).alias("confidential"))
     return files, manifest, head
 
@@ -72,6 +78,71 @@ def import_bundle(manifest: DataFrame, files: DataFrame, store: DataFrame, polic
     return joined.withColumn("outcome", outcome).drop("held")
 
 
+def applied(outcomes: DataFrame, manifest: DataFrame, files: DataFrame, store: DataFrame) -> DataFrame:
+    """The store with the accepted entries of a bundle (outcomes: site_key, outcome) put into it: theirs replace what a site had."""
+    accepted = outcomes.where("outcome in ('imported', 'replaced')").select("site_key")
+    named = manifest.join(accepted, "site_key", "left_semi").join(files, "path").drop("path")
+    more = [c for c in store.columns if c not in named.columns]
+    new = named.select(*(F.lit(None).cast(store.schema[c].dataType).alias(c) if c in more else F.col(c).cast(store.schema[c].dataType) for c in store.columns))
+    if "parse_status" in store.columns:
+        new = new.withColumn("parse_status", F.coalesce("parse_status", F.lit("unparsed")))
+    return remove_attachments(store, accepted).unionByName(new)
+
+
+class VersionedStore:
+    """Attachments below a shared folder, as whole versions.
+
+    A version is a Parquet table in a folder of its own; it exists once its number is committed, which one small file does (``commits/n=<number>``, refused if
+    the number was taken meanwhile). Readers take the highest committed number, or any earlier one, so they never see half a version, and a writer
+    that dies leaves a folder that nobody reads. Contents are rewritten only for what a version changes and keeps: as one table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def versions(self) -> dict[int, str]:
+        """Committed numbers and the folders of their tables; one row a version."""
+        try:
+            rows = self.spark.read.schema("n int, folder string").json(f"{self.path}/commits").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        return {r["n"]: r["folder"] for r in rows}
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The latest version, or an earlier one; an empty table before the first."""
+        known = self.versions()
+        if not known and version is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(known[max(known) if version is None else version])
+
+    def commit(self, content: DataFrame) -> int:
+        """``content`` as the next version."""
+        number, folder = max(self.versions(), default=0) + 1, f"{self.path}/data/{uuid.uuid4().hex}"
+        content.select(*self.schema.names).write.parquet(folder)
+        entry = self.spark.range(1).select(F.lit(folder).alias("folder"))
+        entry.coalesce(1).write.mode("errorifexists").json(f"{self.path}/commits/n={number}")
+        return number
+
+    def put(self, new: DataFrame) -> int:
+        return self.commit(upsert_attachments(self.read(), new))
+
+    def remove(self, keys: DataFrame) -> int:
+        return self.commit(remove_attachments(self.read(), keys))
+
+    def clear(self) -> int:
+        return self.commit(self.read().where("false"))
+
+    def load_bundle(self, path: str, policy: str = "keep-existing") -> DataFrame:
+        """Import a written bundle: the accepted entries become a new version. Returns each entry's outcome."""
+        files, manifest, head = read_bundle(self.spark, path)
+        store = self.read()
+        outcomes = written(import_bundle(manifest, files, store, policy, head.first()["format_version"]), "outcomes")
+        self.commit(applied(outcomes, manifest, files, store))
+        return outcomes
+
+
 def import_summary(outcomes: DataFrame) -> DataFrame:
     n = lambda *o: F.count_if(F.col("outcome").isin(*o))
     return outcomes.agg(n("imported").alias("imported"), n("replaced").alias("replaced"), n("skipped").alias("skipped"), n("missing-file", "checksum-mismatch").alias("rejected"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landloom.functions.values import bin_index
+from landloom.operators.places import small
+from landloom.sources.tables import written
 
 CLASS_COUNTS = (3, 4, 5)
 
@@ -91,9 +93,11 @@ def class_scale(values: DataFrame, keys: list[str], method: str, k: int) -> Data
 
 def bins(values: DataFrame, scale: DataFrame, keys: list[str]) -> DataFrame:
     """keys..., bin_index, lo, hi, count of every class, empty ones too."""
+    scale = written(scale, "scale")
     all_ = scale.select(*keys, "edges", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin_index"))
     all_ = all_.select(*keys, "bin_index", F.get("edges", F.col("bin_index")).alias("lo"), F.get("edges", F.col("bin_index") + 1).alias("hi"))
-    joined = values.join(F.broadcast(scale.select(*keys, "edges")) if not keys else scale.select(*keys, "edges"), keys) if keys else values.crossJoin(F.broadcast(scale.select("edges")))
+    # values stay where they are: the edges of all groups are sent to them while they are few
+    joined = values.join(small(scale.select(*keys, "edges")), keys) if keys else values.crossJoin(F.broadcast(scale.select("edges")))
     n = joined.select(*keys, bin_index("value", "edges").alias("bin_index")).where("bin_index >= 0").groupBy(*keys, "bin_index").agg(F.count("*").alias("count"))
     return all_.join(n, [*keys, "bin_index"], "left").fillna(0, ["count"])
 

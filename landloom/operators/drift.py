@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ORDER = ("role-changed", "removed", "added", "became-populated", "became-empty", "unchanged")
@@ -16,8 +19,21 @@ def diff_columns(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "key", "full").select("key", F.coalesce("l1", "l0").alias("label"), delta.alias("delta"), "role_before", "role_after")
 
 
+def _order() -> list[Column]:
+    return [F.array_position(F.array(*map(F.lit, ORDER)), F.col("delta")), F.col("label"), F.col("key")]
+
+
 def drift_order(diff: DataFrame) -> DataFrame:
-    return diff.orderBy(F.array_position(F.array(*map(F.lit, ORDER)), F.col("delta")), "label", "key")
+    return diff.orderBy(*_order())
+
+
+def drift_positions(diff: DataFrame) -> DataFrame:
+    """``diff`` with each column's place of ``drift_order`` from 1, numbered within its delta and moved by the deltas before it."""
+    own = diff.withColumn("own", F.row_number().over(W.partitionBy("delta").orderBy("label", "key")))
+    sizes = {d: F.count_if(F.col("delta") == d).alias(d) for d in ORDER}
+    before = diff.agg(*sizes.values())  # one row
+    earlier = F.coalesce(*(F.when(F.col("delta") == d, reduce(lambda a, b: a + b, (F.col(f"`{e}`") for e in ORDER[:i]), F.lit(0))) for i, d in enumerate(ORDER)))
+    return own.crossJoin(F.broadcast(before)).withColumn("position", earlier + F.col("own")).select(*diff.columns, "position")
 
 
 def drift_summary(diff: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landloom.functions.text import contains_phrase, filename_stem, match_key, site_key, site_label
+from landloom.functions.text import filename_stem, match_key, site_key, site_label
+from landloom.operators.places import BROADCAST_ROWS
+from landloom.sources.tables import written
 
 #: Tiers of a match, in order.
 TIERS = {1: "filename", 2: "filename-contains", 3: "sheet-column"}
@@ -48,29 +50,47 @@ def hint_column_report(records: DataFrame, column: str | None) -> DataFrame:
     return out.select(F.lit(True).alias("present"), "populated", (F.col("populated") > 0).alias("usable"), note.alias("note"))
 
 
+def _phrases(stems: DataFrame, most: int, shortest: int, longest: int) -> DataFrame:
+    """filename and phrase: every run of a stem from one word boundary to another, of at most ``most`` pieces and as long as a label may be."""
+    # pieces between word boundaries; a first or last piece of other characters has no boundary at the stem's own begin or end
+    parts = stems.select("filename", F.split("stem", "\\b").alias("p")).where(F.size("p") > 0)
+    first = F.when(F.regexp_like(F.get("p", F.lit(0)), F.lit("^\\b")), 0).otherwise(1)
+    last = F.size("p") - F.when(F.regexp_like(F.element_at("p", -1), F.lit("\\b\\z")), 0).otherwise(1)
+    starts = parts.withColumn("last", last).where(first < F.col("last")).withColumn("i", F.explode(F.sequence(first, F.col("last") - 1)))
+    runs = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.col("last") - F.col("i")))))
+    phrases = runs.select("filename", F.array_join(F.slice("p", F.col("i") + 1, F.col("n")), "").alias("phrase"))
+    return phrases.where(F.char_length("phrase").between(shortest, longest)).distinct()
+
+
 def match_files(files: DataFrame, index: DataFrame, records: DataFrame | None = None, hint: str | None = None) -> DataFrame:
     """filename, site_key, strategy, label, candidates, ambiguous of every file.
 
     Tiers: the stem is a site's label; a label stands in the stem as a phrase; a record names the file. The
     first tier with a hit decides: one hit binds, several are ambiguous and end the search.
+
+    Sites of one label are one row with their number, and a stem meets labels by its whole phrases (runs of its words no longer than the longest
+    label), so neither a label that many sites share nor a word that all labels begin with brings files and sites together in pairs.
     """
     stems = files.select("filename").distinct().withColumn("stem", match_key(filename_stem("filename")))
-    labels = index.select("site_key", "label", match_key("label").alias("lkey")).where("lkey <> ''")
-    exact = stems.join(labels, stems.stem == labels.lkey).select("filename", F.lit(1).alias("tier"), "site_key", "label")
-    # a phrase starts at a word's begin, so file and site meet on the label's first word (or on none, for labels of symbols)
-    word = lambda c: F.regexp_extract(c, "\\w+", 0)
-    blocks = stems.withColumn("w", F.explode(F.array_union(F.array(F.lit("")), F.regexp_extract_all("stem", F.lit("(\\w+)"), F.lit(1)))))
-    near = blocks.join(labels.withColumn("w", word("lkey")), "w").where(contains_phrase("stem", "lkey")).select("filename", F.lit(2).alias("tier"), "site_key", "label").distinct()
-    hits = exact.unionByName(near)
+    one = F.min(F.struct("site_key", "label")).alias("one")
+    labels = written(index.select("site_key", "label", match_key("label").alias("lkey")).where("lkey <> ''").groupBy("lkey").agg(F.count("*").alias("n"), one), "labels")
+    size = F.char_length("lkey")
+    bounds = labels.agg(F.max(F.size(F.split("lkey", "\\b"))).alias("pieces"), F.min(size).alias("least"), F.max(size).alias("most"), F.count("*").alias("n")).first()
+    sent = F.broadcast(labels) if bounds["n"] <= BROADCAST_ROWS else labels
+    hits = stems.join(sent, stems.stem == sent.lkey).select("filename", F.lit(1).alias("tier"), "n", "one")
+    if bounds["n"]:
+        near = _phrases(stems, bounds["pieces"], bounds["least"], bounds["most"])
+        hits = hits.unionByName(near.join(sent, near.phrase == sent.lkey).select("filename", F.lit(2).alias("tier"), "n", "one"))
     if records is not None and hint is not None:
         named = records.select(site_key("state", "district", "site").alias("site_key"), F.explode(F.split(F.col(hint), "[,;|\\n]")).alias("piece")).where("site_key is not null")
         named = named.select("site_key", match_key(filename_stem(F.trim("piece"))).alias("stem")).where("stem <> ''").distinct()
-        hits = hits.unionByName(stems.join(named, "stem").join(index.select("site_key", "label"), "site_key").select("filename", F.lit(3).alias("tier"), "site_key", "label"))
-    own = hits.withColumn("_t", F.min("tier").over(W.partitionBy("filename"))).where("tier = _t")
-    found = own.groupBy("filename", "tier").agg(F.count_distinct("site_key").alias("n"), F.min("site_key").alias("one"), F.min_by("label", "site_key").alias("one_label"))
+        named = named.join(index.select("site_key", "label"), "site_key").groupBy("stem").agg(F.count("*").alias("n"), one)
+        hits = hits.unionByName(stems.join(named, "stem").select("filename", F.lit(3).alias("tier"), "n", "one"))
+    found = hits.groupBy("filename", "tier").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
+    found = found.groupBy("filename").agg(F.min(F.struct("tier", "n", "one")).alias("x")).select("filename", "x.*")
     strategy = F.element_at(F.array(*(F.lit(TIERS[i]) for i in (1, 2, 3))), F.col("tier"))
-    one = F.col("n") == 1
-    return stems.join(found, "filename", "left").select("filename", F.when(one, F.col("one")).alias("site_key"), F.when(one, strategy).alias("strategy"), F.when(one, F.col("one_label")).alias("label"), F.coalesce("n", F.lit(0)).alias("candidates"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("ambiguous"))
+    only = F.col("n") == 1
+    return stems.join(found, "filename", "left").select("filename", F.when(only, F.col("one.site_key")).alias("site_key"), F.when(only, strategy).alias("strategy"), F.when(only, F.col("one.label")).alias("label"), F.coalesce("n", F.lit(0)).alias("candidates"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("ambiguous"))
 
 
 def sites_without_file(index: DataFrame, matches: DataFrame, attachments: DataFrame | None = None) -> DataFrame:

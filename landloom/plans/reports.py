@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landloom.functions import text, values
@@ -77,13 +78,67 @@ def ingest_records(spark, sf):
     return rec.select("book", "record_id", "state", "district", "site", "total")
 
 
-def _files(spark: SparkSession, sf: str) -> str:
+def _ragged(spark: SparkSession, sf: str) -> str:
+    """Books of 25 customers: odd ones of three columns under a title, even ones of seven to twelve; a district's cell goes over two lines."""
     c = tb.table(spark, sf, "customer")
+    k, book = F.col("c_custkey"), F.floor(F.col("c_custkey") / 25)
+    district = F.concat(F.lit('"D'), "c_nationkey", F.lit('\neast"'))
+    wide = (book % 6 + 7).cast("int")
+    pad = F.repeat(F.lit(","), wide - 4)
+    value = F.when(book % 2 == 1, F.concat_ws(",", F.col("c_mktsegment"), district, k * 10)).otherwise(F.concat(F.concat_ws(",", F.col("c_mktsegment"), district, F.lit("s"), k * 10), pad))
+    header = F.when(book % 2 == 1, "State,District,Area").otherwise(F.concat(F.lit("State,District,Site,Area"), F.array_join(F.transform(F.sequence(F.lit(5), wide), lambda i: F.concat(F.lit(",c"), i.cast("string"))), "")))
+    top = F.when(book % 2 == 1, "Report of land").otherwise(F.concat(F.lit("t"), F.repeat(F.lit(","), wide)))
+    data = c.select(book.alias("book"), (k % 25 + 3).alias("i"), value.alias("value"))
+    heads = c.where(k % 25 == 0).select(book.alias("book"), F.explode(F.array(F.struct(F.lit(1).alias("i"), top.alias("value")), F.struct(F.lit(2).alias("i"), header.alias("value")))).alias("h")).select("book", F.col("h.i").cast("long").alias("i"), "h.value")
+    path = _folder(spark, "ragged")
+    data.unionByName(heads).repartition("book").sortWithinPartitions("book", "i").select("book", "value").write.partitionBy("book").text(path)
+    return path
+
+
+@query("""WITH c AS (SELECT c_custkey // 25 AS book, c_custkey AS k, 'D' || c_nationkey || ' east' AS district FROM customer), b AS (SELECT book, count(*) AS rows, min(district) AS first_district, CAST(sum(k * 10) AS DOUBLE) AS area, bool_or(k % 25 = 0) AS headed FROM c GROUP BY book)
+ SELECT CAST(book AS VARCHAR) AS book, 1 AS header_row, false AS used_fallback, CASE WHEN book % 2 = 1 THEN 'state|district|area' ELSE 'state|district|site|area' || array_to_string(list_transform(range(5, book % 6 + 8), lambda i: '|c' || i), '') END AS keys, rows, first_district, area, CAST(CASE WHEN book % 2 = 1 THEN 0 ELSE 1 END AS BIGINT) AS debris FROM b WHERE headed""")
+def ragged_books(spark, sf):
+    """Books of unequal width in one read: header, keys, records and left-out columns of each, as if read alone."""
+    cells = written(grids.scan_grids(spark, f"{_ragged(spark, sf)}/*"), "cells")
+    done = ingest.ingest(cells, cells.select("book", "sheet").distinct().withColumn("ordinal", F.lit(0)))
+    keys = done.keys.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "key"))), lambda x: x["key"]), "|").alias("keys"))
+    one = lambda key: F.when(F.col("key") == key, F.col("value"))
+    rows = done.records.groupBy("book").agg(F.count_distinct("record_id").alias("rows"), F.min(one("district")).alias("first_district"), F.sum(one("area").cast("double")).alias("area"))
+    debris = done.debris.groupBy("book").agg(F.count("*").alias("debris"))
+    out = done.headers.select("book", F.col("header_row").cast("int").alias("header_row"), "used_fallback").join(keys, "book").join(rows, "book").join(debris, "book", "left").fillna(0, ["debris"])
+    return out.select("book", "header_row", "used_fallback", "keys", "rows", "first_district", "area", "debris")
+
+
+@query("""SELECT 's' || s_suppkey || CASE WHEN s_suppkey % 5 = 4 THEN '.bin' ELSE '.kml' END AS file, CASE s_suppkey % 5 WHEN 4 THEN 'not a boundary file' WHEN 3 THEN 'unparseable' ELSE 'parsed' END AS status, CAST(CASE WHEN s_suppkey % 5 < 3 THEN 3 ELSE 0 END AS BIGINT) AS vertices, CASE WHEN s_suppkey % 5 < 3 THEN CAST(70 + s_suppkey % 20 AS DOUBLE) END AS west FROM supplier""")
+def landed_boundaries(spark, sf):
+    """Boundary files that lie in the shared folder, beside files of another kind that are never opened: listed, read and judged."""
+    k = F.col("s_suppkey")
+    x, y = 70 + k % 20, 8 + k % 17
+    at = lambda dx, dy: F.concat((x + dx).cast("string"), F.lit(","), (y + dy).cast("string"))
+    mark = F.concat(F.lit("<Placemark><Polygon><outerBoundaryIs><LinearRing><coordinates>"), F.concat_ws(" ", at(0, 0), at(1, 0), at(1, 1)), F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"))
+    value = F.when(k % 5 == 3, "broken").otherwise(F.concat(F.lit("<kml><Document>"), mark, F.lit("</Document></kml>")))
+    path = _folder(spark, "boundaries")
+    named = tb.table(spark, sf, "supplier").select(k.alias("n"), value.alias("value"), (k % 5 == 4).alias("other"))
+    for other, extension in ((False, "kml"), (True, "bin")):
+        named.where(F.col("other") == other).select("n", "value").repartition("n").write.options(extension=extension, sep="\x01", quote="").partitionBy("n").csv(f"{path}/{extension}")
+    listed = archives.landed(spark, path).where(F.regexp_like("path", F.lit("/part-[^/]*$")))
+    named = listed.select(F.concat(F.lit("s"), F.regexp_extract("path", "/n=(\\d+)/", 1), F.lit("."), F.element_at(F.split("path", "\\."), -1)).alias("path"), "content")
+    files = written(archives.expand_archives(named), "files")
+    vertices, read = archives.scan_placemarks(files)
+    seen = vertices.groupBy("file").agg(F.count("*").alias("vertices"), F.min("lng").alias("west"))
+    status = geometry.file_parse_status(read, vertices).select("file", F.col("parse_status").alias("status"))
+    good = status.join(seen, "file", "left")
+    bad = files.where("skip_reason is not null").select(F.col("filename").alias("file"), F.col("skip_reason").alias("status"), F.lit(None).cast("long").alias("vertices"), F.lit(None).cast("double").alias("west"))
+    return good.unionByName(bad).withColumn("vertices", F.coalesce("vertices", F.lit(0)))
+
+
+def _files(spark: SparkSession, sf: str) -> str:
+    """A text and a JSON file of every book's customers; the text begins with an archive's signature, or with another."""
     k = F.col("c_custkey")
-    c = c.select(F.floor(k / 25).alias("book"), k, "c_name").where(k % 25 == 0)
+    c = tb.table(spark, sf, "customer").select(F.floor(k / 25).alias("book"), k, "c_name", F.row_number().over(W.partitionBy(F.floor(k / 25)).orderBy(k)).alias("i"))
     path = _folder(spark, "drop")
-    signed = F.concat(F.when(F.col("book") % 2 == 0, "PK\x03\x04").otherwise("PKxx"), "c_name")
-    c.select("book", signed.alias("value")).repartition("book").write.partitionBy("book").text(f"{path}/a")
+    signed = F.concat(F.when(F.col("i") > 1, "").when(F.col("book") % 2 == 0, "PK\x03\x04").otherwise("PKxx"), "c_name")
+    c.select("book", "i", signed.alias("value")).repartition("book").sortWithinPartitions("book", "i").select("book", "value").write.partitionBy("book").text(f"{path}/a")
     c.select("book", "c_name").repartition("book").write.partitionBy("book").json(f"{path}/b")
     return path
 
@@ -253,7 +308,7 @@ def bundle_roundtrip(spark, sf):
 def drift_summary(spark, sf):
     """What changed between two catalogues of the pages, in order, and its counts."""
     p = tb.table(spark, sf, "pages")
-    long = p.select(F.col("page_id").alias("row_idx"), F.posexplode(F.array(F.col("page_id").cast("string"), F.concat(F.lit("u-"), F.col("page_id") % 9), F.left("html", F.lit(40)))).alias("col_idx", "value"))
+    long = p.select(F.col("page_id").alias("row_idx"), F.posexplode(F.array(F.col("page_id").cast("string"), F.concat(F.lit("u-"), F.col("page_id") % 9), F.col("html"))).alias("col_idx", "value"))
     cat = catalogue.profile_columns(long, p.agg(F.count("*").alias("n_rows")), []).withColumn("key", F.element_at(F.array(*map(F.lit, ("page_id", "url", "html"))), F.col("col_idx") + 1))
     cat = written(catalogue.infer_role(cat).select("key", F.col("key").alias("label"), "role", "is_empty"), "before")
     k = F.col("key")
@@ -264,6 +319,44 @@ def drift_summary(spark, sf):
     return drift.drift_order(diff).limit(4).select("key", "delta").unionByName(said)
 
 
+DRIFT = """p AS (SELECT p_partkey AS k, p_name AS key, p_size FROM part),
+ b AS (SELECT key, CASE WHEN count(*) > 1 THEN 'dimension' ELSE 'meta' END AS role, min(p_size) > 25 AS e FROM p WHERE k % 3 <> 0 GROUP BY key), a AS (SELECT key, CASE WHEN count(*) > 1 THEN 'dimension' ELSE 'meta' END AS role, min(p_size) > 25 AS e FROM p WHERE k % 5 <> 0 GROUP BY key)"""
+
+
+@query(f"""WITH {DRIFT}, d AS (SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN 'removed' WHEN a.role <> b.role THEN 'role-changed' WHEN b.e AND NOT a.e THEN 'became-populated' WHEN a.e AND NOT b.e THEN 'became-empty' ELSE 'unchanged' END AS delta FROM b FULL JOIN a ON a.key = b.key)
+ SELECT key, delta, row_number() OVER (ORDER BY list_position(['role-changed', 'removed', 'added', 'became-populated', 'became-empty', 'unchanged'], delta), key) AS position FROM d""")
+def drift_positions(spark, sf):
+    """The order in which changed columns are told, for two catalogues that name a column for every part's name."""
+    k = F.col("p_partkey")
+    role = F.when(F.count("*") > 1, "dimension").otherwise("meta").alias("role")
+    told = lambda p: p.groupBy(F.col("p_name").alias("key")).agg(role, (F.min("p_size") > 25).alias("is_empty")).withColumn("label", F.col("key"))
+    p = tb.table(spark, sf, "part")
+    return drift.drift_positions(drift.diff_columns(told(p.where(k % 3 != 0)), told(p.where(k % 5 != 0)))).select("key", "delta", F.col("position").cast("long").alias("position"))
+
+
+def _import_sql(policy: str) -> str:
+    """Sites 0 to n: a third stands in the store, and the bundle holds all but every fifth, with a name of its own."""
+    taken = "false" if policy == "keep-existing" else "page_id % 5 <> 0"
+    return f"""SELECT '{policy}' AS policy, 'site-' || page_id AS site_key, CASE WHEN page_id % 3 = 0 AND NOT ({taken}) THEN 'old' ELSE 'f' END || page_id || '.kmz' AS filename, sha256(coalesce(html, '')) AS sha256, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size_bytes,
+ CASE WHEN page_id % 5 = 0 THEN 'kept' WHEN page_id % 3 <> 0 THEN 'imported' WHEN {taken} THEN 'replaced' ELSE 'skipped' END AS outcome, 2 AS version FROM pages WHERE page_id % 3 = 0 OR page_id % 5 <> 0"""
+
+
+@query(" UNION ALL ".join(map(_import_sql, ("keep-existing", "replace"))))
+def store_import(spark, sf):
+    """A bundle imported into a versioned store under both policies, and the store as it is read back."""
+    st = q._store(spark, sf)
+    k = F.col("seq")
+    bundle, out = _folder(spark, "bundle"), []
+    attachments.write_bundle(st.where(k % 5 != 0), bundle)
+    for policy in ("keep-existing", "replace"):
+        store = attachments.VersionedStore(spark, _folder(spark, "store"), st.schema)
+        store.put(st.where(k % 3 == 0).withColumn("filename", F.concat(F.lit("old"), k, F.lit(".kmz"))))
+        done = store.load_bundle(bundle, policy).select("site_key", "outcome")
+        now = store.read().where(text.content_hash("content") == F.col("sha256")).join(done, "site_key", "left")
+        out.append(now.select(F.lit(policy).alias("policy"), "site_key", "filename", "sha256", F.octet_length("content").cast("long").alias("size_bytes"), F.coalesce("outcome", F.lit("kept")).alias("outcome"), F.lit(max(store.versions())).alias("version")))
+    return out[0].unionByName(out[1])
+
+
 @query(f"WITH {q.PLACED}, g AS (SELECT state_match AS state, district_match AS name, count(DISTINCT site) AS sites FROM placed WHERE district_match IS NOT NULL GROUP BY ALL) SELECT state, name, sites, CAST(70 + n_nationkey % 20 AS DOUBLE) AS lng, CAST(8 + n_nationkey % 17 AS DOUBLE) AS lat FROM g JOIN nation ON n_name = name WHERE state = 'ASIA'")
 def region_badges(spark, sf):
     """Site counts of one state's districts at their centroids."""
