@@ -2,7 +2,7 @@
 
 A is a byte-level BPE (tokenizers library, over a space and the text), B a sentencepiece BPE (which adds the space). The
 cumulative byte ends of both id lists are put into dictionaries from end to index; the ends found in both, sorted, cut
-the lists into groups; within a group every two tokens whose bytes overlap are linked. An id pair's count is the number of
+the lists into groups; within a group every two tokens whose bytes overlap are linked (a slice's distinct units stand behind each other in one such run). An id pair's count is the number of
 links that hold it in the whole corpus.
 
 Units. A space that follows a character other than white space begins a new token in A (its pattern takes spaces in front
@@ -39,7 +39,7 @@ from landloom.llm.staging import sized_broadcast, stage, texts
 #: Distinct id pairs (some 60 bytes each) that are broadcast at most; more go by a shuffle join.
 BROADCAST_PAIRS = 1_000_000
 #: Text of a slice.
-SLICE = 4 << 20
+SLICE = 8 << 20
 
 
 class Vocabulary:
@@ -60,12 +60,14 @@ class Vocabulary:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.name = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.a_size, self.b_size = (np.array([len(x) for x in known], np.int64) for known in (self.a_bytes, self.b_bytes))
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece has a space behind another character: texts can't be cut at spaces")
 
     def encode(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both tokenizers for each unit (text that begins with a space)."""
-        return list(zip((e.ids for e in self.a.encode_batch(units, add_special_tokens=False)), self.b.encode([u[1:] for u in units], num_threads=1), strict=True))
+        return list(zip((e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)), self.b.encode([u[1:] for u in units], num_threads=1), strict=True))
 
 
 @lru_cache(2)
@@ -73,55 +75,57 @@ def vocabulary(a_path: str, b_path: str) -> Vocabulary:
     return Vocabulary(a_path, b_path)
 
 
-def ends(sizes: list[int]) -> dict[int, int]:
+def ends(sizes: np.ndarray) -> dict[int, int]:
     """From each cumulative end to the index behind its token."""
-    out, at = {}, 0
-    for i, n in enumerate(sizes, 1):
-        at += n
-        out[at] = i
-    return out
+    return dict(zip(np.cumsum(sizes).tolist(), range(1, len(sizes) + 1), strict=True))
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Of two lists of token sizes over the same bytes: groups (slices of both lists), and links (indices of tokens that overlap)."""
+def align(a: np.ndarray, b: np.ndarray) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of two lists of token sizes over the same bytes: groups (from and to in a, from and to in b), and links (indices of tokens that overlap), by group."""
     of_a, of_b = ends(a), ends(b)
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(of_a.keys() & of_b.keys()):
-        to_i, to_j = of_a[end], of_b[end]
-        groups.append((i, to_i, j, to_j))
-        if to_i - i == 1 or to_j - j == 1:
-            links += [(x, y) for x in range(i, to_i) for y in range(j, to_j)]
-        else:
-            x, y, left = i, j, a[i] - b[j]  # left: how much further x ends than y
-            while True:
-                links.append((x, y))
-                if left > 0:
-                    y += 1
-                    left -= b[y]
-                elif left < 0:
-                    x += 1
-                    left += a[x]
-                else:
-                    x, y = x + 1, y + 1
-                    if x == to_i:
-                        break
-                    left = a[x] - b[y]
-        i, j = to_i, to_j
-    return groups, links
-
-
-class Unit:
-    """A distinct unit: sizes, groups as text, and codes (A's id times 2**32 plus B's) of its links. ``good``: both give its bytes."""
-
-    __slots__ = ("good", "n_a", "n_b", "n_groups", "groups", "links")
-
-    def __init__(self, text: str, a: list[int], b: list[int], v: Vocabulary):
-        raw, a_bytes, b_bytes = text.encode(), [v.a_bytes[i] for i in a], [v.b_bytes[i] for i in b]
-        self.good = b"".join(a_bytes) == raw == b"".join(b_bytes)
-        found, links = align(list(map(len, a_bytes)), list(map(len, b_bytes))) if self.good else ([], [])
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(found)
-        self.groups = ";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for i, k, j, m in found).encode()
-        self.links = [(a[x] << 32) + b[y] for x, y in links]
+    common = sorted(of_a.keys() & of_b.keys())
+    to_a, to_b = (np.fromiter(map(of.__getitem__, common), np.int64, len(common)) for of in (of_a, of_b))
+    from_a, from_b = (np.append(0, to[:-1]) if len(to) else to for to in (to_a, to_b))
+    n_a, n_b = to_a - from_a, to_b - from_b
+    # every end in a group closes one overlap: of m and n tokens there are m + n - 1, as only the last ends are common
+    n = n_a + n_b - 1
+    group = np.repeat(np.arange(len(common)), n)
+    place = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
+    x, y = from_a[group] + np.where(n_b[group] == 1, place, 0), from_b[group] + np.where(n_a[group] == 1, place, 0)
+    several = np.flatnonzero((n_a > 1) & (n_b > 1))
+    if len(several):
+        end_a, end_b, own = np.cumsum(a), np.cumsum(b), np.isin(group, several)
+        inside = lambda start, size: np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        closed = np.sort(np.concatenate([end_a[inside(from_a[several], n_a[several])], end_b[inside(from_b[several], n_b[several] - 1)]]))
+        x[own], y[own] = np.searchsorted(end_a, closed), np.searchsorted(end_b, closed)
+    return [from_a, to_a, from_b, to_b], (x, y)
+
+
+class Aligned:
+    """Distinct units (each begins with a space): whether both tokenizers give their bytes (``good``), numbers of ids and groups, groups as text, and links
+    (A's id times 2**32 plus B's) with their number by unit. Units are aligned as one run of bytes: each ends where both tokenizers end."""
+
+    def __init__(self, units: list[str], v: Vocabulary):
+        ids = v.encode(units)
+        raw = [u.encode() for u in units]
+        self.good = np.ones(len(units), bool)
+        if b"".join([v.a_bytes[i] for a, _ in ids for i in a]) != b"".join(raw) or b"".join([v.b_bytes[i] for _, b in ids for i in b]) != b"".join(raw):
+            self.good[:] = [b"".join([v.a_bytes[i] for i in a]) == r == b"".join([v.b_bytes[i] for i in b]) for (a, b), r in zip(ids, raw, strict=True)]
+        some = np.flatnonzero(self.good)
+        kept = [ids[k] for k in some.tolist()]
+        a, b = (np.fromiter((i for x in kept for i in x[side]), np.int64) for side in (0, 1))
+        (from_a, to_a, from_b, to_b), (x, y) = align(v.a_size[a], v.b_size[b])
+        self.links = (a[x] << 32) + b[y]
+        last = np.cumsum([len(p) for p, _ in kept], dtype=np.int64)  # of each unit's ids in a
+        of_group = np.searchsorted(last, to_a)
+        self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(len(units), np.int64) for _ in range(4))
+        self.n_a[some], self.n_b[some] = [len(p) for p, _ in kept], [len(q) for _, q in kept]
+        self.n_groups[some] = np.bincount(of_group, minlength=len(some))
+        self.n_links[some] = np.bincount(np.searchsorted(last, x, "right"), minlength=len(some))
+        name_a, name_b = [v.name[i] for i in a.tolist()], [v.name[i] for i in b.tolist()]
+        texts = [",".join(name_a[i:k]) + "|" + ",".join(name_b[j:m]) for i, k, j, m in zip(*(g.tolist() for g in (from_a, to_a, from_b, to_b)), strict=True)]
+        cuts = np.append(0, np.cumsum(self.n_groups)).tolist()
+        self.groups = [";".join(texts[i:k]).encode() for i, k in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -165,14 +169,14 @@ def _aligner(a_path: str, b_path: str):
             if not b.num_rows:
                 continue
             starts, codes, distinct = units(b)
-            found = [Unit(u, *ids, v) for u, ids in zip(distinct, v.encode(distinct), strict=True)]
+            found = Aligned(distinct, v)
             size, n = np.diff(starts), b.num_rows
             text = np.repeat(np.arange(n), size)
             bad = np.zeros(n, bool)
-            bad[text[~np.array([u.good for u in found], bool)[codes]]] = True
+            bad[text[~found.good[codes]]] = True
             live = ~bad[text]
-            totals = [np.bincount(text[live], np.array(x, float)[codes[live]], n).astype(np.int64) for x in ([u.n_a for u in found], [u.n_b for u in found], [u.n_groups for u in found], [len(u.links) for u in found])]
-            said = [u.groups for u in found]
+            totals = [np.bincount(text[live], x[codes[live]], n).astype(np.int64) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
+            said = found.groups
             digests = ["" if bad[i] or a == z else hashlib.sha256(b";".join(map(said.__getitem__, codes[a:z].tolist()))).hexdigest() for i, (a, z) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))]
             rows = pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, totals), pa.array(digests, pa.string())], names=list(_ROWS))
             sink = pa.BufferOutputStream()
@@ -180,11 +184,10 @@ def _aligner(a_path: str, b_path: str):
                 out.write_batch(rows)
             head = sink.getvalue().to_pybytes()
             # links of each distinct unit by their place among the slice's distinct pairs; then units by text, with their number
-            links = np.fromiter((x for u in found for x in u.links), np.int64)
-            pairs, place = np.unique(links, return_inverse=True)
-            per_unit = np.array([len(u.links) for u in found], np.int64)
-            used = np.bincount(codes[live], minlength=len(found))
-            key, times = np.unique(text[live] * max(1, len(found)) + codes[live], return_counts=True)
+            pairs, place = np.unique(found.links, return_inverse=True)
+            per_unit = found.n_links
+            used = np.bincount(codes[live], minlength=len(distinct))
+            key, times = np.unique(text[live] * max(1, len(distinct)) + codes[live], return_counts=True)
             body = pack([per_unit, place, np.diff(key, prepend=0), times])
             sums = np.bincount(place, np.repeat(used, per_unit), len(pairs)).astype(np.int64)
             yield batch_of(_OUT, [number], [-1], [None], [None], [len(head).to_bytes(4, "little") + head + body])

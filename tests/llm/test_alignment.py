@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -97,6 +98,17 @@ def test_empty_table(spark, odd_documents):
     assert rows.count() == 0
 
 
-def test_links_within_a_group():
-    groups, links = alignment.align([3, 2, 2], [1, 4, 2])
-    assert groups == [(0, 2, 0, 2), (2, 3, 2, 3)] and links == [(0, 0), (0, 1), (1, 1), (2, 2)]
+@pytest.mark.parametrize("a,b,groups,links", [([3, 2, 2], [1, 4, 2], [(0, 2, 0, 2), (2, 3, 2, 3)], [(0, 0), (0, 1), (1, 1), (2, 2)]), ([5], [2, 3], [(0, 1, 0, 2)], [(0, 0), (0, 1)]), ([], [], [], [])])
+def test_links_within_a_group(a, b, groups, links):
+    got, (x, y) = alignment.align(np.array(a, int), np.array(b, int))
+    assert list(zip(*(g.tolist() for g in got), strict=True)) == groups and list(zip(x.tolist(), y.tolist(), strict=True)) == links
+
+
+def test_links_are_all_overlaps():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        total = int(rng.integers(2, 60))
+        a, b = (np.diff(np.unique([0, total, *rng.integers(1, total, int(rng.integers(0, 20)))])) for _ in range(2))
+        ends_a, ends_b = np.cumsum(a), np.cumsum(b)
+        want = [(i, j) for i in range(len(a)) for j in range(len(b)) if min(ends_a[i], ends_b[j]) > max(ends_a[i] - a[i], ends_b[j] - b[j])]
+        assert sorted(zip(*(x.tolist() for x in alignment.align(a, b)[1]), strict=True)) == want
