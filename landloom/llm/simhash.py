@@ -295,12 +295,18 @@ def _trees(most: int, run: int | None):
     return over
 
 
-def similar_links(docs: DataFrame, words: int = 5, least: float = 0.8, run: int = RUN) -> DataFrame:
+def similar_links(docs: DataFrame, words: int = 5, least: float = 0.8, run: int = RUN, exact: bool = False) -> DataFrame:
     """Verified links (a, b) between ids (distinct, not null) of texts whose shingles' similarity is ``least`` or more.
 
-    They connect what is connected among all candidates, but for pairs whose long fingerprints rank otherwise than their
-    shingles do; recall is measured in the README.
+    They connect what is connected among all candidates, but for pairs that no block brings together and those whose long fingerprints rank
+    otherwise than their shingles do. With ``exact`` the prefix join adds what they lack (``least`` in hundredths), so that all is connected
+    that a comparison of all pairs would connect.
     """
+    if exact:
+        from landloom.llm.jaccard import near_duplicates as joined
+
+        rest = joined(docs.select("doc_id", "text"), words, round(100 * least)).where("component_id <> doc_id")
+        return similar_links(docs, words, least, run).unionByName(rest.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")))
     every = stage(sketches(docs, words).withColumn("same", F.xxhash64("tables", "wide")), "sketches")
     # texts with the same fingerprints throughout are one row here, and linked to its least id
     rows = stage(every.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("tables").alias("tables"), F.any_value("wide").alias("wide")), "distinct")

@@ -42,14 +42,14 @@ def test_stages_against_brute_force(spark, sf):
     once = sorted(once, key=lambda r: r.doc_id)
     root = components_of(len(once), brute_similar([r.text for r in once], 5, 0.8))
     assert {r.doc_id for r in apart} == {once[i].doc_id for i in root}
-    assert {r.doc_id for r in mixed} <= {r.doc_id for r in apart} and len(mixed) > 0.6 * len(apart)
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in apart} and len(mixed) > 0.3 * len(apart)
     enc = byte_bpe.encoding(*__import__("tests.llm.test_tokens", fromlist=["BYTE"]).__dict__["PAIR"])
     text = {r.doc_id: r.text for r in mixed}
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in coded} == {d: enc.encode_ordinary(t) for d, t in text.items()}
 
 
 def test_queries_are_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "simhash_near_dedup", "mixing", "byte_bpe"]
 
 
@@ -67,3 +67,33 @@ def test_ids_that_repeat_or_are_null(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in kept], docs.schema)
     got = key(corpus_pipeline.near(spark, docs, ""))
     assert len(got) == 4 and {(7, b), (6, a + " more"), (8, d)} <= set(got) and sum(i == 0 for i, _ in got) == 1
+
+
+def test_columns_whose_names_clash_pass_through(spark):
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join(rng.choice([f"v{i}" for i in range(2000)], 200)) for _ in range(3))
+    names = ("_row", "_sha", "_best", "_t", "_source", "_topic", "node", "root", "component", "Prob")
+    rows = [(1, a, "en", "s", 1), (2, a + " ", "en", "s", 1), (3, b, "en", "s", 1), (4, b + " more", "en", "s", 1), (5, c, None, None, 1)]
+    docs = spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for stage, kept in ((corpus_pipeline.exact, {2, 3, 4, 5}), (corpus_pipeline.near, {1, 3, 5}), (corpus_pipeline.mixed, None)):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in found for n in names) and (kept is None or {r.doc_id for r in found} == kept)
+
+
+def test_every_planted_near_copy_is_found(spark):
+    """Short texts and skewed words, at similarities from 0.8 up: all pairs above the bound fall into one component."""
+    rng = np.random.default_rng(12)
+    words = np.array([f"k{i}" for i in range(400)])
+    skew = 1 / np.arange(1, 401)
+    texts = []
+    for k in range(60):
+        base = rng.choice(words, int(rng.choice([25, 60, 250])), p=skew / skew.sum()).tolist()
+        copy = list(base)
+        for at in rng.choice(len(base), max(1, len(base) // 60), replace=False):
+            copy[int(at)] = f"new{k}"
+        texts += [" ".join(base), " ".join(copy)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert kept == set(components_of(len(texts), brute_similar(texts, 5, 0.8)))
