@@ -9,13 +9,12 @@ off a table of ``SLOTS`` counters, which is summed over all sets, sent to tasks
 for any corpus. Elements of one slot look equally frequent and are ordered by hash; only time depends on the table, never a result.
 
 Groups. Sets of one size and one prefix form a group, and a prefix element brings groups together (a list). Lists are cut where
-the next larger size is too large for any pair; lists of one group are dropped; what is left is expanded to the groups' members,
-and each group of several members is a list of its own.
+the next larger size is too large for any pair; lists of one group are dropped, and lists of the same groups (copies share much of
+their prefixes) are one; what is left is expanded to the groups' members, and each group of several members is a list of its own.
 
 Links. Pairs of a list aren't all compared: its members meet one of them (a pivot, the same in most lists that a family of copies
 shares), and whole texts of these pairs are compared. Lists whose members are connected by then are done. Others get further pivots, and
-when few pairs are open, or after ``ROUNDS``, every pair of a list that is not yet connected and that sizes and places of the
-common element allow. So components are exact. Components are found by alternating stars.
+when few pairs are open, or after ``ROUNDS``, every pair of a list that is not yet connected and that sizes allow is compared. So components are exact. Components are found by alternating stars.
 
 Null and empty texts and texts without words have no set (size 0) and link with nothing. Texts of fewer words than a shingle have
 one element, the whole sequence. Repeated rows share a component; null ids name one only if it has no other. An empty table gives no
@@ -39,7 +38,9 @@ from landloom.llm.staging import sized_broadcast, split_join, stage, texts
 #: Counters of the table that orders elements, and of one of its segments.
 SLOTS, SEGMENT = 1 << 24, 1 << 16
 #: Rounds of pivots at most, and open pairs for each member of a list below which all are compared.
-ROUNDS, OPEN = 5, 8
+ROUNDS, OPEN = 3, 8
+#: Groups of a list up to which it is told by its groups and not by its element.
+TOLD = 4_096
 #: Ids and digests of sets (some 60 bytes each) that are broadcast at most, and links of a set from which its text is dealt in parts.
 BROADCAST_SETS, HUB = 500_000, 2_000
 SEED = 42
@@ -144,7 +145,7 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-_POSTS = pa.schema([("element", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig", pa.binary())])
+_POSTS = pa.schema([("element", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())])
 
 
 def _poster(sent, words: int, percent: int):
@@ -174,57 +175,76 @@ def _poster(sent, words: int, percent: int):
             sig = [None] * len(of)
             for k, i in zip(cuts[:-1], some.tolist(), strict=True):
                 sig[k] = digests[i]
-            yield batch_of(_POSTS, pa.array(element.view(np.int64)), pa.array(group[of].view(np.int64)), pa.array(n[of].astype(np.int32)), pa.array(pos.astype(np.int32)), sig)
+            yield batch_of(_POSTS, pa.array(element.view(np.int64)), pa.array(group[of].view(np.int64)), pa.array(n[of].astype(np.int32)), sig)
 
     return run
 
 
-_LISTS = pa.schema([("list", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig", pa.binary())])
+_LISTS = pa.schema([("list", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())])
 
 
 def _lister(percent: int):
     """Over rows sorted by (element, n, g): runs of groups that sizes allow, each a list; and, list 0, every (g, sig) that was sent.
 
-    Rows stream: a list of any length is passed on as it comes, so only the last row is held.
+    A list is told by a hash of its groups. One of more than ``TOLD`` groups is told by its element and first size, and passed on as it comes.
     """
 
+    def listed(name: int, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return batch_of(_LISTS, pa.array(np.full(len(g), name, np.int64)), pa.array(g), pa.array(n), pa.nulls(len(g), pa.binary()))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (element, g, n, pos, list, whether it was given out)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        held, long_name, seen = none, None, set()  # an open run's rows; its name once it is long; lists told in this task
         for b in batches:
             if not b.num_rows:
                 continue
             sent = b.filter(b.column("sig").is_valid())
-            yield batch_of(_LISTS, [0] * sent.num_rows, sent.column("g"), sent.column("n"), sent.column("pos"), sent.column("sig"))
-            element, g, n, pos = (b.column(c).to_numpy() for c in ("element", "g", "n", "pos"))
-            again = np.zeros(len(g), bool)
-            again[1:] = (element[1:] == element[:-1]) & (g[1:] == g[:-1])
-            again[0] = last is not None and (element[0], g[0]) == (last[0], last[1])
-            element, g, n, pos = (x[~again] for x in (element, g, n, pos))
-            if not len(g):
-                continue
+            yield batch_of(_LISTS, [0] * sent.num_rows, sent.column("g"), sent.column("n"), sent.column("sig"))
+            new = [b.column(c).to_numpy() for c in ("element", "g", "n")]
+            element, g, n = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
+            twice = np.zeros(len(g), bool)
+            twice[1:] = (element[1:] == element[:-1]) & (g[1:] == g[:-1])
+            element, g, n = element[~twice], g[~twice], n[~twice]
             joins = np.zeros(len(g), bool)  # to the row before
             joins[1:] = (element[1:] == element[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
-            joins[0] = last is not None and element[0] == last[0] and 100 * int(last[2]) >= percent * int(n[0])
-            begins = np.flatnonzero(~joins)
-            name = _mixed(element.view(np.uint64) + n.astype(np.uint64) * _BASE).view(np.int64)  # of a run: its element and first size
-            own = np.full(len(g), last[4] if joins[0] else 0, np.int64)
-            for_run = np.cumsum(~joins) - 1
-            own[for_run >= 0] = name[begins][for_run[for_run >= 0]] if len(begins) else own[for_run >= 0]
-            out = joins.copy()
-            out[:-1] |= joins[1:]
-            if joins[0] and not last[5]:
-                yield batch_of(_LISTS, [int(last[4])], [int(last[1])], [int(last[2])], [int(last[3])], [None])
-            keep = np.flatnonzero(out)
-            yield batch_of(_LISTS, pa.array(own[keep]), pa.array(g[keep]), pa.array(n[keep]), pa.array(pos[keep]), pa.nulls(len(keep), pa.binary()))
-            last = (element[-1], g[-1], n[-1], pos[-1], own[-1], bool(out[-1]))
+            starts = np.flatnonzero(~joins)
+            size = np.diff(np.append(starts, len(g)))
+            out = []
+            for k in np.flatnonzero(size[:-1] > 1).tolist():  # whole runs of two or more; the last one may go on
+                a, z = starts[k], starts[k] + size[k]
+                if k == 0 and long_name is not None:
+                    yield listed(long_name, g[a + 1 : z], n[a + 1 : z])
+                    continue
+                own = np.sort(g[a:z])
+                name = xxhash.xxh64_intdigest(own.tobytes())
+                if name not in seen:
+                    if len(seen) < 500_000:
+                        seen.add(name)
+                    out.append((name - (1 << 64) if name >> 63 else name, a, z))
+            if out:
+                at = np.concatenate([np.arange(a, z) for _, a, z in out])
+                names = np.repeat(np.array([x for x, _, _ in out], np.int64), [z - a for _, a, z in out])
+                yield batch_of(_LISTS, pa.array(names), pa.array(g[at]), pa.array(n[at]), pa.nulls(len(at), pa.binary()))
+            last = starts[-1]
+            if len(starts) > 1:
+                long_name = None
+            held = element[last:], g[last:], n[last:]
+            if len(held[0]) > TOLD or long_name is not None:
+                first = long_name is None
+                if first:
+                    long_name = xxhash.xxh64_intdigest(b"long" + element[last:][:1].tobytes() + n[last:][:1].tobytes()) >> 1
+                yield listed(long_name, *(x[last + (0 if first else 1) :] for x in (g, n)))
+                held = element[-1:], g[-1:], n[-1:]  # the next rows are held against it
+        if len(held[0]) > 1:
+            own = xxhash.xxh64_intdigest(np.sort(held[1]).tobytes())
+            yield listed(own - (1 << 64) if own >> 63 else own, held[1], held[2])
 
     return run
 
 
 def _possible(percent: int) -> Column:
-    """Whether sizes and places of a common element (columns n, pos and m, at) leave room for enough common elements."""
-    room = F.least("pos", "at") + 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) - 1
-    return (100 * F.least("n", "m").cast("long") >= percent * F.greatest("n", "m").cast("long")) & ((100 + percent) * room.cast("long") >= percent * (F.col("n") + F.col("m")).cast("long"))
+    """Whether two sizes (n, m) leave room for enough common elements."""
+    return 100 * F.least("n", "m").cast("long") >= percent * F.greatest("n", "m").cast("long")
 
 
 def compared(known: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -276,19 +296,19 @@ def distinct_sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, np
 
 
 def candidate_lists(docs: DataFrame, sets: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """list, id, n and pos: sets that share a prefix element, or a whole prefix, as members of the list's groups."""
+    """list, id and n: sets that share a prefix element, or a whole prefix, as members of the list's groups."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
-    posts = docs.mapInArrow(_poster(sent, words, percent), "element long, g long, n int, pos int, sig binary")
-    schema = "list long, g long, n int, pos int, sig binary"
+    posts = docs.mapInArrow(_poster(sent, words, percent), "element long, g long, n int, sig binary")
+    schema = "list long, g long, n int, sig binary"
     found = stage(posts.repartition("element").sortWithinPartitions("element", "n", "g").mapInArrow(_lister(percent), schema), "lists")
     members = found.where("sig is not null").select("g", "n", "sig").distinct().join(sets.select("sig", "id"), "sig").select("g", "n", "id")
     members = stage(members, "members")
     alone = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
-    own = members.join(sized_broadcast(alone, alone.count(), BROADCAST_SETS), "g", "left_semi").select(F.xxhash64("g", F.lit("group")).alias("list"), "id", "n", F.lit(0).alias("pos"))
-    shared = found.where("sig is null")
+    own = members.join(sized_broadcast(alone, alone.count(), BROADCAST_SETS), "g", "left_semi").select(F.xxhash64("g", F.lit("group")).alias("list"), "id", "n")
+    shared = found.where("sig is null").select("list", "g", "n").distinct()
     groups = shared.select("g").distinct()
     inside = members.select("g", "id").join(sized_broadcast(groups, groups.count(), BROADCAST_SETS), "g", "left_semi")
-    lists = shared.select("list", "g", "n", "pos").join(sized_broadcast(inside, inside.count(), BROADCAST_SETS), "g").select("list", "id", "n", "pos")
+    lists = shared.join(sized_broadcast(inside, inside.count(), BROADCAST_SETS), "g").select("list", "id", "n")
     return stage(lists.unionByName(own), "entries")
 
 
@@ -303,7 +323,7 @@ def similar_pairs(docs: DataFrame, words: int = 5, percent: int = 80, rounds: in
     known = stage(_texts_of(docs, nodes, words), "texts")
     links, tested, named = None, None, entries.withColumn("own", F.col("id"))
     for step in range(rounds + 1):
-        parts = named.groupBy("list", "own").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("pos").alias("pos"))).alias("one"))
+        parts = named.groupBy("list", "own").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("id"), F.col("n").alias("n"))).alias("one"))
         lists = parts.groupBy("list").agg(F.count("*").alias("kinds"), F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", F.bitwise_not("one.h").alias("h"), "own", "one")).alias("top")).where("kinds > 1")
         lists = stage(lists.select("list", "size", ((F.col("size") * F.col("size") - F.col("same")) / 2).alias("open"), F.col("top.own").alias("pivot_own"), "top.one"), "open")
         left = lists.agg(F.coalesce(F.sum("open"), F.lit(0)).alias("open"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
@@ -312,10 +332,10 @@ def similar_pairs(docs: DataFrame, words: int = 5, percent: int = 80, rounds: in
         every = step == rounds or (step > 0 and left["open"] <= open_pairs * left["size"])
         if every:
             mixed = stage(split_join(named, lists.select("list", "size"), "list", "size", int(left["size"])), "mixed")
-            other = mixed.select("list", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("own").alias("other"))
+            other = mixed.select("list", F.col("id").alias("b"), F.col("n").alias("m"), F.col("own").alias("other"))
             pairs = mixed.withColumnRenamed("id", "a").join(other, "list").where((F.col("own") != F.col("other")) & (F.col("a") < F.col("b")))
         else:  # the pivot is a
-            pivots = lists.select("list", "size", "pivot_own", F.col("one.id").alias("a"), F.col("one.n").alias("m"), F.col("one.pos").alias("at"))
+            pivots = lists.select("list", "size", "pivot_own", F.col("one.id").alias("a"), F.col("one.n").alias("m"))
             pairs = split_join(named, pivots, "list", "size", int(left["size"])).where(F.col("own") != F.col("pivot_own")).withColumnRenamed("id", "b")
         pairs = pairs.where(_possible(percent)).select("a", "b").distinct().withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
         pairs = stage(pairs if tested is None else pairs.join(tested, ["lo", "hi"], "left_anti"), "pairs")

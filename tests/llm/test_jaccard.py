@@ -84,12 +84,13 @@ def test_sets_hold_each_shingle_once():
     assert np.diff(starts).tolist() == [5, 0, 1, 1, 1] and h[6] == h[7] and h[6] in h[:5]
 
 
-def test_runs_of_sizes_become_lists():
-    rows = [(1, 10, 8, 0), (1, 11, 10, 1), (1, 11, 10, 1), (1, 12, 30, 2), (2, 13, 5, 0), (3, 14, 5, 0), (3, 15, 6, 0), (3, 16, 7, 0)]
-    batch = lambda part: pa.RecordBatch.from_pydict({"element": pa.array([r[0] for r in part], pa.int64()), "g": pa.array([r[1] for r in part], pa.int64()), "n": pa.array([r[2] for r in part], pa.int32()), "pos": pa.array([r[3] for r in part], pa.int32()), "sig": pa.nulls(len(part), pa.binary())})
-    for size in (1, 2, 3, 8):
+def test_runs_of_sizes_become_lists(monkeypatch):
+    rows = [(1, 10, 8), (1, 11, 10), (1, 11, 10), (1, 12, 30), (2, 13, 5), (3, 14, 5), (3, 15, 6), (3, 16, 7), (4, 10, 8), (4, 11, 10), *((5, 100 + i, 50) for i in range(9)), (6, 17, 4)]
+    batch = lambda part: pa.RecordBatch.from_pydict({"element": pa.array([r[0] for r in part], pa.int64()), "g": pa.array([r[1] for r in part], pa.int64()), "n": pa.array([r[2] for r in part], pa.int32()), "sig": pa.nulls(len(part), pa.binary())})
+    monkeypatch.setattr(jaccard, "TOLD", 5)
+    for size in (1, 2, 3, 4, 8, 30):
         out = [r for b in jaccard._lister(80)(batch(rows[i : i + size]) for i in range(0, len(rows), size)) for r in b.to_pylist()]
         lists = {}
         for r in out:
             lists.setdefault(r["list"], []).append(r["g"])
-        assert sorted(lists.values()) == [[10, 11], [14, 15, 16]]
+        assert sorted(sorted(x) for x in lists.values()) == [[10, 11], [14, 15, 16], list(range(100, 109))]
