@@ -1,3 +1,5 @@
+import datetime
+import hashlib
 import itertools
 
 import numpy as np
@@ -187,6 +189,84 @@ def test_facets(spark):
     assert facets.option_order(facets.facet_view(bv, sel, act)).count() == len(view)
 
 
+@pytest.mark.parametrize("ends", [[], [3.0], [-1.5, 0.0, 0.1, 7.0, 1e300], [float(i) for i in range(37)], [float("-inf"), 2.0, float("inf")]])
+def test_elementary_intervals(spark, ends):
+    """A value lies in a range of two ends exactly if its interval lies between theirs."""
+    values = [None, float("nan"), *ends, *(e + 0.05 for e in ends if abs(e) < 1e9), -1e9, 1e9, 0.05, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    got = {r.i: r.at for r in df.select("i", facets.interval(F.col("v"), ends).alias("at")).collect()}
+    place = {e: got[2 + i] for i, e in enumerate(ends)}
+    for i, v in enumerate(values):
+        assert (got[i] is None) == (v is None or v != v)
+        for lo in ends:
+            for hi in ends:
+                if got[i] is not None:
+                    assert (lo <= v <= hi) == (place[lo] <= got[i] <= place[hi])
+
+
+def test_cascade_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(str(i), *(rng.choice([f"{d[0]}{k}" for k in range(4)] + [None]) for d in facets.DIMENSIONS), rng.choice([None, *map(float, range(20))])) for i in range(150)]
+    views = [f"v{i}" for i in range(12)]
+    sel = [(v, d, rng.choice([f"{d[0]}{k}" for k in range(6)])) for v in views for d in facets.DIMENSIONS for _ in range(rng.choice([0, 0, 1, 2, 3]))]
+    rng_ = [(v, "area", *sorted((float(rng.randrange(20)), float(rng.randrange(20))))) for v in views if rng.random() < 0.6]
+    want_active, want_rows = set(), set()
+    for v in views:
+        inside = lambda r: all(r[5] is not None and lo <= r[5] <= hi for w, _, lo, hi in rng_ if w == v)  # noqa: B023, E731
+        active = {}
+        for i, d in enumerate(facets.DIMENSIONS):
+            scope = [r for r in rows if i == 0 or inside(r) and all(not active[e] or r[1 + j] in active[e] for j, e in enumerate(facets.DIMENSIONS[:i]))]
+            active[d] = {x for w, e, x in sel if (w, e) == (v, d)} & {r[1 + i] for r in scope}
+            want_active |= {(v, d, x) for x in active[d]}
+        want_rows |= {(v, r[0]) for r in rows if inside(r) and all(not active[d] or r[1 + i] in active[d] for i, d in enumerate(facets.DIMENSIONS))}
+    df = spark.createDataFrame(rows, "record_id string, business string, state string, district string, site string, area double")
+    selections, ranges = spark.createDataFrame(sel, "view_id string, dimension string, value string"), spark.createDataFrame(rng_, "view_id string, measure string, lo double, hi double")
+    asked = spark.createDataFrame([(v,) for v in views], "view_id string")
+    bv = facets.viewed(df, asked, ranges, ["area"])
+    act = facets.compute_active(bv, selections)
+    assert {tuple(r) for r in act.collect()} == want_active
+    got = facets.apply_filters(df, bv, act, asked, ranges, ["area"]).select("view_id", "record_id").collect()
+    assert {tuple(r) for r in got} == want_rows and len(got) == len(want_rows)
+
+
+def test_labels_that_share_a_word(spark):
+    """A thousand labels begin alike: files meet only the labels that they hold whole, at word boundaries."""
+    rec = spark.createDataFrame([(f"r{i}", i, "s", "d", f"Plot {i}") for i in range(1000)] + [("x", 2000, "s", "d", "a+b"), ("y", 2001, "s", "d", "(odd)"), ("z", 2002, "s", "e", "Plot 7"), ("w", 2003, "s", "e", "plot")], "record_id string, source_row_number int, state string, district string, site string")
+    index = sites.site_index(rec)
+    names = ["old Plot 12 map.kmz", "Plot 7.kmz", "xPlot 12.kmz", "Plot 123-4.kml", "map a+b c.kml", "n (odd) m.kmz", "x(odd)y.kmz", "plots.kmz", "-Plot 999-.kmz", ".kmz"]
+    got = {r.filename: (r.site_key, r.candidates) for r in sites.match_files(spark.createDataFrame([(n,) for n in names], "filename string"), index).collect()}
+    from landloom.functions import text
+
+    labels = index.select("site_key", text.match_key("label").alias("lkey"))
+    stems = spark.createDataFrame([(n,) for n in names], "filename string").withColumn("stem", text.match_key(text.filename_stem("filename")))
+    pairs = stems.crossJoin(labels).select("filename", "site_key", (F.col("stem") == F.col("lkey")).alias("exact"), text.contains_phrase("stem", "lkey").alias("near")).where("lkey <> '' and (exact or near)").collect()
+    for n in names:
+        exact, near = ([p.site_key for p in pairs if p.filename == n and p[kind]] for kind in ("exact", "near"))
+        hits = sorted(exact or near)
+        assert got[n] == (hits[0] if len(hits) == 1 else None, len(hits))
+
+
+def test_versions_of_a_store(spark, tmp_path):
+    schema = "site_key string, filename string, content binary, size_bytes long, sha256 string, uploaded_at timestamp, seq long, parse_status string"
+    made = lambda rows: spark.createDataFrame([(k, f, c, len(c), hashlib.sha256(c).hexdigest(), datetime.datetime(2024, 1, n + 1), n, None) for n, (k, f, c) in enumerate(rows)], schema)
+    store = attachments.VersionedStore(spark, str(tmp_path / "store"), made([]).schema)
+    read = lambda v=None: {(r.site_key, r.filename) for r in store.read(v).collect()}
+    assert store.versions() == {} and read() == set()
+    assert store.put(made([("a", "1", b"x"), ("b", "2", b"y"), ("a", "3", b"z")])) == 1 and read() == {("a", "3"), ("b", "2")}
+    attachments.write_bundle(made([("a", "new", b"n"), ("c", "4", b"w")]), str(tmp_path / "bundle"))
+    done = {r.site_key: r.outcome for r in store.load_bundle(str(tmp_path / "bundle")).collect()}
+    assert done == {"a": "skipped", "c": "imported"} and read() == {("a", "3"), ("b", "2"), ("c", "4")} and store.read().where("parse_status = 'unparsed'").count() == 3
+    assert {r.outcome for r in store.load_bundle(str(tmp_path / "bundle"), "replace").collect()} == {"replaced"} and read() == {("a", "new"), ("b", "2"), ("c", "4")}
+    assert store.remove(spark.createDataFrame([("b",)], "site_key string")) == 4 and read() == {("a", "new"), ("c", "4")}
+    assert store.clear() == 5 and read() == set() and read(1) == {("a", "3"), ("b", "2")}
+    (tmp_path / "store" / "data" / "half").mkdir()  # a writer that died before its commit
+    assert max(store.versions()) == 5
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):  # two writers of one number
+        spark.range(1).write.mode("errorifexists").json(str(tmp_path / "store" / "commits" / "n=5"))
+
+
 def test_files_to_sites(spark):
     rec = spark.createDataFrame([("r2", 2, "Gujarat", "Kutch", "Plot 42", None), ("r3", 3, "Gujarat", "Kutch", "Riverside", "a/Old survey.KMZ; other"), ("r4", 4, "Maharashtra", "Nagpur", "Plot 42", None), ("r5", 5, "Haryana", "Karnal", "Mardan Heri", None), ("r6", 6, "Haryana", "Karnal", None, None)], "record_id string, source_row_number int, state string, district string, site string, kmz_files string")
     index = sites.site_index(rec)
