@@ -16,6 +16,8 @@ from landloom.sources.tables import written
 THRESHOLD, CANDIDATES = 0.88, 5
 #: Rows of a dimension that are broadcast at most; larger ones go by a shuffle join.
 BROADCAST_ROWS = 200_000
+#: Names of a pool that come to a name as one array, and such arrays (some 40 KB each) that are broadcast at most.
+POOL, POOLS = 1_000, 2_000
 #: Parts that records are dealt in where they meet more pairs of names than are broadcast.
 SALTS = 16
 
@@ -45,16 +47,21 @@ def _refused(stage: Column) -> Column:
 def _fuzzy(names: DataFrame, pool: DataFrame, on: list[str], threshold: float) -> DataFrame:
     """For each (on..., key): the number of candidates at the threshold, the best name, the best five.
 
-    A block's names (a state's districts, or all states) come to a name as one array, which files of bounded size fill, and are scored and
-    ranked within the row: no pairs are written, shuffled or sorted.
+    A block's names (a state's districts, or all states) come to a name as arrays of some ``POOL`` names, are scored and ranked within the row, and only
+    each array's best five go on: no pairs are written, shuffled or sorted, and no array grows with the dimension.
     """
-    pools = pool.groupBy(*on).agg(F.collect_list(F.struct("key", "name")).alias("pool"))
-    with_pool = names.join(small(pools), on) if on else names.crossJoin(F.broadcast(pools))  # one row
+    blocks = max(1, -(-pool.count() // POOL))
+    pools = pool.groupBy(*on, F.pmod(F.xxhash64("key", "name"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("key", "name")).alias("pool")).drop("_block")
+    sent = small(pools, POOLS)
+    with_pool = names.join(sent, on) if on else names.join(sent, F.lit(True))
     scored = F.transform("pool", lambda p: F.struct((-similarity(F.col("key"), p["key"])).alias("minus"), p["name"].alias("name")))
-    ranked = with_pool.select(*on, "key", F.array_sort(scored).alias("ranked")).where(F.size("ranked") > 0)
-    top = F.transform(F.slice("ranked", 1, CANDIDATES), lambda x: F.struct((-F.round(-x["minus"], 3)).alias("minus"), x["name"].alias("name")))
+    ranked = with_pool.select(*on, "key", F.array_sort(scored).alias("ranked"))
+    ranked = ranked.select(*on, "key", F.size(F.filter("ranked", lambda x: -x["minus"] >= threshold)).alias("clear"), F.slice("ranked", 1, CANDIDATES).alias("ranked"))
+    if blocks > 1:
+        ranked = ranked.groupBy(*on, "key").agg(F.sum("clear").cast("int").alias("clear"), F.slice(F.array_sort(F.flatten(F.collect_list("ranked"))), 1, CANDIDATES).alias("ranked"))
+    top = F.transform("ranked", lambda x: F.struct((-F.round(-x["minus"], 3)).alias("minus"), x["name"].alias("name")))
     return ranked.select(
-        *on, "key", F.size(F.filter("ranked", lambda x: -x["minus"] >= threshold)).alias("clear"), F.col("ranked")[0]["name"].alias("best"), (-F.col("ranked")[0]["minus"]).alias("best_score"),
+        *on, "key", "clear", F.col("ranked")[0]["name"].alias("best"), (-F.col("ranked")[0]["minus"]).alias("best_score"),
         F.transform(F.array_sort(top), lambda x: F.struct(x["name"].alias("name"), (-x["minus"]).alias("score"))).alias("candidates"),
     )
 

@@ -248,6 +248,17 @@ def test_labels_that_share_a_word(spark):
         assert got[n] == (hits[0] if len(hits) == 1 else None, len(hits))
 
 
+def test_pools_in_blocks_rank_as_one(spark, monkeypatch):
+    """Names scored against arrays of a few names each have the candidates of one pool."""
+    names = [f"{a}{b}{c}" for a in ("kar", "mar", "sar") for b in ("na", "ni", "ta", "") for c in ("l", "pur", "gaon", "bad")]
+    pool = spark.createDataFrame([("s1" if i % 3 else "s2", n, n.title()) for i, n in enumerate(names)], "state string, key string, name string")
+    asked = spark.createDataFrame([(s, n) for s in ("s1", "s2") for n in ("karnall", "marpur", "sartagaon", "zzz")], "state string, key string")
+    told = lambda: [sorted(map(tuple, places._fuzzy(asked if on else asked.select("key").distinct(), pool, on, 0.8).collect()), key=str) for on in (["state"], [])]
+    whole = told()
+    monkeypatch.setattr(places, "POOL", 7)
+    assert told() == whole
+
+
 def test_versions_of_a_store(spark, tmp_path):
     schema = "site_key string, filename string, content binary, size_bytes long, sha256 string, uploaded_at timestamp, seq long, parse_status string"
     made = lambda rows: spark.createDataFrame([(k, f, c, len(c), hashlib.sha256(c).hexdigest(), datetime.datetime(2024, 1, n + 1), n, None) for n, (k, f, c) in enumerate(rows)], schema)
