@@ -13,16 +13,25 @@ from pyspark.sql import functions as F
 from landloom.llm.staging import split_join, stage
 
 
+#: Nodes (16 bytes each) whose least neighbours are broadcast at most; beyond, links meet them by a shuffle that splits hubs.
+BROADCAST_NODES = 1_000_000
+
+
+def _met(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``links`` with their node's least neighbour: there are no more nodes than ``total``, twice the links."""
+    return links.join(F.broadcast(least.drop("n")), "u") if total <= BROADCAST_NODES else split_join(links, least, "u", "n", total)
+
+
 def _large(e: DataFrame, total: int) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "large")
-    return split_join(both.where("v > u"), least, "u", "n", total).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return _met(both.where("v > u"), least, total).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small(e: DataFrame, total: int) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = stage(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small")
-    moved = split_join(down, least, "u", "n", total).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = _met(down, least, total).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
@@ -39,7 +48,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if _settled(edges):
             break
-        total = max(1, edges.count())
+        total = 2 * edges.count()
         edges = stage(_small(stage(_large(edges, total), "half"), total), "round")
     else:
         raise RuntimeError("the components did not settle")
