@@ -18,7 +18,7 @@ rows. Ties rank by the item's UTF-8 bytes. Other columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,9 +88,9 @@ def gap(p: str, q: str) -> Column:
     return F.expr(f"({p} - {q}) * ({p} - {q}) div ({p} + {q})")
 
 
-def _by_group(rows: DataFrame, groups: DataFrame, n: int, total: int) -> DataFrame:
+def _by_group(rows: DataFrame, groups: DataFrame, few: bool, total: int) -> DataFrame:
     """``rows`` with their group's columns; a group may hold much of all rows."""
-    if n <= BROADCAST_GROUPS:
+    if few:
         return rows.join(F.broadcast(groups), ["lang", "source"])
     unit = F.struct("lang", "source")
     return split_join(rows.withColumn("unit", unit), groups.withColumn("unit", unit).drop("lang", "source"), "unit", "terms", total).drop("unit")
@@ -103,62 +103,66 @@ def _gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // np.maximum(p + q, 1)
 
 
-def _cell(key: tuple, rows: pa.Table) -> pa.Table:
-    """Partial sums of one cell for the pairs of its groups (a before b). Rows without a term name the cell's groups."""
-    lang, i, j, part = (k.as_py() for k in key)
-    idx, p, term = rows.column("idx").to_numpy(), rows.column("p").to_numpy(), rows.column("term").combine_chunks().dictionary_encode()
-    named = np.flatnonzero(rows.column("term").is_null().to_numpy())
-    named = named[np.argsort(idx[named])]
-    ids, rest, kinds = idx[named], p[named], rows.column("kinds").to_numpy()[named]
-    seen = np.flatnonzero(rows.column("term").is_valid().to_numpy())
-    shares = np.repeat(rest[:, None], len(term.dictionary), axis=1)
-    shares[np.searchsorted(ids, idx[seen]), term.indices.take(pa.array(seen)).to_numpy()] = p[seen]
-    out = []
-    left, right = np.flatnonzero(ids // GROUPS == i), np.flatnonzero(ids // GROUPS == j)
-    for a in left.tolist():
-        others = right[right > a]
-        absent = _gaps(rest[a], rest[others])
-        sums = _gaps(shares[a], shares[others]).sum(1) - len(term.dictionary) * absent
-        out.append((np.full(len(others), ids[a]), ids[others], sums + (kinds[a] * absent if part == 0 else 0)))
-    a, b, sums = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-    return pa.Table.from_batches([batch_of(_PARTS, [lang] * len(a), pa.array(a), pa.array(b), pa.array(sums))])
-
-
-def pair_sums(kept: DataFrame, groups: DataFrame) -> DataFrame:
+def _cell(size: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Partial sums of one cell for the pairs of its groups (a before b); blocks hold ``size`` groups. Rows without a term name the cell's groups."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        lang, i, j, part = (k.as_py() for k in key)
+        idx, p, term = rows.column("idx").to_numpy(), rows.column("p").to_numpy(), rows.column("term").combine_chunks().dictionary_encode()
+        named = np.flatnonzero(rows.column("term").is_null().to_numpy())
+        named = named[np.argsort(idx[named])]
+        ids, rest, kinds = idx[named], p[named], rows.column("kinds").to_numpy()[named]
+        seen = np.flatnonzero(rows.column("term").is_valid().to_numpy())
+        shares = np.repeat(rest[:, None], len(term.dictionary), axis=1)
+        shares[np.searchsorted(ids, idx[seen]), term.indices.take(pa.array(seen)).to_numpy()] = p[seen]
+        out = []
+        left, right = np.flatnonzero(ids // size == i), np.flatnonzero(ids // size == j)
+        for a in left.tolist():
+            others = right[right > a]
+            absent = _gaps(rest[a], rest[others])
+            sums = _gaps(shares[a], shares[others]).sum(1) - len(term.dictionary) * absent
+            out.append((np.full(len(others), ids[a]), ids[others], sums + (kinds[a] * absent if part == 0 else 0)))
+        a, b, sums = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        return pa.Table.from_batches([batch_of(_PARTS, [lang] * len(a), pa.array(a), pa.array(b), pa.array(sums))])
+
+    return run
+
+
+def pair_sums(kept: DataFrame, groups: DataFrame, size: int = GROUPS, terms: int = TERMS) -> DataFrame:
     """lang, a, b (groups' numbers, a < b) and value of every pair of groups of one language. ``kept``: lang, source, term, idx, p and
     what ``groups`` has (lang, source, idx, in_lang, kinds, none: p of count 0)."""
-    blocks, parts = F.ceil(F.col("in_lang") / GROUPS).cast("long"), F.ceil(F.greatest("kinds", F.lit(1)) / TERMS).cast("long")
-    own = F.floor(F.col("idx") / GROUPS)
+    blocks, parts = F.ceil(F.col("in_lang") / size).cast("long"), F.ceil(F.greatest("kinds", F.lit(1)) / terms).cast("long")
+    own = F.floor(F.col("idx") / size)
     named = groups.where("in_lang > 1").withColumn("tb", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     named = named.select("lang", "idx", F.lit(None).cast("string").alias("term"), F.coalesce("none", F.lit(0)).alias("p"), "kinds", "tb", blocks.alias("blocks"))
     slices_ = kept.where("in_lang > 1").select("lang", "idx", "term", "p", "kinds", F.pmod(F.xxhash64("term"), parts).alias("tb"), blocks.alias("blocks"))
     dealt = slices_.unionByName(named).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("lang", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), "tb", "idx", "term", "p", "kinds")
-    cells = dealt.groupBy("lang", "i", "j", "tb").applyInArrow(_cell, "lang string, a long, b long, part long")
+    cells = dealt.groupBy("lang", "i", "j", "tb").applyInArrow(_cell(size), "lang string, a long, b long, part long")
     return cells.groupBy("lang", "a", "b").agg(F.sum("part").alias("value"))
 
 
-def audit(docs: DataFrame) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, size: int = GROUPS, terms_of: int = TERMS, sent_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """lang, source, part, item, value and rank: each group's distances to the other sources of its language (part ``pair``), and the
-    terms in which it most exceeds its language (part ``term``, ``RANKS`` of them)."""
+    terms in which it most exceeds its language (part ``term``, ``RANKS`` of them). ``size`` groups and some ``terms_of`` terms are a block."""
     counts = stage(term_counts(docs), "counts")
     of_term = W.partitionBy("lang", "term")  # at most a row a source
     kept = counts.where("term is not null").withColumn("at", F.row_number().over(of_term.orderBy("source")))
-    kept = kept.withColumns({"docs": F.sum("df").over(of_term), "all_n": F.sum("n").over(of_term)}).where(F.col("docs") >= LEAST_DOCS)
+    kept = kept.withColumns({"docs": F.sum("df").over(of_term), "all_n": F.sum("n").over(of_term)}).where(F.col("docs") >= least_docs)
     kept = stage(kept.select("lang", "source", "term", "n", "all_n", (F.col("at") == 1).alias("first")), "kept")
     langs = kept.groupBy("lang").agg(F.count_if("first").alias("kinds"), F.sum("n").alias("lang_total"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
     groups = counts.select("lang", "source").distinct().join(langs, "lang", "left").join(sums, ["lang", "source"], "left").fillna(0, ["kinds", "lang_total", "total", "terms"])
     groups = groups.withColumns({"idx": (F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1).cast("long"), "in_lang": F.count("*").over(W.partitionBy("lang"))})
     groups = stage(groups.withColumn("none", F.when(F.col("kinds") > 0, share("0", "total", "kinds"))), "groups")
-    n, total = groups.count(), kept.count()
-    told = stage(_by_group(kept, groups, n, total).withColumns({"p": share("n", "total", "kinds"), "q": share("all_n", "lang_total", "kinds")}), "shares")
+    few, total = groups.count() <= sent_groups, kept.count()
+    told = stage(_by_group(kept, groups, few, total).withColumns({"p": share("n", "total", "kinds"), "q": share("all_n", "lang_total", "kinds")}), "shares")
     own = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = told.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap("p", "q").alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= RANKS)
-    both = pair_sums(told, groups).select("lang", "value", F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("h")), F.struct(F.col("b").alias("g"), F.col("a").alias("h")))).alias("x"))
+    both = pair_sums(told, groups, size, terms_of).select("lang", "value", F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("h")), F.struct(F.col("b").alias("g"), F.col("a").alias("h")))).alias("x"))
     names = groups.select("lang", "idx", "source")
-    sent = F.broadcast(names) if n <= BROADCAST_GROUPS else names
+    sent = F.broadcast(names) if few else names
     pairs = both.select("lang", "value", F.col("x.g").alias("g"), F.col("x.h").alias("h")).join(sent.withColumnsRenamed({"idx": "g"}), ["lang", "g"]).join(sent.withColumnsRenamed({"idx": "h", "source": "item"}), ["lang", "h"])
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(own))
     return pairs.unionByName(terms)
