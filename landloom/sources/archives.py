@@ -7,6 +7,8 @@ import xml.etree.ElementTree as ET
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import partial
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,23 +31,35 @@ def landed(spark: SparkSession, path: str) -> DataFrame:
     return ours.select("path", "content").unionByName(listed)
 
 
-def _flatten(name: str, content: bytes | None) -> Iterator[tuple]:
-    """A file, or all files of an archive at any depth, one at a time."""
-    open_ = [(name, content, None)]
+#: Vertices, and bytes of contents, that go to Spark at once.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 20_000, 8 << 20
+
+_BROKEN = (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, EOFError)
+
+
+def _flatten(name: str, content: bytes | None, archive: str | None = None) -> Iterator[tuple]:
+    """A file, or all files of an archive at any depth: one entry is unpacked at a time, after all of its archive were tested."""
+    open_ = [iter([(name, lambda: content, archive)])]
     while open_:
-        name, content, archive = open_.pop()
+        entry = next(open_[-1], None)
+        if entry is None:
+            open_.pop()
+            continue
+        name, read, archive = entry
         base = name.rsplit("/", 1)[-1]
         low = base.lower()
         if low.endswith((".kmz", ".kml")):
-            yield base, content, archive, None
-        elif low.endswith(".zip") and content is not None:
+            yield base, read(), archive, None
+        elif low.endswith(".zip") and (packed := read()) is not None:
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    inner = [(e.filename, z.read(e), base) for e in z.infolist() if not e.is_dir()]
-            except (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, EOFError):
+                z = zipfile.ZipFile(io.BytesIO(packed))
+                bad = z.testzip()
+            except _BROKEN:
+                bad = base
+            if bad is not None:
                 yield base, None, archive, "unreadable archive"
             else:
-                open_ += reversed(inner)
+                open_.append(iter([(e.filename, partial(z.read, e), base) for e in z.infolist() if not e.is_dir()]))
         else:
             yield base, None, archive, "not a boundary file"
 
@@ -53,12 +67,20 @@ def _flatten(name: str, content: bytes | None) -> Iterator[tuple]:
 def expand_archives(files: DataFrame) -> DataFrame:
     """filename, content, from_archive, skip_reason of every file of a drop (path, content), archives opened at any depth.
 
-    A batch between Spark and Python is bounded by ``spark.sql.execution.arrow.maxBytesPerBatch`` and one archive is opened at a time.
+    A batch between Spark and Python is bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``; a task holds the archives that lie in each other
+    and some entries of the innermost.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(list(_flatten(path, None if content is None else bytes(content))), columns=["filename", "content", "from_archive", "skip_reason"])
+                held, size = [], 0
+                for row in _flatten(path, None if content is None else bytes(content)):
+                    held.append(row)
+                    size += len(row[1] or b"")
+                    if size >= BYTES_AT_ONCE:
+                        yield pd.DataFrame(held, columns=["filename", "content", "from_archive", "skip_reason"])
+                        held, size = [], 0
+                yield pd.DataFrame(held, columns=["filename", "content", "from_archive", "skip_reason"])
 
     return files.select("path", "content").mapInPandas(run, ENTRIES)
 
@@ -87,35 +109,62 @@ def _positions(text: str | None) -> list[tuple[float, float]]:
     return out
 
 
+def _local(e: ET.Element) -> str:
+    return e.tag.rsplit("}", 1)[-1]
+
+
+def _placemarks(document: bytes) -> Iterator[ET.Element | None]:
+    """Placemarks as they end, and None for each link to another document; what was read is let go."""
+    path = []
+    for event, e in ET.iterparse(io.BytesIO(document), ("start", "end")):
+        if event == "start":
+            path.append(e)
+            continue
+        path.pop()
+        kind = _local(e)
+        if kind == "NetworkLink":
+            yield None
+        inside = any(_local(p) == "Placemark" for p in path)
+        if kind == "Placemark" and not inside:
+            yield e
+        if not inside and path:
+            path[-1].remove(e)
+
+
+def _vertices(file: str, feature: int, mark: ET.Element) -> Iterator[tuple]:
+    name = next((e.text for e in mark if _local(e) == "name"), None)
+    polygon = -1
+    for g in mark.iter():
+        kind = _local(g)
+        if kind in ("Point", "LineString"):
+            polygon += 1
+            for seq, (x, y) in enumerate(p for c in g.iter() if _local(c) == "coordinates" for p in _positions(c.text)):
+                yield file, feature, name, kind, polygon, 0, seq, x, y, None, None
+        elif kind == "Polygon":
+            polygon += 1
+            bounds = [[c for e in g if _local(e) == side for c in e.iter() if _local(c) == "coordinates"] for side in ("outerBoundaryIs", "innerBoundaryIs")]
+            for ring, c in enumerate(bounds[0] + bounds[1]):
+                for seq, (x, y) in enumerate(_positions(c.text)):
+                    yield file, feature, name, kind, polygon, ring, seq, x, y, None, None
+
+
 def _rows(file: str, content: bytes) -> Iterator[tuple]:
-    none = (None,) * 6
+    """Vertices and warnings of a file. The document is read twice by events, first to see that it can be read: a placemark is held, never the tree."""
     document, warnings = _document(file, content)
-    try:
-        root = ET.fromstring(document) if document is not None else None
-    except ET.ParseError:
-        root, warnings = None, [*warnings, ("unreadable", "The document can't be read.")]
-    local = lambda e: e.tag.rsplit("}", 1)[-1]
-    if root is not None:
-        if any(local(e) == "NetworkLink" for e in root.iter()):
-            warnings = [*warnings, ("network-link", "A link to another document is not followed.")]
-        marks = [e for e in root.iter() if local(e) == "Placemark"]
-        for feature, mark in enumerate(marks):
-            name = next((e.text for e in mark if local(e) == "name"), None)
-            polygon = -1
-            for g in mark.iter():
-                kind = local(g)
-                if kind in ("Point", "LineString"):
-                    polygon += 1
-                    for seq, (x, y) in enumerate(p for c in g.iter() if local(c) == "coordinates" for p in _positions(c.text)):
-                        yield file, feature, name, kind, polygon, 0, seq, x, y, None, None
-                elif kind == "Polygon":
-                    polygon += 1
-                    rings = [c for e in g if local(e) == "outerBoundaryIs" for c in e.iter() if local(c) == "coordinates"] + [c for e in g if local(e) == "innerBoundaryIs" for c in e.iter() if local(c) == "coordinates"]
-                    for ring, c in enumerate(rings):
-                        for seq, (x, y) in enumerate(_positions(c.text)):
-                            yield file, feature, name, kind, polygon, ring, seq, x, y, None, None
+    linked = False
+    if document is not None:
+        try:
+            for mark in _placemarks(document):
+                linked |= mark is None
+        except ET.ParseError:
+            document, linked, warnings = None, False, [*warnings, ("unreadable", "The document can't be read.")]
+    if linked:
+        warnings = [*warnings, ("network-link", "A link to another document is not followed.")]
+    if document is not None:
+        for feature, mark in enumerate(m for m in _placemarks(document) if m is not None):
+            yield from _vertices(file, feature, mark)
     for code, message in warnings:
-        yield file, None, None, *none, code, message
+        yield file, *(None,) * 8, code, message
 
 
 def scan_placemarks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +173,9 @@ def scan_placemarks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         cols = [c.split()[0] for c in PLACEMARKS.split(", ")]
         for pdf in batches:
             for name, content in zip(pdf["filename"], pdf["content"], strict=True):
-                yield pd.DataFrame(list(_rows(name, bytes(content))), columns=cols).astype({c: "Int32" for c in ("feature", "polygon", "ring", "seq")})
+                rows = _rows(name, bytes(content))
+                while held := list(islice(rows, ROWS_AT_ONCE)):
+                    yield pd.DataFrame(held, columns=cols).astype({c: "Int32" for c in ("feature", "polygon", "ring", "seq")})
 
     rows = files.where("content is not null").select("filename", "content").mapInPandas(run, PLACEMARKS)
     vertices = rows.where("code is null").drop("code", "message")

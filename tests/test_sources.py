@@ -48,6 +48,26 @@ def test_archives_and_placemarks(spark, tmp_path):
     assert {(r.lng, r.lat) for r in vertices.where("file = 'decoy.kmz'").collect()} == {(75.0, 20.0), (76.0, 20.0), (76.0, 21.0), (75.0, 21.0)}
 
 
+def test_documents_are_read_by_events():
+    """Many placemarks and vertices in bounded memory, with the rows of a whole tree; a document that breaks off has none."""
+    import tracemalloc
+
+    ring = " ".join(f"{70 + i / 1e4},{8 + i / 1e4}" for i in range(200))
+    mark = f"<Folder><Placemark><name>p</name><MultiGeometry><Point><coordinates>1,2</coordinates></Point><Polygon><outerBoundaryIs><LinearRing><coordinates>{ring}</coordinates></LinearRing></outerBoundaryIs><innerBoundaryIs><LinearRing><coordinates>3,4 5,6 x,7</coordinates></LinearRing></innerBoundaryIs></Polygon></MultiGeometry></Placemark></Folder>"
+    document = KML.format(mark * 4000).encode()
+    tracemalloc.start()
+    n = sum(1 for _ in archives._rows("a.kml", document))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4000 * 203 and peak < 3 * len(document)
+    first = list(archives._rows("a.kml", KML.format(mark * 2).encode()))
+    assert {(r[1], r[3], r[4], r[5]) for r in first} == {(f, *k) for f in (0, 1) for k in (("Point", 0, 0), ("Polygon", 1, 0), ("Polygon", 1, 1))}
+    assert [r[9] for r in archives._rows("a.kml", document[:-20])] == ["unreadable"]
+    broken = zipped(a_dot_kml="x" * 100, b_dot_kml="y")
+    at = broken.index(b"x" * 100)
+    assert [r[3] for r in archives._flatten("in/z.zip", broken[:at] + b"?" + broken[at + 1 :])] == ["unreadable archive"]
+
+
 def test_boundaries_and_aliases(spark, tmp_path):
     feature = lambda n, s, kind, c: {"properties": {"name": n, "state": s, "level": "district", "vintage": "v1", "centroid": [1, 2], "bbox": [0, 0, 1, 1]}, "geometry": {"type": kind, "coordinates": c}}
     (tmp_path / "b.json").write_text(json.dumps({"type": "FeatureCollection", "features": [feature("A", "S", "Polygon", [[[0, 0], [1, 0], [1, 1]]]), feature("B", "S", "MultiPolygon", [[[[0, 0], [1, 0], [1, 1]]]])]}))
