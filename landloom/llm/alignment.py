@@ -38,8 +38,8 @@ from landloom.llm.staging import sized_broadcast, stage, texts
 
 #: Distinct id pairs (some 60 bytes each) that are broadcast at most; more go by a shuffle join.
 BROADCAST_PAIRS = 1_000_000
-#: Text of a slice.
-SLICE = 8 << 20
+#: Text of a slice, and distinct units that are aligned at once.
+SLICE, PART = 8 << 20, 32_768
 
 
 class Vocabulary:
@@ -103,29 +103,34 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[list[np.ndarray], tuple[np.ndar
 
 class Aligned:
     """Distinct units (each begins with a space): whether both tokenizers give their bytes (``good``), numbers of ids and groups, groups as text, and links
-    (A's id times 2**32 plus B's) with their number by unit. Units are aligned as one run of bytes: each ends where both tokenizers end."""
+    (A's id times 2**32 plus B's) with their number by unit. ``PART`` units at once are aligned as one run of bytes: each ends where both tokenizers end."""
 
     def __init__(self, units: list[str], v: Vocabulary):
+        parts = [self._part(units[at : at + PART], v) for at in range(0, len(units), PART)]
+        none = np.zeros(0, np.int64)
+        self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.links = (np.concatenate([none.astype(bool) if k == 0 else none, *(p[k] for p in parts)]) for k in range(6))
+        self.groups = [g for p in parts for g in p[6]]
+
+    @staticmethod
+    def _part(units: list[str], v: Vocabulary) -> tuple:
         ids = v.encode(units)
         raw = [u.encode() for u in units]
-        self.good = np.ones(len(units), bool)
+        good = np.ones(len(units), bool)
         if b"".join([v.a_bytes[i] for a, _ in ids for i in a]) != b"".join(raw) or b"".join([v.b_bytes[i] for _, b in ids for i in b]) != b"".join(raw):
-            self.good[:] = [b"".join([v.a_bytes[i] for i in a]) == r == b"".join([v.b_bytes[i] for i in b]) for (a, b), r in zip(ids, raw, strict=True)]
-        some = np.flatnonzero(self.good)
+            good[:] = [b"".join([v.a_bytes[i] for i in a]) == r == b"".join([v.b_bytes[i] for i in b]) for (a, b), r in zip(ids, raw, strict=True)]
+        some = np.flatnonzero(good)
         kept = [ids[k] for k in some.tolist()]
         a, b = (np.fromiter((i for x in kept for i in x[side]), np.int64) for side in (0, 1))
         (from_a, to_a, from_b, to_b), (x, y) = align(v.a_size[a], v.b_size[b])
-        self.links = (a[x] << 32) + b[y]
         last = np.cumsum([len(p) for p, _ in kept], dtype=np.int64)  # of each unit's ids in a
-        of_group = np.searchsorted(last, to_a)
-        self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(len(units), np.int64) for _ in range(4))
-        self.n_a[some], self.n_b[some] = [len(p) for p, _ in kept], [len(q) for _, q in kept]
-        self.n_groups[some] = np.bincount(of_group, minlength=len(some))
-        self.n_links[some] = np.bincount(np.searchsorted(last, x, "right"), minlength=len(some))
+        n_a, n_b, n_groups, n_links = (np.zeros(len(units), np.int64) for _ in range(4))
+        n_a[some], n_b[some] = [len(p) for p, _ in kept], [len(q) for _, q in kept]
+        n_groups[some] = np.bincount(np.searchsorted(last, to_a), minlength=len(some))
+        n_links[some] = np.bincount(np.searchsorted(last, x, "right"), minlength=len(some))
         name_a, name_b = [v.name[i] for i in a.tolist()], [v.name[i] for i in b.tolist()]
         texts = [",".join(name_a[i:k]) + "|" + ",".join(name_b[j:m]) for i, k, j, m in zip(*(g.tolist() for g in (from_a, to_a, from_b, to_b)), strict=True)]
-        cuts = np.append(0, np.cumsum(self.n_groups)).tolist()
-        self.groups = [";".join(texts[i:k]).encode() for i, k in zip(cuts[:-1], cuts[1:], strict=True)]
+        cuts = np.append(0, np.cumsum(n_groups)).tolist()
+        return good, n_a, n_b, n_groups, n_links, (a[x] << 32) + b[y], [";".join(texts[i:k]).encode() for i, k in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
