@@ -12,6 +12,9 @@ Groups. Sets of one size and one prefix form a group, and a prefix element bring
 the next larger size is too large for any pair; lists of one group are dropped, and lists of the same groups (copies share much of
 their prefixes) are one; what is left is expanded to the groups' members, and each group of several members is a list of its own.
 
+Marks. A set also has a bitmap of ``BITS`` bits, each the parity of its elements that fall there. Bits in which two sets differ are at most as many as
+elements that only one of them has, so a pair that differs in too many can't be similar: such pairs are never formed, and no text moves for them.
+
 Links. Pairs of a list aren't all compared: its members meet one of them (a pivot, the same in most lists that a family of copies
 shares), and whole texts of these pairs are compared. Lists whose members are connected by then are done. Others get further pivots, and
 when few pairs are open, or after ``ROUNDS``, every pair of a list that is not yet connected and that sizes allow is compared. So components are exact. Components are found by alternating stars.
@@ -24,6 +27,7 @@ rows. Ties of order go by hash. Other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ from landloom.llm.staging import sized_broadcast, split_join, stage, texts
 SLOTS, SEGMENT = 1 << 24, 1 << 16
 #: Rounds of pivots at most, and open pairs for each member of a list below which all are compared.
 ROUNDS, OPEN = 3, 8
+#: Bits of a set's bitmap.
+BITS = 2_048
 #: Groups of a list up to which it is told by its groups and not by its element.
 TOLD = 4_096
 #: Ids and digests of sets (some 60 bytes each) that are broadcast at most, and links of a set from which its text is dealt in parts.
@@ -145,7 +151,15 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-_POSTS = pa.schema([("element", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())])
+_POSTS = pa.schema([("element", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("odd", pa.list_(pa.int64()))])
+
+
+def _parities(starts: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """A row of ``BITS`` / 64 longs for each set."""
+    n = len(starts) - 1
+    text = np.repeat(np.arange(n), np.diff(starts))
+    count = np.bincount(text * BITS + (elements >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=n * BITS).reshape(n, BITS)
+    return np.packbits((count & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")
 
 
 def _poster(sent, words: int, percent: int):
@@ -159,6 +173,7 @@ def _poster(sent, words: int, percent: int):
             starts, h = sets_of(b, "text", words)
             digests, size = _digests(starts, h), np.diff(starts)
             fresh = _fresh(digests, seen)
+            odd = _parities(starts, h)
             text = np.repeat(np.arange(b.num_rows), size)
             own = fresh[text]
             h, text = h[own], text[own]
@@ -172,15 +187,15 @@ def _poster(sent, words: int, percent: int):
             element = h[begin[of] + pos]
             raw, cuts = element.astype("<u8").tobytes(), np.append(0, np.cumsum(length)).tolist()
             group = np.array([xxhash.xxh64_intdigest(raw[8 * a : 8 * z], k) for a, z, k in zip(cuts[:-1], cuts[1:], n.tolist(), strict=True)], np.uint64)
-            sig = [None] * len(of)
+            sig, marks = [None] * len(of), [None] * len(of)
             for k, i in zip(cuts[:-1], some.tolist(), strict=True):
-                sig[k] = digests[i]
-            yield batch_of(_POSTS, pa.array(element.view(np.int64)), pa.array(group[of].view(np.int64)), pa.array(n[of].astype(np.int32)), sig)
+                sig[k], marks[k] = digests[i], odd[i]
+            yield batch_of(_POSTS, pa.array(element.view(np.int64)), pa.array(group[of].view(np.int64)), pa.array(n[of].astype(np.int32)), sig, marks)
 
     return run
 
 
-_LISTS = pa.schema([("list", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())])
+_LISTS = pa.schema([("list", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("odd", pa.list_(pa.int64()))])
 
 
 def _lister(percent: int):
@@ -190,7 +205,7 @@ def _lister(percent: int):
     """
 
     def listed(name: int, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return batch_of(_LISTS, pa.array(np.full(len(g), name, np.int64)), pa.array(g), pa.array(n), pa.nulls(len(g), pa.binary()))
+        return batch_of(_LISTS, pa.array(np.full(len(g), name, np.int64)), pa.array(g), pa.array(n), pa.nulls(len(g), pa.binary()), pa.nulls(len(g), _LISTS.field("odd").type))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -199,7 +214,7 @@ def _lister(percent: int):
             if not b.num_rows:
                 continue
             sent = b.filter(b.column("sig").is_valid())
-            yield batch_of(_LISTS, [0] * sent.num_rows, sent.column("g"), sent.column("n"), sent.column("sig"))
+            yield batch_of(_LISTS, [0] * sent.num_rows, sent.column("g"), sent.column("n"), sent.column("sig"), sent.column("odd"))
             new = [b.column(c).to_numpy() for c in ("element", "g", "n")]
             element, g, n = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
             twice = np.zeros(len(g), bool)
@@ -224,7 +239,7 @@ def _lister(percent: int):
             if out:
                 at = np.concatenate([np.arange(a, z) for _, a, z in out])
                 names = np.repeat(np.array([x for x, _, _ in out], np.int64), [z - a for _, a, z in out])
-                yield batch_of(_LISTS, pa.array(names), pa.array(g[at]), pa.array(n[at]), pa.nulls(len(at), pa.binary()))
+                yield batch_of(_LISTS, pa.array(names), pa.array(g[at]), pa.array(n[at]), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), _LISTS.field("odd").type))
             last = starts[-1]
             if len(starts) > 1:
                 long_name = None
@@ -243,8 +258,10 @@ def _lister(percent: int):
 
 
 def _possible(percent: int) -> Column:
-    """Whether two sizes (n, m) leave room for enough common elements."""
-    return 100 * F.least("n", "m").cast("long") >= percent * F.greatest("n", "m").cast("long")
+    """Whether two sets' sizes (n, m) and bitmaps (odd, other_odd) leave room for enough common elements."""
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("other_odd", F.lit(i)))) for i in range(BITS // 64)))
+    sizes = 100 * F.least("n", "m").cast("long") >= percent * F.greatest("n", "m").cast("long")
+    return sizes & ((100 + percent) * differ.cast("long") <= (100 - percent) * (F.col("n") + F.col("m")).cast("long"))
 
 
 def compared(known: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -296,19 +313,19 @@ def distinct_sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, np
 
 
 def candidate_lists(docs: DataFrame, sets: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """list, id and n: sets that share a prefix element, or a whole prefix, as members of the list's groups."""
+    """list, id, n and odd: sets that share a prefix element, or a whole prefix, as members of the list's groups."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
-    posts = docs.mapInArrow(_poster(sent, words, percent), "element long, g long, n int, sig binary")
-    schema = "list long, g long, n int, sig binary"
+    posts = docs.mapInArrow(_poster(sent, words, percent), "element long, g long, n int, sig binary, odd array<bigint>")
+    schema = "list long, g long, n int, sig binary, odd array<bigint>"
     found = stage(posts.repartition("element").sortWithinPartitions("element", "n", "g").mapInArrow(_lister(percent), schema), "lists")
-    members = found.where("sig is not null").select("g", "n", "sig").distinct().join(sets.select("sig", "id"), "sig").select("g", "n", "id")
+    members = found.where("sig is not null").select("g", "n", "sig", "odd").dropDuplicates(["sig"]).join(sets.select("sig", "id"), "sig").select("g", "n", "id", "odd")
     members = stage(members, "members")
     alone = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
-    own = members.join(sized_broadcast(alone, alone.count(), BROADCAST_SETS), "g", "left_semi").select(F.xxhash64("g", F.lit("group")).alias("list"), "id", "n")
+    own = members.join(sized_broadcast(alone, alone.count(), BROADCAST_SETS), "g", "left_semi").select(F.xxhash64("g", F.lit("group")).alias("list"), "id", "n", "odd")
     shared = found.where("sig is null").select("list", "g", "n").distinct()
     groups = shared.select("g").distinct()
-    inside = members.select("g", "id").join(sized_broadcast(groups, groups.count(), BROADCAST_SETS), "g", "left_semi")
-    lists = shared.join(sized_broadcast(inside, inside.count(), BROADCAST_SETS), "g").select("list", "id", "n")
+    inside = members.select("g", "id", "odd").join(sized_broadcast(groups, groups.count(), BROADCAST_SETS), "g", "left_semi")
+    lists = shared.join(sized_broadcast(inside, inside.count(), BROADCAST_SETS), "g").select("list", "id", "n", "odd")
     return stage(lists.unionByName(own), "entries")
 
 
@@ -323,7 +340,7 @@ def similar_pairs(docs: DataFrame, words: int = 5, percent: int = 80, rounds: in
     known = stage(_texts_of(docs, nodes, words), "texts")
     links, tested, named = None, None, entries.withColumn("own", F.col("id"))
     for step in range(rounds + 1):
-        parts = named.groupBy("list", "own").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("id"), F.col("n").alias("n"))).alias("one"))
+        parts = named.groupBy("list", "own").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("odd").alias("odd"))).alias("one"))
         lists = parts.groupBy("list").agg(F.count("*").alias("kinds"), F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", F.bitwise_not("one.h").alias("h"), "own", "one")).alias("top")).where("kinds > 1")
         lists = stage(lists.select("list", "size", ((F.col("size") * F.col("size") - F.col("same")) / 2).alias("open"), F.col("top.own").alias("pivot_own"), "top.one"), "open")
         left = lists.agg(F.coalesce(F.sum("open"), F.lit(0)).alias("open"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
@@ -332,10 +349,10 @@ def similar_pairs(docs: DataFrame, words: int = 5, percent: int = 80, rounds: in
         every = step == rounds or (step > 0 and left["open"] <= open_pairs * left["size"])
         if every:
             mixed = stage(split_join(named, lists.select("list", "size"), "list", "size", int(left["size"])), "mixed")
-            other = mixed.select("list", F.col("id").alias("b"), F.col("n").alias("m"), F.col("own").alias("other"))
+            other = mixed.select("list", F.col("id").alias("b"), F.col("n").alias("m"), F.col("odd").alias("other_odd"), F.col("own").alias("other"))
             pairs = mixed.withColumnRenamed("id", "a").join(other, "list").where((F.col("own") != F.col("other")) & (F.col("a") < F.col("b")))
         else:  # the pivot is a
-            pivots = lists.select("list", "size", "pivot_own", F.col("one.id").alias("a"), F.col("one.n").alias("m"))
+            pivots = lists.select("list", "size", "pivot_own", F.col("one.id").alias("a"), F.col("one.n").alias("m"), F.col("one.odd").alias("other_odd"))
             pairs = split_join(named, pivots, "list", "size", int(left["size"])).where(F.col("own") != F.col("pivot_own")).withColumnRenamed("id", "b")
         pairs = pairs.where(_possible(percent)).select("a", "b").distinct().withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
         pairs = stage(pairs if tested is None else pairs.join(tested, ["lo", "hi"], "left_anti"), "pairs")

@@ -86,7 +86,7 @@ def test_sets_hold_each_shingle_once():
 
 def test_runs_of_sizes_become_lists(monkeypatch):
     rows = [(1, 10, 8), (1, 11, 10), (1, 11, 10), (1, 12, 30), (2, 13, 5), (3, 14, 5), (3, 15, 6), (3, 16, 7), (4, 10, 8), (4, 11, 10), *((5, 100 + i, 50) for i in range(9)), (6, 17, 4)]
-    batch = lambda part: pa.RecordBatch.from_pydict({"element": pa.array([r[0] for r in part], pa.int64()), "g": pa.array([r[1] for r in part], pa.int64()), "n": pa.array([r[2] for r in part], pa.int32()), "sig": pa.nulls(len(part), pa.binary())})
+    batch = lambda part: pa.RecordBatch.from_pydict({"element": pa.array([r[0] for r in part], pa.int64()), "g": pa.array([r[1] for r in part], pa.int64()), "n": pa.array([r[2] for r in part], pa.int32()), "sig": pa.nulls(len(part), pa.binary()), "odd": pa.nulls(len(part), pa.list_(pa.int64()))})
     monkeypatch.setattr(jaccard, "TOLD", 5)
     for size in (1, 2, 3, 4, 8, 30):
         out = [r for b in jaccard._lister(80)(batch(rows[i : i + size]) for i in range(0, len(rows), size)) for r in b.to_pylist()]
@@ -94,3 +94,12 @@ def test_runs_of_sizes_become_lists(monkeypatch):
         for r in out:
             lists.setdefault(r["list"], []).append(r["g"])
         assert sorted(sorted(x) for x in lists.values()) == [[10, 11], [14, 15, 16], list(range(100, 109))]
+
+
+def test_bitmaps_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 200, 5000):
+        x, y = (np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(2))
+        y = np.unique(np.concatenate([x[: n // 2], y[n // 2 :]]))
+        a, b = jaccard._parities(np.array([0, len(x), len(x) + len(y)]), np.concatenate([x, y])).view(np.uint64)
+        assert len(a) * 64 == jaccard.BITS and np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y)) and (a == jaccard._parities(np.array([0, len(x)]), x).view(np.uint64)[0]).all()
