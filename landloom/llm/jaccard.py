@@ -12,6 +12,10 @@ Groups. Sets of one size and one prefix form a group, and a prefix element bring
 the next larger size is too large for any pair; lists of one group are dropped, and lists of the same groups (copies share much of
 their prefixes) are one; what is left is expanded to the groups' members, and each group of several members is a list of its own.
 
+Positions. All common elements of two sets stand at or behind their first common one, so a pair is looked for only in lists where enough
+elements are left in both sets from the list's element on. A set whose place leaves room for smaller sets alone (tight) never pairs with
+another such set: a list without a loose member is dropped, and all pairs of a list means loose members with all.
+
 Marks. A set also has a bitmap of ``BITS`` bits, each the parity of its elements that fall there. Bits in which two sets differ are at most as many as
 elements that only one of them has, so a pair that differs in too many can't be similar: such pairs are never formed, and no text moves for them.
 
@@ -44,9 +48,11 @@ SLOTS, SEGMENT = 1 << 24, 1 << 16
 #: Rounds of pivots at most, and open pairs for each member of a list below which all are compared.
 ROUNDS, OPEN = 3, 8
 #: Bits of a set's bitmap.
-BITS = 2_048
+BITS = 1_024
 #: Groups of a list up to which it is told by its groups and not by its element.
 TOLD = 4_096
+#: What a task remembers of lists.
+TOLD_BYTES = 100_000_000
 #: Ids and digests of sets (some 60 bytes each) that are broadcast at most, and links of a set from which its text is dealt in parts.
 BROADCAST_SETS, HUB = 500_000, 2_000
 SEED = 42
@@ -151,7 +157,7 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-_POSTS = pa.schema([("element", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("odd", pa.list_(pa.int64()))])
+_POSTS = pa.schema([("element", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig", pa.binary()), ("odd", pa.list_(pa.int64()))])
 
 
 def _parities(starts: np.ndarray, elements: np.ndarray) -> np.ndarray:
@@ -190,78 +196,87 @@ def _poster(sent, words: int, percent: int):
             sig, marks = [None] * len(of), [None] * len(of)
             for k, i in zip(cuts[:-1], some.tolist(), strict=True):
                 sig[k], marks[k] = digests[i], odd[i]
-            yield batch_of(_POSTS, pa.array(element.view(np.int64)), pa.array(group[of].view(np.int64)), pa.array(n[of].astype(np.int32)), sig, marks)
+            yield batch_of(_POSTS, pa.array(element.view(np.int64)), pa.array(group[of].view(np.int64)), pa.array(n[of].astype(np.int32)), pa.array(pos.astype(np.int32)), sig, marks)
 
     return run
 
 
-_LISTS = pa.schema([("list", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("odd", pa.list_(pa.int64()))])
+_LISTS = pa.schema([("list", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig", pa.binary()), ("odd", pa.list_(pa.int64()))])
 
 
 def _lister(percent: int):
-    """Over rows sorted by (element, n, g): runs of groups that sizes allow, each a list; and, list 0, every (g, sig) that was sent.
+    """Over rows sorted by (element, n, g): runs of groups that sizes allow, with a loose one among them, each a list; and, list 0, every (g, sig) that was sent.
 
-    A list is told by a hash of its groups. One of more than ``TOLD`` groups is told by its element and first size, and passed on as it comes.
+    A list is told by a hash of its groups, again only if a place is less than before. One of more than ``TOLD`` groups is told by its element and first size, and passed on as it comes.
     """
 
-    def listed(name: int, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return batch_of(_LISTS, pa.array(np.full(len(g), name, np.int64)), pa.array(g), pa.array(n), pa.nulls(len(g), pa.binary()), pa.nulls(len(g), _LISTS.field("odd").type))
+    def listed(name: int | np.ndarray, g: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        names = pa.array(np.broadcast_to(np.int64(name), len(g)).copy())
+        return batch_of(_LISTS, names, pa.array(g), pa.array(n), pa.array(pos), pa.nulls(len(g), pa.binary()), pa.nulls(len(g), _LISTS.field("odd").type))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        held, long_name, seen = none, None, set()  # an open run's rows; its name once it is long; lists told in this task
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        held, long_name, seen, room = none, None, {}, TOLD_BYTES  # an open run's rows; its name once it is long; least places of lists told in this task
         for b in batches:
             if not b.num_rows:
                 continue
             sent = b.filter(b.column("sig").is_valid())
-            yield batch_of(_LISTS, [0] * sent.num_rows, sent.column("g"), sent.column("n"), sent.column("sig"), sent.column("odd"))
-            new = [b.column(c).to_numpy() for c in ("element", "g", "n")]
-            element, g, n = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
+            yield batch_of(_LISTS, [0] * sent.num_rows, sent.column("g"), sent.column("n"), [0] * sent.num_rows, sent.column("sig"), sent.column("odd"))
+            new = [b.column(c).to_numpy() for c in ("element", "g", "n", "pos")]
+            element, g, n, pos = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
             twice = np.zeros(len(g), bool)
             twice[1:] = (element[1:] == element[:-1]) & (g[1:] == g[:-1])
-            element, g, n = element[~twice], g[~twice], n[~twice]
+            element, g, n, pos = element[~twice], g[~twice], n[~twice], pos[~twice]
             joins = np.zeros(len(g), bool)  # to the row before
             joins[1:] = (element[1:] == element[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
             starts = np.flatnonzero(~joins)
             size = np.diff(np.append(starts, len(g)))
+            loose = np.logical_or.reduceat((100 + percent) * (n - pos).astype(np.int64) >= 2 * percent * n.astype(np.int64), starts)
             out = []
             for k in np.flatnonzero(size[:-1] > 1).tolist():  # whole runs of two or more; the last one may go on
                 a, z = starts[k], starts[k] + size[k]
                 if k == 0 and long_name is not None:
-                    yield listed(long_name, g[a + 1 : z], n[a + 1 : z])
+                    yield listed(long_name, g[a + 1 : z], n[a + 1 : z], pos[a + 1 : z])
+                    continue
+                if not loose[k]:
                     continue
-                own = np.sort(g[a:z])
-                name = xxhash.xxh64_intdigest(own.tobytes())
-                if name not in seen:
-                    if len(seen) < 500_000:
-                        seen.add(name)
+                by = np.argsort(g[a:z])
+                name, places = xxhash.xxh64_intdigest(g[a:z][by].tobytes()), pos[a:z][by]
+                before = np.frombuffer(seen[name], np.int32) if name in seen else None
+                if before is None or (places < before).any():
+                    if before is not None:
+                        seen[name] = np.minimum(places, before).tobytes()
+                    elif room > 0:
+                        seen[name] = places.tobytes()
+                        room -= 200 + 4 * len(places)
                     out.append((name - (1 << 64) if name >> 63 else name, a, z))
             if out:
                 at = np.concatenate([np.arange(a, z) for _, a, z in out])
                 names = np.repeat(np.array([x for x, _, _ in out], np.int64), [z - a for _, a, z in out])
-                yield batch_of(_LISTS, pa.array(names), pa.array(g[at]), pa.array(n[at]), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), _LISTS.field("odd").type))
+                yield listed(names, g[at], n[at], pos[at])
             last = starts[-1]
             if len(starts) > 1:
                 long_name = None
-            held = element[last:], g[last:], n[last:]
+            held = element[last:], g[last:], n[last:], pos[last:]
             if len(held[0]) > TOLD or long_name is not None:
                 first = long_name is None
                 if first:
                     long_name = xxhash.xxh64_intdigest(b"long" + element[last:][:1].tobytes() + n[last:][:1].tobytes()) >> 1
-                yield listed(long_name, *(x[last + (0 if first else 1) :] for x in (g, n)))
-                held = element[-1:], g[-1:], n[-1:]  # the next rows are held against it
+                yield listed(long_name, *(x[last + (0 if first else 1) :] for x in (g, n, pos)))
+                held = element[-1:], g[-1:], n[-1:], pos[-1:]  # the next rows are held against it
         if len(held[0]) > 1:
             own = xxhash.xxh64_intdigest(np.sort(held[1]).tobytes())
-            yield listed(own - (1 << 64) if own >> 63 else own, held[1], held[2])
+            yield listed(own - (1 << 64) if own >> 63 else own, *held[1:])
 
     return run
 
 
 def _possible(percent: int) -> Column:
-    """Whether two sets' sizes (n, m) and bitmaps (odd, other_odd) leave room for enough common elements."""
+    """Whether two sets' sizes (n, m), places in a list (pos, other_pos) and bitmaps (odd, other_odd) leave room for enough common elements."""
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("other_odd", F.lit(i)))) for i in range(BITS // 64)))
     sizes = 100 * F.least("n", "m").cast("long") >= percent * F.greatest("n", "m").cast("long")
-    return sizes & ((100 + percent) * differ.cast("long") <= (100 - percent) * (F.col("n") + F.col("m")).cast("long"))
+    left = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("other_pos")).cast("long")
+    return sizes & (left >= percent * (F.col("n") + F.col("m")).cast("long")) & ((100 + percent) * differ.cast("long") <= (100 - percent) * (F.col("n") + F.col("m")).cast("long"))
 
 
 def compared(known: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -313,19 +328,19 @@ def distinct_sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, np
 
 
 def candidate_lists(docs: DataFrame, sets: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """list, id, n and odd: sets that share a prefix element, or a whole prefix, as members of the list's groups."""
+    """list, id, n, pos (of the list's element in the set) and odd: sets that share a prefix element, or a whole prefix, as members of the list's groups."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
-    posts = docs.mapInArrow(_poster(sent, words, percent), "element long, g long, n int, sig binary, odd array<bigint>")
-    schema = "list long, g long, n int, sig binary, odd array<bigint>"
+    posts = docs.mapInArrow(_poster(sent, words, percent), "element long, g long, n int, pos int, sig binary, odd array<bigint>")
+    schema = "list long, g long, n int, pos int, sig binary, odd array<bigint>"
     found = stage(posts.repartition("element").sortWithinPartitions("element", "n", "g").mapInArrow(_lister(percent), schema), "lists")
     members = found.where("sig is not null").select("g", "n", "sig", "odd").dropDuplicates(["sig"]).join(sets.select("sig", "id"), "sig").select("g", "n", "id", "odd")
     members = stage(members, "members")
     alone = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
-    own = members.join(sized_broadcast(alone, alone.count(), BROADCAST_SETS), "g", "left_semi").select(F.xxhash64("g", F.lit("group")).alias("list"), "id", "n", "odd")
-    shared = found.where("sig is null").select("list", "g", "n").distinct()
+    own = members.join(sized_broadcast(alone, alone.count(), BROADCAST_SETS), "g", "left_semi").select(F.xxhash64("g", F.lit("group")).alias("list"), "id", "n", F.lit(0).alias("pos"), "odd")
+    shared = found.where("sig is null").groupBy("list", "g", "n").agg(F.min("pos").alias("pos"))
     groups = shared.select("g").distinct()
     inside = members.select("g", "id", "odd").join(sized_broadcast(groups, groups.count(), BROADCAST_SETS), "g", "left_semi")
-    lists = shared.join(sized_broadcast(inside, inside.count(), BROADCAST_SETS), "g").select("list", "id", "n", "odd")
+    lists = shared.join(sized_broadcast(inside, inside.count(), BROADCAST_SETS), "g").select("list", "id", "n", "pos", "odd")
     return stage(lists.unionByName(own), "entries")
 
 
@@ -339,22 +354,28 @@ def similar_pairs(docs: DataFrame, words: int = 5, percent: int = 80, rounds: in
         return rows, sets, None
     known = stage(_texts_of(docs, nodes, words), "texts")
     links, tested, named = None, None, entries.withColumn("own", F.col("id"))
+    loose = (100 + percent) * (F.col("n") - F.col("pos")).cast("long") >= 2 * percent * F.col("n").cast("long")
     for step in range(rounds + 1):
-        parts = named.groupBy("list", "own").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("odd").alias("odd"))).alias("one"))
-        lists = parts.groupBy("list").agg(F.count("*").alias("kinds"), F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", F.bitwise_not("one.h").alias("h"), "own", "one")).alias("top")).where("kinds > 1")
-        lists = stage(lists.select("list", "size", ((F.col("size") * F.col("size") - F.col("same")) / 2).alias("open"), F.col("top.own").alias("pivot_own"), "top.one"), "open")
+        one = F.struct((~loose).alias("tight"), F.xxhash64("id", F.lit(step)).alias("h"), *(F.col(c) for c in ("id", "n", "pos", "odd")))
+        parts = named.groupBy("list", "own").agg(F.count("*").alias("k"), F.count_if(loose).alias("loose"), F.min(one).alias("one"))
+        counts = [F.count("*").alias("kinds"), F.sum("k").alias("size"), F.sum("loose").alias("loose"), F.sum(F.col("k") * F.col("k")).alias("same")]
+        lists = parts.groupBy("list").agg(*counts, F.max(F.struct("k", F.bitwise_not("one.h").alias("h"), "own", "one")).alias("top")).where("kinds > 1 and loose > 0")
+        unequal = F.least((F.col("size") * F.col("size") - F.col("same")) / 2, F.col("loose") * F.col("size"))
+        lists = stage(lists.select("list", "size", unequal.alias("open"), F.col("top.own").alias("pivot_own"), "top.one"), "open")
         left = lists.agg(F.coalesce(F.sum("open"), F.lit(0)).alias("open"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
         if not left["n"]:
             break
         every = step == rounds or (step > 0 and left["open"] <= open_pairs * left["size"])
         if every:
             mixed = stage(split_join(named, lists.select("list", "size"), "list", "size", int(left["size"])), "mixed")
-            other = mixed.select("list", F.col("id").alias("b"), F.col("n").alias("m"), F.col("odd").alias("other_odd"), F.col("own").alias("other"))
-            pairs = mixed.withColumnRenamed("id", "a").join(other, "list").where((F.col("own") != F.col("other")) & (F.col("a") < F.col("b")))
+            renamed = {"id": "b", "n": "m", "pos": "other_pos", "odd": "other_odd", "own": "other"}
+            other = mixed.where(loose).select("list", *(F.col(c).alias(d) for c, d in renamed.items()))
+            pairs = mixed.withColumn("tight", ~loose).withColumnRenamed("id", "a").join(other, "list")
+            pairs = pairs.where((F.col("own") != F.col("other")) & (F.col("tight") | (F.col("a") < F.col("b"))))
         else:  # the pivot is a
-            pivots = lists.select("list", "size", "pivot_own", F.col("one.id").alias("a"), F.col("one.n").alias("m"), F.col("one.odd").alias("other_odd"))
+            pivots = lists.select("list", "size", "pivot_own", F.col("one.id").alias("a"), F.col("one.n").alias("m"), F.col("one.pos").alias("other_pos"), F.col("one.odd").alias("other_odd"))
             pairs = split_join(named, pivots, "list", "size", int(left["size"])).where(F.col("own") != F.col("pivot_own")).withColumnRenamed("id", "b")
-        pairs = pairs.where(_possible(percent)).select("a", "b").distinct().withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+        pairs = pairs.where(_possible(percent)).select("a", "b").withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
         pairs = stage(pairs if tested is None else pairs.join(tested, ["lo", "hi"], "left_anti"), "pairs")
         new = stage(compared(known, pairs.select("a", "b"), words, percent), "links")
         links = new if links is None else links.unionByName(new)

@@ -86,14 +86,16 @@ def test_sets_hold_each_shingle_once():
 
 def test_runs_of_sizes_become_lists(monkeypatch):
     rows = [(1, 10, 8), (1, 11, 10), (1, 11, 10), (1, 12, 30), (2, 13, 5), (3, 14, 5), (3, 15, 6), (3, 16, 7), (4, 10, 8), (4, 11, 10), *((5, 100 + i, 50) for i in range(9)), (6, 17, 4)]
-    batch = lambda part: pa.RecordBatch.from_pydict({"element": pa.array([r[0] for r in part], pa.int64()), "g": pa.array([r[1] for r in part], pa.int64()), "n": pa.array([r[2] for r in part], pa.int32()), "sig": pa.nulls(len(part), pa.binary()), "odd": pa.nulls(len(part), pa.list_(pa.int64()))})
+    rows += [(7, 20, 50, 8), (7, 21, 50, 9), (8, 22, 50, 8), (8, 23, 50, 2), (9, 22, 50, 1), (9, 23, 50, 7)]  # both tight; one list at two places
+    batch = lambda part: pa.RecordBatch.from_pydict({"element": pa.array([r[0] for r in part], pa.int64()), "g": pa.array([r[1] for r in part], pa.int64()), "n": pa.array([r[2] for r in part], pa.int32()), "pos": pa.array([r[3] if len(r) > 3 else 0 for r in part], pa.int32()), "sig": pa.nulls(len(part), pa.binary()), "odd": pa.nulls(len(part), pa.list_(pa.int64()))})
     monkeypatch.setattr(jaccard, "TOLD", 5)
     for size in (1, 2, 3, 4, 8, 30):
         out = [r for b in jaccard._lister(80)(batch(rows[i : i + size]) for i in range(0, len(rows), size)) for r in b.to_pylist()]
         lists = {}
         for r in out:
-            lists.setdefault(r["list"], []).append(r["g"])
-        assert sorted(sorted(x) for x in lists.values()) == [[10, 11], [14, 15, 16], list(range(100, 109))]
+            lists.setdefault(r["list"], set()).add(r["g"])
+        assert sorted(sorted(x) for x in lists.values()) == [[10, 11], [14, 15, 16], [22, 23], list(range(100, 109))]
+        assert {r["g"]: min(x["pos"] for x in out if x["g"] == r["g"]) for r in out if r["g"] in (22, 23)} == {22: 1, 23: 2}
 
 
 def test_bitmaps_differ_in_no_more_than_the_sets():
