@@ -21,7 +21,7 @@ elements that only one of them has, so a pair that differs in too many can't be
 
 Links. Pairs of a list aren't all compared: its members meet one of them (a pivot, the same in most lists that a family of copies
 shares), and whole texts of these pairs are compared. Lists whose members are connected by then are done. Others get further pivots, and
-when few pairs are open, or after ``ROUNDS``, every pair of a list that is not yet connected and that sizes allow is compared. So components are exact. Components are found by alternating stars.
+when few pairs are open, when a round doesn't halve them, or after ``ROUNDS``, every pair of a list that is not yet connected and that sizes allow is compared. So components are exact. Components are found by alternating stars.
 
 Null and empty texts and texts without words have no set (size 0) and link with nothing. Texts of fewer words than a shingle have
 one element, the whole sequence. Repeated rows share a component; null ids name one only if it has no other. An empty table gives no
@@ -353,7 +353,7 @@ def similar_pairs(docs: DataFrame, words: int = 5, percent: int = 80, rounds: in
     if not nodes.count():
         return rows, sets, None
     known = stage(_texts_of(docs, nodes, words), "texts")
-    links, tested, named = None, None, entries.withColumn("own", F.col("id"))
+    links, tested, before, named = None, None, None, entries.withColumn("own", F.col("id"))
     loose = (100 + percent) * (F.col("n") - F.col("pos")).cast("long") >= 2 * percent * F.col("n").cast("long")
     for step in range(rounds + 1):
         one = F.struct((~loose).alias("tight"), F.xxhash64("id", F.lit(step)).alias("h"), *(F.col(c) for c in ("id", "n", "pos", "odd")))
@@ -365,7 +365,8 @@ def similar_pairs(docs: DataFrame, words: int = 5, percent: int = 80, rounds: in
         left = lists.agg(F.coalesce(F.sum("open"), F.lit(0)).alias("open"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
         if not left["n"]:
             break
-        every = step == rounds or (step > 0 and left["open"] <= open_pairs * left["size"])
+        every = step == rounds or (step > 0 and (left["open"] <= open_pairs * left["size"] or 2 * left["open"] > before))
+        before = left["open"]
         if every:
             mixed = stage(split_join(named, lists.select("list", "size"), "list", "size", int(left["size"])), "mixed")
             renamed = {"id": "b", "n": "m", "pos": "other_pos", "odd": "other_odd", "own": "other"}
