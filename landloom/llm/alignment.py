@@ -6,8 +6,8 @@ the lists into groups; within a group every two tokens whose bytes overlap are l
 links that hold it in the whole corpus.
 
 Units. A space that follows a character other than white space begins a new token in A (its pattern takes spaces in front
-only) and in B (no piece has a space behind another character, which is checked), so texts are cut there and each distinct
-unit of a slice is encoded and aligned once; groups and links of a text are those of its units in order.
+only) and in B (no piece has a space behind another character, which is checked), so texts are cut there, but for a space at a text's end, and
+each distinct unit of a slice is encoded and aligned once; groups and links of a text are those of its units in order.
 
 Corpus counts. Each slice of texts is written with its units and its distinct pairs. Pairs are summed over the corpus (at most
 the product of the vocabularies, and few in fact; broadcast only behind a count) and answered to their slices, which then
@@ -146,6 +146,8 @@ def units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
     goes_on = np.fromiter((not p or p[-1].isspace() for p in parts), bool, len(parts))
     begins = np.ones(len(codes), bool)
     begins[1:] = ~goes_on[codes[:-1]]
+    last = starts[1:][sizes > 0] - 1
+    begins[last[np.fromiter((not p for p in parts), bool, len(parts))[codes[last]]]] = False  # a space at a text's end stays with what stands before it: alone, B would read an empty text
     begins[starts[:-1][sizes > 0]] = True
     at = np.append(np.flatnonzero(begins), len(codes))
     own = codes[at[:-1]]

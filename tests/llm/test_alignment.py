@@ -88,6 +88,15 @@ def test_odd_texts(spark, odd_documents, sent):
     assert pairs.where("best = 1").count() >= pairs.selectExpr("pair & 4294967295 AS b").distinct().count()
 
 
+def test_a_space_at_the_end(spark):
+    texts = ["a ", "one two ", "one two  ", " ", "é ", "! ", "a\n ", "x \n", "one ", "one", "▁ ", "one two ", "a b\t "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, _ = alignment.align_corpus(docs, A, B)
+    got = [tuple(r) for r in rows.collect()]
+    same(got, brute(list(enumerate(texts))))
+    assert {r[0] for r in got if r[1] == 0} == {10}
+
+
 def test_op12_over_the_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     same([tuple(r) for r in QUERIES["op12_alignment"](spark, SF).collect()], brute(docs))
