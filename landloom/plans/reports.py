@@ -27,7 +27,7 @@ HEADER = ("State ", "District", "Site", "Total Land Area", "Private Sale", "Used
 
 
 def _landed(spark: SparkSession, sf: str) -> str:
-    c = tb.table(spark, sf, "customer")
+    c = tb.spread(tb.table(spark, sf, "customer"), "c_custkey")
     k, s = F.col("c_custkey"), F.col("c_custkey").cast("string")
     state = F.when(k % 25 == 24, "n/a").otherwise(F.col("c_mktsegment"))
     cells = [state, F.concat(F.lit("D"), "c_nationkey"), F.concat(F.lit('"'), "c_name", F.lit(', ""main"""')), F.concat((k * 10).cast("string"), F.lit(" acres")), (k * 10).cast("string"), (k * 4).cast("string"), (k * 6 + (k % 5 == 0).cast("int")).cast("string"), state, F.when(k % 2 == 1, s).otherwise(""), F.lit(""), F.lit("")]
@@ -36,7 +36,7 @@ def _landed(spark: SparkSession, sf: str) -> str:
     tops = F.array(F.lit("Land report 2024" + "," * 10), F.lit("," * 10), F.lit(",".join(HEADER)))
     heads = c.where(k % 25 == 0).select(book.alias("book"), F.posexplode(tops).alias("i", "value"))
     path = _folder(spark, "grids")
-    data.unionByName(heads.withColumn("i", F.col("i").cast("long"))).repartition("book").sortWithinPartitions("book", "i").select("book", "value").write.partitionBy("book").text(path)
+    tb.spread(data.unionByName(heads.withColumn("i", F.col("i").cast("long"))), "book").sortWithinPartitions("book", "i").select("book", "value").write.partitionBy("book").text(path)
     return path
 
 
@@ -80,7 +80,7 @@ def ingest_records(spark, sf):
 
 def _ragged(spark: SparkSession, sf: str) -> str:
     """Books of 25 customers: odd ones of three columns under a title, even ones of seven to twelve; a district's cell goes over two lines."""
-    c = tb.table(spark, sf, "customer")
+    c = tb.spread(tb.table(spark, sf, "customer"), "c_custkey")
     k, book = F.col("c_custkey"), F.floor(F.col("c_custkey") / 25)
     district = F.concat(F.lit('"D'), "c_nationkey", F.lit('\neast"'))
     wide = (book % 6 + 7).cast("int")
@@ -91,7 +91,7 @@ def _ragged(spark: SparkSession, sf: str) -> str:
     data = c.select(book.alias("book"), (k % 25 + 3).alias("i"), value.alias("value"))
     heads = c.where(k % 25 == 0).select(book.alias("book"), F.explode(F.array(F.struct(F.lit(1).alias("i"), top.alias("value")), F.struct(F.lit(2).alias("i"), header.alias("value")))).alias("h")).select("book", F.col("h.i").cast("long").alias("i"), "h.value")
     path = _folder(spark, "ragged")
-    data.unionByName(heads).repartition("book").sortWithinPartitions("book", "i").select("book", "value").write.partitionBy("book").text(path)
+    tb.spread(data.unionByName(heads), "book").sortWithinPartitions("book", "i").select("book", "value").write.partitionBy("book").text(path)
     return path
 
 
@@ -120,7 +120,7 @@ def landed_boundaries(spark, sf):
     path = _folder(spark, "boundaries")
     named = tb.table(spark, sf, "supplier").select(k.alias("n"), value.alias("value"), (k % 5 == 4).alias("other"))
     for other, extension in ((False, "kml"), (True, "bin")):
-        named.where(F.col("other") == other).select("n", "value").repartition("n").write.options(extension=extension, sep="\x01", quote="").partitionBy("n").csv(f"{path}/{extension}")
+        tb.spread(named.where(F.col("other") == other).select("n", "value"), "n").write.options(extension=extension, sep="\x01", quote="").partitionBy("n").csv(f"{path}/{extension}")
     listed = archives.landed(spark, path).where(F.regexp_like("path", F.lit("/part-[^/]*$")))
     named = listed.select(F.concat(F.lit("s"), F.regexp_extract("path", "/n=(\\d+)/", 1), F.lit("."), F.element_at(F.split("path", "\\."), -1)).alias("path"), "content")
     files = written(archives.expand_archives(named), "files")
@@ -138,8 +138,8 @@ def _files(spark: SparkSession, sf: str) -> str:
     c = tb.table(spark, sf, "customer").select(F.floor(k / 25).alias("book"), k, "c_name", F.row_number().over(W.partitionBy(F.floor(k / 25)).orderBy(k)).alias("i"))
     path = _folder(spark, "drop")
     signed = F.concat(F.when(F.col("i") > 1, "").when(F.col("book") % 2 == 0, "PK\x03\x04").otherwise("PKxx"), "c_name")
-    c.select("book", "i", signed.alias("value")).repartition("book").sortWithinPartitions("book", "i").select("book", "value").write.partitionBy("book").text(f"{path}/a")
-    c.select("book", "c_name").repartition("book").write.partitionBy("book").json(f"{path}/b")
+    tb.spread(c.select("book", "i", signed.alias("value")), "book").sortWithinPartitions("book", "i").select("book", "value").write.partitionBy("book").text(f"{path}/a")
+    tb.spread(c.select("book", "c_name"), "book").write.partitionBy("book").json(f"{path}/b")
     return path
 
 
@@ -480,7 +480,7 @@ def boundary_report(spark, sf):
 @query("""SELECT CASE WHEN k % 6 = 5 THEN 'z' || k ELSE 's' || k END || CASE WHEN k % 6 = 4 THEN '.kmz' ELSE '.kml' END AS file, CASE WHEN k % 6 = 5 THEN 'drop' || k || '.zip' END AS from_archive, CASE WHEN k % 6 IN (1, 2, 4) THEN 'unparseable' ELSE 'parsed' END AS parse_status, CASE k % 6 WHEN 1 THEN 'coordinates-out-of-range' WHEN 2 THEN 'no-placemark-geometry' WHEN 3 THEN 'network-link' WHEN 4 THEN 'not-a-zip,unreadable' ELSE '' END AS codes, CASE WHEN k % 6 IN (1, 2, 4) AND k % 6 <> 1 THEN 'unparseable' ELSE 'parsed' END AS swapped FROM (SELECT s_suppkey AS k FROM supplier) UNION ALL SELECT 'notes.txt', 'drop' || s_suppkey || '.zip', 'not a boundary file', '', '' FROM supplier WHERE s_suppkey % 6 = 5""")
 def parse_status(spark, sf):
     """A drop of boundary files and archives, opened, read and judged; with the swap of positions asked for, too."""
-    s = tb.table(spark, sf, "supplier")
+    s = tb.spread(tb.table(spark, sf, "supplier"), "s_suppkey")
     k = F.col("s_suppkey")
     x, y = (70 + k % 20).cast("string"), (8 + k % 17).cast("string")
     at = lambda a, b: F.when(k % 6 == 1, F.concat(b, F.lit(","), a)).otherwise(F.concat(a, F.lit(","), b))
@@ -507,7 +507,7 @@ def parse_status(spark, sf):
     packed = s.where(k % 6 == 5).select(k.alias("n"), kml.cast("binary").alias("content")).mapInPandas(zipped, "path string, content binary")
     files = written(archives.expand_archives(plain.unionByName(packed)), "files")
     vertices, read = archives.scan_placemarks(files)
-    vertices, read = written(vertices, "vertices"), written(read, "read")
+    read = written(read, "read")
     status = geometry.file_parse_status(read, vertices).select("file", "parse_status", F.array_join(F.transform("warnings", lambda w: w["code"]), ",").alias("codes"))
     swapped = geometry.file_parse_status(read, _swap_odd(vertices)).select("file", F.col("parse_status").alias("swapped"))
     named = files.where("skip_reason is null").select(F.col("filename").alias("file"), "from_archive")

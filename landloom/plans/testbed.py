@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all tasks by a key: a small file is read by one task, and what is made of its rows is far larger. With a number, Spark doesn't join the parts again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record an order: business, state (region), district (nation), site (customer), area (price)."""
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))

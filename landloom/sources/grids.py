@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landloom.functions.text import clean_string
+from landloom.sources.tables import listing
 
 MOST_BYTES = 60 * 1024 * 1024
 
@@ -66,7 +67,9 @@ def scan_grids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Spark splits text, and quotes are followed across the splits; a quote inside an unquoted cell is an ordinary character. Empty cells are null. Book is
     the folder's name and sheet the file's.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    with listing(spark):
+        read = spark.read.text(paths)
+    lines = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     records = _records(lines).withColumn("value", F.when(F.col("row_idx") == 0, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value")))
     # a comma behind the last cell, so that every cell ends with one; a cell that is never closed takes the rest
     found = F.regexp_extract_all(F.concat("value", F.lit(",")), F.lit(f'\\G(?:{_CELL},|"[^"]*+(?:""[^"]*+)*+\\z)'), F.lit(0))
@@ -89,8 +92,9 @@ def triage_files(spark: SparkSession, path: str, extension: str = ".xlsx") -> Da
     Names pass by the glob and sizes by a filter that the reader takes, so a file of another kind, however large, is listed and not opened.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    listed = files.load(path).select("path", "length")
-    good = files.option("pathGlobFilter", any_case(extension)).load(path).where(F.col("length") <= MOST_BYTES)
+    with listing(spark):
+        every, named = files.load(path), files.option("pathGlobFilter", any_case(extension)).load(path)
+    listed, good = every.select("path", "length"), named.where(F.col("length") <= MOST_BYTES)
     signed = good.select("path", (F.hex(F.substring("content", 1, 4)) == "504B0304").alias("signed"))
     code = F.when(~F.lower("path").endswith(extension), "wrong-extension").when(F.col("length") > MOST_BYTES, "too-large").when(~F.col("signed"), "not-an-archive")
     return listed.join(signed, "path", "left").select("path", "length", code.alias("error_code"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by four tasks a core, for reads inside: Spark's default gives a task to each folder, which takes longer than its listing."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/landloom/{uuid.uuid4().hex}/{name}"

@@ -226,3 +226,22 @@ def test_stream_is_the_batch(spark, tmp_path):
     q.stop()
     want = {tuple(r) for r in stateless.clean_and_place(df, dim).collect()}
     assert {tuple(r) for r in spark.sql("select * from placed_rows").collect()} == want == {("1", "Goa", "North", 5.0), ("2", "Goa", None, None), ("3", None, None, -7.0)}
+
+
+def test_folders_are_listed_by_few_tasks(spark):
+    from landloom.sources.tables import listing
+
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    with listing(spark):
+        assert int(spark.conf.get(name)) == 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name) == before
+
+
+def test_small_files_are_read_once_and_together(spark):
+    kml = "<kml><Document><Placemark><Point><coordinates>%d,2</coordinates></Point></Placemark></Document></kml>"
+    files = spark.createDataFrame([(f"f{i}.kml", (kml % i).encode() if i % 5 else b"broken") for i in range(40)], "filename string, content binary")
+    vertices, read = archives.scan_placemarks(files)
+    assert "MapInPandas" not in vertices._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.file, r.lng) for r in vertices.collect()) == sorted((f"f{i}.kml", float(i)) for i in range(40) if i % 5)
+    assert sorted(r.file for r in read.where("size(warnings) > 0").collect()) == sorted(f"f{i}.kml" for i in range(0, 40, 5))
