@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,20 @@ def _squeeze(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
+def _is_clean(c: Column) -> Column:
+    """Whether a text stays as it is: printable ASCII without spaces at its ends or in runs, not empty. One match, where cleaning takes four."""
+    return F.regexp_like(c, F.lit("\\A[!-~](?:[ -~]*+(?<! ))?+\\z")) & ~F.contains(c, F.lit("  "))
+
+
+def _cleaned(c: Column, keep: Callable[[Column], Column]) -> Column:
+    """A text cleaned and kept where ``keep`` says so, else null. The cleaned text is bound once: an expression that repeats it grows past what the JVM compiles."""
+    x = F.regexp_replace(F.regexp_replace(c, f"[{SPACES}]", " "), "[\\r\\n\\t]+", " ")
+    return F.when(_is_clean(c), F.when(keep(c), c)).otherwise(F.get(F.transform(F.array(_squeeze(x)), lambda y: F.when(keep(y), y)), F.lit(0)))
+
+
 def clean_string(s: Column | str) -> Column:
     """Unicode spaces and line breaks to spaces, runs collapsed, trimmed; empty gives null."""
-    c = F.regexp_replace(F.regexp_replace(_c(s), f"[{SPACES}]", " "), "[\\r\\n\\t]+", " ")
-    return F.nullif(_squeeze(c), F.lit(""))
+    return _cleaned(_c(s).cast("string"), lambda c: c != "")
 
 
 def header_key(s: Column | str) -> Column:
@@ -44,13 +56,13 @@ def suffix_key(key: Column | str, n: Column | str) -> Column:
 
 
 def is_null_token(s: Column | str) -> Column:
-    return F.lower(_c(s)).isin(*NULL_TOKENS)
+    c, heads = _c(s), sorted({h for t in NULL_TOKENS for h in (t[:1], t[:1].upper())})
+    return F.substring(c, 1, 1).isin(*heads) & F.lower(c).isin(*NULL_TOKENS)  # few texts begin as a token does
 
 
 def clean_cell(s: Column | str) -> Column:
     """A cleaned text cell; null tokens give null."""
-    c = clean_string(s)
-    return F.when(~is_null_token(c), c)
+    return _cleaned(_c(s).cast("string"), lambda c: ~is_null_token(c))
 
 
 def clean_number(n: Column | str) -> Column:

@@ -17,6 +17,8 @@ REGIONAL_UNITS = ("bigha", "katha", "biswa")
 _PLAIN = "[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?"
 _SHAPE = f"^{_PLAIN}$"
 _DATE = "^\\d{4}-\\d{2}-\\d{2}([T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d+)?)?(Z|[+-]\\d{2}:?\\d{2})?)?$"
+#: Characters that a figure and what may stand beside it consist of; a text with another one, or without a digit, holds no figure.
+_MAYBE = f"(?i)^[0-9eE+\\-.,()% \\r\\n\\u0085\\u2028\\u2029{CURRENCIES}{''.join(sorted({c for w in UNIT_WORDS for c in w if c.isalpha()}))}]++\\z"
 #: Stands at the begin of a figure that was in brackets; taken out of the text before.
 _MARK = "\x01"
 
@@ -40,8 +42,10 @@ def parse_measure(s: Column | str, cleaned: bool = False) -> Column:
 
     ``cleaned``: the text has been through ``clean_string``. Each step reads the one before it once, so the expression stays small.
     """
-    c = _cleaned(s, cleaned)
-    c = F.translate(F.lower(F.when(~is_null_token(c), c)), _MARK, "?")
+    if not cleaned:  # the cleaned text is bound once
+        return F.get(F.transform(F.array(clean_string(s)), lambda c: parse_measure(c, cleaned=True)), F.lit(0))
+    own = _c(s)
+    c = F.translate(F.lower(F.when(~is_null_token(own), own)), _MARK, "?")
     x = F.regexp_replace(c, "^\\( *(.*?) *\\)$", _MARK + "$1")
     x = F.regexp_replace(F.regexp_replace(x, f"[{CURRENCIES}]", ""), "(?<=\\d),(?=\\d)", "")
     x = F.regexp_replace(x, f"^({_MARK}?) *(.*?) *%$", "$1$2")
@@ -50,7 +54,9 @@ def parse_measure(s: Column | str, cleaned: bool = False) -> Column:
     x = F.regexp_replace(x, f" *(?:{_words()}) *$", "")
     n = F.regexp_extract(x, f"^{_MARK}?({_PLAIN})$", 1).try_cast("double")
     n = n * F.when(F.regexp_like(c, F.lit("^\\(.*\\)$")), -1.0).otherwise(1.0)
-    return F.when(F.abs(n) < float("inf"), n)
+    plain = F.regexp_like(own, F.lit(_SHAPE))  # nothing stands beside the figure: one cast
+    x = F.when(plain, own.try_cast("double")).when(F.regexp_like(own, F.lit(_MAYBE)) & F.regexp_like(own, F.lit("[0-9]")), n)
+    return F.get(F.filter(F.array(x), lambda y: F.abs(y) < float("inf")), F.lit(0))
 
 
 def cell_type(s: Column | str, cleaned: bool = False) -> Column:

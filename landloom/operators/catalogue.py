@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from landloom.functions.text import clean_cell, clean_string, header_key, positional_key, suffix_key
 from landloom.functions.values import cell_type, distinct_key, parse_measure
+from landloom.sources.tables import written
 
 # Thresholds of discovery, words that tell roles, patterns that bind columns.
 HEADER_DENSITY, HEADER_TYPES, HEADER_ROWS = 0.7, 2, 25
@@ -122,6 +123,7 @@ def profile_columns(long: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     texts = long.groupBy(*col, clean_cell("value").alias("value")).agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row")).where("value is not null")
     typed = texts.withColumn("type", cell_type("value", cleaned=True)).withColumn("num", parse_measure("value", cleaned=True)).withColumn("dkey", distinct_key("value", cleaned=True, kind="type"))
     values = typed.groupBy(*col, "dkey").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"), F.min("value").alias("value"), F.min("type").alias("type"), F.min("num").alias("num"))
+    values = written(values, "values")  # read twice below
     whole = (F.col("type") == "number") & (F.col("num") == F.floor("num")) & (F.col("num") >= 0)
     stats = values.groupBy(*col).agg(
         F.sum("n").alias("populated"), F.count("*").alias("distinct_count"), F.sum(F.when(F.col("num").isNotNull(), F.col("n")).otherwise(0)).alias("numeric"),

@@ -45,3 +45,15 @@ def test_similarity(spark):
     pairs = [("raigarh", "raigad", 0.714), ("mutksar", "muktsar", 0.714), ("punjabb", "punjab", 0.857), ("ludhiyana", "ludhiana", 0.889), ("", "", 1.0)]
     df = spark.createDataFrame([p[:2] for p in pairs], "a string, b string")
     assert [round(r[0], 3) for r in df.select(similarity(F.col("a"), F.col("b"))).collect()] == [p[2] for p in pairs]
+
+
+def test_cleaning_reads_a_text_once(spark):
+    df = spark.createDataFrame([("a",)], "x string")
+    for f, most in ((text.clean_cell, 4), (text.clean_string, 4), (values.parse_measure, 20)):
+        assert df.select(f("x").alias("y")).where("y is null").select("y")._jdf.queryExecution().analyzed().toString().count("regexp_replace") <= most
+
+
+def test_figures_beside_odd_spaces(spark):
+    odd = ["0 Rs", "4.5 acres", "1e999", "-0", "+.5e1", "5.", "(7)", "İ1", "1  ha", "e", "1\x01", "x1", "(1,234.5) %"]
+    assert [None if y is None else str(y) for y in ask(spark, values.parse_measure, *odd)] == ["0.0", "4.5", None, "-0.0", "5.0", "5.0", "-7.0", None, "1.0", None, None, None, None]
+    assert ask(spark, text.clean_cell, "Nil", "nile", "a  b", "a b", " a", "a ", "-", "\x7f", "é", "n/A") == [None, "nile", "a b", "a b", "a", "a", None, "\x7f", "é", None]
