@@ -12,6 +12,7 @@ from landloom.operators import attachments, catalogue, classes, drift, facets, g
 from landloom.operators import measures as measure_ops
 from landloom.plans import extract, ingest
 from landloom.plans import testbed as tb
+from landloom.sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,11 +83,11 @@ def parse_measures(spark, sf):
     two = lambda c: F.format_number(c, 2)
     m = F.col("c_custkey") % 8
     raw = F.when(m == 0, F.concat(F.lit("₹ "), two(F.abs(b)))).when(m == 1, F.concat(F.lit("("), two(F.abs(b)), F.lit(")"))).when(m == 2, F.concat(two(F.abs(b)), F.lit(" Sq. Ft."))).when(m == 3, F.concat(two(b), F.lit(" %"))).when(m == 4, F.concat(F.lit(" "), two(b), F.lit(" acres"))).when(m == 5, F.concat(two(b), F.lit("d"))).when(m == 6, "TBD").otherwise(two(b))
-    return tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), values.parse_measure(raw).alias("parsed"))
+    return tb.spread(tb.table(spark, sf, "customer"), "c_custkey").select(F.col("c_custkey").alias("k"), values.parse_measure(raw).alias("parsed"))
 
 
 def _long(spark, sf, name, columns):
-    t = tb.table(spark, sf, name).select(*(F.col(c).cast("string").alias(c) for c in columns), F.col(columns[0]).cast("long").alias("row_idx"))
+    t = tb.spread(tb.table(spark, sf, name), columns[0]).select(*(F.col(c).cast("string").alias(c) for c in columns), F.col(columns[0]).cast("long").alias("row_idx"))
     return t.select("row_idx", F.posexplode(F.array(*columns)).alias("col_idx", "value"))
 
 
@@ -120,7 +121,7 @@ def column_roles(spark, sf):
 
 def _cells(spark, sf):
     """A book of two sheets for every 25 customers: the customers below a title and a header, and some segments alone."""
-    c = tb.table(spark, sf, "customer")
+    c = tb.spread(tb.table(spark, sf, "customer"), "c_custkey")
     k = F.col("c_custkey")
     book = F.concat(F.lit("book-"), F.floor(k / 25))
     rows = c.select(book.alias("book"), (k % 25 + 2).alias("row_idx"), F.array("c_name", F.col("c_nationkey").cast("string"), F.col("c_acctbal").cast("string")).alias("v"))
@@ -157,7 +158,7 @@ def header_row(spark, sf):
  SELECT book, 'data' AS sheet, col_idx, key, role, CASE WHEN role <> 'measure' AND key IN ('state', 'district') THEN key END AS bound_as FROM r""")
 def column_catalogue(spark, sf):
     """From cells to keys, profile, roles and bindings of every book's chosen sheet."""
-    cells = _cells(spark, sf)
+    cells = written(_cells(spark, sf), "cells")
     ordinals = cells.select("book", "sheet").distinct().withColumn("ordinal", (F.col("sheet") == "data").cast("int"))
     done = ingest.ingest(cells, ordinals)
     bound = done.bindings.withColumnRenamed("role", "bound_as")

@@ -366,3 +366,11 @@ def test_geometry(spark):
     assert geometry.file_parse_status(files, swapped, swap=True).where("file = 'square'").first().parse_status == "parsed"
     dim = spark.createDataFrame([("state", "2024")], "level string, vintage string")
     assert geometry.boundary_manifest(dim, {"tolerance": "1100"}).first()[:] == ("state", 1, ["2024"], "1100")
+
+
+def test_rows_of_a_small_file_go_to_all_tasks(spark):
+    from landloom.plans import testbed
+
+    df = testbed.spread(testbed.table(spark, "/root/testdata/sf0.001", "customer"), "c_custkey")
+    assert df.count() == testbed.table(spark, "/root/testdata/sf0.001", "customer").count()
+    assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString() and df.rdd.getNumPartitions() == 4
