@@ -41,6 +41,11 @@ def clean_string(s: Column | str) -> Column:
     return _cleaned(_c(s).cast("string"), lambda c: c != "")
 
 
+def has_text(s: Column | str) -> Column:
+    """Whether ``clean_string`` gives a text, in one match."""
+    return F.coalesce(F.regexp_like(_c(s), F.lit(f"[^{SPACES}{WHITE}]")), F.lit(False))
+
+
 def header_key(s: Column | str) -> Column:
     """A header's key: cleaned, lower case, punctuation stripped from the end and (except a slash) the start."""
     c = F.regexp_replace(F.lower(clean_string(s)), f"[{WHITE}:;,.\\-_/|*#]+$", "")

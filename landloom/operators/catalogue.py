@@ -1,6 +1,8 @@
 """Discovering sheets, headers, keys, roles and bindings from long cells (book, sheet, row_idx, col_idx, value).
 
-All of it is keyed by book and sheet, so one job handles any number of books.
+All of it is keyed by book and sheet, so one job handles any number of books. Cells may also come as rows (book, sheet,
+row_idx, cells: an array of col_idx and value); long ones are gathered into rows first. What is asked of a row is then
+answered within it, and only figures by sheet or column are shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landloom.functions.text import clean_cell, clean_string, header_key, positional_key, suffix_key
+from landloom.functions.text import clean_cell, clean_string, has_text, header_key, positional_key, suffix_key
 from landloom.functions.values import cell_type, distinct_key, parse_measure
 from landloom.sources.tables import written
 
@@ -54,14 +56,22 @@ def drop_blank_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(F.coalesce(*(F.col(c) for c in columns)).isNotNull())
 
 
+def rows_of(cells: DataFrame, keys: tuple[str, ...] = ("row_idx",)) -> DataFrame:
+    """Cells as rows, which they may already be."""
+    if "cells" in cells.columns:
+        return cells
+    return cells.groupBy(*SHEET, *keys).agg(F.array_sort(F.collect_list(F.struct("col_idx", "value"))).alias("cells"))
+
+
 def score_sheets(cells: DataFrame, ordinals: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Populated cells, rows and width per sheet, and the chosen sheet of each book.
 
     ordinals: book, sheet, ordinal. overrides: book, sheet. The densest wins, the earlier on a tie; an
     override wins if the sheet exists.
     """
-    full = clean_string("value").isNotNull()
-    scored = cells.groupBy(*SHEET).agg(F.count_if(full).alias("populated"), F.count_distinct(F.when(full, F.col("row_idx"))).alias("rows"), F.coalesce(F.max(F.when(full, F.col("col_idx") + 1)), F.lit(0)).alias("width"))
+    full = rows_of(cells).select(*SHEET, F.filter("cells", lambda c: has_text(c["value"]))["col_idx"].alias("full"))
+    n = F.size("full")
+    scored = full.groupBy(*SHEET).agg(F.sum(n.cast("long")).alias("populated"), F.count_if(n > 0).alias("rows"), F.coalesce(F.max(F.array_max("full") + 1), F.lit(0)).alias("width"))
     scored = scored.join(ordinals, SHEET)
     own = overrides.select(*SHEET, F.lit(True).alias("own")) if overrides is not None else None
     scored = scored.join(own, SHEET, "left") if own is not None else scored.withColumn("own", F.lit(None).cast("boolean"))
@@ -71,56 +81,71 @@ def score_sheets(cells: DataFrame, ordinals: DataFrame, overrides: DataFrame | N
 
 def detect_header(cells: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """book, sheet, header_row, used_fallback: the first dense text row whose next row shows several types."""
-    width = cells.groupBy(*SHEET).agg((F.max("col_idx") + 1).alias("width"), F.min(F.when(clean_string("value").isNotNull(), F.col("row_idx"))).alias("first_row"))
-    typed = cells.where(F.col("row_idx") <= HEADER_ROWS).select(*SHEET, "row_idx", clean_string("value").alias("value")).select(*SHEET, "row_idx", cell_type("value", cleaned=True).alias("type"))
-    rows = typed.groupBy(*SHEET, "row_idx").agg(F.count_if(F.col("type") == "string").alias("strings"), F.count_distinct("type").alias("types"))
-    after = W.partitionBy(*SHEET).orderBy("row_idx")
-    rows = rows.withColumn("next_row", F.lead("row_idx").over(after)).withColumn("next_types", F.lead("types").over(after)).join(width, SHEET)
-    good = (F.col("row_idx") < HEADER_ROWS) & (F.col("strings") / F.col("width") > HEADER_DENSITY) & (F.col("next_row") == F.col("row_idx") + 1) & (F.col("next_types") >= HEADER_TYPES)
-    found = rows.groupBy(*SHEET).agg(F.min(F.when(good, F.col("row_idx"))).alias("found"))
-    out = width.join(found, SHEET, "left").select(*SHEET, F.coalesce("found", "first_row").alias("header_row"), F.col("found").isNull().alias("used_fallback"))
+    kinds = F.transform(F.filter("cells", lambda c: has_text(c["value"])), lambda c: cell_type(clean_string(c["value"]), cleaned=True))
+    told = F.struct("row_idx", F.size(F.filter("kinds", lambda t: t == "string")).alias("strings"), F.size(F.array_distinct("kinds")).alias("types"))
+    rows = rows_of(cells).select(*SHEET, "row_idx", F.array_max("cells.col_idx").alias("last"), F.exists("cells", lambda c: has_text(c["value"])).alias("full"), F.when(F.col("row_idx") <= HEADER_ROWS, kinds).alias("kinds"))
+    tops = F.collect_list(F.when(F.col("row_idx") <= HEADER_ROWS, told))  # 26 rows at most
+    sheets = rows.groupBy(*SHEET).agg((F.max("last") + 1).alias("width"), F.min(F.when(F.col("full"), F.col("row_idx"))).alias("first_row"), F.array_sort(tops).alias("tops"))
+
+    def good(row: Column, i: Column) -> Column:
+        after = F.get("tops", i + 1)
+        return (row["row_idx"] < HEADER_ROWS) & (row["strings"] / F.col("width") > HEADER_DENSITY) & (after["row_idx"] == row["row_idx"] + 1) & (after["types"] >= HEADER_TYPES)
+
+    found = F.get(F.filter("tops", good), F.lit(0))["row_idx"]
+    out = sheets.select(*SHEET, "first_row", found.alias("found")).select(*SHEET, F.coalesce("found", "first_row").alias("header_row"), F.col("found").isNull().alias("used_fallback"))
     if overrides is not None:
         own = overrides.select(*SHEET, F.col("header_row").alias("own"))
         out = out.join(own, SHEET, "left").select(*SHEET, F.coalesce("own", "header_row").alias("header_row"), (F.col("used_fallback") & F.col("own").isNull()).alias("used_fallback"))
     return out
 
 
-def assign_keys(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """book, sheet, col_idx, name, key, occurrence, has_data of every column that has a header or data."""
-    at = cells.join(headers.select(*SHEET, "header_row"), SHEET)
-    cols = at.groupBy(*SHEET, "col_idx").agg(F.max(F.when(F.col("row_idx") == F.col("header_row"), F.col("value"))).alias("name"), F.coalesce(F.bool_or((F.col("row_idx") > F.col("header_row")) & clean_cell("value").isNotNull()), F.lit(False)).alias("has_data"))
+def body_of(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows below the header: book, sheet, source_row_number, record_id, cells (cleaned, populated ones alone); blank rows are gone."""
+    below = rows_of(cells).join(headers.select(*SHEET, "header_row"), SHEET).where("row_idx > header_row")
+    clean = F.filter(F.transform("cells", lambda c: F.struct(c["col_idx"].alias("col_idx"), clean_cell(c["value"]).alias("value"))), lambda c: c["value"].isNotNull())
+    return below.select(*SHEET, F.col("row_idx").alias("source_row_number"), F.concat(F.lit("row-"), F.col("row_idx")).alias("record_id"), clean.alias("cells")).where(F.size("cells") > 0)
+
+
+def assign_keys(cells: DataFrame, headers: DataFrame, body: DataFrame | None = None) -> DataFrame:
+    """book, sheet, col_idx, name, key, occurrence, has_data of every column that has a header or data. body: ``body_of`` the same cells."""
+    rows, col = rows_of(cells), [*SHEET, "col_idx"]
+    heads = rows.join(headers.select(*SHEET, "header_row"), SHEET).where("row_idx = header_row").select(*SHEET, F.inline("cells"))
+    data = (body_of(rows, headers) if body is None else body).select(*SHEET, F.explode("cells.col_idx").alias("col_idx")).distinct().withColumn("has_data", F.lit(True))
+    cols = heads.groupBy(*col).agg(F.max("value").alias("name")).join(data, col, "full").withColumn("has_data", F.coalesce("has_data", F.lit(False)))
     cols = cols.withColumn("base", F.coalesce(header_key("name"), positional_key("col_idx"))).where(header_key("name").isNotNull() | F.col("has_data"))
     nth = F.row_number().over(W.partitionBy(*SHEET, "base").orderBy("col_idx"))
     cols = cols.withColumn("occurrence", nth)
     return cols.withColumn("key", F.when(F.col("occurrence") > 1, suffix_key("base", "occurrence")).otherwise(F.col("base"))).drop("base")
 
 
-def records_of(cells: DataFrame, headers: DataFrame, keys: DataFrame) -> DataFrame:
-    """Cleaned long records below the header: book, sheet, source_row_number, record_id, key, value; blank rows are gone."""
-    body = cells.join(headers.select(*SHEET, "header_row"), SHEET).where("row_idx > header_row").withColumn("value", clean_cell("value")).where("value is not null")
-    return body.join(keys.select(*SHEET, "col_idx", "key"), [*SHEET, "col_idx"]).select(*SHEET, F.col("row_idx").alias("source_row_number"), F.concat(F.lit("row-"), F.col("row_idx")).alias("record_id"), "col_idx", "key", "value")
+def records_of(body: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``body_of`` as long records: book, sheet, source_row_number, record_id, col_idx, key, value."""
+    long = body.select(*SHEET, "source_row_number", "record_id", F.inline("cells"))
+    return long.join(keys.select(*SHEET, "col_idx", "key"), [*SHEET, "col_idx"]).select(*SHEET, "source_row_number", "record_id", "col_idx", "key", "value")
+
+
+def split_unlocated(body: DataFrame, location: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``body_of`` that have the location column (location: book, sheet, col_idx) and those that don't; a sheet without one drops nothing."""
+    keyed = body.join(location.select(*SHEET, F.col("col_idx").alias("_at")), SHEET, "left")
+    placed = F.col("_at").isNull() | F.array_contains("cells.col_idx", F.col("_at"))
+    return keyed.where(placed).drop("_at"), keyed.where(~placed).drop("_at")
 
 
-def drop_unlocated(records: DataFrame, location: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Long records split by whether their row has the location column (location: book, sheet, key); a sheet without one drops nothing."""
-    row = [*SHEET, "record_id"]
-    bound = location.where("key is not null").select(*SHEET, F.col("key").alias("location_key"))
-    keyed = records.join(bound, SHEET, "left")
-    placed = keyed.where("location_key is null or key = location_key").select(*row).distinct()
-    kept = records.join(placed, row, "left_semi")
-    dropped = records.join(placed, row, "left_anti").groupBy(*row, "source_row_number").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("raw"))
-    return kept, dropped.withColumn("reason", F.lit("no location"))
+def dropped_records(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """book, sheet, record_id, source_row_number, raw (value by key), reason of rows without a location."""
+    raw = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
+    return records_of(rows, keys).groupBy(*SHEET, "record_id", "source_row_number").agg(raw.alias("raw")).withColumn("reason", F.lit("no location"))
 
 
-def profile_columns(long: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per column of long values (keys..., col_idx, row_idx, value). rows: keys..., n_rows.
+def profile_columns(long: DataFrame, rows: DataFrame, keys: list[str], columns: DataFrame | None = None) -> DataFrame:
+    """One row per column of long values (keys..., col_idx, row_idx, value). rows: keys..., n_rows. columns: keys..., col_idx, if known; values are then clean.
 
     Populated, null and distinct counts, numeric ratio, types, whether it is a serial index, and the first
     five distinct values in row order. Values are grouped first, so nothing unbounded is collected.
     """
     col = [*keys, "col_idx"]
     # types are read once a distinct text and not once a cell
-    texts = long.groupBy(*col, clean_cell("value").alias("value")).agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row")).where("value is not null")
+    texts = long.groupBy(*col, (clean_cell("value") if columns is None else F.col("value")).alias("value")).agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row")).where("value is not null")
     typed = texts.withColumn("type", cell_type("value", cleaned=True)).withColumn("num", parse_measure("value", cleaned=True)).withColumn("dkey", distinct_key("value", cleaned=True, kind="type"))
     values = typed.groupBy(*col, "dkey").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"), F.min("value").alias("value"), F.min("type").alias("type"), F.min("num").alias("num"))
     values = written(values, "values")  # read twice below
@@ -131,7 +156,8 @@ def profile_columns(long: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     )
     first = values.withColumn("_r", F.row_number().over(W.partitionBy(*col).orderBy("first_row", "dkey"))).where("_r <= 5")
     samples = first.groupBy(*col).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda x: x["value"]).alias("samples"))
-    every = long.select(*col).distinct().join(rows, keys) if keys else long.select(*col).distinct().crossJoin(F.broadcast(rows))
+    columns = long.select(*col).distinct() if columns is None else columns
+    every = columns.join(rows, keys) if keys else columns.crossJoin(F.broadcast(rows))
     out = every.join(stats, col, "left").join(samples, col, "left")
     n = F.coalesce("populated", F.lit(0))
     serial = (n > 0) & (n == F.col("n_rows")) & (F.col("distinct_count") == n) & F.col("all_whole") & (F.col("hi") - F.col("lo") == n - 1)
@@ -207,7 +233,8 @@ def coordinate_columns(catalogue: DataFrame) -> DataFrame:
 
 def debris_columns(cells: DataFrame, keys: DataFrame) -> DataFrame:
     """book, sheet, col_idx of the columns that have neither a header nor data and were left out."""
-    return cells.select(*SHEET, "col_idx").distinct().join(keys.select(*SHEET).distinct(), SHEET, "left_semi").join(keys.select(*SHEET, "col_idx"), [*SHEET, "col_idx"], "left_anti")
+    every = rows_of(cells).select(*SHEET, F.explode("cells.col_idx").alias("col_idx")).distinct()
+    return every.join(keys.select(*SHEET).distinct(), SHEET, "left_semi").join(keys.select(*SHEET, "col_idx"), [*SHEET, "col_idx"], "left_anti")
 
 
 def ingest_stats(records: DataFrame, dropped: DataFrame, catalogue: DataFrame, violated: DataFrame | None = None) -> DataFrame:

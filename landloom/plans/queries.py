@@ -158,7 +158,7 @@ def header_row(spark, sf):
  SELECT book, 'data' AS sheet, col_idx, key, role, CASE WHEN role <> 'measure' AND key IN ('state', 'district') THEN key END AS bound_as FROM r""")
 def column_catalogue(spark, sf):
     """From cells to keys, profile, roles and bindings of every book's chosen sheet."""
-    cells = written(_cells(spark, sf), "cells")
+    cells = written(catalogue.rows_of(_cells(spark, sf)), "rows")
     ordinals = cells.select("book", "sheet").distinct().withColumn("ordinal", (F.col("sheet") == "data").cast("int"))
     done = ingest.ingest(cells, ordinals)
     bound = done.bindings.withColumnRenamed("role", "bound_as")

@@ -15,13 +15,19 @@ from landloom.plans import queries as q
 from landloom.plans import testbed as tb
 from landloom.plans.queries import query
 from landloom.sources import archives, boundaries, grids
-from landloom.sources.tables import shared_dir, written
+from landloom.sources.tables import land_files, shared_dir, written
 
 
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/landloom/{uuid.uuid4().hex}/{name}"
 
 
+def _texts(lines: DataFrame) -> DataFrame:
+    """folder, content of files, one a book, from lines (book, i: place, value)."""
+    gathered = F.array_sort(F.collect_list(F.struct("i", "value")))
+    return lines.groupBy("book").agg(gathered.alias("v")).select(F.concat(F.lit("book="), F.col("book")).alias("folder"), F.concat(F.array_join(F.transform("v", lambda x: x["value"]), "\n"), F.lit("\n")).alias("content"))
+
+
 # Books of 25 customers as CSV files: a title, a blank row, a header with a repeated, an empty and an unnamed column, rows without a state.
 HEADER = ("State ", "District", "Site", "Total Land Area", "Private Sale", "Used Land", "Unused Land", "STATE", "", "Purchase Date", "")
 
@@ -36,13 +42,13 @@ def _landed(spark: SparkSession, sf: str) -> str:
     tops = F.array(F.lit("Land report 2024" + "," * 10), F.lit("," * 10), F.lit(",".join(HEADER)))
     heads = c.where(k % 25 == 0).select(book.alias("book"), F.posexplode(tops).alias("i", "value"))
     path = _folder(spark, "grids")
-    tb.spread(data.unionByName(heads.withColumn("i", F.col("i").cast("long"))), "book").sortWithinPartitions("book", "i").select("book", "value").write.partitionBy("book").text(path)
+    land_files(_texts(data.unionByName(heads.withColumn("i", F.col("i").cast("long")))), path, "txt")
     return path
 
 
 def _ingested(spark: SparkSession, sf: str) -> ingest.Ingested:
-    cells = written(grids.scan_grids(spark, f"{_landed(spark, sf)}/*"), "cells")
-    return ingest.ingest(cells, cells.select("book", "sheet").distinct().withColumn("ordinal", F.lit(0)))
+    rows = written(grids.scan_rows(spark, _landed(spark, sf), folders=True), "rows")
+    return ingest.ingest(rows, rows.select("book", "sheet").distinct().withColumn("ordinal", F.lit(0)))
 
 
 LANDED = """WITH k AS (SELECT 'book-' || (c_custkey // 25) AS book, c_custkey AS k, c_mktsegment AS state, 'D' || c_nationkey AS district, c_name AS site FROM customer), kept AS (SELECT * FROM k WHERE k % 25 <> 24),
@@ -91,7 +97,7 @@ def _ragged(spark: SparkSession, sf: str) -> str:
     data = c.select(book.alias("book"), (k % 25 + 3).alias("i"), value.alias("value"))
     heads = c.where(k % 25 == 0).select(book.alias("book"), F.explode(F.array(F.struct(F.lit(1).alias("i"), top.alias("value")), F.struct(F.lit(2).alias("i"), header.alias("value")))).alias("h")).select("book", F.col("h.i").cast("long").alias("i"), "h.value")
     path = _folder(spark, "ragged")
-    tb.spread(data.unionByName(heads), "book").sortWithinPartitions("book", "i").select("book", "value").write.partitionBy("book").text(path)
+    land_files(_texts(data.unionByName(heads)), path, "txt")
     return path
 
 
@@ -99,11 +105,12 @@ def _ragged(spark: SparkSession, sf: str) -> str:
  SELECT CAST(book AS VARCHAR) AS book, 1 AS header_row, false AS used_fallback, CASE WHEN book % 2 = 1 THEN 'state|district|area' ELSE 'state|district|site|area' || array_to_string(list_transform(range(5, book % 6 + 8), lambda i: '|c' || i), '') END AS keys, rows, first_district, area, CAST(CASE WHEN book % 2 = 1 THEN 0 ELSE 1 END AS BIGINT) AS debris FROM b WHERE headed""")
 def ragged_books(spark, sf):
     """Books of unequal width in one read: header, keys, records and left-out columns of each, as if read alone."""
-    cells = written(grids.scan_grids(spark, f"{_ragged(spark, sf)}/*"), "cells")
-    done = ingest.ingest(cells, cells.select("book", "sheet").distinct().withColumn("ordinal", F.lit(0)))
+    read = written(grids.scan_rows(spark, _ragged(spark, sf), folders=True), "rows")
+    done = ingest.ingest(read, read.select("book", "sheet").distinct().withColumn("ordinal", F.lit(0)))
     keys = done.keys.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "key"))), lambda x: x["key"]), "|").alias("keys"))
     one = lambda key: F.when(F.col("key") == key, F.col("value"))
-    rows = done.records.groupBy("book").agg(F.count_distinct("record_id").alias("rows"), F.min(one("district")).alias("first_district"), F.sum(one("area").cast("double")).alias("area"))
+    figures = done.records.groupBy("book").agg(F.min(one("district")).alias("first_district"), F.sum(one("area").cast("double")).alias("area"))
+    rows = done.rows.groupBy("book").agg(F.count("*").alias("rows")).join(figures, "book")
     debris = done.debris.groupBy("book").agg(F.count("*").alias("debris"))
     out = done.headers.select("book", F.col("header_row").cast("int").alias("header_row"), "used_fallback").join(keys, "book").join(rows, "book").join(debris, "book", "left").fillna(0, ["debris"])
     return out.select("book", "header_row", "used_fallback", "keys", "rows", "first_district", "area", "debris")
@@ -138,8 +145,8 @@ def _files(spark: SparkSession, sf: str) -> str:
     c = tb.table(spark, sf, "customer").select(F.floor(k / 25).alias("book"), k, "c_name", F.row_number().over(W.partitionBy(F.floor(k / 25)).orderBy(k)).alias("i"))
     path = _folder(spark, "drop")
     signed = F.concat(F.when(F.col("i") > 1, "").when(F.col("book") % 2 == 0, "PK\x03\x04").otherwise("PKxx"), "c_name")
-    tb.spread(c.select("book", "i", signed.alias("value")), "book").sortWithinPartitions("book", "i").select("book", "value").write.partitionBy("book").text(f"{path}/a")
-    tb.spread(c.select("book", "c_name"), "book").write.partitionBy("book").json(f"{path}/b")
+    land_files(_texts(c.select("book", "i", signed.alias("value"))), f"{path}/a", "txt")
+    land_files(_texts(c.select("book", "i", F.to_json(F.struct("c_name")).alias("value"))), f"{path}/b", "json")
     return path
 
 
@@ -156,9 +163,9 @@ def intake_status(spark, sf):
     full = q._cells(spark, sf).where("sheet = 'data'").withColumn("book", F.replace("book", F.lit("book"), F.lit("full")))
     bare = full.where("row_idx = 1").withColumn("book", F.replace("book", F.lit("full"), F.lit("bare")))
     blank = full.withColumn("book", F.replace("book", F.lit("full"), F.lit("blank"))).withColumn("value", F.when(F.col("row_idx") % 2 == 0, " "))
-    cells = written(full.unionByName(bare).unionByName(blank), "cells")
-    done = ingest.ingest(cells, cells.select("book", "sheet").distinct().withColumn("ordinal", F.lit(0)))
-    return grids.intake_status(cells.select("book").distinct(), done.sheets, done.catalogue, done.records.select("book", "record_id").distinct())
+    rows = written(catalogue.rows_of(full.unionByName(bare).unionByName(blank)), "rows")
+    done = ingest.ingest(rows, rows.select("book", "sheet").distinct().withColumn("ordinal", F.lit(0)))
+    return grids.intake_status(rows.select("book").distinct(), done.sheets, done.catalogue, done.rows.select("book", "record_id"))
 
 
 # A land register of every order, a book a state.
@@ -176,11 +183,11 @@ def _register(spark: SparkSession, sf: str) -> ingest.Ingested:
     own = [k, "business", "site", "state", "district", "sale", "lease", "govt", "total", "used", "unused", 8.5 + k % 17, F.lit(None), F.lit(None)]
     data = m.select(F.col("state").alias("book"), (k + 1).alias("row_idx"), F.array(*((F.col(c) if isinstance(c, str) else c).cast("string") for c in own)).alias("v"))
     heads = data.select("book").distinct().select("book", F.lit(0).cast("long").alias("row_idx"), F.array(*(F.lit(f" {h.title()}:") for h in REGISTER)).alias("v"))
-    cells = data.unionByName(heads).select("book", F.lit("register").alias("sheet"), "row_idx", F.posexplode("v").alias("col_idx", "value"))
-    cells = written(cells, "cells")
-    sheets = cells.select("book", "sheet").distinct()
+    cells = F.transform("v", lambda x, i: F.struct(i.alias("col_idx"), x.alias("value")))
+    rows = written(data.unionByName(heads).select("book", F.lit("register").alias("sheet"), "row_idx", cells.alias("cells")), "rows")
+    sheets = rows.select("book", "sheet").distinct()
     roles = sheets.select("book", "sheet", F.lit("sr no").alias("key"), F.lit("meta").alias("role_override"))
-    return ingest.ingest(cells, sheets.withColumn("ordinal", F.lit(0)), header_overrides=sheets.withColumn("header_row", F.lit(0).cast("long")), role_overrides=roles)
+    return ingest.ingest(rows, sheets.withColumn("ordinal", F.lit(0)), header_overrides=sheets.withColumn("header_row", F.lit(0).cast("long")), role_overrides=roles)
 
 
 @query(f"WITH {REGISTER_SQL} SELECT book, key, role, effective_role, bound_as, pop > 0 AS visible, CASE WHEN key IN ('business', 'site') THEN key END AS picked, CASE WHEN key = 'latitude' THEN key END AS coordinate FROM bound")

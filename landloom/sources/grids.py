@@ -61,24 +61,31 @@ def _records(lines: DataFrame) -> DataFrame:
 
 
 def scan_grids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Cells (book, sheet, row_idx, col_idx, value) of CSV exports: each record's own cells, so a book is read as if alone.
+    """Cells (book, sheet, row_idx, col_idx, value) of CSV exports; ``scan_rows`` in long form."""
+    return scan_rows(spark, paths).select("book", "sheet", "row_idx", F.inline("cells"))
+
+
+def scan_rows(spark: SparkSession, paths: str | list[str], folders: bool = False) -> DataFrame:
+    """Rows (book, sheet, row_idx, cells: an array of col_idx and value) of CSV exports: each record's own cells, so a book is read as if alone.
 
     Blank rows are kept (one empty cell), so rows are numbered as in the file. Cells may hold line breaks (read as \\n). Files are split as
     Spark splits text, and quotes are followed across the splits; a quote inside an unquoted cell is an ordinary character. Empty cells are null. Book is
-    the folder's name and sheet the file's.
+    the folder's name and sheet the file's. ``folders``: paths hold the books' folders at any depth, which are listed by tasks, where a glob of
+    them is met by the driver.
     """
     with listing(spark):
-        read = spark.read.text(paths)
+        read = spark.read.option("recursiveFileLookup", folders).text(paths)
     lines = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     records = _records(lines).withColumn("value", F.when(F.col("row_idx") == 0, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value")))
     # a comma behind the last cell, so that every cell ends with one; a cell that is never closed takes the rest
     found = F.regexp_extract_all(F.concat("value", F.lit(",")), F.lit(f'\\G(?:{_CELL},|"[^"]*+(?:""[^"]*+)*+\\z)'), F.lit(0))
-    cells = records.select("file", "row_idx", F.posexplode(found).alias("col_idx", "c")).withColumn("c", F.expr("left(c, length(c) - 1)"))
-    quoted = F.regexp_extract("c", '(?s)^"(.*?)"?$', 1)
-    value = F.when(F.regexp_like("c", F.lit(f"^{_QUOTED}$")) | ~F.regexp_like("c", F.lit(f"^{_QUOTED}")) & F.col("c").startswith('"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(F.nullif("c", F.lit("")))
+    quoted = lambda c: F.replace(F.regexp_extract(c, '(?s)^"(.*?)"?$', 1), F.lit('""'), F.lit('"'))
+    is_quoted = lambda c: F.startswith(c, F.lit('"')) & (F.regexp_like(c, F.lit(f"^{_QUOTED}$")) | ~F.regexp_like(c, F.lit(f"^{_QUOTED}")))
+    cell = lambda c, i: F.struct(i.alias("col_idx"), F.when(is_quoted(c), quoted(c)).otherwise(F.nullif(c, F.lit(""))).alias("value"))
+    cells = F.transform(F.transform(found, lambda c: F.substring(c, F.lit(1), F.length(c) - 1)), cell)
     parts = F.split("file", "/")
     book = F.url_decode(F.regexp_replace(F.element_at(parts, -2), "^[A-Za-z_]+=", ""))  # a partition's folder is named key=value
-    return cells.select(book.alias("book"), F.regexp_replace(F.element_at(parts, -1), "\\.(csv|txt)$", "").alias("sheet"), "row_idx", "col_idx", value.alias("value"))
+    return records.select(book.alias("book"), F.regexp_replace(F.element_at(parts, -1), "\\.(csv|txt)$", "").alias("sheet"), "row_idx", cells.alias("cells"))
 
 
 def any_case(extension: str) -> str:
