@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 BOUNDS = (6.0, 38.0, 68.0, 98.0)  # fixed values: lat from, to; lng from, to
 RING = ["file", "feature", "polygon", "ring"]
+#: Vertices of a task, so that its memory doesn't grow with the table.
+DEALT = 1_000_000
 
 
 def in_bounds(lat: Column, lng: Column, bounds: tuple = BOUNDS) -> Column:
@@ -52,6 +54,12 @@ def feature_bbox(vertices: DataFrame, keys: tuple[str, ...] = ("file", "feature"
     return vertices.groupBy(*keys).agg(r(F.min("lng")).alias("west"), r(F.min("lat")).alias("south"), r(F.max("lng")).alias("east"), r(F.max("lat")).alias("north"))
 
 
+def _dealt(vertices: DataFrame, *keys: str) -> DataFrame:
+    """``vertices`` dealt by keys once, for windows and groups of these and further columns, to as many tasks as their number asks for."""
+    least = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return vertices.repartition(max(least, -(-vertices.count() // DEALT)), *keys)
+
+
 def _edges(vertices: DataFrame) -> DataFrame:
     """Each vertex with the next of its ring; the last goes back to the first."""
     order = W.partitionBy(*RING).orderBy("seq")
@@ -62,12 +70,13 @@ def _edges(vertices: DataFrame) -> DataFrame:
 
 def feature_centroid(vertices: DataFrame) -> DataFrame:
     """Area-weighted centroid over outer rings; the middle of the box where all have no area."""
-    e = _edges(vertices.where("ring = 0")).withColumn("cross", F.col("lng") * F.col("lat2") - F.col("lng2") * F.col("lat"))
-    rings = e.groupBy(*RING).agg((F.sum("cross") / 2).alias("a"), F.sum((F.col("lng") + F.col("lng2")) * F.col("cross")).alias("x"), F.sum((F.col("lat") + F.col("lat2")) * F.col("cross")).alias("y"))
-    rings = rings.where("a <> 0").select("file", "feature", F.abs("a").alias("w"), (F.col("x") / (6 * F.col("a"))).alias("cx"), (F.col("y") / (6 * F.col("a"))).alias("cy"))
-    c = rings.groupBy("file", "feature").agg((F.sum(F.col("cx") * F.col("w")) / F.sum("w")).alias("cx"), (F.sum(F.col("cy") * F.col("w")) / F.sum("w")).alias("cy"))
-    box = vertices.groupBy("file", "feature").agg(((F.min("lng") + F.max("lng")) / 2).alias("bx"), ((F.min("lat") + F.max("lat")) / 2).alias("by"))
-    return box.join(c, ["file", "feature"], "left").select("file", "feature", F.coalesce("cx", "bx").alias("lng"), F.coalesce("cy", "by").alias("lat"))
+    e = _edges(_dealt(vertices, "file", "feature")).withColumn("cross", F.col("lng") * F.col("lat2") - F.col("lng2") * F.col("lat"))
+    box = [f(c).alias(f"{n}_{c}") for c in ("lng", "lat") for n, f in (("lo", F.min), ("hi", F.max))]
+    rings = e.groupBy(*RING).agg((F.sum("cross") / 2).alias("a"), F.sum((F.col("lng") + F.col("lng2")) * F.col("cross")).alias("x"), F.sum((F.col("lat") + F.col("lat2")) * F.col("cross")).alias("y"), *box)
+    outer = (F.col("ring") == 0) & (F.col("a") != 0)
+    mean = lambda c: F.sum(F.when(outer, F.col(c) / (6 * F.col("a")) * F.abs("a"))) / F.sum(F.when(outer, F.abs("a")))
+    middle = lambda c: (F.min(f"lo_{c}") + F.max(f"hi_{c}")) / 2
+    return rings.groupBy("file", "feature").agg(F.coalesce(mean("x"), middle("lng")).alias("lng"), F.coalesce(mean("y"), middle("lat")).alias("lat"))
 
 
 def representative_point(vertices: DataFrame) -> DataFrame:
@@ -76,6 +85,7 @@ def representative_point(vertices: DataFrame) -> DataFrame:
     Where a file has points or lines alone, its first vertex. The line is put between vertices' heights, so
     that it crosses edges and never touches a vertex.
     """
+    vertices = _dealt(vertices, "file")
     e = _edges(vertices)
     area = e.where("ring = 0").groupBy("file", "feature", "polygon").agg(F.abs(F.sum(F.col("lng") * F.col("lat2") - F.col("lng2") * F.col("lat"))).alias("a"))
     best = area.where("a > 0").groupBy("file").agg(F.max_by(F.struct("feature", "polygon"), F.struct("a", (-F.col("feature")).alias("f"), (-F.col("polygon")).alias("p"))).alias("b"))

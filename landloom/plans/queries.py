@@ -467,7 +467,8 @@ def _polygons(spark, sf):
     o = tb.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     x, y, s = 70 + F.col("k") % 20, 8 + F.col("k") % 17, 1 + F.col("k") % 3
     pts = F.array(*(F.struct((x + s * a).cast("double").alias("lng"), (y + s * b).cast("double").alias("lat")) for a, b in ((0, 0), (2, 0), (2, 1), (1, 1), (1, 3), (0, 3))))
-    return o.select(F.col("k").cast("string").alias("file"), F.lit(0).alias("feature"), F.lit(0).alias("polygon"), F.lit(0).alias("ring"), F.posexplode(pts).alias("seq", "p")).select("file", "feature", "polygon", "ring", "seq", "p.lng", "p.lat")
+    feature = F.coalesce(F.col("k") % 1, F.lit(0)).cast("int")  # a literal would be dropped from windows' keys, and vertices be dealt a second time
+    return o.select(F.col("k").cast("string").alias("file"), feature.alias("feature"), F.lit(0).alias("polygon"), F.lit(0).alias("ring"), F.posexplode(pts).alias("seq", "p")).select("file", "feature", "polygon", "ring", "seq", "p.lng", "p.lat")
 
 
 POLY = "p AS (SELECT CAST(o_orderkey AS VARCHAR) AS file, 70 + o_orderkey % 20 AS x, 8 + o_orderkey % 17 AS y, 1 + o_orderkey % 3 AS s FROM orders)"

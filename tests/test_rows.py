@@ -54,3 +54,15 @@ def test_files_are_landed_whole(spark, tmp_path):
     assert {(r.book, r.row_idx): [tuple(c) for c in r.cells] for r in rows} == {
         ("a", 0): [(0, "State"), (1, "Area")], ("a", 1): [(0, "x\ny"), (1, "1")], ("b c", 0): [(0, "State")], ("é", 0): [(0, "ü"), (1, "2")],
     }
+
+
+def test_centroid_deals_vertices_once(spark):
+    """An outer ring with a hole, a feature without area, and a file of two polygons; one shuffle by the keys and no join."""
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    rings = [("a", 0, 0, 0, square(0, 0, 4)), ("a", 0, 0, 1, square(1, 1, 1)), ("b", 0, 0, 0, [(1, 1), (3, 5)]), ("c", 1, 0, 0, square(0, 0, 2)), ("c", 1, 1, 0, square(10, 0, 4))]
+    rows = [(*r[:4], i, float(x), float(y)) for r in rings for i, (x, y) in enumerate(r[4])]
+    v = spark.createDataFrame(rows, "file string, feature int, polygon int, ring int, seq int, lng double, lat double")
+    got = geometry.feature_centroid(v)
+    assert {r.file: (r.lng, r.lat) for r in got.collect()} == {"a": (2.0, 2.0), "b": (2.0, 3.0), "c": ((4 * 1 + 16 * 12) / 20, (4 * 1 + 16 * 2) / 20)}
+    got = plan_of(geometry.feature_centroid(v))
+    assert "Join" not in got and got.count("Exchange") == 1
