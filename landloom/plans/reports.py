@@ -314,7 +314,7 @@ def bundle_roundtrip(spark, sf):
 @query("SELECT unnest(['page_id', 'url', 'html', 'note']) AS key, unnest(['unchanged', 'role-changed', 'removed', 'added']) AS delta FROM (SELECT 1 FROM pages LIMIT 1) UNION ALL SELECT 'summary', 'added 1, role-changed 1, populated 0, identical false'")
 def drift_summary(spark, sf):
     """What changed between two catalogues of the pages, in order, and its counts."""
-    p = tb.table(spark, sf, "pages")
+    p = tb.spread(tb.table(spark, sf, "pages"), "page_id")
     long = p.select(F.col("page_id").alias("row_idx"), F.posexplode(F.array(F.col("page_id").cast("string"), F.concat(F.lit("u-"), F.col("page_id") % 9), F.col("html"))).alias("col_idx", "value"))
     cat = catalogue.profile_columns(long, p.agg(F.count("*").alias("n_rows")), []).withColumn("key", F.element_at(F.array(*map(F.lit, ("page_id", "url", "html"))), F.col("col_idx") + 1))
     cat = written(catalogue.infer_role(cat).select("key", F.col("key").alias("label"), "role", "is_empty"), "before")

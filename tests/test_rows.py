@@ -66,3 +66,12 @@ def test_centroid_deals_vertices_once(spark):
     assert {r.file: (r.lng, r.lat) for r in got.collect()} == {"a": (2.0, 2.0), "b": (2.0, 3.0), "c": ((4 * 1 + 16 * 12) / 20, (4 * 1 + 16 * 2) / 20)}
     got = plan_of(geometry.feature_centroid(v))
     assert "Join" not in got and got.count("Exchange") == 1
+
+
+def test_pages_are_dealt_to_all_tasks_before_they_are_cleaned(spark, monkeypatch):
+    from landloom.plans import reports
+
+    dealt, profile = [], catalogue.profile_columns
+    monkeypatch.setattr(catalogue, "profile_columns", lambda long, *a: dealt.append(long.rdd.getNumPartitions()) or profile(long, *a))
+    assert reports.drift_summary(spark, "/root/testdata/sf0.001").count() == 5
+    assert dealt == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
