@@ -10,6 +10,8 @@ from landloom.functions.text import clean_string
 from landloom.sources.tables import listing
 
 MOST_BYTES = 60 * 1024 * 1024
+#: Bytes of a file up to which it is read as one row.
+WHOLE_BYTES = 64 * 1024
 
 
 # Text of a record: a quoted cell (a quote inside is doubled) with whatever stands behind it, or a cell that begins with another character.
@@ -22,6 +24,12 @@ def _opens(line: Column) -> Column:
     return F.regexp_replace(line, f"\\G{_CELL}(?:,|$)", "") != ""
 
 
+def _stays_open(line: Column) -> Column:
+    """Whether a line that begins inside of quotes ends inside."""
+    closing = '^[^"]*+(?:""[^"]*+)*+"[^,]*+(?:,|$)'
+    return F.when(F.regexp_like(line, F.lit(closing)), _opens(F.regexp_replace(line, closing, ""))).otherwise(True)
+
+
 def _through(df: DataFrame, part: list[str], order: str) -> DataFrame:
     """``df`` with ``before`` and ``after``: whether quotes are open before and after each row, for a partition that begins outside (a) and inside (b).
 
@@ -43,10 +51,8 @@ def _records(lines: DataFrame) -> DataFrame:
     Two levels: lines within their block, which is one split of a file, then blocks within their file. Blocks are read by any tasks; a block's summary
     is its state for both beginnings and the number of records for each.
     """
-    closing = f'^[^"]*+(?:""[^"]*+)*+"[^,]*+(?:,|$)'
-    inside = F.when(F.regexp_like("value", F.lit(closing)), _opens(F.regexp_replace("value", closing, ""))).otherwise(True)
     block = ["file", "block"]
-    own = _through(lines.withColumns({"a": _opens(F.col("value")), "b": inside}), block, "id")
+    own = _through(lines.withColumns({"a": _opens(F.col("value")), "b": _stays_open(F.col("value"))}), block, "id")
     running = W.partitionBy(*block).orderBy("id")
     own = own.withColumns({f"n_{x}": F.sum((~F.col(f"before.{x}")).cast("long")).over(running) for x in "ab"})
     sums = own.groupBy(*block).agg(F.max_by("after", "id").alias("all"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
@@ -60,6 +66,26 @@ def _records(lines: DataFrame) -> DataFrame:
     return own.where("whole").select("file", "row_idx", "value").unionByName(parts.select("file", "row_idx", F.array_join(F.transform("v", lambda x: x["value"]), "\n").alias("value")))
 
 
+def _whole_records(files: DataFrame) -> DataFrame:
+    """file, row_idx and value of every record of files (file, value: the whole text), as ``_records`` finds them, within the file's row.
+
+    Where no line that begins outside of quotes ends inside, every line is a record; only other files are followed line by line.
+    """
+    text = F.regexp_replace("value", "(?:\\r\\n|\\n|\\r)\\z", "")  # the last line's end begins no line
+    lines = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.split(text, "\\r\\n|\\n|\\r", -1))
+    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("done"), F.lit("").alias("last"))
+
+    def follow(at: Column, line: Column) -> Column:
+        value = F.when(at["open"], F.concat(at["last"], F.lit("\n"), line)).otherwise(line)
+        now = F.when(at["open"], _stays_open(line)).otherwise(_opens(line))
+        return F.struct(now.alias("open"), F.when(now, at["done"]).otherwise(F.array_append(at["done"], value)).alias("done"), F.when(now, value).otherwise("").alias("last"))
+
+    ended = lambda at: F.when(at["open"], F.array_append(at["done"], at["last"])).otherwise(at["done"])
+    found = files.select("file", lines.alias("lines"))
+    records = F.when(F.exists("lines", _opens), F.aggregate("lines", start, follow, ended)).otherwise(F.col("lines"))
+    return found.select("file", F.posexplode(records).alias("row_idx", "value")).select("file", F.col("row_idx").cast("long").alias("row_idx"), "value")
+
+
 def scan_grids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Cells (book, sheet, row_idx, col_idx, value) of CSV exports; ``scan_rows`` in long form."""
     return scan_rows(spark, paths).select("book", "sheet", "row_idx", F.inline("cells"))
@@ -68,15 +94,19 @@ def scan_grids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def scan_rows(spark: SparkSession, paths: str | list[str], folders: bool = False) -> DataFrame:
     """Rows (book, sheet, row_idx, cells: an array of col_idx and value) of CSV exports: each record's own cells, so a book is read as if alone.
 
-    Blank rows are kept (one empty cell), so rows are numbered as in the file. Cells may hold line breaks (read as \\n). Files are split as
-    Spark splits text, and quotes are followed across the splits; a quote inside an unquoted cell is an ordinary character. Empty cells are null. Book is
+    Blank rows are kept (one empty cell), so rows are numbered as in the file. Cells may hold line breaks (read as \\n). Small files are
+    read as a row each; others are split as Spark splits text, and quotes are followed across the splits; a quote inside an unquoted cell is an ordinary character. Empty cells are null. Book is
     the folder's name and sheet the file's. ``folders``: paths hold the books' folders at any depth, which are listed by tasks, where a glob of
     them is met by the driver.
     """
     with listing(spark):
-        read = spark.read.option("recursiveFileLookup", folders).text(paths)
-    lines = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    records = _records(lines).withColumn("value", F.when(F.col("row_idx") == 0, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value")))
+        read = spark.read.option("recursiveFileLookup", folders)
+        split, whole = read.text(paths), read.text(paths, wholetext=True)
+    file, size = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size")  # files of another size aren't opened
+    lines = split.where(size > WHOLE_BYTES).select("value", file, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    small = whole.where(size <= WHOLE_BYTES).select(file, "value").repartition("file")
+    records = _records(lines).unionByName(_whole_records(small))
+    records = records.withColumn("value", F.when(F.col("row_idx") == 0, F.regexp_replace("value", "^﻿{1,2}", "")).otherwise(F.col("value")))
     # a comma behind the last cell, so that every cell ends with one; a cell that is never closed takes the rest
     found = F.regexp_extract_all(F.concat("value", F.lit(",")), F.lit(f'\\G(?:{_CELL},|"[^"]*+(?:""[^"]*+)*+\\z)'), F.lit(0))
     quoted = lambda c: F.replace(F.regexp_extract(c, '(?s)^"(.*?)"?$', 1), F.lit('""'), F.lit('"'))

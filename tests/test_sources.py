@@ -245,3 +245,22 @@ def test_small_files_are_read_once_and_together(spark):
     assert "MapInPandas" not in vertices._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.file, r.lng) for r in vertices.collect()) == sorted((f"f{i}.kml", float(i)) for i in range(40) if i % 5)
     assert sorted(r.file for r in read.where("size(warnings) > 0").collect()) == sorted(f"f{i}.kml" for i in range(0, 40, 5))
+
+
+def test_small_files_are_read_whole(spark, tmp_path, monkeypatch):
+    """Small files are a row each, with the records that are found line by line in files that Spark may split."""
+    import random
+
+    rng = random.Random(7)
+    files = {f"f{i}": "".join(rng.choice(['"', '""', ",", "a", "\n", "\r\n", "\r", "é", " ", '",', ',"', "b\n"]) for _ in range(rng.randrange(60))) for i in range(60)}
+    files |= {"none": "", "line": "\n", "two": "a\n\n", "mark": "﻿x,y\n", "open": 'a,"b\nc\n'}
+    for name, content in files.items():
+        (tmp_path / f"book={name}").mkdir()
+        (tmp_path / f"book={name}" / "part-0.csv").write_bytes(content.encode())
+    read = lambda: sorted((r.book, r.row_idx, [tuple(c) for c in r.cells]) for r in grids.scan_rows(spark, str(tmp_path), folders=True).collect())
+    got = read()
+    monkeypatch.setattr(grids, "WHOLE_BYTES", 0)
+    assert got == read() and len(got) > 100
+    monkeypatch.setattr(grids, "WHOLE_BYTES", 64 * 1024)
+    monkeypatch.setattr(grids, "_records", lambda lines: lines.selectExpr("file", "0L AS row_idx", "assert_true(false) || value AS value"))
+    assert got == read()  # no line of a small file is read by itself
