@@ -280,12 +280,14 @@ def _possible(percent: int) -> Column:
 
 
 def compared(known: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts (``known``: id, text) are similar. A hub's text is sent in parts; others are shuffled."""
+    """The pairs (a, b) whose whole texts (``known``: id, text) are similar. A hub's text is sent in parts; others are shuffled. Texts outside of the pairs stay where they are."""
+    n = pairs.count()
+    text_of = lambda c: known.join(sized_broadcast(pairs.select(F.col(c).alias("id")).distinct(), n, BROADCAST_SETS), "id", "left_semi").select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
     hubs = stage(pairs.groupBy("a").agg(F.floor(F.count("*") / HUB).alias("parts")).where("parts > 0"), "hubs")  # at most one in HUB pairs
     sent = sized_broadcast(hubs, hubs.count(), BROADCAST_SETS)
-    right = pairs.join(known.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    right = pairs.join(text_of("b"), "b")
     right = right.join(sent, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(0)) + 1)).drop("parts")
-    left = known.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(sent, "a", "left").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(0)))).alias("part"))
+    left = text_of("a").join(sent, "a", "left").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(0)))).alias("part"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +379,8 @@ def similar_pairs(docs: DataFrame, words: int = 5, percent: int = 80, rounds: in
             pivots = lists.select("list", "size", "pivot_own", F.col("one.id").alias("a"), F.col("one.n").alias("m"), F.col("one.pos").alias("other_pos"), F.col("one.odd").alias("other_odd"))
             pairs = split_join(named, pivots, "list", "size", int(left["size"])).where(F.col("own") != F.col("pivot_own")).withColumnRenamed("id", "b")
         pairs = pairs.where(_possible(percent)).select("a", "b").withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
-        pairs = stage(pairs if tested is None else pairs.join(tested, ["lo", "hi"], "left_anti"), "pairs")
+        pairs = stage(pairs, "pairs")  # written before the anti join, which would else be moved to where a pair stands once a list
+        pairs = pairs if tested is None else stage(pairs.join(tested, ["lo", "hi"], "left_anti"), "new_pairs")
         new = stage(compared(known, pairs.select("a", "b"), words, percent), "links")
         links = new if links is None else links.unionByName(new)
         if every:

@@ -337,7 +337,9 @@ def verified(docs: DataFrame, links: DataFrame, words: int, least: float) -> Dat
     known = stage(texts(docs).join(sized_broadcast(nodes, nodes.count(), NODES), "doc_id"), "texts")
     right = links.join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     # a family's first text may stand in much of all links: it is broadcast in pieces of its own, others are shuffled
-    parts = known.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / HUB))).alias("part"), F.floor(F.col("n") / HUB).alias("last"))
+    first = links.select(F.col("a").alias("doc_id")).distinct()
+    firsts = known.join(sized_broadcast(first, links.count(), NODES), "doc_id", "left_semi")
+    parts = firsts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / HUB))).alias("part"), F.floor(F.col("n") / HUB).alias("last"))
     hubs = nodes.select(F.col("doc_id").alias("a"), F.floor(F.col("n") / HUB).alias("parts")).where("parts > 0")  # at most one in HUB links
     right = right.join(sized_broadcast(hubs, hubs.count(), NODES), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(0)) + 1))
     pairs = right.join(parts.drop("last"), ["a", "part"]).select("a", "b", "ta", "tb")

@@ -1,3 +1,4 @@
+import re
 from itertools import combinations
 
 import numpy as np
@@ -105,3 +106,18 @@ def test_bitmaps_differ_in_no_more_than_the_sets():
         y = np.unique(np.concatenate([x[: n // 2], y[n // 2 :]]))
         a, b = jaccard._parities(np.array([0, len(x), len(x) + len(y)]), np.concatenate([x, y])).view(np.uint64)
         assert len(a) * 64 == jaccard.BITS and np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y)) and (a == jaccard._parities(np.array([0, len(x)]), x).view(np.uint64)[0]).all()
+
+
+def test_pairs_are_distinct_before_they_meet_tested_ones(spark, monkeypatch):
+    """A pair stands in many lists: the anti join with tested pairs has each once, and isn't moved below the step that makes them distinct."""
+    plans = []
+
+    def staged(df, name, f=jaccard.stage):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return f(df, name)
+
+    monkeypatch.setattr(jaccard, "stage", staged)
+    texts = family(np.random.default_rng(3), [f"w{i}" for i in range(900)])
+    jaccard.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds=1, open_pairs=0)
+    anti = [p for p in plans if re.search(r"LeftAnti, \(+lo#", p)]
+    assert anti and not any("Aggregate" in p for p in anti)

@@ -97,3 +97,16 @@ def test_every_planted_near_copy_is_found(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()}
     assert kept == set(components_of(len(texts), brute_similar(texts, 5, 0.8)))
+
+
+def test_exact_leaves_texts_where_they_are(spark, sf):
+    """Rows that go are broadcast by their keys, so whole texts aren't shuffled, with or without Spark's own broadcasts."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id <> 7")
+        got = corpus_pipeline.exact(spark, docs, sf)
+        assert got.count() < docs.count() and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
