@@ -19,9 +19,10 @@ another such set: a list without a loose member is dropped, and all pairs of a l
 Marks. A set also has a bitmap of ``BITS`` bits, each the parity of its elements that fall there. Bits in which two sets differ are at most as many as
 elements that only one of them has, so a pair that differs in too many can't be similar: such pairs are never formed, and no text moves for them.
 
-Links. Pairs of a list aren't all compared: its members meet one of them (a pivot, the same in most lists that a family of copies
-shares), and whole texts of these pairs are compared. Lists whose members are connected by then are done. Others get further pivots, and
-when few pairs are open, when a round doesn't halve them, or after ``ROUNDS``, every pair of a list that is not yet connected and that sizes allow is compared. So components are exact. Components are found by alternating stars.
+Links. Where few pairs of a list (``OPEN`` a member) are possible by sizes, places and bitmaps, whole texts of all of them are compared. Else of those that
+span what they connect, found in the list's task by breadth-first search (a list of more than ``RUN`` members is dealt in chunks), so a family of copies gives
+about a pair a member. A pair that is possible is mostly similar, but need not be: such a list is looked at again, in another order, with what is connected by then
+taken as one, and after ``ROUNDS`` every pair of it that is possible and not yet connected is compared. So components are exact. Components are found by alternating stars.
 
 Null and empty texts and texts without words have no set (size 0) and link with nothing. Texts of fewer words than a shingle have
 one element, the whole sequence. Repeated rows share a component; null ids name one only if it has no other. An empty table gives no
@@ -45,8 +46,8 @@ from landloom.llm.staging import sized_broadcast, split_join, stage, texts
 
 #: Counters of the table that orders elements, and of one of its segments.
 SLOTS, SEGMENT = 1 << 24, 1 << 16
-#: Rounds of pivots at most, and open pairs for each member of a list below which all are compared.
-ROUNDS, OPEN = 3, 8
+#: Rounds of spanning pairs at most, possible pairs for each member of a list up to which all are compared, and members of a list that a task holds.
+ROUNDS, OPEN, RUN = 3, 2, 2_048
 #: Bits of a set's bitmap.
 BITS = 1_024
 #: Groups of a list up to which it is told by its groups and not by its element.
@@ -110,7 +111,7 @@ def _sketcher(words: int):
     """Size and digest of each text's set; at a task's end, its part of the counters by segment."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, seen = np.zeros(SLOTS, np.uint32), set()
+        counters, seen = np.zeros(SLOTS, np.uint16), set()
         for b in slices(batches):
             if not b.num_rows:
                 continue
@@ -118,7 +119,8 @@ def _sketcher(words: int):
             digests, size = _digests(starts, h), np.diff(starts)
             own = np.repeat(_fresh(digests, seen), size)
             slot, n = np.unique(h[own] & np.uint64(SLOTS - 1), return_counts=True)
-            counters[slot.astype(np.int64)] += n.astype(np.uint32)
+            slot = slot.astype(np.int64)
+            counters[slot] = np.minimum(counters[slot] + n, 65_535)  # of a task; more would say no more of an order
             yield batch_of(_SETS, b.column("doc_id"), pa.array(size), digests, pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()))
         for i in range(SLOTS // SEGMENT):
             part = counters[i * SEGMENT : (i + 1) * SEGMENT]
@@ -279,6 +281,78 @@ def _possible(percent: int) -> Column:
     return sizes & (left >= percent * (F.col("n") + F.col("m")).cast("long")) & ((100 + percent) * differ.cast("long") <= (100 - percent) * (F.col("n") + F.col("m")).cast("long"))
 
 
+_SPANS = pa.schema([("list", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _spanner(percent: int, most: int, step: int):
+    """Over rows sorted by (list, chunk): a list's possible pairs of sets that aren't connected, if they are at most ``most`` a member, else those that span
+    what they connect and a row without pair, as for chunks of a list: it has to be looked at again."""
+
+    def settle(name: int, whole: bool, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, n, pos, own = (np.concatenate([b.column(c).to_numpy() for b in rows]).astype(np.int64) for c in ("id", "n", "pos", "own"))
+        odd = np.concatenate([b.column("odd").flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64) for b in rows])
+        by = np.argsort(_mixed(ids.view(np.uint64) + np.uint64(step) * _BASE))
+        ids, n, left, odd = ids[by], n[by], (n - pos)[by], odd[by]
+        kinds, own = np.unique(own[by], return_inverse=True)
+        loose = (100 + percent) * left >= 2 * percent * n
+
+        def possible(x: int, others: np.ndarray) -> np.ndarray:
+            """Which of ``others`` (places) may be similar to ``x``."""
+            m = n[others]
+            ok = (own[others] != own[x]) & (100 * np.minimum(m, n[x]) >= percent * np.maximum(m, n[x])) & ((100 + percent) * np.minimum(left[others], left[x]) >= percent * (m + n[x]))
+            others = others[ok & (loose[others] | loose[x])]
+            differ = np.bitwise_count(odd[others] ^ odd[x]).sum(1, dtype=np.int64)
+            return others[(100 + percent) * differ <= (100 - percent) * (n[others] + n[x])]
+
+        def emit(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            a, b = np.repeat([x for x, _ in found], [len(y) for _, y in found]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *(y for _, y in found)])
+            return batch_of(_SPANS, [name] * len(a), pa.array(ids[a]), pa.array(ids[b]))
+
+        found, room = [], most * len(ids)
+        for x in range(len(ids) - 1 if len(kinds) > 1 else 0):
+            near = possible(x, np.arange(x + 1, len(ids)))
+            room -= len(near)
+            if room < 0:
+                break
+            if len(near):
+                found.append((x, near))
+        if room < 0:
+            found, open_ = [], np.arange(len(ids))
+            while len(open_):
+                frontier = np.flatnonzero(own == own[open_[0]]).tolist()
+                open_ = open_[own[open_] != own[open_[0]]]
+                while frontier and len(open_):
+                    x = frontier.pop(0)
+                    near = possible(x, open_)
+                    if len(near):
+                        kind, first = np.unique(own[near], return_index=True)
+                        found.append((x, near[first]))
+                        frontier.extend(np.flatnonzero(np.isin(own, kind)).tolist())
+                        open_ = open_[~np.isin(own[open_], kind)]
+        if found:
+            yield emit(found)
+        if room < 0 or not whole:
+            yield batch_of(_SPANS, [name], [None], [None])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            name, chunk, chunks = (b.column(c).to_numpy() for c in ("list", "chunk", "chunks"))
+            cuts = (np.flatnonzero((np.diff(name) != 0) | (np.diff(chunk) != 0)) + 1).tolist()
+            for a, z in zip([0, *cuts], [*cuts, len(name)], strict=True):
+                if z > a:
+                    key = int(name[a]), int(chunk[a]), int(chunks[a])
+                    if key != now and held:
+                        yield from settle(now[0], now[2] == 1, held)
+                        held = []
+                    now = key
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield from settle(now[0], now[2] == 1, held)
+
+    return run
+
+
 def compared(known: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts (``known``: id, text) are similar. A hub's text is sent in parts; others are shuffled. Texts outside of the pairs stay where they are."""
     n = pairs.count()
@@ -355,39 +429,38 @@ def similar_pairs(docs: DataFrame, words: int = 5, percent: int = 80, rounds: in
     if not nodes.count():
         return rows, sets, None
     known = stage(_texts_of(docs, nodes, words), "texts")
-    links, tested, before, named = None, None, None, entries.withColumn("own", F.col("id"))
+    links, tested, named = None, None, entries.withColumn("own", F.col("id"))
     loose = (100 + percent) * (F.col("n") - F.col("pos")).cast("long") >= 2 * percent * F.col("n").cast("long")
     for step in range(rounds + 1):
-        one = F.struct((~loose).alias("tight"), F.xxhash64("id", F.lit(step)).alias("h"), *(F.col(c) for c in ("id", "n", "pos", "odd")))
-        parts = named.groupBy("list", "own").agg(F.count("*").alias("k"), F.count_if(loose).alias("loose"), F.min(one).alias("one"))
-        counts = [F.count("*").alias("kinds"), F.sum("k").alias("size"), F.sum("loose").alias("loose"), F.sum(F.col("k") * F.col("k")).alias("same")]
-        lists = parts.groupBy("list").agg(*counts, F.max(F.struct("k", F.bitwise_not("one.h").alias("h"), "own", "one")).alias("top")).where("kinds > 1 and loose > 0")
-        unequal = F.least((F.col("size") * F.col("size") - F.col("same")) / 2, F.col("loose") * F.col("size"))
-        lists = stage(lists.select("list", "size", unequal.alias("open"), F.col("top.own").alias("pivot_own"), "top.one"), "open")
-        left = lists.agg(F.coalesce(F.sum("open"), F.lit(0)).alias("open"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+        lists = named.groupBy("list").agg(F.count("*").alias("size"), F.min("own").alias("least"), F.max("own").alias("most"), F.count_if(loose).alias("loose"))
+        lists = stage(lists.where("least < most and loose > 0").select("list", "size"), "open")
+        left = lists.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
         if not left["n"]:
             break
-        every = step == rounds or (step > 0 and (left["open"] <= open_pairs * left["size"] or 2 * left["open"] > before))
-        before = left["open"]
+        mixed = named.join(F.broadcast(lists), "list") if left["n"] <= BROADCAST_SETS else split_join(named, lists, "list", "size", int(left["size"]))
+        every = step == rounds
         if every:
-            mixed = stage(split_join(named, lists.select("list", "size"), "list", "size", int(left["size"])), "mixed")
+            mixed = stage(mixed.drop("size"), "mixed")
             renamed = {"id": "b", "n": "m", "pos": "other_pos", "odd": "other_odd", "own": "other"}
             other = mixed.where(loose).select("list", *(F.col(c).alias(d) for c, d in renamed.items()))
             pairs = mixed.withColumn("tight", ~loose).withColumnRenamed("id", "a").join(other, "list")
-            pairs = pairs.where((F.col("own") != F.col("other")) & (F.col("tight") | (F.col("a") < F.col("b"))))
-        else:  # the pivot is a
-            pivots = lists.select("list", "size", "pivot_own", F.col("one.id").alias("a"), F.col("one.n").alias("m"), F.col("one.pos").alias("other_pos"), F.col("one.odd").alias("other_odd"))
-            pairs = split_join(named, pivots, "list", "size", int(left["size"])).where(F.col("own") != F.col("pivot_own")).withColumnRenamed("id", "b")
-        pairs = pairs.where(_possible(percent)).select("a", "b").withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
+            pairs = pairs.where((F.col("own") != F.col("other")) & (F.col("tight") | (F.col("a") < F.col("b")))).where(_possible(percent))
+        else:
+            dealt = mixed.withColumn("chunks", F.ceil(F.col("size") / RUN)).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(step)), "chunks")).drop("size")
+            spans = dealt.repartition("list", "chunk").sortWithinPartitions("list", "chunk").mapInArrow(_spanner(percent, open_pairs, step), "list long, a long, b long")
+            spans = stage(spans, "spans")
+            pairs, again = spans.where("a is not null"), stage(spans.where("a is null").select("list").distinct(), "again")
+        pairs = pairs.select("a", "b").withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
         pairs = stage(pairs, "pairs")  # written before the anti join, which would else be moved to where a pair stands once a list
         pairs = pairs if tested is None else stage(pairs.join(tested, ["lo", "hi"], "left_anti"), "new_pairs")
         new = stage(compared(known, pairs.select("a", "b"), words, percent), "links")
         links = new if links is None else links.unionByName(new)
-        if every:
+        if every or not (n := again.count()):
             break
         tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
         found = stage(components(links), "found")
-        named = stage(entries.join(found, entries.id == found.node, "left").select(*entries.columns, F.coalesce("root", "id").alias("own")), "named")
+        named = entries.join(sized_broadcast(again, n, BROADCAST_SETS), "list", "left_semi")
+        named = named.join(sized_broadcast(found, found.count(), BROADCAST_SETS), named.id == found.node, "left").select(*entries.columns, F.coalesce("root", "id").alias("own"))
     return rows, sets, links
 
 

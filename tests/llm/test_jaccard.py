@@ -121,3 +121,30 @@ def test_pairs_are_distinct_before_they_meet_tested_ones(spark, monkeypatch):
     jaccard.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds=1, open_pairs=0)
     anti = [p for p in plans if re.search(r"LeftAnti, \(+lo#", p)]
     assert anti and not any("Aggregate" in p for p in anti)
+
+
+def test_chunks_of_lists_connect_what_all_pairs_do(spark, monkeypatch):
+    texts = family(np.random.default_rng(8), [f"w{i}" for i in range(900)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "RUN", 5)
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(docs).collect()), key=str)
+    assert got == brute(list(enumerate(texts)))
+
+
+def test_a_large_family_gives_few_pairs_a_member(spark, monkeypatch):
+    """Copies with three changed words each are mostly similar to one another: pairs to compare grow with the members, not with their square."""
+    rng, rows, seen = np.random.default_rng(4), [], []
+    base = [f"v{i}" for i in range(120)]
+    for i in range(300):
+        own = list(base)
+        for at in rng.integers(0, 120, 3):
+            own[int(at)] = f"n{i}"
+        rows.append((i, " ".join(own)))
+
+    def counted(known, pairs, words, percent, f=jaccard.compared):
+        seen.append(pairs.count())
+        return f(known, pairs, words, percent)
+
+    monkeypatch.setattr(jaccard, "compared", counted)
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows) and 0 < sum(seen) <= 6 * len(rows)
