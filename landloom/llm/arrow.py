@@ -32,6 +32,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             step = max(1, min(SLICE_ROWS, int(most / max(1.0, mean))))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()  # workers wait for their next task
 
 
 def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

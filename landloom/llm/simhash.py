@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from landloom.llm.arrow import batch_of, slices, utf8
 from landloom.llm.components import components
-from landloom.llm.staging import sized_broadcast, split_join, stage, texts
+from landloom.llm.staging import passing, sized_broadcast, split_join, stage, texts
 
 #: Distinct fingerprints of one key that a task compares at once.
 RUN = 4096
@@ -305,8 +305,10 @@ def similar_links(docs: DataFrame, words: int = 5, least: float = 0.8, run: int
     if exact:
         from landloom.llm.jaccard import near_duplicates as joined
 
-        rest = joined(docs.select("doc_id", "text"), words, round(100 * least)).where("component_id <> doc_id")
-        return similar_links(docs, words, least, run).unionByName(rest.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")))
+        with passing(docs.sparkSession):  # its tables are gone before those of the fingerprints come
+            rest = joined(docs.select("doc_id", "text"), words, round(100 * least)).where("component_id <> doc_id")
+            rest = stage(rest.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), "exact_links", lasting=True)
+        return similar_links(docs, words, least, run).unionByName(rest)
     every = stage(sketches(docs, words).withColumn("same", F.xxhash64("tables", "wide")), "sketches")
     # texts with the same fingerprints throughout are one row here, and linked to its least id
     rows = stage(every.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("tables").alias("tables"), F.any_value("wide").alias("wide")), "distinct")

@@ -2,13 +2,17 @@
 
 Tables are staged as Parquet below ``spark.checkpoint.dir``, which every executor sees, so a lost
 executor costs a re-read and not a re-computation. The setting is read from the session; only where it is
-unset (tests on one machine) a temporary folder is made and set.
+unset (tests on one machine) a temporary folder is made and set. Tables that a lazy result doesn't read are deleted
+as soon as it is known which those are (``passing``).
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new folder of the shared directory and read it back."""
+#: Folders written in each of the open ``passing`` blocks, the innermost last.
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes, when left, the tables staged meanwhile but for ``lasting`` ones: nothing may read them from then on."""
+    written: list[str] = []
+    token = _PASSING.set((*_PASSING.get(), written))
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for x in written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to a new folder of the shared directory and read it back. ``lasting``: it outlives the innermost block of ``passing``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/landloom/{uuid.uuid4().hex}/{name}"
+    top = f"{shared_dir(spark)}/landloom/{uuid.uuid4().hex}"
+    path, blocks = f"{top}/{name}", _PASSING.get()
+    if blocks := blocks[:-1] if lasting else blocks:
+        blocks[-1].append(top)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

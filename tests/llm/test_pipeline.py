@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from landloom.llm import byte_bpe, queries
+from landloom.llm import byte_bpe, queries, staging
 from tests.llm.test_exact_dedup import brute as brute_exact
 from tests.llm.test_quality import brute as brute_counts
 from tests.llm.test_simhash import brute_similar, components_of
@@ -110,3 +110,12 @@ def test_exact_leaves_texts_where_they_are(spark, sf):
         assert got.count() < docs.count() and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("step", [corpus_pipeline.exact, corpus_pipeline.near])
+def test_tables_that_the_result_does_not_read_are_gone(spark, sf, step, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_dir", lambda spark: f"file://{tmp_path}")
+    got = step(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    read = {p.split("/landloom/")[1].split("/")[0] for p in got.inputFiles() if "/landloom/" in p}
+    assert read and {p.name for p in (tmp_path / "landloom").iterdir()} == read
+    assert 0 < got.count() < 132
